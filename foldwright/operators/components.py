@@ -13,9 +13,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and its listed neighbours; partial aggregation tames hot nodes."""
+    """Each (u, v) with m, the least of u and its listed neighbours.
+
+    Partial aggregation tames hot nodes in the minimum. ``least`` is dealt out anew so that both sides of the join get
+    an exchange of their own, without which a skewed join can't be split at run time.
+    """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(least, "u")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.join(least.repartition(n), "u")
 
 
 def _signature(edges: DataFrame) -> tuple:
