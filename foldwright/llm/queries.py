@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from foldwright.llm import simhash
+from foldwright.llm import media, secrets, simhash
 
 QUERIES = {
+    "op2_media_jpeg": media.op2_media_jpeg,
+    "op8_secret_scans": secrets.op8_secret_scans,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
