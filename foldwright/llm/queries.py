@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foldwright.llm import media, secrets, simhash
+from foldwright.llm import bpe, media, secrets, simhash
 
 QUERIES = {
     "op2_media_jpeg": media.op2_media_jpeg,
+    "op4_byte_level_bpe": bpe.op4_byte_level_bpe,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
