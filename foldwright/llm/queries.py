@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foldwright.llm import bpe, media, secrets, simhash
+from foldwright.llm import bpe, media, pii, secrets, simhash
 
 QUERIES = {
+    "op1_pii_patterns": pii.op1_pii_patterns,
     "op2_media_jpeg": media.op2_media_jpeg,
     "op4_byte_level_bpe": bpe.op4_byte_level_bpe,
     "op8_secret_scans": secrets.op8_secret_scans,
