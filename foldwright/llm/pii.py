@@ -198,9 +198,11 @@ def learn(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFram
     return scores
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """``(id_col, base, extra)`` for each row of ``docs``: arrays of ``(start, rank, stop, kind)`` in that order.
 
+    With ``keyed`` there is also ``text_key``, a hash of the text.
+
     ``base`` has the format matches, ``extra`` what high-scoring patterns add: strings behind such a pattern that have
     an at sign or MIN_DIGITS digits and touch no base span. Null and empty texts have neither; repeated rows give
     repeated results; rows with a null id are kept; an empty table gives none; other columns are ignored.
@@ -228,11 +230,48 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         part = part.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), part.columns[-1])
         rows = rows.join(part, rows[id_col].eqNullSafe(part["_id"]) & (rows["text_key"] == part["_key"]), "left").drop("_id", "_key")
     nothing = F.array().cast(span)
-    rows = rows.select(id_col, F.array_sort(F.coalesce("base", nothing)).alias("base"), F.coalesce("extra", nothing).alias("extra"))
+    rows = rows.select(id_col, *["text_key"] * keyed, F.array_sort(F.coalesce("base", nothing)).alias("base"), F.coalesce("extra", nothing).alias("extra"))
     free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
     return rows.withColumn("extra", F.array_sort(free))
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` with ``<KIND>`` in the place of each span; spans that overlap are covered by the one that begins first.
+
+    A span's bytes are cut out by code points; the pieces between spans are joined with their kinds.
+    """
+    # From the left: keep a span if it begins behind all kept before it. "till" is where the text goes on.
+    start = F.lit(0).cast("bigint")
+    state = F.struct(start.alias("till"), F.array().cast("array<struct<low: bigint, high: bigint, kind: string>>").alias("cuts"))
+    folded = F.aggregate(
+        spans,
+        state,
+        lambda acc, x: F.when(
+            x["start"] >= acc["till"],
+            F.struct(x["stop"].alias("till"), F.concat(acc["cuts"], F.array(F.struct(acc["till"].alias("low"), x["start"].alias("high"), x["kind"].alias("kind")))).alias("cuts")),
+        ).otherwise(acc),
+    )
+    pieces = F.transform(
+        folded["cuts"], lambda c: F.concat(F.substring(text, c["low"].cast("int") + 1, (c["high"] - c["low"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
+    )
+    return F.concat(F.array_join(pieces, ""), F.substring(text, folded["till"].cast("int") + 1, F.length(text)))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span that ``find`` reports replaced by its kind in angle brackets.
+
+    Texts without personal data, nulls among them, stay as they are; rows and other columns are kept. Only texts that
+    have spans are joined and cut; the rest pass through.
+    """
+    spans = find(docs, id_col, text_col, keyed=True)
+    spans = spans.select(F.col(id_col).alias("_id"), "text_key", F.array_sort(F.concat("base", "extra")).alias("_spans"))
+    found = spans.where("size(_spans) > 0").dropDuplicates(["_id", "text_key"])
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    rows = docs.join(_side(written(found)), docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("text_key")), "left")
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_redacted(F.col(text_col), F.col("_spans")))
+    return rows.withColumn(text_col, text).select(docs.columns)
+
+
 def op1_pii_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find(read(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
