@@ -2,5 +2,361 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldwright.functions.text import normalize_native, normalize_text, shingle_sets
+from foldwright.operators import assign, audit, folds, groups, labels, pairs, summary
+from foldwright.runtime import checkpoint
+
+THRESHOLD, NGRAM = 0.8, 5
+RATIOS = {"train": 0.8, "test": 0.2}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt over the cores: small files arrive as one partition."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
+# Pieces of SQL. A normalized text is a key; keys have character 5-grams (a shorter key is one), and similar pairs.
+KEY = r"trim(regexp_replace(replace(lower({t}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+UNIQUES = f"rows_ AS (SELECT doc_id, {KEY.format(t='text')} AS k FROM documents), uniq AS (SELECT k, min(doc_id) AS uid FROM rows_ GROUP BY k)"
+GRAMS = (
+    "pieces AS (SELECT DISTINCT uid, CASE WHEN length(k) < 5 THEN k ELSE substr(k, i, 5) END AS h FROM (SELECT uid, k, "
+    "unnest(range(1, greatest(length(k) - 3, 2))) AS i FROM uniq WHERE k <> '')), sizes AS (SELECT uid, count(*) AS n FROM pieces GROUP BY uid)"
+)
+SIMILAR = (
+    "shared AS (SELECT a.uid AS l, b.uid AS r, count(*) AS s FROM pieces a JOIN pieces b ON a.h = b.h AND a.uid < b.uid GROUP BY ALL), "
+    "pairs AS (SELECT l, r, s AS n_shared, x.n + y.n - s AS n_union, s / (x.n + y.n - s) AS similarity FROM shared JOIN sizes x ON x.uid = l "
+    f"JOIN sizes y ON y.uid = r WHERE s / (x.n + y.n - s) >= {THRESHOLD})"
+)
+GROUPS = (
+    "reach AS (SELECT uid AS a, uid AS b FROM uniq UNION SELECT a, CASE WHEN p.l = b THEN p.r ELSE p.l END FROM reach JOIN pairs p ON p.l = b OR p.r = b), "
+    "roots AS (SELECT a AS uid, min(b) AS root FROM reach GROUP BY a), "
+    "placed AS (SELECT doc_id, root FROM rows_ JOIN uniq USING (k) JOIN roots USING (uid)), "
+    "grouped AS (SELECT doc_id, dense_rank() OVER (ORDER BY f) - 1 AS group_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS f FROM placed))"
+)
+NEAR = f"WITH RECURSIVE {UNIQUES}, {GRAMS}, {SIMILAR}, {GROUPS}"
+
+
+def cross_sql(train: str, test: str, threshold: float) -> str:
+    """CTEs up to ``found(train_id, test_id, similarity)`` for two subqueries of ``(id, text)``."""
+    key = KEY.format(t="text")
+    grams = (
+        "SELECT DISTINCT uid, CASE WHEN length(k) < 5 THEN k ELSE substr(k, i, 5) END AS h FROM (SELECT uid, k, "
+        "unnest(range(1, greatest(length(k) - 3, 2))) AS i FROM {} WHERE k <> '')"
+    )
+    return (
+        f"tr AS (SELECT id, {key} AS k FROM ({train})), te AS (SELECT id, {key} AS k FROM ({test})), "
+        "tru AS (SELECT k, min(id) AS uid FROM tr GROUP BY k), teu AS (SELECT k, min(id) AS uid FROM te GROUP BY k), "
+        f"trg AS ({grams.format('tru')}), teg AS ({grams.format('(SELECT * FROM teu ANTI JOIN tru USING (k))')}), "
+        "trn AS (SELECT uid, count(*) AS n FROM trg GROUP BY uid), ten AS (SELECT uid, count(*) AS n FROM teg GROUP BY uid), "
+        "near AS (SELECT a.uid AS l, b.uid AS r, count(*) AS s FROM trg a JOIN teg b USING (h) GROUP BY ALL), "
+        f"hits AS (SELECT l, r, s / (x.n + y.n - s) AS similarity FROM near JOIN trn x ON x.uid = l JOIN ten y ON y.uid = r WHERE s / (x.n + y.n - s) >= {threshold}), "
+        "best AS (SELECT r, l, similarity FROM hits QUALIFY row_number() OVER (PARTITION BY r ORDER BY similarity DESC, l) = 1), "
+        "found AS (SELECT coalesce(e.uid, b.l) AS train_id, te.id AS test_id, CASE WHEN e.uid IS NOT NULL THEN 1.0::DOUBLE ELSE b.similarity END AS similarity "
+        "FROM te LEFT JOIN tru e USING (k) JOIN teu USING (k) LEFT JOIN best b ON b.r = teu.uid WHERE e.uid IS NOT NULL OR b.l IS NOT NULL)"
+    )
+
+
+TRAIN = "SELECT doc_id AS id, text FROM documents WHERE doc_id % 5 <> 0"
+TEST = "SELECT doc_id AS id, text FROM documents WHERE doc_id % 5 = 0"
+CROSS = cross_sql(TRAIN, TEST, THRESHOLD)
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
+
+
+@query(f"SELECT doc_id, {KEY.format(t='text')} AS normalized FROM documents")
+def normalize_texts(spark, sf_dir):
+    return normalize_text(table(spark, sf_dir, "documents")).select("doc_id", "normalized")
+
+
+@query(f"SELECT item_id, {KEY.format(t='text')} AS normalized FROM benchmark")
+def normalize_builtin(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", normalize_native(F.col("text")).alias("normalized"))
+
+
+@query(
+    f"WITH {UNIQUES} SELECT doc_id, dense_rank() OVER (ORDER BY f) - 1 AS group_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS f FROM rows_)"
+)
+def exact_duplicate_groups(spark, sf_dir):
+    return groups.near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", threshold=1.0)
+
+
+@query(f"WITH {UNIQUES}, {GRAMS} SELECT doc_id, coalesce(n, 0) AS n_shingles FROM rows_ JOIN uniq USING (k) LEFT JOIN sizes USING (uid)")
+def shingle_counts(spark, sf_dir):
+    sets = shingle_sets(table(spark, sf_dir, "documents"), "doc_id")
+    return sets.select("doc_id", F.size("shingles").cast("bigint").alias("n_shingles"))
+
+
+JACCARD = f"WITH {UNIQUES}, {GRAMS}, {SIMILAR}"
+
+
+@query(f'{JACCARD} SELECT l AS "left", r AS "right", n_shared, n_union, similarity FROM pairs')
+def jaccard_pairs(spark, sf_dir):
+    return pairs.exact_pairs(table(spark, sf_dir, "documents"), "doc_id", threshold=THRESHOLD)
+
+
+@query(f'{JACCARD} SELECT l AS "left", r AS "right", similarity FROM pairs')
+def lsh_pairs(spark, sf_dir):
+    return pairs.lsh_pairs(table(spark, sf_dir, "documents"), "doc_id", threshold=THRESHOLD)
+
+
+@query(f"{NEAR} SELECT doc_id, group_id FROM grouped")
+def near_duplicate_groups(spark, sf_dir):
+    return groups.near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", threshold=THRESHOLD)
+
+
+@query(
+    f"{NEAR}, sized AS (SELECT group_id, count(*) AS n FROM grouped GROUP BY group_id) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_groups, "
+    "max(n) AS largest, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS rows_shared FROM sized"
+)
+def group_stats(spark, sf_dir):
+    return groups.group_stats(near_duplicate_groups(spark, sf_dir))
+
+
+@query(
+    "WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id AS a, CASE WHEN turn % 3 = 0 THEN conv_id // 4 END AS b FROM conversations), "
+    # a conversation is one part; conversations whose b agrees are joined: all of a block of four share it through turn 0
+    "g AS (SELECT a, min(b) AS b FROM t GROUP BY a), p AS (SELECT t.id, coalesce(min(t.id) OVER (PARTITION BY g.b), t.id) AS f, g.b, t.a FROM t JOIN g USING (a)) "
+    "SELECT id, dense_rank() OVER (ORDER BY f) - 1 AS group_id FROM p"
+)
+def merge_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("a"), F.when(F.col("turn") % 3 == 0, F.expr("conv_id div 4")).alias("b")
+    )
+    return groups.merge_groups(rows, "id", "a", None, "b")
+
+
+@query(f"WITH {CROSS} SELECT train_id, test_id, similarity FROM found")
+def cross_duplicates(spark, sf_dir):
+    return pairs.find_cross_duplicates(*sides(spark, sf_dir), "doc_id", threshold=THRESHOLD)
+
+
+REPORT = (
+    "SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM te) AS n_test, {t}::DOUBLE AS threshold, count(*) AS leaked, "
+    "count(*) FILTER (similarity >= 1) AS exact, count(*) / (SELECT count(*) FROM te) AS fraction FROM found"
+)
+
+
+@query(f"WITH {CROSS} {REPORT.format(t=THRESHOLD)}")
+def leakage_report(spark, sf_dir):
+    train, test = sides(spark, sf_dir)
+    found = checkpoint(pairs.find_cross_duplicates(train, test, "doc_id", threshold=THRESHOLD))
+    return audit.report(found, test, train, THRESHOLD)
+
+
+@query(f"WITH {CROSS} SELECT train_id, test_id, similarity FROM found ORDER BY similarity >= 1, similarity DESC, test_id LIMIT 5")
+def leakage_examples(spark, sf_dir):
+    return audit.examples(cross_duplicates(spark, sf_dir), 5)
+
+
+@query(
+    f"WITH {CROSS} SELECT train_id, test_id, a.source AS train_label, b.source AS test_label FROM found JOIN documents a ON a.doc_id = train_id "
+    "JOIN documents b ON b.doc_id = test_id WHERE a.source <> b.source"
+)
+def label_conflicts(spark, sf_dir):
+    train, test = sides(spark, sf_dir)
+    return audit.label_conflicts(cross_duplicates(spark, sf_dir), train, test, "doc_id", "source")
+
+
+BY_SOURCE = ("src0,src1,src2,src3", "('src0', 'src1', 'src2', 'src3')")
+
+
+@query(
+    "WITH "
+    + cross_sql(
+        f"SELECT doc_id AS id, text FROM documents WHERE source NOT IN {BY_SOURCE[1]}", f"SELECT doc_id AS id, text FROM documents WHERE source IN {BY_SOURCE[1]}", THRESHOLD
+    )
+    + " "
+    + REPORT.format(t=THRESHOLD)
+)
+def audit_by_split_column(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("source").isin(*BY_SOURCE[0].split(",")), F.col("source")).otherwise("rest"))
+    train, test = audit.sides(docs, "split", "rest", BY_SOURCE[0])
+    found = checkpoint(pairs.find_cross_duplicates(train, test, "doc_id", threshold=THRESHOLD))
+    return audit.report(found, test, train, THRESHOLD)
+
+
+@query("SELECT source AS value, count(*) AS n FROM documents GROUP BY source")
+def split_values(spark, sf_dir):
+    return audit.split_values(table(spark, sf_dir, "documents"), "source")
+
+
+@query(
+    f"WITH {cross_sql('SELECT doc_id AS id, text FROM documents', 'SELECT item_id AS id, text FROM benchmark', 0.3)} "
+    "SELECT train_id AS doc_id, test_id AS item_id, similarity FROM found"
+)
+def benchmark_contamination(spark, sf_dir):
+    """Whole items against whole documents; candidates by the exact prefix filter, as bands at 0.3 propose far too many."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = pairs.find_cross_duplicates(docs, items, "id", threshold=0.3, exact=True)
+    return found.select(F.col("train_id").alias("doc_id"), F.col("test_id").alias("item_id"), "similarity")
+
+
+# Rows with labels and a fixed split. A document's labels are its language and, where known, its flags.
+LABELLED = (
+    "lab AS (SELECT d.doc_id, d.doc_id % 5 AS split, list_concat([lang], CASE WHEN quality = 1 THEN ['quality'] ELSE [] END, "
+    "CASE WHEN toxic = 1 THEN ['toxic'] ELSE [] END) AS labels FROM documents d LEFT JOIN labels USING (doc_id))"
+)
+LONG = f"{LABELLED}, long AS (SELECT DISTINCT doc_id, split, unnest(labels) AS label FROM lab)"
+GRID = (
+    f"{LONG}, s AS (SELECT split, count(*) AS n_split FROM lab GROUP BY split), l AS (SELECT label, count(*) AS n_label FROM long GROUP BY label), "
+    "grid AS (SELECT s.split, l.label, coalesce(n, 0) AS n, n_split, n_label, (SELECT count(*) FROM lab) AS n_total FROM s CROSS JOIN l "
+    "LEFT JOIN (SELECT split, label, count(*) AS n FROM long GROUP BY ALL) c ON c.split = s.split AND c.label = l.label)"
+)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    every = F.concat(labels.label_sets(rows, "lang"), labels.label_sets(rows, "quality", "toxic", indicator=True))
+    return rows.select("doc_id", "source", (F.col("doc_id") % 5).alias("split"), every.alias("labels"))
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, array_to_string(list_sort(labels), ',') AS labels FROM lab")
+def label_sets(spark, sf_dir):
+    return labelled(spark, sf_dir).select("doc_id", F.array_join(F.array_sort("labels"), ",").alias("labels"))
+
+
+@query(f"WITH {LONG} SELECT source AS \"group\", label, count(*) AS n FROM long JOIN documents USING (doc_id) GROUP BY ALL")
+def group_label_counts(spark, sf_dir):
+    return labels.group_label_counts(labelled(spark, sf_dir).withColumnRenamed("source", "group"), "group")
+
+
+@query(f"WITH {LONG} SELECT label, count(*) AS total FROM long GROUP BY label")
+def label_totals(spark, sf_dir):
+    return labels.label_totals(labelled(spark, sf_dir))
+
+
+@query(
+    f"WITH {LONG}, t AS (SELECT label, count(*) AS total FROM long GROUP BY label), c AS (SELECT source, label, count(*) AS n FROM long "
+    'JOIN documents USING (doc_id) GROUP BY ALL) SELECT source AS "group", max(n / total) AS rarity FROM c JOIN t USING (label) GROUP BY source'
+)
+def group_rarity(spark, sf_dir):
+    return labels.group_rarity(labelled(spark, sf_dir).withColumnRenamed("source", "group"), "group")
+
+
+@query(
+    "WITH r AS (SELECT doc_id % 5 AS split FROM documents) SELECT split::VARCHAR AS split, count(*) AS n, count(*) / (SELECT count(*) FROM r) AS share "
+    "FROM r GROUP BY split UNION ALL SELECT '(all)', count(*), 1.0::DOUBLE FROM r"
+)
+def split_summary(spark, sf_dir):
+    return summary.split_summary(labelled(spark, sf_dir))
+
+
+LANGS = ("de", "en", "es", "fr")
+
+
+@query(
+    f"WITH {GRID}, r AS (SELECT split::VARCHAR AS split, label, n / n_split AS share FROM grid UNION ALL SELECT DISTINCT '(all)', label, n_label / n_total FROM grid) "
+    "SELECT split, " + ", ".join(f"max(share) FILTER (label = '{x}') AS {x}" for x in LANGS) + " FROM r GROUP BY split"
+)
+def label_table(spark, sf_dir):
+    return summary.label_table(labelled(spark, sf_dir), list(LANGS))
+
+
+@query(f"WITH {GRID} SELECT split::VARCHAR AS split, round(max(abs(n / n_split - n_label / n_total) * 100), 9) AS gap FROM grid GROUP BY split")
+def label_gap(spark, sf_dir):
+    return summary.label_gap(labelled(spark, sf_dir)).select("split", F.round("gap", 9).alias("gap"))
+
+
+@query(
+    f'WITH {GRID}, d AS (SELECT n_split, abs(n / n_split - n_label / n_total) / (n_label / n_total) AS off FROM grid) SELECT round(avg(off), 9) AS mean, '
+    "round(max(off), 9) AS worst, min(n_split) AS smallest, max(n_split) AS largest FROM d"
+)
+def label_share_deviation(spark, sf_dir):
+    found = summary.label_share_deviation(labelled(spark, sf_dir), "split")
+    return found.select(F.round("mean", 9).alias("mean"), F.round("worst", 9).alias("worst"), "smallest", "largest")
+
+
+@query(
+    "SELECT k::INTEGER AS fold, CASE WHEN doc_id % 5 = k THEN 'test' ELSE 'train' END AS role, doc_id FROM documents, unnest(range(5)) u(k)"
+)
+def fold_membership(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("fold"))
+    return folds.fold_membership(rows, "doc_id", 5)
+
+
+RANDOM = (
+    "cut AS (SELECT doc_id AS id, text, row_number() OVER (ORDER BY md5('0:' || doc_id)) <= floor(0.8 * (SELECT count(*) FROM documents)) AS t FROM documents)"
+)
+
+
+@query(f"WITH {RANDOM} SELECT id AS doc_id, CASE WHEN t THEN 'train' ELSE 'test' END AS split FROM cut")
+def random_split(spark, sf_dir):
+    return folds.random_split(table(spark, sf_dir, "documents"), "doc_id", 0.8, 0)
+
+
+@query(f"WITH {RANDOM}, {cross_sql('SELECT id, text FROM cut WHERE t', 'SELECT id, text FROM cut WHERE NOT t', THRESHOLD)} {REPORT.format(t=THRESHOLD)}")
+def random_split_leakage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    both = checkpoint(docs.select("doc_id", "text").join(folds.random_split(docs, "doc_id", 0.8, 0), "doc_id"))
+    train, test = both.where("split = 'train'"), both.where("split = 'test'")
+    found = checkpoint(pairs.find_cross_duplicates(train, test, "doc_id", threshold=THRESHOLD))
+    return audit.report(found, test, train, THRESHOLD)
+
+
+@query("SELECT count(DISTINCT trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS n_distinct FROM documents")
+def distinct_texts(spark, sf_dir):
+    flat = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    return table(spark, sf_dir, "documents").agg(F.countDistinct(flat).alias("n_distinct"))
+
+
+@query(
+    "WITH n AS (SELECT count(*) AS n FROM customer) SELECT s::INTEGER AS split, (CASE s WHEN 0 THEN floor(n * 0.7 + 1e-9) WHEN 1 THEN floor(n * 0.2 + 1e-9) "
+    "ELSE n - floor(n * 0.7 + 1e-9) - floor(n * 0.2 + 1e-9) END)::BIGINT AS n FROM n, unnest(range(3)) u(s)"
+)
+def assign_counts(spark, sf_dir):
+    """Groups of one row each: the targets are met exactly."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"))
+    return assign.assign_groups(rows, [0.7, 0.2, 0.1]).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query()
+def assign_splits(spark, sf_dir):
+    found = folds.assign_splits(table(spark, sf_dir, "documents"), "doc_id", label_cols=("lang",), groups_col=None, ratios=RATIOS)
+    return found.select("doc_id", "split")
+
+
+@query()
+def kfold_ids(spark, sf_dir):
+    return folds.NearDupKFold(5).fold_ids(table(spark, sf_dir, "documents"), "doc_id", label_cols=("lang",))
+
+
+@query("SELECT 0::BIGINT AS n_groups_in_two_splits")
+def assign_straddle(spark, sf_dir):
+    near = checkpoint(near_duplicate_groups(spark, sf_dir))
+    split = assign_splits(spark, sf_dir)
+    apart = near.join(split, "doc_id").groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    return apart.agg(F.count("*").alias("n_groups_in_two_splits"))
+
+
+@query("SELECT 0::BIGINT AS leaked")
+def post_split_leaks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    both = checkpoint(docs.join(assign_splits(spark, sf_dir), "doc_id"))
+    found = pairs.find_cross_duplicates(both.where("split = 'train'"), both.where("split = 'test'"), "doc_id", threshold=THRESHOLD)
+    return found.agg(F.count("*").alias("leaked"))
