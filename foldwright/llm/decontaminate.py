@@ -19,7 +19,7 @@ from foldwright.runtime import broadcast_if_small, written
 MASKS = ("111101111000", "111110011100", "110100110111")
 SPAN = len(MASKS[0])
 #: Words of the stretch that decides, and the share of them that must agree in place.
-WINDOW, SHARE = 20, 0.8
+WINDOW, SHARE = 13, 0.8
 #: Benchmark hashes that may be broadcast: 24 bytes each.
 BROADCAST_SEEDS = 500_000
 
