@@ -28,7 +28,7 @@ PATTERNS = {
 #: Strings that may be identifiers: a whole format match, or a word with a digit or an at sign.
 CANDIDATE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|\+[0-9][\x20().0-9-]+[0-9]"
-    r"|(?<![0-9])[0-9]++(?:\.[0-9]++){3}|(?<!\S)[0-9](?:[\x20-]?[0-9])++|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+    r"|(?<![0-9])[0-9]++(?:\.[0-9]++){3}|(?<!\S)[0-9](?:[\x20-]?[0-9])++(?![^\s.,;:!?)\]])|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 )
 
 #: Distinct seeds that a pattern needs, rounds of scoring, and the scores from which patterns and instances count.

@@ -35,9 +35,9 @@ LEDGER = f"blob string, rules array<string>, found {FOUND}"
 BROADCAST_FINDINGS = 100_000
 
 
-def find(text: str, rule: str) -> list[tuple[int, int]]:
+def find(text: str, rule: tuple) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of a rule whose measured group is long enough; code points, end exclusive."""
-    _, pattern, group, least = RULES[rule]
+    _, pattern, group, least = rule
     return [m.span() for m in re.finditer(pattern, text) if m.end(group) - m.start(group) >= least]
 
 
@@ -72,6 +72,7 @@ def unseen(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFr
 def scan(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Appends to the ledger at ``path`` what it lacks of ``docs``; returns its current ``(blob, found)``, hits only."""
     spark = docs.sparkSession
+    current = dict(RULES)  # goes to the tasks with the function
     kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
@@ -79,7 +80,7 @@ def scan(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             rules, found = batch.column("rules").to_pylist(), []
             for text, names in zip(texts, rules):
                 names = [x.partition(":")[0] for x in names]
-                found.append([{"rule": n, "start": a, "stop": b} for n in names for a, b in find(text, n)])
+                found.append([{"rule": n, "start": a, "stop": b} for n in names for a, b in find(text, current[n])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("blob"), batch.column("rules"), pa.array(found, kind)], names=["blob", "rules", "found"]
             )
