@@ -1,13 +1,16 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
 Texts are cut into pre-tokens in blocks of some megabytes. A block keeps its documents as positions in the list of its
-own distinct words, so what is exploded and shuffled is each block's distinct words, not every occurrence. Each word of
-the whole corpus is encoded once, its ids are joined with the token-byte table to decode it, and both are joined back to
-the blocks that asked for it, where documents are put together by position.
+own distinct words, so what is exploded and shuffled is each block's distinct words, not every occurrence: packed by a
+hash of the word into as many buckets as there are shuffle partitions. A bucket encodes each word of the whole corpus
+once and sends the ids back to the blocks that asked. There documents are put together by position, and decoded by a
+join with the token-byte table.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -17,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import chunks, read
-from foldwright.runtime import written
 
 #: Characters of text in one block; a longer text is a block of its own.
 BLOCK = 8 << 20
@@ -30,46 +32,142 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part[1].cast("int").alias("id"), F.unbase64(part[0]).alias("bytes"))
 
 
-def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """A row for each block: its distinct words, its documents' ids and lengths, and all positions one after another."""
+def _pack(parts: list[bytes]) -> bytes:
+    """Byte strings in one: their lengths, then themselves, compressed."""
+    lengths = np.array([len(x) for x in parts], np.uint32)
+    return zstandard.compress(np.uint32(len(parts)).tobytes() + lengths.tobytes() + b"".join(parts), 3)
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+def _pack_positions(places: np.ndarray) -> bytes:
+    """Places below 192 take one byte, others three, or five from 2 ** 21 on; compressed."""
+    size = np.where(places < 192, 1, np.where(places < 1 << 21, 3, 5))
+    ends = np.cumsum(size)
+    at, out = ends - size, np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[at[size == 1]] = places[size == 1]
+    for width, lead in ((3, 192), (5, 255)):
+        own = size == width
+        out[at[own]] = lead + (places[own] >> 16 if width == 3 else 0)
+        for i in range(1, width):
+            out[at[own] + i] = (places[own] >> 8 * (width - 1 - i)) & 255
+    return zstandard.compress(out.tobytes(), 3)
+
+
+def _unpack_positions(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    # A lead byte is one that no longer code covers: walk along the few long codes, all else is single.
+    step = np.where(raw < 192, 1, np.where(raw < 255, 3, 5))
+    first = np.ones(len(raw), bool)
+    at = 0
+    for k in np.flatnonzero(step > 1).tolist():
+        if k >= at:
+            at = k + int(step[k])
+            first[k + 1 : at] = False
+    at = np.flatnonzero(first)
+    size, out = step[at], raw[at].astype(np.int64)
+    for width in (3, 5):
+        own = at[size == width]
+        value = raw[own].astype(np.int64) - 192 if width == 3 else np.zeros(len(own), np.int64)
+        for i in range(1, width):
+            value = value << 8 | raw[own + i]
+        out[size == width] = value
+    if len(out) != n:
+        raise ValueError("positions are broken")
+    return out
+
+
+def _blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each block: its documents' ids and lengths in words, the place of each word in the list of distinct
+    words, each distinct word's bucket, and for each bucket its words packed, in the order of their places."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         split, task, k = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(3).compress
         for batch, texts in chunks(batches, text_col, BLOCK):
             places: dict[str, int] = {}
             place = places.setdefault
-            runs = [np.fromiter((place(w, len(places)) for w in split(text)), np.uint32) for text in texts]
+            runs = [np.fromiter((place(w, len(places)) for w in split(text)), np.int64) for text in texts]
+            flat = np.concatenate(runs)
+            # Frequent words get small places.
+            order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = list(places)
+            words = [words[i].encode() for i in order.tolist()]
+            of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
+            packs = []
+            members = np.argsort(of, kind="stable")
+            for own in np.split(members, np.searchsorted(of[members], np.arange(1, buckets))):
+                packs.append(_pack([words[i] for i in own.tolist()]) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{task}-{k}"]),
                     pa.array([batch.column(id_col).to_pylist()], pa.list_(batch.column(id_col).type)),
                     pa.array([[len(r) for r in runs]], pa.list_(pa.int64())),
-                    pa.array([list(places)], pa.list_(pa.string())),
-                    pa.array([pack(np.concatenate(runs).tobytes())], pa.binary()),
+                    pa.array([_pack_positions(rank[flat])], pa.binary()),
+                    pa.array([zstandard.compress(of.tobytes())], pa.binary()),
+                    pa.array([packs], pa.list_(pa.binary())),
                 ],
-                names=["block", "docs", "sizes", "words", "positions"],
+                names=["block", "docs", "sizes", "positions", "buckets", "packs"],
             )
             k += 1
 
-    schema = f"block string, docs array<{kind}>, sizes array<bigint>, words array<string>, positions binary"
+    schema = f"block string, docs array<{kind}>, sizes array<bigint>, positions binary, buckets binary, packs array<binary>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``(word, ids)`` for a table of distinct pre-tokens, by merging bytes in the order of their ranks."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+def _asked(blocks: DataFrame) -> DataFrame:
+    """``(bucket, block, words)``: the packs of all blocks. Takes whole rows so that the exchange below is shared."""
 
     def run(batches):
+        for batch in batches:
+            for block, packs in zip(batch.column("block").to_pylist(), batch.column("packs").to_pylist()):
+                full = [(k, x) for k, x in enumerate(packs) if x]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in full], pa.int32()), pa.array([block] * len(full), pa.string()), pa.array([x for _, x in full], pa.binary())],
+                    names=["bucket", "block", "words"],
+                )
+
+    return blocks.mapInArrow(run, "bucket int, block string, words binary")
+
+
+def _coded(asked: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``(of, bucket, ids)`` for each pack of words: their ids packed. A bucket merges each distinct word once."""
+    shared = asked.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(table: pa.Table) -> pa.Table:
         import tiktoken
 
         merge = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
-        for batch in batches:
-            ids = [merge(w.encode()) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+        known: dict[bytes, bytes] = {}
+        packs = []
+        for pack in table.column("words").to_pylist():
+            out = []
+            for word in _unpack(pack):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = np.array(merge(word), np.uint32).tobytes()
+                out.append(ids)
+            lengths = np.fromiter(map(len, out), np.uint32, len(out)) // 4
+            ids = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T  # like bytes together
+            packs.append(zstandard.compress(np.uint32(len(out)).tobytes() + lengths.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + ids.tobytes(), 3))
+        return pa.table({"of": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(packs, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "of string, bucket int, ids binary")
+
+
+def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and ids of a pack."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    whole = lambda x: np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel()
+    return whole(raw[4 : 4 + 4 * n]).astype(np.int64), whole(raw[4 + 4 * n :]).astype(np.int32)
 
 
 def decode_ids(coded: DataFrame, key: str, table: DataFrame) -> DataFrame:
@@ -94,36 +192,37 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     have no ids and no bytes. Repeated rows give repeated results; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    table = token_table(spark, path)
-    ranks = {bytes(r["bytes"]): r["id"] for r in table.collect()}  # the vocabulary: bounded by its file
-    blocks = written(_blocks(docs, pattern, id_col, text_col))
-    asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    coded = written(decode_ids(encode_words(asked.select("word").distinct(), ranks), "word", table))
-    back = asked.join(coded, "word").select(F.col("block").alias("of"), "place", "ids", "decoded")
+    ranks = {bytes(r["bytes"]): r["id"] for r in token_table(spark, path).collect()}  # bounded by the vocabulary file
+    tokens = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange serves both sides: the words on their way out and the documents that wait for the ids.
+    blocks = _blocks(docs, pattern, n, id_col, text_col).repartition(n, "block")
+    back = _coded(_asked(blocks), ranks)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("place").combine_chunks()
-        words = right.column("decoded").to_pylist()
-        lists = right.column("ids").combine_chunks()
-        ids = lists.flatten().to_numpy() if len(right) else np.empty(0, np.int32)
-        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))) if len(right) else np.zeros(1, np.int64)
-        made = []
+        table, made = tokens.value, []
+        parts = [_unpack_ids(x) for x in right.sort_by("bucket").column("ids").to_pylist()]
+        lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        ids = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
+        starts = np.cumsum(lengths) - lengths
         for row in left.to_pylist():
-            if len(row["words"]) != len(words):
-                raise ValueError(f"block {row['block']}: {len(words)} of {len(row['words'])} words came back")
-            places = np.frombuffer(zstandard.decompress(row["positions"]), np.uint32)
+            of = np.frombuffer(zstandard.decompress(row["buckets"]), np.uint32)
+            if len(of) != len(lengths):
+                raise ValueError(f"block {row['block']}: {len(lengths)} of {len(of)} words came back")
+            came = np.empty(len(of), np.int64)  # for each place, where its word is in what came back
+            came[np.argsort(of, kind="stable")] = np.arange(len(of))
             sizes = np.array(row["sizes"], np.int64)
-            lengths = np.diff(ends)[places]
-            till = np.concatenate(([0], np.cumsum(lengths)))
-            index = np.repeat(ends[places] - till[:-1], lengths) + np.arange(till[-1])
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
-            decoded = [b"".join([words[i] for i in places[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
+            words = came[_unpack_positions(row["positions"], int(sizes.sum()))]
+            till = np.concatenate(([0], np.cumsum(lengths[words])))
+            flat = ids[np.repeat(starts[words] - till[:-1], lengths[words]) + np.arange(till[-1])]
+            bounds = till[np.concatenate(([0], np.cumsum(sizes)))]
+            decoded = [b"".join([table[i] for i in flat[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
             made.append(
                 pa.table(
                     {
                         id_col: pa.array(row["docs"], left.schema.field("docs").type.value_type),
-                        "ids": pa.ListArray.from_arrays(pa.array(till[bounds], pa.int32()), pa.array(ids[index], pa.int32())),
+                        "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())),
                         "decoded": pa.array(decoded, pa.binary()),
                     }
                 )
