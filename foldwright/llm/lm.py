@@ -21,58 +21,66 @@ from foldwright.llm.common import chunks, read
 from foldwright.runtime import broadcast_if_small, written
 
 #: Characters of text in one block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Characters of context; three fit in 63 bits at 21 bits each. Texts begin with this many of START.
 CONTEXT, START = 3, 2
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and character of every token of all texts, one after another, and the texts' lengths."""
+    """Of all texts, one after another: the place of each token's n-gram in the list of distinct ones, in the order of
+    their first tokens, and the contexts and characters of that list."""
     sizes = np.array([len(x) for x in texts], np.int64)
     codes = np.frombuffer("".join(chr(START) * CONTEXT + x for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    last = np.cumsum(sizes + CONTEXT)
-    at = np.ones(len(codes), bool)
+    mixed = np.zeros(len(codes), np.uint64)
     for i in range(CONTEXT):
-        at[last - sizes - 1 - i] = False
-    at = np.flatnonzero(at)
+        mixed[CONTEXT - i :] += codes[: len(codes) - CONTEXT + i]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed += codes
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    token = np.ones(len(codes), bool)
+    begins = np.cumsum(sizes + CONTEXT) - sizes - CONTEXT
+    for i in range(CONTEXT):
+        token[begins + i] = False
+    mixed = mixed[token]
+    places, known = pd.factorize(mixed ^ (mixed >> np.uint64(31)))
+    first = np.empty(len(known), np.int64)
+    backwards = np.arange(len(places) - 1, -1, -1)
+    first[places[backwards]] = backwards
+    at = np.flatnonzero(token)[first]
     context = np.zeros(len(at), np.int64)
     for i in range(CONTEXT, 0, -1):
         context = context << 21 | codes[at - i]
-    return context, codes[at].astype(np.int64), sizes
+    return places, context, codes[at].astype(np.int64)
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each block: its distinct n-grams with their counts in all and in target documents, its documents' ids and
-    lengths, and the place of each token's n-gram in the list."""
+    lengths, and their texts packed."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        task, k, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(1).compress
+        task, k = TaskContext.get().partitionId(), 0
         for batch, texts in chunks(batches, text_col, BLOCK):
-            context, char, sizes = _grams(texts)
-            mixed = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + char.view(np.uint64)
-            mixed ^= mixed >> np.uint64(31)
-            places, _ = pd.factorize(mixed)
-            n = int(places.max()) + 1 if len(places) else 0
-            first = np.empty(n, np.int64)
-            first[places[::-1]] = np.arange(len(places))[::-1]
+            sizes = [len(x) for x in texts]
+            places, context, char = _grams(texts)
             good = np.repeat(np.array([bool(x) for x in batch.column("target").to_pylist()], bool), sizes)
-            lists = (context[first], char[first], np.bincount(places, minlength=n), np.bincount(places[good], minlength=n))
+            counts = (np.bincount(x, minlength=len(char)) for x in (places, places[good]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{task}-{k}"]),
                     pa.array([batch.column(id_col).to_pylist()], pa.list_(batch.column(id_col).type)),
                     pa.array([sizes], pa.list_(pa.int64())),
-                    *(pa.array([x], pa.list_(pa.int64())) for x in lists),
-                    pa.array([pack(places.astype(np.uint32).tobytes())], pa.binary()),
+                    *(pa.array([x], pa.list_(pa.int64())) for x in (context, char, *counts)),
+                    pa.array([zstandard.compress("".join(texts).encode("utf-8", "surrogatepass"), 3)], pa.binary()),
                 ],
-                names=["block", "docs", "sizes", "context", "char", "n", "n_target", "places"],
+                names=["block", "docs", "sizes", "context", "char", "n", "n_target", "texts"],
             )
             k += 1
 
     schema = (
         f"block string, docs array<{kind}>, sizes array<bigint>, context array<bigint>, char array<bigint>, n array<bigint>, "
-        "n_target array<bigint>, places binary"
+        "n_target array<bigint>, texts binary"
     )
     return docs.select(id_col, text_col, "target").mapInArrow(run, schema)
 
@@ -120,10 +128,12 @@ def score(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: st
         right = right.sort_by("place")
         made = []
         for row in left.to_pylist():
-            places, sizes = np.frombuffer(zstandard.decompress(row["places"]), np.uint32), np.array(row["sizes"], np.int64)
-            if len(row["n"]) != len(right):
-                raise ValueError(f"block {row['block']}: {len(right)} of {len(row['n'])} n-grams came back")
-            ends, out = np.cumsum(sizes), []
+            text, sizes = zstandard.decompress(row["texts"]).decode("utf-8", "surrogatepass"), np.array(row["sizes"], np.int64)
+            ends = np.cumsum(sizes)
+            places, _, char = _grams([text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())])
+            if len(char) != len(right):
+                raise ValueError(f"block {row['block']}: {len(right)} of {len(char)} n-grams came back")
+            out = []
             for column in ("target", "background"):
                 run = np.concatenate(([0.0], np.cumsum(right.column(column).to_numpy()[places]))) if len(places) else np.zeros(1)
                 out.append((run[ends] - run[ends - sizes]) / np.maximum(sizes, 1))
@@ -136,7 +146,8 @@ def score(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.concat_tables(made)
 
     schema = f"`{id_col}` {kind}, n_tokens bigint, loss_target double, loss_background double, difference double"
-    return blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(add_up, schema)
+    waiting = blocks.select("block", "docs", "sizes", "texts")
+    return waiting.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(add_up, schema)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
