@@ -57,8 +57,10 @@ def overlaps(
     (a hash of the text) telling them apart; repeated rows are reported once; other columns are ignored.
     """
     items = benchmark.select(F.col(item_col), tokens(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN)
-    items = written(items.dropDuplicates())
-    index = _listed(items, [item_col]).select("seed", F.col(item_col).alias("item"), F.col("at").alias("item_at"), F.size("words").alias("item_size"))
+    # Items are told apart by their id and words: ids may be null or repeated.
+    items = written(items.dropDuplicates().withColumn("item_key", F.xxhash64(item_col, "words")))
+    index = _listed(items, [item_col, "item_key"])
+    index = index.select("seed", F.col(item_col).alias("item"), "item_key", F.col("at").alias("item_at"), F.size("words").alias("item_size"))
     rows = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), tokens(F.col(text_col)).alias("words"))
     known = broadcast_if_small(written(index.distinct()), BROADCAST_SEEDS)
     # Here each hit becomes the stretch of the text that would lie under the item: from "first", missing words null.
@@ -66,10 +68,10 @@ def overlaps(
     first = F.col("at") - F.col("item_at")
     low = F.greatest(first, F.lit(0))
     piece = F.slice("words", low + 1, F.greatest(F.col("item_size") - (low - first), F.lit(0)))
-    hits = hits.select(id_col, "text_key", "item", first.alias("first"), (low - first).alias("skipped"), piece.alias("piece"))
-    hits = hits.dropDuplicates([id_col, "text_key", "item", "first"])
-    under = items.select(F.col(item_col).alias("item"), F.col("words").alias("item_words"))
-    laid = hits.join(broadcast_if_small(under, BROADCAST_SEEDS // 50), "item")
+    hits = hits.select(id_col, "text_key", "item", "item_key", first.alias("first"), (low - first).alias("skipped"), piece.alias("piece"))
+    hits = hits.dropDuplicates([id_col, "text_key", "item_key", "first"])
+    under = items.select("item_key", F.col("words").alias("item_words"))
+    laid = hits.join(broadcast_if_small(under, BROADCAST_SEEDS // 50), "item_key")
     same = F.transform("item_words", lambda w, i: F.when(F.get("piece", i - F.col("skipped")) == w, 1).otherwise(0))
     laid = laid.select(id_col, "text_key", "item", same.alias("same")).withColumn("n", F.least(F.size("same"), F.lit(WINDOW)))
     best = F.array_max(

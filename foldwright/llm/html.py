@@ -126,13 +126,19 @@ LABELLED = (
     (3, 0.0, 40, 0.0, 14, 0.0, 1, 0, 0, 1), (120, 0.05, 4, 0.0, 9, 0.5, 1, 0, 0, 1), (5, 0.0, 6, 1.0, 33, 0.0, 1, 0, 0, 1),
     (14, 0.3, 22, 0.0, 18, 0.1, 1, 0, 0, 1), (6, 0.0, 7, 0.0, 8, 0.0, 1, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 1),
     (4, 1.0, 60, 0.0, 55, 0.0, 1, 0, 0, 1), (9, 0.6, 35, 0.0, 40, 0.0, 1, 0, 0, 1),
+    (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0, 1), (2, 0.0, 3, 1.0, 12, 0.0, 1, 0, 0, 1), (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (8, 0.0, 1, 1.0, 20, 0.0, 1, 0, 0, 1), (10, 0.0, 4, 0.0, 2, 1.0, 1, 0, 0, 1), (6, 0.0, 0, 0.0, 9, 0.0, 1, 0, 0, 1),
+    (9, 0.0, 3, 0.0, 1, 1.0, 1, 0, 0, 1), (20, 0.0, 4, 0.0, 5, 1.0, 1, 0, 0, 1), (12, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 1),
+    (3, 0.0, 50, 0.0, 2, 1.0, 1, 0, 0, 1), (25, 0.0, 40, 0.0, 4, 1.0, 1, 0, 0, 1), (7, 0.0, 2, 1.0, 1, 0.0, 1, 0, 0, 1),
+    (5, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 35, 0.0, 1, 0, 0, 1), (8, 0.0, 4, 1.0, 5, 0.0, 1, 0, 0, 1),
     # paragraphs of pages that mark no article
     (70, 0.0, 9, 0.0, 55, 0.0, 0, 0, 0, 1), (40, 0.0, 70, 0.0, 35, 0.05, 0, 0, 0, 1), (28, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
     (18, 0.0, 33, 0.0, 25, 0.0, 0, 0, 0, 1), (35, 0.0, 3, 1.0, 22, 0.0, 0, 0, 0, 1), (6, 0.0, 45, 0.0, 38, 0.0, 0, 0, 0, 1),
     (3, 0.0, 26, 0.0, 41, 0.0, 0, 0, 0, 1), (9, 0.0, 31, 0.0, 24, 0.0, 0, 0, 0, 1), (90, 0.1, 2, 0.0, 3, 0.0, 0, 0, 0, 1),
     (40, 0.0, 55, 0.0, 4, 0.0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (14, 0.0, 20, 0.0, 9, 0.0, 0, 0, 0, 1),
     (21, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 1), (33, 0.05, 70, 0.0, 2, 1.0, 0, 0, 0, 1), (12, 0.0, 44, 0.0, 3, 0.0, 0, 0, 0, 1),
-    (11, 0.0, 9, 0.0, 5, 0.0, 1, 0, 0, 1), (30, 0.0, 40, 0.0, 3, 0.0, 1, 0, 0, 1), (50, 0.0, 24, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (13, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (15, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 1),
+    (17, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 1), (19, 0.1, 0, 0.0, 14, 0.0, 0, 0, 0, 1), (11, 0.0, 9, 0.0, 5, 0.0, 1, 0, 0, 1), (30, 0.0, 40, 0.0, 3, 0.0, 1, 0, 0, 1), (50, 0.0, 24, 0.0, 0, 0.0, 1, 0, 0, 1),
     # menus, heads, feet and lists of links
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0),
     (14, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0, 0), (40, 0.1, 30, 0.0, 0, 0.0, 0, 1, 0, 0), (9, 0.2, 60, 0.0, 3, 0.0, 0, 1, 0, 0),
