@@ -1,0 +1,151 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from foldwright.functions.text import jaccard_of, normalized, shingles
+from foldwright.operators import audit, groups, labels, pairs
+from foldwright.operators.components import connected_components
+
+SPAM = [
+    "WINNER!! You have been selected to receive a prize of 900 pounds, call now to claim it today",
+    "Winner! You have been selected to receive a prize of 900 pounds, call now to claim it today.",
+    "Are we still meeting for lunch tomorrow at noon near the old library by the river",
+    "winner you have been selected to receive a prize of 950 pounds call now to claim it today",
+    "The delivery of your parcel has been moved to Friday between nine and eleven",
+    "!!!",
+    "",
+]
+
+
+def table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+
+
+def ids(df, column="group_id", key="id"):
+    return [r[column] for r in df.orderBy(key).collect()]
+
+
+def test_components(spark):
+    draw = random.Random(1)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3)] + [(1000 + i, 1001 + i) for i in range(200)]
+    label = {x: x for e in edges if None not in e for x in e}
+    for _ in range(len(label)):
+        new = dict(label)
+        for a, b in edges:
+            if a is not None:
+                new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    got = connected_components(spark.createDataFrame(edges, "left bigint, right bigint"))
+    assert {r["node"]: r["component"] for r in got.collect()} == label
+    assert connected_components(spark.createDataFrame([], "left bigint, right bigint")).count() == 0
+
+
+def test_groups_of_variants(spark):
+    assert ids(groups.near_duplicate_groups(table(spark, SPAM), "id", threshold=0.7)) == [0, 0, 1, 0, 2, 3, 3]
+
+
+def test_threshold_one_groups_equal_texts_only(spark):
+    df = table(spark, ["Same text!", "same TEXT", "same text or nearly"])
+    assert ids(groups.near_duplicate_groups(df, "id", threshold=1)) == [0, 0, 1]
+
+
+def test_unrelated_texts_stay_apart(spark):
+    draw = random.Random(0)
+    df = table(spark, [" ".join(f"word{draw.randrange(500)}" for _ in range(12)) for _ in range(300)])
+    assert ids(groups.near_duplicate_groups(df, "id")) == list(range(300))
+
+
+def test_empty_input_and_wrong_arguments(spark):
+    assert groups.near_duplicate_groups(table(spark, []), "id").count() == 0
+    with pytest.raises(ValueError):
+        groups.near_duplicate_groups(table(spark, SPAM), "id", threshold=0)
+    with pytest.raises(ValueError):
+        groups.merge_groups(table(spark, SPAM), "id", None)
+
+
+def edited(seed, n):
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(1000)}" for _ in range(60)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(draw.randrange(6)):
+            words[draw.randrange(60)] = f"x{draw.randrange(1000)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_pairs_equal_brute_force(spark):
+    texts = [x for s in range(6) for x in edited(s, 12)]
+    sets = [shingles(normalized(x)) for x in texts]
+    want = {(i, j): jaccard_of(sets[i], sets[j]) for i in range(len(texts)) for j in range(i + 1, len(texts)) if normalized(texts[i]) != normalized(texts[j])}
+    firsts = {x: i for i, x in reversed(list(enumerate(texts)))}
+    want = {(i, j): s for (i, j), s in want.items() if s >= 0.8 and firsts[texts[i]] == i and firsts[texts[j]] == j}
+    exact = {(r["left"], r["right"]): r["similarity"] for r in pairs.exact_pairs(table(spark, texts), "id").collect()}
+    assert exact == want
+    lsh = {(r["left"], r["right"]): r["similarity"] for r in pairs.lsh_pairs(table(spark, texts), "id").collect()}
+    assert set(lsh) <= set(want) and len(lsh) >= 0.98 * len(want)
+    # Groups connect what the pairs connect, though pairs inside a part are not listed.
+    parts = connected_components(spark.createDataFrame(list(lsh), "left bigint, right bigint"))
+    label = {r["node"]: r["component"] for r in parts.collect()}
+    root = [label.get(firsts[x], firsts[x]) for x in texts]
+    order = {r: k for k, r in enumerate(dict.fromkeys(root))}
+    assert ids(groups.near_duplicate_groups(table(spark, texts), "id")) == [order[r] for r in root]
+
+
+def test_merge_groups_ignores_missing(spark):
+    rows = [(0, 1, "a", 1.5), (1, 2, None, float("nan")), (2, 3, "a", None), (3, 4, None, float("nan"))]
+    df = spark.createDataFrame(rows, "id bigint, g1 int, g2 string, g3 double")
+    assert ids(groups.merge_groups(df, "id", "g1", "g2", "g3")) == [0, 1, 0, 2]
+    assert ids(groups.merge_groups(df, "id", None, "g1")) == [0, 1, 2, 3]
+
+
+def test_cross_duplicates(spark):
+    train = table(spark, ["Hello there, world", "a quick brown fox jumps over the dog", "another text"])
+    test = table(spark, ["hello THERE world!", "a quick brown fox leaps over the dog", "nothing alike here"])
+    got = {r["test_id"]: (r["train_id"], r["similarity"]) for r in pairs.find_cross_duplicates(train, test, "id", threshold=0.4).collect()}
+    want = jaccard_of(shingles("a quick brown fox jumps over the dog"), shingles("a quick brown fox leaps over the dog"))
+    assert got == {0: (0, 1.0), 1: (1, want)}
+    same = {r["test_id"]: r["train_id"] for r in pairs.find_cross_duplicates(train, test, "id", threshold=0.4, exact=True).collect()}
+    assert same == {0: 0, 1: 1}
+    assert pairs.find_cross_duplicates(train.limit(0), test, "id").count() == 0
+
+
+def test_report(spark):
+    train, test = table(spark, SPAM[:3]), table(spark, SPAM[1:2] + SPAM[4:5])
+    found = audit.leakage_report(train, test, "id")
+    assert (found.n_train, found.n_test, found.leaked, found.exact, found.fraction) == (3, 2, 1, 1, 0.5)
+    assert found.to_dict()["pairs"] == [{"train": 0, "test": 0, "similarity": 1.0}]
+    empty = audit.leakage_report(train, test.limit(0), "id")
+    assert (empty.leaked, empty.fraction) == (0, 0.0)
+    text = audit.to_json(audit.report(found.pairs, test, train, 0.8), found.pairs).first()["report"]
+    assert '"leaked":1' in text and '"similarity":1.0' in text
+
+
+def test_split_values(spark):
+    df = spark.createDataFrame([(1, "a", "train"), (2, "b", None), (3, "c", "dev")], "id bigint, text string, split string")
+    train, test = audit.sides(df, "split", "train, dev", "None")
+    assert train.count() == 2 and test.count() == 1
+    with pytest.raises(ValueError, match="None, dev, train"):
+        audit.sides(df, "split", "train", "test")
+
+
+def test_labels(spark):
+    df = spark.createDataFrame(
+        [("x", ["a", None, "a"], 1, 0, float("nan")), ("", None, None, 2, 1.0), (None, [], 0, 0, None)],
+        "one string, many array<string>, f1 int, f2 int, num double",
+    )
+    assert [r["v"] for r in df.select(labels.label_sets(df, "one").alias("v")).collect()] == [["x"], [], []]
+    assert [r["v"] for r in df.select(labels.label_sets(df, "many").alias("v")).collect()] == [["a", "a"], [], []]
+    assert [r["v"] for r in df.select(labels.label_sets(df, "f1", "f2", indicator=True).alias("v")).collect()] == [["f1"], ["f2"], []]
+    assert [r["v"] for r in df.select(labels.label_sets(df, "num").alias("v")).collect()] == [[], ["1.0"], []]
+    assert [r["v"] for r in df.select(labels.group_key(df, "one").alias("v")).collect()] == ["x", None, None]
+    assert [r["v"] for r in df.select(labels.group_key(df, "num").alias("v")).collect()] == [None, "1.0", None]
+    with pytest.raises(ValueError):
+        labels.label_sets(df, "one", "many")
+    rows = df.select(F.lit(1).alias("group_id"), labels.label_sets(df, "many").alias("labels"))
+    assert [tuple(r) for r in labels.group_label_counts(rows).collect()] == [(1, "a", 1)]
+    assert [tuple(r) for r in labels.group_rarity(rows).collect()] == [(1, 1.0)]
