@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from foldwright.functions.text import check_threshold
 from foldwright.operators.components import connected_components
-from foldwright.operators.pairs import linked, unique_sketches
+from foldwright.operators.pairs import linked_parts, unique_sketches
 from foldwright.runtime import checkpoint
 
 
@@ -44,9 +44,9 @@ def near_duplicate_groups(
     rows, uniques = unique_sketches(df, id_col, text_col, threshold, ngram, num_perm, seed)
     if threshold == 1:
         return renumbered(rows, id_col, "uid")
-    parts = connected_components(checkpoint(linked(df, uniques, id_col, text_col, ngram, threshold)))
+    parts = linked_parts(df, uniques, id_col, text_col, ngram, threshold)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = rows.join(checkpoint(parts).repartition(n), rows["uid"] == parts["node"], "left")
+    joined = rows.join(parts.repartition(n), F.col("uid") == F.col("node"), "left")
     return renumbered(joined.select(id_col, F.coalesce("component", "uid").alias("_part")), id_col, "_part")
 
 

@@ -58,7 +58,7 @@ def _listed(uniques: DataFrame) -> DataFrame:
 def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5, num_perm: int = 128, seed: int = 0) -> DataFrame:
     """``(left, right, similarity)`` of all pairs of distinct normalized texts that share a band and reach the threshold.
 
-    The result is as long as its pairs are many; ``linked`` gives groups without listing the pairs inside them.
+    The result is as long as its pairs are many; ``linked_parts`` gives groups without listing the pairs inside them.
     """
     threshold = check_threshold(threshold)
     _, uniques = unique_sketches(df, id_col, text_col, threshold, ngram, num_perm, seed)
@@ -68,25 +68,28 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: flo
     return verified(pairs, df, df, id_col, text_col, ngram, threshold)
 
 
-def linked(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
-    """``(left, right)`` links that connect distinct texts as all their similar band pairs would.
+def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
+    """``(node, component)`` of the distinct texts that are linked to others, as all similar band pairs would link them.
 
     First every text of a bucket is compared with the bucket's least; then, in buckets that this has left in several
     parts, the texts of different parts with each other. Pairs inside one part are never listed.
     """
-    listed = checkpoint(_listed(uniques))
+    listed = _listed(uniques)
     hubs = listed.groupBy("band", "key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
-    listed = checkpoint(listed.join(hubs, ["band", "key"]))
-    stars = listed.where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct()
+    shared = checkpoint(listed.join(hubs, ["band", "key"]))
+    stars = checkpoint(shared.where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct())
     first = checkpoint(verified(stars, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
-    parts = connected_components(first)
-    placed = listed.join(parts, listed["uid"] == parts["node"], "left").select("band", "key", "uid", F.coalesce("component", "uid").alias("part"))
+    parts = checkpoint(connected_components(first))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = shared.join(parts.repartition(n), F.col("uid") == F.col("node"), "left")
+    placed = placed.select("band", "key", "uid", F.coalesce("component", "uid").alias("part"))
     mixed = placed.groupBy("band", "key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("band", "key")
-    placed = checkpoint(placed.join(mixed, ["band", "key"]))
+    placed = checkpoint(placed.join(mixed.repartition(n), ["band", "key"]))
     other = placed.select("band", "key", F.col("uid").alias("other"), F.col("part").alias("other_part"))
     rest = placed.join(other, ["band", "key"]).where("uid < other and part <> other_part")
     rest = rest.select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct().join(stars, ["left", "right"], "left_anti")
-    return first.unionByName(verified(rest, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
+    more = checkpoint(verified(rest, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
+    return parts if more.isEmpty() else checkpoint(connected_components(first.unionByName(more)))
 
 
 def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5) -> DataFrame:
@@ -163,4 +166,4 @@ def _prefix_cross(train, test, left, right, id_col, text_col, ngram, threshold)
     return a.join(b.select(F.col("uid").alias("other"), "h"), "h").select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct()
 
 
-__all__ = ["exact_pairs", "find_cross_duplicates", "linked", "lsh_pairs", "unique_sketches", "verified"]
+__all__ = ["exact_pairs", "find_cross_duplicates", "linked_parts", "lsh_pairs", "unique_sketches", "verified"]
