@@ -135,8 +135,10 @@ def score(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: st
                 raise ValueError(f"block {row['block']}: {len(right)} of {len(char)} n-grams came back")
             out = []
             for column in ("target", "background"):
-                run = np.concatenate(([0.0], np.cumsum(right.column(column).to_numpy()[places]))) if len(places) else np.zeros(1)
-                out.append((run[ends] - run[ends - sizes]) / np.maximum(sizes, 1))
+                sums, full = np.zeros(len(sizes)), sizes > 0
+                if len(places):
+                    sums[full] = np.add.reduceat(right.column(column).to_numpy()[places], (ends - sizes)[full])
+                out.append(sums / np.maximum(sizes, 1))
             ids = pa.array(row["docs"], left.schema.field("docs").type.value_type)
             made.append(
                 pa.table(
@@ -151,6 +153,7 @@ def score(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target documents are those that ``labels`` calls good and not toxic."""
+    """Target documents are those that ``labels`` calls good and not toxic. Losses are given to nine places."""
     good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return score(read(spark, sf_dir, "documents"), good)
+    scored = score(read(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("loss_target", "loss_background", "difference")))

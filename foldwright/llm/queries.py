@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwright.llm import bpe, decontaminate, html, licenses, lm, media, pii, quality, secrets, simhash
+from foldwright.llm import bpe, decontaminate, html, licenses, lm, media, oracle, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_pii_patterns": pii.op1_pii_patterns,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
