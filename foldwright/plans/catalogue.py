@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.functions.text import normalize_native, normalize_text, shingle_sets
-from foldwright.operators import assign, audit, folds, groups, labels, pairs, summary
+from foldwright.operators import assign, audit, evaluate, folds, groups, labels, pairs, summary
 from foldwright.runtime import checkpoint
 
 THRESHOLD, NGRAM = 0.8, 5
@@ -46,11 +46,11 @@ GRAMS = (
 )
 SIMILAR = (
     "shared AS (SELECT a.uid AS l, b.uid AS r, count(*) AS s FROM pieces a JOIN pieces b ON a.h = b.h AND a.uid < b.uid GROUP BY ALL), "
-    "pairs AS (SELECT l, r, s AS n_shared, x.n + y.n - s AS n_union, s / (x.n + y.n - s) AS similarity FROM shared JOIN sizes x ON x.uid = l "
+    "pairs AS MATERIALIZED (SELECT l, r, s AS n_shared, x.n + y.n - s AS n_union, s / (x.n + y.n - s) AS similarity FROM shared JOIN sizes x ON x.uid = l "
     f"JOIN sizes y ON y.uid = r WHERE s / (x.n + y.n - s) >= {THRESHOLD})"
 )
 GROUPS = (
-    "reach AS (SELECT uid AS a, uid AS b FROM uniq UNION SELECT a, CASE WHEN p.l = b THEN p.r ELSE p.l END FROM reach JOIN pairs p ON p.l = b OR p.r = b), "
+    "ends AS MATERIALIZED (SELECT l AS x, r AS y FROM pairs UNION ALL SELECT r, l FROM pairs), reach AS (SELECT uid AS a, uid AS b FROM uniq UNION SELECT a, y FROM reach JOIN ends ON x = b), "
     "roots AS (SELECT a AS uid, min(b) AS root FROM reach GROUP BY a), "
     "placed AS (SELECT doc_id, root FROM rows_ JOIN uniq USING (k) JOIN roots USING (uid)), "
     "grouped AS (SELECT doc_id, dense_rank() OVER (ORDER BY f) - 1 AS group_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS f FROM placed))"
@@ -319,6 +319,20 @@ def random_split_leakage(spark, sf_dir):
     return audit.report(found, test, train, THRESHOLD)
 
 
+def _seed_sql(seed: int) -> str:
+    cut = RANDOM.replace("'0:'", f"'{seed}:'")
+    return f"SELECT n_test, exact, fraction FROM (WITH {cut}, {cross_sql('SELECT id, text FROM cut WHERE t', 'SELECT id, text FROM cut WHERE NOT t', THRESHOLD)} {REPORT.format(t=THRESHOLD)})"
+
+
+@query(
+    f"WITH s AS ({_seed_sql(1)} UNION ALL {_seed_sql(2)}) SELECT round(avg(fraction), 9) AS mean, min(fraction) AS least, max(fraction) AS most, "
+    "round(avg(exact / n_test), 9) AS mean_exact FROM s"
+)
+def random_leakage_range(spark, sf_dir):
+    found = evaluate.leakage_range(evaluate.random_leakage(table(spark, sf_dir, "documents"), "doc_id", seeds=(1, 2)))
+    return found.select(F.round("mean", 9).alias("mean"), "least", "most", F.round("mean_exact", 9).alias("mean_exact"))
+
+
 @query("SELECT count(DISTINCT trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS n_distinct FROM documents")
 def distinct_texts(spark, sf_dir):
     flat = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
