@@ -155,18 +155,27 @@ def normalize_text(df: DataFrame, text_col: str = "text", out: str = "normalized
     return df.withColumn(out, run(F.col(text_col)))
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str = "text", ngram: int = 5) -> DataFrame:
-    """``(id_col, shingles)``: each row's distinct n-gram hashes of its normalized text."""
+def _digest(key: str) -> bytes:
+    return hashlib.md5(key.encode("utf-8", "surrogatepass")).digest()
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str = "text", ngram: int = 5, *, digest: bool = False) -> DataFrame:
+    """``(id_col, shingles)``: each row's distinct n-gram hashes of its normalized text; with ``digest`` also ``key``, the
+    digest of that text."""
     if ngram < 1:
         raise ValueError("ngram must be at least 1")
     kind = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "shingles", "key"][: 3 if digest else 2]
 
     def run(batches):
         for part, keys in _parts(batches, text_col):
             sets = [shingles(k, ngram).view(np.int64) for k in keys]
-            yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(sets, pa.list_(pa.int64()))], names=[id_col, "shingles"])
+            columns = [part.column(id_col), pa.array(sets, pa.list_(pa.int64()))]
+            if digest:
+                columns.append(pa.array([_digest(k) for k in keys], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, shingles array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, shingles array<bigint>" + (", key binary" if digest else ""))
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int, num_perm: int, seed: int) -> DataFrame:
@@ -183,7 +192,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int,
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(id_col),
-                    pa.array([hashlib.md5(k.encode("utf-8", "surrogatepass")).digest() for k in keys], pa.binary()),
+                    pa.array([_digest(k) for k in keys], pa.binary()),
                     pa.array([f if len(s) else [] for f, s in zip(found, sets)], pa.list_(pa.int64())),
                 ],
                 names=[id_col, "key", "bands"],

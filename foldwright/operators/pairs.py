@@ -97,9 +97,10 @@ def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: f
     missed: similar sets share one of their rarest n-grams, as many as they may lack plus one, so only those are joined.
     """
     threshold = check_threshold(threshold)
-    sets = shingle_sets(df, id_col, text_col, ngram).where("size(shingles) > 0")
-    firsts = sets.groupBy(F.xxhash64("shingles").alias("h"), F.size("shingles").alias("n")).agg(F.min(id_col).alias("uid"))
-    sets = written(sets.withColumnRenamed(id_col, "uid").join(firsts.select("uid"), "uid", "left_semi").dropDuplicates(["uid"]))
+    # Texts are told apart by digest, not by set: texts of one line repeated have the same set and are a pair.
+    sets = shingle_sets(df, id_col, text_col, ngram, digest=True).where("size(shingles) > 0").withColumnRenamed(id_col, "uid")
+    firsts = sets.groupBy("key").agg(F.min("uid").alias("uid"))
+    sets = written(sets.join(firsts, ["key", "uid"], "left_semi").select("uid", "shingles").dropDuplicates(["uid"]))
     each = sets.select("uid", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # What only one text has joins nothing but fills its prefix first.

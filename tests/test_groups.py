@@ -96,6 +96,16 @@ def test_pairs_equal_brute_force(spark):
     assert ids(groups.near_duplicate_groups(table(spark, texts), "id")) == [order[r] for r in root]
 
 
+def test_exact_pairs_of_different_texts_with_the_same_set(spark):
+    line = "all work and no play makes a dull text "
+    texts = [line * 10, line * 12, line.upper() * 12, line * 10 + "the end", "a" * 6, "a" * 9, "a" * 9, "", "!"]
+    sets = [shingles(normalized(x)) for x in texts]
+    firsts = [i for i, x in enumerate(texts) if normalized(x) and normalized(x) not in {normalized(y) for y in texts[:i]}]
+    want = {(i, j): s for i in firsts for j in firsts if i < j and (s := jaccard_of(sets[i], sets[j])) >= 0.8}
+    assert want[0, 1] == want[4, 5] == 1.0 and {(0, 3), (1, 3)} <= set(want)
+    assert {(r["left"], r["right"]): r["similarity"] for r in pairs.exact_pairs(table(spark, texts), "id").collect()} == want
+
+
 def test_merge_groups_ignores_missing(spark):
     rows = [(0, 1, "a", 1.5), (1, 2, None, float("nan")), (2, 3, "a", None), (3, 4, None, float("nan"))]
     df = spark.createDataFrame(rows, "id bigint, g1 int, g2 string, g3 double")
