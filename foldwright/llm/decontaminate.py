@@ -1,25 +1,33 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask lays over SPAN tokens and looks at some of them only, so a changed token under a hole of the mask changes nothing.
-The hashes under each mask at every position of every text are joined with those of the benchmark; around each hit the
-text and the item are laid over each other word by word and the best run of WINDOW words decides. DataFrame functions
-only.
+A seed lays over some tokens and looks at part of them only, so a changed token under a hole of the seed changes nothing.
+The hashes under each seed at every position of every text are joined with those of the benchmark; around each hit the
+text and the item are laid over each other word by word and the best run of WINDOW words decides. Wherever the changes
+lie that the decision admits, some seed misses them all, so no overlap goes without a hit. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import read
 from foldwright.runtime import broadcast_if_small, written
 
-#: The masks, 1 for a token that counts. The first two fit between changes at any even distance from five
-#: words on, the third between irregular ones.
+#: Fixed values of the SQL equivalent: its masks, 1 for a token that counts. They miss some placements of two changes.
 MASKS = ("111101111000", "111110011100", "110100110111")
 SPAN = len(MASKS[0])
 #: Words of the stretch that decides, and the share of them that must agree in place.
 WINDOW, SHARE = 13, 0.8
+#: The seeds by the length of the stretch, WINDOW or a shorter item's length. Wherever in it as many words
+#: are changed as SHARE admits, one of its seeds fits between them.
+SEEDS = {
+    13: ("11110111", "1110010111", "1100101001011"), 12: ("1111",), 11: ("11101",), 10: ("111",), 9: ("111011",), 8: ("1111",),
+    7: ("11011",), 6: ("111",), 5: ("11",), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",),
+}
 #: Benchmark hashes that may be broadcast: 24 bytes each.
 BROADCAST_SEEDS = 500_000
 
@@ -30,20 +38,16 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(flat, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, words: str, at: str) -> Column:
-    """``array<struct<mask, seed>>`` at position ``at`` (from 0) of the token hashes ``words``."""
-    out = []
-    for k, mask in enumerate(MASKS):
-        seen = [F.get(words, F.col(at) + i) for i, bit in enumerate(mask) if bit == "1"]
-        out.append(F.xxhash64(F.lit(k), *seen))
-    return F.array(*out)
-
-
-def _listed(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position with room for a mask, and each mask."""
-    room = rows.where(F.size("words") >= SPAN)
-    each = room.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)).alias("at"))
-    return each.select(*keep, "words", "at", F.explode(seeds(each, "words", "at")).alias("seed"))
+def _listed(rows: DataFrame, keep: list[str], seeds: Sequence[str]) -> DataFrame:
+    """A row for each seed and each position (from 0) of the token hashes ``words`` with room for it."""
+    least = min(map(len, seeds))
+    room = rows.where(F.size("words") >= least)
+    each = room.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
+    found = []
+    for seed in seeds:
+        seen = [F.get("words", F.col("at") + i) for i, bit in enumerate(seed) if bit == "1"]
+        found.append(F.when(F.col("at") + len(seed) <= F.size("words"), F.xxhash64(F.lit(int(seed, 2)), *seen)))
+    return each.select(*keep, "words", "at", F.explode(F.array(*found)).alias("seed")).where("seed is not null")
 
 
 def overlaps(
@@ -52,19 +56,21 @@ def overlaps(
     """``(id_col, text_key, item_col, words, matched, similarity)``: each document and item that overlap, best place.
 
     ``words`` is the length of the stretch compared (WINDOW, or the item's length if shorter), ``matched`` how many of
-    its words agree in place, ``similarity`` their share, at least SHARE. Items with fewer words than a mask are found
-    nowhere. Null and empty texts overlap nothing; rows with a null id are compared and reported with it, ``text_key``
+    its words agree in place, ``similarity`` their share, at least SHARE; words beyond an end of the text don't agree.
+    Short items count as well, those under five words only verbatim. Null and empty texts overlap nothing; rows with a null id are compared and reported with it, ``text_key``
     (a hash of the text) telling them apart; repeated rows are reported once; other columns are ignored.
     """
-    items = benchmark.select(F.col(item_col), tokens(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN)
+    items = benchmark.select(F.col(item_col), tokens(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     # Items are told apart by their id and words: ids may be null or repeated.
     items = written(items.dropDuplicates().withColumn("item_key", F.xxhash64(item_col, "words")))
-    index = _listed(items, [item_col, "item_key"])
+    stretch = F.least(F.size("words"), F.lit(WINDOW))
+    lengths = sorted(r[0] for r in items.select(stretch).distinct().collect()) or [WINDOW]  # at most WINDOW values
+    index = reduce(DataFrame.unionByName, (_listed(items.where(stretch == n), [item_col, "item_key"], SEEDS[n]) for n in lengths))
     index = index.select("seed", F.col(item_col).alias("item"), "item_key", F.col("at").alias("item_at"), F.size("words").alias("item_size"))
     rows = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), tokens(F.col(text_col)).alias("words"))
     known = broadcast_if_small(written(index.distinct()), BROADCAST_SEEDS)
     # Here each hit becomes the stretch of the text that would lie under the item: from "first", missing words null.
-    hits = _listed(rows, [id_col, "text_key"]).join(known, "seed")
+    hits = _listed(rows, [id_col, "text_key"], sorted({x for n in lengths for x in SEEDS[n]})).join(known, "seed")
     first = F.col("at") - F.col("item_at")
     low = F.greatest(first, F.lit(0))
     piece = F.slice("words", low + 1, F.greatest(F.col("item_size") - (low - first), F.lit(0)))

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -53,6 +54,39 @@ def test_equals_brute_force(spark):
     assert not caught & set(range(20)) and 106 not in caught and 201 not in caught
 
 
+def test_some_seed_misses_all_admitted_changes():
+    for n in range(1, d.WINDOW + 1):
+        changes = n - next(k for k in range(n + 1) if k / n >= d.SHARE)
+        laid = [{at + i for i, bit in enumerate(s) if bit == "1"} for s in d.SEEDS[n] for at in range(n - len(s) + 1)]
+        assert all(any(not x & set(c) for x in laid) for c in itertools.combinations(range(n), changes))
+
+
+def test_finds_what_the_rule_finds_without_masks(spark):
+    """Items of 1 to 16 words, copied, changed in every pair of places, and cut by an end of the text."""
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(1, 17)] + [(17, None), (18, "...")]
+    docs = []
+    for n, item in items[:16]:
+        v = item.split()
+        for a, b in itertools.combinations_with_replacement(range(n), 2):
+            docs.append(f"{prose(n, 5)} {' '.join('new' if j in (a, b) else w for j, w in enumerate(v))} {prose(a, 4)}")
+        docs += [item, " ".join(v[1:]), " ".join(v[:-2]), f"before {' '.join(v[:-1])}", " ".join(v[:9]), f"{prose(1, 20)} {' '.join(v[:11])}"]
+    docs = list(enumerate(docs))
+    want = {}
+    for i, text in docs:
+        w = words(text)
+        for k, item in items:
+            v = words(item)
+            n = min(len(v), 13)
+            for first in range(-len(v) + 1, len(w)) if v else []:
+                same = [0 <= first + j < len(w) and w[first + j] == v[j] for j in range(len(v))]
+                best = max(sum(same[j : j + n]) for j in range(len(v) - n + 1))
+                if best / n >= 0.8 and best > want.get((i, k), (0, 0))[1]:
+                    want[i, k] = (n, best)
+    got = d.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["words"], r["matched"]) for r in got.collect()} == want
+    assert {k for _, k in want} == set(range(1, 17)) and sum(k == 13 and n[1] == 11 for (_, k), n in want.items()) >= 78
+
+
 def test_large_tables_take_the_same_way_without_a_broadcast(spark, monkeypatch):
     docs, items = planted()
     monkeypatch.setattr(d, "BROADCAST_SEEDS", 0)
