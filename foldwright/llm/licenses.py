@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -131,19 +132,26 @@ def prepared() -> list[tuple[str, int, list[str], dict[str, int]]]:
     return out
 
 
+def _least(template: list[str], share: float) -> int:
+    """How many of a template's words ``share`` asks for."""
+    return ceil(share * len(template) - 1e-9)
+
+
 def _stretches(items: list[str], places: dict[str, list[int]], template: list[str], share: float) -> list[tuple[int, int]]:
     """Where in a document a template may lie: around the places of its rarest word there, as far as it is long.
 
-    A template covered to ``share`` holds at least one of any of its words that make up more than the rest; so the
+    Each place gives a stretch of the template's length, in which a copy among others stands alone, and one with room for
+    added words. A template covered to ``share`` holds at least one of any of its words that make up more than the rest; so the
     rarest words up to that number are tried, each place of theirs once.
     """
-    missing = int(len(template) * (1 - share))
+    missing = len(template) - _least(template, share)
     rare = sorted(set(template), key=lambda w: (len(places.get(w, ())), w))
     held, out = 0, set()
     slack = len(template) // 4 + 2
     for w in rare:
         for p in (p for p, x in enumerate(template) if x == w):
-            out |= {(max(0, i - p - slack), min(len(items), i - p + len(template) + slack)) for i in places.get(w, ())}
+            for room in (0, slack):
+                out |= {(max(0, i - p - room), min(len(items), i - p + len(template) + room)) for i in places.get(w, ())}
         held += template.count(w)
         if held > missing:
             break
@@ -153,7 +161,8 @@ def _stretches(items: list[str], places: dict[str, list[int]], template: list[st
 def find(text: str, known, share: float = COVERAGE) -> list[tuple[str, int, float, int, int]]:
     """``(license, template, coverage, start, stop)`` of what a whole text holds, best coverage first for each template.
 
-    Repeated notices are found each. Of templates whose stretches overlap, the one with more aligned words stays.
+    Repeated notices are found each. Of templates whose stretches overlap, the one with more aligned words stays,
+    of equal ones the shorter stretch.
     """
     read_words = words(text)
     items = [w for w, _, _ in read_words]
@@ -164,7 +173,8 @@ def find(text: str, known, share: float = COVERAGE) -> list[tuple[str, int, floa
             places.setdefault(w, []).append(i)
     hits = []
     for name, k, template, counts in known:
-        if sum(n for w, n in counts.items() if w in places) < share * len(template):
+        least = _least(template, share)
+        if sum(n for w, n in counts.items() if w in places) < least:
             continue
         for a, b in _stretches(items, places, template, share):
             pairs = align(items[a:b], template)
@@ -175,11 +185,11 @@ def find(text: str, known, share: float = COVERAGE) -> list[tuple[str, int, floa
                     low += 1
                 best = max(best, (high - low + 1, -low, high))
             n, low, high = best[0], -best[1], best[2]
-            if n >= share * len(template):
+            if n >= least:
                 start, stop = read_words[a + pairs[low][0]][1], read_words[a + pairs[high][0]][2]
                 hits.append((n, name, k, n / len(template), start, stop))
     chosen: list[tuple] = []
-    for hit in sorted(hits, key=lambda h: (-h[0], -h[3], h[4], h[1], h[2])):
+    for hit in sorted(hits, key=lambda h: (-h[0], -h[3], h[5] - h[4], h[4], h[1], h[2])):
         if all(hit[5] <= c[4] or c[5] <= hit[4] for c in chosen):
             chosen.append(hit)
     return [h[1:] for h in sorted(chosen, key=lambda h: h[4])]

@@ -49,6 +49,26 @@ def test_repeated_notices_are_found_each():
     assert [h[3] for h in licenses.find(f"{one}\n{one} {prose(1, 40)} {one}", KNOWN)] == [m.start() for m in re.finditer(one, f"{one}\n{one} {prose(1, 40)} {one}")]
 
 
+@pytest.mark.parametrize("n", [3, 5])
+@pytest.mark.parametrize("name,k", [(n, k) for n, texts in licenses.TEMPLATES.items() for k in range(len(texts))])
+def test_adjacent_copies_are_found_each(name, k, n):
+    one = licenses.TEMPLATES[name][k]
+    for text in ("\n".join([one] * n), f"{prose(1, 30)} {' '.join([one] * n)} {prose(2, 30)}"):
+        got = licenses.find(text, KNOWN)
+        assert [(h[0], h[1], h[2]) for h in got] == [(name, k, 1.0)] * n
+        first = text.index(one)
+        starts = [first + j * (len(one) + 1) for j in range(n)]
+        assert all(a <= h[3] < h[4] <= a + len(one) for a, h in zip(starts, got))
+
+
+def test_a_notice_with_one_changed_word():
+    for changed in ("Released under the MIT licence.", "Released under an MIT License.", "Published under the MIT License."):
+        for n in (1, 3):
+            got = licenses.find(f"{prose(1, 30)} {' '.join([changed] * n)} {prose(2, 30)}", KNOWN)
+            assert [(h[0], h[2]) for h in got] == [("MIT", 0.8)] * n
+    assert licenses.find("Released under the GNU licence.", KNOWN) == []
+
+
 def test_prose_about_licenses_is_left_alone():
     assert licenses.find("The license of this work was granted under the terms of a public version of the software by the author.", KNOWN) == []
 
