@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from foldwright.llm.common import per_row, read
 
 # What each element does to the text.
-DROPPED = "script style noscript template svg iframe textarea title select button object math canvas"
+#: The text of RAW elements runs to their end tag or the end of the page; tags in it are text.
+RAW = "script style textarea title"
+#: These are left out from a start tag to the end tag that matches it; without one, only the tag itself is.
+DROPPED = frozenset("noscript template svg iframe select button object math canvas".split())
+#: What "/>" closes at once, and the RAW elements in it too.
+FOREIGN = frozenset("svg math".split())
+#: Marks of these say what else is on the page.
+ROOTS = frozenset("html body main".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
@@ -30,10 +37,10 @@ AROUND = frozenset(
 INSIDE = frozenset("article body content entry main post story text".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED.split())})\b(?>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>.*?(?:</\1\s*+>|\Z)"
-    r"|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+))>|<[/!?a-zA-Z][^<>]*+\Z",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+))>|<[/!?a-zA-Z][^<>]*+\Z",
+    re.S,
 )
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>|\Z", re.I) for name in RAW.split()}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -47,6 +54,42 @@ def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
     return name in ARTICLE or bool(words & INSIDE) and not marked, name in FRAME and not (name == "header" and inside), marked
 
 
+def _tags(html: str) -> list[tuple[int, int, bool, str, str]]:
+    """``(start, stop, closes, name, attributes)`` of what isn't text, in page order; comments and left out elements are
+    one entry without a name."""
+    found: list[tuple] = []
+    opened: dict[str, list[int]] = {}
+    last: dict[int, int] = {}  # entry of a dropped element's start tag: entry of its end tag
+    foreign = at = 0
+    while m := _TOKEN.search(html, at):
+        start, at = m.span()
+        name = (m.group(2) or "").lower()
+        closes, attributes = bool(m.group(1)), m.group(3) or ""
+        empty = attributes.endswith("/") and (foreign > 0 or name in FOREIGN)
+        if name in _ENDS and not closes:
+            if not empty:
+                at = _ENDS[name].search(html, at).end()
+            name = ""
+        elif name in DROPPED:
+            if closes:
+                if opened.get(name):
+                    last[opened[name].pop()] = len(found)
+                    foreign -= name in FOREIGN
+            elif not empty:
+                opened.setdefault(name, []).append(len(found))
+                foreign += name in FOREIGN
+        found.append((start, at, closes, name, attributes))
+    out, k = [], 0
+    while k < len(found):
+        start, stop, closes, name, attributes = found[k]
+        if name in DROPPED:
+            k = last.get(k, k)
+            stop, name = found[k][1], ""
+        out.append((start, stop, closes, name, attributes))
+        k += 1
+    return out
+
+
 def blocks(html: str) -> list[tuple[str, tuple]]:
     """``(text, features)`` of each block in page order; blocks without words are left out."""
     found: list[list] = []  # text, words, words in links, in article, framed, marked
@@ -78,15 +121,13 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
                 linked.append(text)
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        name = m.group(3)
+    for start, stop, closes, name, attributes in _tags(html):
+        add(html[at:start])
+        at = stop
         if not name:
             continue
-        name = name.lower()
         if name == "a":
-            depth = 0 if m.group(2) else 1
+            depth = 0 if closes else 1
             continue
         if name == "br":
             parts.append(" ")
@@ -94,7 +135,7 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
         if name in INLINE:
             continue
         flush()
-        if m.group(2):
+        if closes:
             depth = 0
             close(name)
         elif name not in VOID:
@@ -105,8 +146,10 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
                 if name != "p" and stack and stack[-1][0] == name:
                     stack.pop()
             _, inside, framed, marked = stack[-1] if stack else ("", False, False, False)
-            opens, frames, marks = _marks(name, m.group(4), inside)
-            stack.append((name, inside or opens, framed or frames, marked or marks))
+            opens, frames, marks = _marks(name, attributes, inside)
+            # The main element is what a wrapper's marks stand beside.
+            marked = name != "main" and (marked or marks and name not in ROOTS)
+            stack.append((name, inside or opens, framed or frames, marked))
     add(html[at:])
     flush()
     out = []

@@ -26,6 +26,34 @@ def test_main_text(page):
     assert html.main_text(page, TREE) == PAGES[page]
 
 
+def texts(page):
+    return [t for t, _ in html.blocks(page)]
+
+
+def test_unclosed_and_empty_elements_cut_nothing_behind_them():
+    assert texts("<p>one <svg/> two</p><p>three</p>") == ["one two", "three"]
+    assert texts("<p>one <svg a='/>' /> two</p><p>three <math /> four</p><svg>no</svg>") == ["one two", "three four"]
+    for name in ("button", "select", "object", "canvas", "iframe", "template", "noscript", "svg"):
+        assert texts(f"<p>one <{name} a=b> two</p><p>three</p>") == ["one two", "three"]
+        assert texts(f"<p>one <{name}> two</p><p>three</p><{name}>no</{name}><p>four</p>") == ["one two", "three", "four"]
+        assert texts(f"<p>one <{name}>no <b>no</b></{name.upper()} > two</p>") == ["one two"]
+    for name in ("svg", "object", "template"):
+        assert texts(f"<p>one <{name}>no <{name}>no</{name}> no</{name}> two</p>") == ["one two"]
+    assert texts("<p>one</p><button-group><p>two</p></button-group><object-x>three</object-x><svg-icon/><p>four</p>") == ["one", "two", "three", "four"]
+    assert texts("<title-x>one</title-x><p>two</p></button><p>three") == ["one", "two", "three"]
+    for name in html.RAW.split():
+        assert texts(f"<p>one</p><{name}>no<p>no") == ["one"]
+        assert texts(f"<p>one</p><{name}>no<p>no<button></{name} x><p>two</p>") == ["one", "two"]
+    assert texts("<p>one <svg><title/><style/><path d=''/>no</svg> two</p><p>three</p>") == ["one two", "three"]
+
+
+def test_marks_of_the_page_are_not_the_articles():
+    for page in ("<body class='has-sidebar'>%s</body>", "<html class='no-cookie'><body>%s</body></html>", "<main class='with-sidebar'>%s</main>", "<div class='has-sidebar'><main>%s</main></div>"):
+        got = html.blocks(page % f"<article><p>{LONG}</p><div class='ad'>Buy this now</div></article><div class='sidebar'><p>{LONG}</p></div>")
+        assert [f[-1] for _, f in got] == [0, 1, 1]
+        assert html.main_text(page % f"<article><p>{LONG}</p></article><div class='sidebar'><p>{LONG} 2</p></div>", TREE) == LONG
+
+
 def test_blocks_know_their_neighbours():
     got = html.blocks("<p>one two</p><p><a href=x>three four</a> five six</p><p>seven</p>")
     assert [t for t, _ in got] == ["one two", "three four five six", "seven"]
