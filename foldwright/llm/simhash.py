@@ -48,14 +48,14 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, fp)``, ``fp`` the fingerprint as a signed 64-bit number; one row per input row, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, *keep, fp)``, ``fp`` the fingerprint as a signed 64-bit number; one row per input row, no shuffle."""
 
     def one(text):
         fp = fingerprint(text)
         return (fp - (1 << 64) if fp >> 63 else fp,)
 
-    return per_row(docs, text_col, [id_col], "fp bigint", one)
+    return per_row(docs, text_col, [id_col, *keep], "fp bigint", one)
 
 
 def block_keys(fp) -> list:
@@ -152,6 +152,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def linked(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with ``part``, the least fingerprint of those that links reach from ``fp``."""
+    parts = connected_components(links(distinct.select("fp")), "u", "v")
+    joined = distinct.join(parts, distinct["fp"] == parts["node"], "left")
+    return checkpoint(joined.select(*distinct.columns, F.coalesce("component", "fp").alias("part")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, fp, component_id)`` for every row of ``docs``.
 
@@ -163,26 +170,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     known = checkpoint(fingerprints(docs, id_col, text_col))
     distinct = checkpoint(known.groupBy("fp").agg(F.min(id_col).alias("least")))
-    parts = connected_components(links(distinct.select("fp")), "u", "v")
-    parts = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("part")
-    )
-    parts = checkpoint(parts)
+    parts = linked(distinct)
     names = checkpoint(parts.groupBy("part").agg(F.min("least").alias("component_id")))
     of = checkpoint(parts.join(names, "part").select("fp", "component_id"))
     return known.join(of, "fp", "left").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents with one row of each near-duplicate group: the one whose ``doc_id`` names it.
-
-    Of repeated rows with that id one stays. Rows without a ``doc_id`` name no group; they stay, exact copies once.
+    """Documents with one row of each near-duplicate group: the least ``doc_id``, null last, and a hash of the text
+    among rows that share it. The row is told by both, as ids may be null or repeated; of repeated rows one stays.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.select(docs.columns).unionByName(unnamed)
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    known = fingerprints(docs.select("doc_id", "text", key.alias("_key")), keep=("_key",))
+    row = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key")
+    distinct = checkpoint(known.groupBy("fp").agg(F.min(row).alias("least")))
+    first = linked(distinct).groupBy("part").agg(F.min("least").alias("least")).select("least.*")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_name")
+    kept = checkpoint(first.select("_null", name, "_key"))
+    told = ["_null", "_name", "_key"]
+    rows = docs.select("*", docs["doc_id"].isNull().alias("_null"), name, key.alias("_key"))
+    return rows.join(kept.hint("merge"), told, "left_semi").dropDuplicates(told).select(docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,14 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty_table(spark)).count() == 0
 
 
+def test_keep_one_of_rows_with_null_and_repeated_ids(spark):
+    a, b, c, e = (prose(500 + i, 60) for i in range(4))
+    # id 1 stands for two texts; b and e have copies under other ids; c is only in rows without an id
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (None, a), (None, c), (None, c), (None, c.upper()), (4, e), (None, e)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"].lower()) for r in kept) == sorted([("1", a), ("1", b), ("None", c), ("4", e)])
+
+
 def test_one_large_group_of_copies(spark):
     rows = [(i, prose(9, 50)) for i in range(500)] + [(1000 + i, prose(100 + i, 50)) for i in range(100)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
