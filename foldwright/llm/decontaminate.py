@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from foldwright.llm.common import read
 from foldwright.runtime import broadcast_if_small, written
 
-#: Fixed values of the SQL equivalent: its masks, 1 for a token that counts. They miss some placements of two changes.
-MASKS = ("111101111000", "111110011100", "110100110111")
-SPAN = len(MASKS[0])
 #: Words of the stretch that decides, and the share of them that must agree in place.
 WINDOW, SHARE = 13, 0.8
 #: The seeds by the length of the stretch, WINDOW or a shorter item's length. Wherever in it as many words
@@ -28,7 +25,7 @@ SEEDS = {
     13: ("11110111", "1110010111", "1100101001011"), 12: ("1111",), 11: ("11101",), 10: ("111",), 9: ("111011",), 8: ("1111",),
     7: ("11011",), 6: ("111",), 5: ("11",), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",),
 }
-#: Benchmark hashes that may be broadcast: 24 bytes each.
+#: Benchmark hashes, and places to compare, that may be broadcast: 24 bytes each.
 BROADCAST_SEEDS = 500_000
 
 
@@ -39,7 +36,7 @@ def tokens(text: Column) -> Column:
 
 
 def _listed(rows: DataFrame, keep: list[str], seeds: Sequence[str]) -> DataFrame:
-    """A row for each seed and each position (from 0) of the token hashes ``words`` with room for it."""
+    """``(*keep, at, seed)``: a row for each seed and each position (from 0) of the token hashes ``words`` with room for it."""
     least = min(map(len, seeds))
     room = rows.where(F.size("words") >= least)
     each = room.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
@@ -47,7 +44,7 @@ def _listed(rows: DataFrame, keep: list[str], seeds: Sequence[str]) -> DataFrame
     for seed in seeds:
         seen = [F.get("words", F.col("at") + i) for i, bit in enumerate(seed) if bit == "1"]
         found.append(F.when(F.col("at") + len(seed) <= F.size("words"), F.xxhash64(F.lit(int(seed, 2)), *seen)))
-    return each.select(*keep, "words", "at", F.explode(F.array(*found)).alias("seed")).where("seed is not null")
+    return each.select(*keep, "at", F.explode(F.array(*found)).alias("seed")).where("seed is not null")
 
 
 def overlaps(
@@ -57,39 +54,46 @@ def overlaps(
 
     ``words`` is the length of the stretch compared (WINDOW, or the item's length if shorter), ``matched`` how many of
     its words agree in place, ``similarity`` their share, at least SHARE; words beyond an end of the text don't agree.
-    Short items count as well, those under five words only verbatim. Null and empty texts overlap nothing; rows with a null id are compared and reported with it, ``text_key``
-    (a hash of the text) telling them apart; repeated rows are reported once; other columns are ignored.
+    Short items count as well, those under five words only verbatim. Null and empty texts overlap nothing; rows with a
+    null id are compared and reported with it, ``text_key`` (a hash of the text) telling them apart; repeated rows are
+    reported once; other columns are ignored. An empty table on either side gives none.
     """
-    items = benchmark.select(F.col(item_col), tokens(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     # Items are told apart by their id and words: ids may be null or repeated.
-    items = written(items.dropDuplicates().withColumn("item_key", F.xxhash64(item_col, "words")))
+    items = written(items.dropDuplicates().withColumn("item_key", F.xxhash64("item", "words")))
     stretch = F.least(F.size("words"), F.lit(WINDOW))
     lengths = sorted(r[0] for r in items.select(stretch).distinct().collect()) or [WINDOW]  # at most WINDOW values
-    index = reduce(DataFrame.unionByName, (_listed(items.where(stretch == n), [item_col, "item_key"], SEEDS[n]) for n in lengths))
-    index = index.select("seed", F.col(item_col).alias("item"), "item_key", F.col("at").alias("item_at"), F.size("words").alias("item_size"))
-    rows = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), tokens(F.col(text_col)).alias("words"))
+    index = reduce(DataFrame.unionByName, (_listed(items.where(stretch == n), ["item_key"], SEEDS[n]) for n in lengths))
+    index = index.select("seed", "item_key", F.col("at").alias("item_at"))
     known = broadcast_if_small(written(index.distinct()), BROADCAST_SEEDS)
-    # Here each hit becomes the stretch of the text that would lie under the item: from "first", missing words null.
-    hits = _listed(rows, [id_col, "text_key"], sorted({x for n in lengths for x in SEEDS[n]})).join(known, "seed")
-    first = F.col("at") - F.col("item_at")
-    low = F.greatest(first, F.lit(0))
-    piece = F.slice("words", low + 1, F.greatest(F.col("item_size") - (low - first), F.lit(0)))
-    hits = hits.select(id_col, "text_key", "item", "item_key", first.alias("first"), (low - first).alias("skipped"), piece.alias("piece"))
-    hits = hits.dropDuplicates([id_col, "text_key", "item_key", "first"])
-    under = items.select("item_key", F.col("words").alias("item_words"))
-    laid = hits.join(broadcast_if_small(under, BROADCAST_SEEDS // 50), "item_key")
+
+    text = F.coalesce(text_col, F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("whole"))
+    # A seed travels with the text's key and its place alone; where it hits, the item would begin at word "first".
+    seeds = _listed(rows.select("text_key", tokens(F.col("whole")).alias("words")), ["text_key"], sorted({x for n in lengths for x in SEEDS[n]}))
+    places = seeds.join(known, "seed").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("first")).distinct()
+    places = places.groupBy("text_key").agg(F.collect_list(F.struct("item_key", "first")).alias("places"))
+
+    # Back to the texts with hits: each is cut into words once, and each place becomes the stretch under its item.
+    hit = rows.join(broadcast_if_small(written(places), BROADCAST_SEEDS // 10), "text_key")
+    hit = hit.select("id", "text_key", tokens(F.col("whole")).alias("words"), "places").select("id", "text_key", "words", F.explode("places").alias("p"))
+    under = items.select("item_key", "item", F.col("words").alias("item_words"))
+    laid = hit.select("id", "text_key", "words", "p.item_key", "p.first").join(broadcast_if_small(under, BROADCAST_SEEDS // 50), "item_key")
+    low = F.greatest(F.col("first"), F.lit(0))
+    piece = F.slice("words", low + 1, F.greatest(F.size("item_words") - (low - F.col("first")), F.lit(0)))
+    laid = laid.select("id", "text_key", "item", "item_words", piece.alias("piece"), (low - F.col("first")).alias("skipped"))
     same = F.transform("item_words", lambda w, i: F.when(F.get("piece", i - F.col("skipped")) == w, 1).otherwise(0))
-    laid = laid.select(id_col, "text_key", "item", same.alias("same")).withColumn("n", F.least(F.size("same"), F.lit(WINDOW)))
+    laid = laid.select("id", "text_key", "item", same.alias("same")).withColumn("n", F.least(F.size("same"), F.lit(WINDOW)))
     best = F.array_max(
         F.transform(
             F.sequence(F.lit(1), F.size("same") - F.col("n") + 1),
             lambda i: F.aggregate(F.slice("same", i, F.col("n")), F.lit(0), lambda a, x: a + x),
         )
     )
-    laid = laid.select(id_col, "text_key", "item", F.col("n").alias("words"), best.alias("matched"))
+    laid = laid.select("id", "text_key", "item", F.col("n").alias("words"), best.alias("matched"))
     share = F.col("matched") / F.col("words")
-    found = laid.where(share >= SHARE).groupBy(id_col, "text_key", "item").agg(F.max("words").alias("words"), F.max("matched").alias("matched"))
-    return found.select(id_col, "text_key", F.col("item").alias(item_col), "words", "matched", share.alias("similarity"))
+    found = laid.where(share >= SHARE).groupBy("id", "text_key", "item").agg(F.max("words").alias("words"), F.max("matched").alias("matched"))
+    return found.select(F.col("id").alias(id_col), "text_key", F.col("item").alias(item_col), "words", "matched", share.alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

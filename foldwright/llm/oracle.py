@@ -35,26 +35,19 @@ def secret_scans() -> str:
 
 
 def decontamination() -> str:
-    """Words under each mask are joined as strings instead of hashes."""
+    """Without seeds: every word that a text and an item share lies on a diagonal, and a diagonal with enough words that
+    agree is looked at from each of them on."""
     words = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
-
-    def seeds(table: str, key: str) -> str:
-        each = []
-        for k, mask in enumerate(d.MASKS):
-            under = ", ".join(f"w[i + {j + 1}]" for j, bit in enumerate(mask) if bit == "1")
-            each.append(f"SELECT {key}, i, {k} AS k, concat_ws(' ', {under}) AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {d.SPAN - 1})) AS i FROM {table} WHERE len(w) >= {d.SPAN})")
-        return " UNION ALL ".join(each)
-
+    each = "SELECT {key}, {more}w[i] AS w, i FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM {table})"
     return (
-        f"WITH t AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark), "
-        f"ts AS ({seeds('t', 'doc_id')}), bs AS ({seeds('b', 'item_id')}), "
-        "h AS (SELECT DISTINCT doc_id, item_id, ts.i - bs.i AS first FROM ts JOIN bs ON ts.k = bs.k AND ts.seed = bs.seed), "
-        "l AS (SELECT doc_id, item_id, list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN first + j >= 1 AND first + j <= len(t.w) AND "
-        "t.w[first + j] = b.w[j] THEN 1 ELSE 0 END) AS same FROM h JOIN t USING (doc_id) JOIN b USING (item_id)), "
-        f"n AS (SELECT doc_id, item_id, same, least(len(same), {d.WINDOW}) AS words FROM l), "
-        "x AS (SELECT doc_id, item_id, words::BIGINT AS words, list_max(list_transform(range(1, (len(same) - words + 2)::BIGINT), "
-        "lambda a: list_sum(same[a:a + words - 1])))::BIGINT AS matched FROM n) "
-        f"SELECT doc_id, item_id, max(words) AS words, max(matched) AS matched, max(matched) / max(words) AS similarity FROM x WHERE matched / words >= {d.SHARE} "
+        f"WITH t AS (SELECT DISTINCT doc_id, {words} AS w FROM documents), b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark), "
+        f"te AS ({each.format(key='doc_id', more='', table='t')}), "
+        f"be AS ({each.format(key='item_id', more=f'least(len(w), {d.WINDOW}) AS words, ', table='b')}), "
+        "g AS (SELECT doc_id, item_id, te.i - be.i AS diagonal, any_value(words)::BIGINT AS words, list(be.i) AS spots FROM te JOIN be ON te.w = be.w "
+        f"GROUP BY doc_id, item_id, diagonal HAVING count(*) / any_value(words) >= {d.SHARE}), "
+        "m AS (SELECT doc_id, item_id, words, list_max(list_transform(spots, lambda a: len(list_filter(spots, lambda x: x >= a AND x < a + words))))::BIGINT "
+        "AS matched FROM g) "
+        f"SELECT doc_id, item_id, max(words) AS words, max(matched) AS matched, max(matched) / max(words) AS similarity FROM m WHERE matched / words >= {d.SHARE} "
         "GROUP BY doc_id, item_id"
     )
 
