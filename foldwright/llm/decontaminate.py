@@ -47,6 +47,14 @@ def _listed(rows: DataFrame, keep: list[str], seeds: Sequence[str]) -> DataFrame
     return each.select(*keep, "at", F.explode(F.array(*found)).alias("seed")).where("seed is not null")
 
 
+def _best() -> Column:
+    """The most words that agree in any ``n`` places in a row, with ``under`` laid over ``words`` from each of ``firsts``.
+    One place is looked at after the other; an array of one names what a place has in common."""
+    same = "transform(under, (w, i) -> if(first + i >= 0 and get(words, first + i) = w, 1, 0))"
+    runs = "transform(sequence(1, size(same) - n + 1), i -> aggregate(slice(same, i, n), 0, (a, x) -> a + x))"
+    return F.expr(f"aggregate(firsts, 0, (most, first) -> greatest(most, transform(array({same}), same -> array_max({runs}))[0]))")
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -72,25 +80,17 @@ def overlaps(
     # A seed travels with the text's key and its place alone; where it hits, the item would begin at word "first".
     seeds = _listed(rows.select("text_key", tokens(F.col("whole")).alias("words")), ["text_key"], sorted({x for n in lengths for x in SEEDS[n]}))
     places = seeds.join(known, "seed").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("first")).distinct()
-    places = places.groupBy("text_key").agg(F.collect_list(F.struct("item_key", "first")).alias("places"))
-
-    # Back to the texts with hits: each is cut into words once, and each place becomes the stretch under its item.
-    hit = rows.join(broadcast_if_small(written(places), BROADCAST_SEEDS // 10), "text_key")
-    hit = hit.select("id", "text_key", tokens(F.col("whole")).alias("words"), "places").select("id", "text_key", "words", F.explode("places").alias("p"))
-    under = items.select("item_key", "item", F.col("words").alias("item_words"))
-    laid = hit.select("id", "text_key", "words", "p.item_key", "p.first").join(broadcast_if_small(under, BROADCAST_SEEDS // 50), "item_key")
-    low = F.greatest(F.col("first"), F.lit(0))
-    piece = F.slice("words", low + 1, F.greatest(F.size("item_words") - (low - F.col("first")), F.lit(0)))
-    laid = laid.select("id", "text_key", "item", "item_words", piece.alias("piece"), (low - F.col("first")).alias("skipped"))
-    same = F.transform("item_words", lambda w, i: F.when(F.get("piece", i - F.col("skipped")) == w, 1).otherwise(0))
-    laid = laid.select("id", "text_key", "item", same.alias("same")).withColumn("n", F.least(F.size("same"), F.lit(WINDOW)))
-    best = F.array_max(
-        F.transform(
-            F.sequence(F.lit(1), F.size("same") - F.col("n") + 1),
-            lambda i: F.aggregate(F.slice("same", i, F.col("n")), F.lit(0), lambda a, x: a + x),
-        )
-    )
-    laid = laid.select("id", "text_key", "item", F.col("n").alias("words"), best.alias("matched"))
+    places = written(places)
+    few = places.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    side = F.broadcast if few else (lambda df: df)
+
+    # Back to the texts with hits: each is cut into words once and laid under each of its items at all of their places.
+    hit = rows.join(side(places.select("text_key").distinct()), "text_key", "left_semi")
+    hit = hit.select("id", "text_key", tokens(F.col("whole")).alias("words"))
+    pairs = places.groupBy("text_key", "item_key").agg(F.collect_list("first").alias("firsts"))  # at most a text's words
+    under = items.select("item_key", "item", F.col("words").alias("under"), stretch.alias("n"))
+    laid = hit.join(side(pairs), "text_key").join(broadcast_if_small(under, BROADCAST_SEEDS // 50), "item_key")
+    laid = laid.select("id", "text_key", "item", F.col("n").alias("words"), _best().alias("matched"))
     share = F.col("matched") / F.col("words")
     found = laid.where(share >= SHARE).groupBy("id", "text_key", "item").agg(F.max("words").alias("words"), F.max("matched").alias("matched"))
     return found.select(F.col("id").alias(id_col), "text_key", F.col("item").alias(item_col), "words", "matched", share.alias("similarity"))
