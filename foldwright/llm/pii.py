@@ -1,9 +1,11 @@
 """Personal data by fixed formats, and by contexts that those formats teach.
 
-Everything is DataFrame and SQL functions. Base formats (e-mail, IP, card and phone numbers) are the seeds. The words in
-front of a seed are a pattern; the pattern-instance graph links patterns with the identifier-like strings that follow
-them anywhere. Scores pass back and forth: a pattern is worth the share of its occurrences that good instances follow,
-an instance is worth what its patterns are worth together. Patterns that end above a threshold name further spans.
+Everything is DataFrame and SQL functions. Base formats (e-mail, IP, card and phone numbers) are the seeds. A pattern is
+what stands around a slot: the two words before it, the word before and the word behind, or the word before and the
+shape of what fills it. The pattern-instance graph links patterns with the identifier-like strings in their slots.
+Scores pass back and forth: a pattern is worth the share of good instances among all that fill its slot, an instance
+what its good patterns are worth together. Instances that become good induce patterns in the next round, so patterns
+without any seed can be found by way of others. Good instances are named wherever they stand.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ CANDIDATE = (
     r"|(?<![0-9])[0-9]++(?:\.[0-9]++){3}|(?<!\S)[0-9](?:[\x20-]?[0-9])++(?![^\s.,;:!?)\]])|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 )
 
-#: Distinct seeds that a pattern needs, rounds of scoring, and the scores from which patterns and instances count.
-MIN_SEEDS, ROUNDS, PATTERN_SCORE, INSTANCE_SCORE = 5, 3, 0.6, 0.6
+#: Distinct good instances that a pattern needs, rounds of scoring, and the scores from which patterns and instances count.
+MIN_GOOD, ROUNDS, PATTERN_SCORE, INSTANCE_SCORE = 5, 3, 0.6, 0.6
 #: Digits that a discovered number has at least.
 MIN_DIGITS = 6
-#: Patterns that may be broadcast: a few words each.
+#: Patterns or instances that may be broadcast: a few words each.
 BROADCAST_PATTERNS = 200_000
 
 
@@ -68,9 +70,12 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches: ``array<struct<before, match>>``, ``before`` the text since the last one."""
+    """All leftmost non-overlapping matches: ``array<struct<before, match, after>>``, ``before`` the text since the last
+    one, ``after`` the word that follows."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("before"), m.alias("match")))
+    n = F.size(matches)
+    both = F.zip_with(F.slice(gaps, 1, n), F.slice(gaps, 2, n), lambda b, a: F.struct(b.alias("before"), F.regexp_extract(a, r"^\s*+(\S++)", 1).alias("after")))
+    return F.zip_with(both, matches, lambda g, m: F.struct(g["before"].alias("before"), m.alias("match"), g["after"].alias("after")))
 
 
 def _placed(rows: DataFrame, column: str) -> DataFrame:
@@ -86,34 +91,38 @@ def _placed(rows: DataFrame, column: str) -> DataFrame:
         "_s", F.expr(f"transform(sequence(0, (_n - 1) div _b), k -> {total.format('slice(_w, 1, cast(k * _b as int))')})")
     )
     start = f"_s[cast(i div _b as int)] + {total.format('slice(_w, cast(i - i % _b + 1 as int), cast(i % _b as int))')} + length(x.before)"
-    placed = f"transform({column}, (x, i) -> named_struct('before', x.before, 'match', x.match, 'start', {start}, 'stop', {start} + length(x.match)))"
+    placed = (
+        f"transform({column}, (x, i) -> named_struct('before', x.before, 'match', x.match, 'after', x.after, 'start', {start}, "
+        f"'stop', {start} + length(x.match)))"
+    )
     return rows.withColumn(column, F.expr(placed)).drop("_n", "_b", "_w", "_s")
 
 
-def _words(text: Column) -> Column:
-    """Lower-case words between white space."""
-    flat = F.translate(F.lower(text), "\t\n\r\f\x0b", " " * 5)
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+def _contexts(x: Column) -> Column:
+    """The patterns around a string, ``_`` its slot: two words before it; one before and one behind; one before and the
+    string's shape, digits as 9, letters as a, whatever is around them as it is."""
+    before = F.rtrim(F.regexp_replace(F.lower(x["before"]), r"\s+", " "))
+    one, two = F.substring_index(before, " ", -1), F.ltrim(F.substring_index(before, " ", -2))
+    shape = F.regexp_replace(F.regexp_replace(_body(x["match"]), "[0-9]+", "9"), r"\p{L}+", "a")
+    after = F.lower(x["after"])
+    patterns = F.array(
+        F.when(two != one, F.concat(two, F.lit(" _"))),
+        F.when((one != "") & (after != ""), F.concat(one, F.lit(" _ "), after)),
+        F.when(one != "", F.concat(one, F.lit(" _ as "), shape)),
+    )
+    return F.filter(patterns, lambda p: p.isNotNull())
 
 
-def _contexts(before: Column) -> Column:
-    """The patterns that a text ends with: its last word and its last two; no word of over 40 characters."""
-    tail = _words(F.substring(before, -120, 120))
-    size = F.size(tail)
-    one, two = F.element_at(tail, -1), F.concat_ws(" ", F.slice(tail, -2, 2))
-    short = lambda x: F.length(x) <= 40
-    return (
-        F.when((size >= 2) & short(one) & short(F.element_at(tail, -2)), F.array(one, two))
-        .when((size >= 1) & short(one), F.array(one))
-        .otherwise(F.array().cast("array<string>"))
-    )
+def _body(match: Column) -> Column:
+    """A string without the punctuation that ends it."""
+    return F.regexp_replace(match, r"[^A-Za-z0-9]++$", "")
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, text_key, kind, found)``: a row for each document and kind with matches, in one pass over the texts.
 
     ``found`` is ``array<struct<match, start, stop, contexts>>`` without matches that fail their kind's test. Kind
-    ``any`` has all strings that may be identifiers, with the patterns in front of them.
+    ``any`` has all strings that may be identifiers, with the patterns around them.
     """
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("text_key"), text.alias("_t")).where(F.col("_t").rlike("[0-9@]"))
@@ -127,7 +136,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def kept(kind: str) -> Column:
         ours = F.filter("found", lambda x: valid(kind, x["match"])) if kind != "any" else F.col("found")
-        contexts = (lambda x: _contexts(x["before"])) if kind == "any" else (lambda x: none)
+        contexts = _contexts if kind == "any" else (lambda x: none)
         return F.transform(ours, lambda x: F.struct(x["match"], x["start"], x["stop"], contexts(x).alias("contexts")))
 
     chosen = F.when(F.col("kind") == "any", kept("any"))
@@ -153,49 +162,40 @@ def _side(df: DataFrame) -> DataFrame:
 def _edges(found: DataFrame) -> DataFrame:
     """The pattern-instance graph ``(pattern, instance, kind)``, each link once; ``kind`` is null for what isn't a seed.
 
-    Only patterns with MIN_SEEDS distinct seeds are in it.
+    Only patterns with MIN_GOOD distinct instances are in it, as others can never count.
     """
     each = found.where("kind = 'any'").select(F.explode("found").alias("x"))
-    instance = F.lower(F.regexp_replace("x.match", r"[^A-Za-z0-9]+$", ""))
-    links = each.select(F.explode("x.contexts").alias("pattern"), instance.alias("instance"), _seed_kind(F.col("x.match")).alias("kind"))
-    links = links.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    links = written(links)
-    enough = links.groupBy("pattern").agg(F.count("kind").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
-    return written(links.join(_side(enough), "pattern"))
-
-
-def _totals(docs: DataFrame, patterns: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """``(pattern, idle)``: how often a pattern's words stand in the corpus without an identifier behind them."""
-    words = docs.select(_words(F.coalesce(text_col, F.lit(""))).alias("w"))
-    pair = words.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
-    both = pair.select(F.explode(F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", F.concat_ws(" ", "a", "b")))).alias("pattern"))
-    stands = both.join(_side(patterns), "pattern").groupBy("pattern").agg(F.count("*").alias("n"))
-    used = found.where("kind = 'any'").select(F.explode("found").alias("x")).select(F.explode("x.contexts").alias("pattern"))
-    used = used.groupBy("pattern").agg(F.count("*").alias("used"))
-    idle = F.greatest(F.col("n") - F.coalesce("used", F.lit(0)), F.lit(0))
-    return stands.join(used, "pattern", "left").select("pattern", idle.alias("idle"))
-
-
-def learn(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(pattern, kind, score)`` after ROUNDS rounds over the pattern-instance graph."""
-    edges = _edges(found)
-    patterns = edges.select("pattern").distinct()
-    idle = written(_totals(docs, patterns, found, text_col))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
-    base = written(sizes.join(idle, "pattern", "left").select("pattern", (F.col("instances") + F.coalesce("idle", F.lit(0))).alias("size")))
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("good"))
-    seeds, others = written(seeds), written(edges.where("kind is null").select("pattern", "instance"))
+    links = each.select(F.explode("x.contexts").alias("pattern"), F.lower(_body(F.col("x.match"))).alias("instance"), _seed_kind(F.col("x.match")).alias("kind"))
+    links = written(links.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    enough = links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GOOD).select("pattern")
+    return written(links.join(_side(written(enough)), "pattern"))
 
-    def scored(good: DataFrame) -> DataFrame:
-        return written(good.join(base, "pattern").select("pattern", "kind", (F.col("good") / F.col("size")).alias("score")))
 
-    scores = scored(seeds)
-    for _ in range(ROUNDS - 1):
-        worth = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-        instances = written(others.join(_side(scores), "pattern").groupBy("instance", "kind").agg(worth.alias("worth")))
-        more = others.join(_side(instances), "instance").groupBy("pattern", "kind").agg(F.sum("worth").alias("good"))
-        scores = scored(seeds.unionByName(more).groupBy("pattern", "kind").agg(F.sum("good").alias("good")))
-    return scores
+def learn(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pattern, kind, score)`` of the patterns and ``(instance, kind, score)`` of the instances that count after ROUNDS
+    rounds over the pattern-instance graph.
+
+    A round scores each pattern by the worth of its good instances among all its instances, then each instance that is no
+    seed by its patterns that count. Seeds of another kind, and strings that no pattern speaks for, weigh against a
+    pattern. What holds neither an at sign nor MIN_DIGITS digits is never good.
+    """
+    edges = _edges(found)
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("size")))
+    seeds = written(edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("n")).withColumn("worth", F.col("n").cast("double")))
+    likely = F.col("instance").contains("@") | (F.length(_digits(F.col("instance"))) >= MIN_DIGITS)
+    others = written(edges.where(F.col("kind").isNull() & likely).select("pattern", "instance"))
+    good, patterns, instances = seeds, None, None
+    for _ in range(ROUNDS):
+        held = good.groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.sum("worth").alias("worth")).where(F.col("n") >= MIN_GOOD)
+        score = F.col("worth") / F.col("size")
+        patterns = written(held.join(sizes, "pattern").select("pattern", "kind", score.alias("score")).where(score >= PATTERN_SCORE))
+        together = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
+        instances = others.join(_side(patterns), "pattern").groupBy("instance", "kind").agg(together.alias("score"))
+        instances = instances.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("best")).select("instance", "best.kind", "best.score")
+        instances = written(instances.where(F.col("score") >= INSTANCE_SCORE))
+        more = others.join(_side(instances), "instance").groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("worth"))
+        good = seeds.unionByName(more)
+    return patterns, instances
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
@@ -203,12 +203,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed:
 
     With ``keyed`` there is also ``text_key``, a hash of the text.
 
-    ``base`` has the format matches, ``extra`` what high-scoring patterns add: strings behind such a pattern that have
-    an at sign or MIN_DIGITS digits and touch no base span. Null and empty texts have neither; repeated rows give
-    repeated results; rows with a null id are kept; an empty table gives none; other columns are ignored.
+    ``base`` has the format matches, ``extra`` what was discovered: all places of the instances that ``learn`` finds good,
+    where they touch no base span. Null and empty texts have neither; repeated rows give repeated results; rows with a
+    null id are kept; an empty table gives none; other columns are ignored.
     """
     found = written(matches(docs, id_col, text_col))
-    taught = learn(docs, found, text_col).where(F.col("score") >= PATTERN_SCORE)
+    _, known = learn(found)
     rank = F.create_map(*[x for n, k in ORDER.items() for x in (F.lit(n), F.lit(k))])
     key = [id_col, "text_key"]
     span = "array<struct<start: bigint, rank: int, stop: bigint, kind: string>>"
@@ -218,10 +218,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed:
     base = once.groupBy(*key).agg(F.flatten(F.collect_list(placed)).alias("base"))
 
     each = found.where("kind = 'any'").select(*key, F.explode("found").alias("x"))
-    body = F.regexp_replace("x.match", r"[^A-Za-z0-9]+$", "")
-    likely = F.col("x.match").contains("@") | (F.length(_digits(F.col("x.match"))) >= MIN_DIGITS)
-    each = each.where(likely).select(*key, F.col("x.start").alias("start"), body.alias("body"), F.explode("x.contexts").alias("pattern"))
-    named = each.join(_side(written(taught)), "pattern").groupBy(*key, "start", "body").agg(F.max_by("kind", "score").alias("kind"))
+    each = each.select(*key, F.col("x.start").alias("start"), _body(F.col("x.match")).alias("body")).withColumn("instance", F.lower("body"))
+    named = each.join(_side(known), "instance")
     named = named.select(*key, F.struct(F.col("start").cast("bigint").alias("start"), rank[F.col("kind")].alias("rank"), (F.col("start") + F.length("body")).cast("bigint").alias("stop"), "kind").alias("span"))
     extra = named.groupBy(*key).agg(F.collect_set("span").alias("extra"))
 
@@ -264,12 +262,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     have spans are joined and cut; the rest pass through.
     """
     spans = find(docs, id_col, text_col, keyed=True)
-    spans = spans.select(F.col(id_col).alias("_id"), "text_key", F.array_sort(F.concat("base", "extra")).alias("_spans"))
-    found = spans.where("size(_spans) > 0").dropDuplicates(["_id", "text_key"])
-    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.join(_side(written(found)), docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("text_key")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_redacted(F.col(text_col), F.col("_spans")))
-    return rows.withColumn(text_col, text).select(docs.columns)
+    spans = spans.select(F.col(id_col).alias("id"), "text_key", F.array_sort(F.concat("base", "extra")).alias("spans"))
+    found = spans.where("size(spans) > 0").dropDuplicates(["id", "text_key"])
+    # The rows wait in one column, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"))
+    rows = rows.join(_side(written(found)), F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left")
+    whole = F.col(f"row.`{text_col}`")
+    text = F.when(F.col("spans").isNull(), whole).otherwise(_redacted(whole, F.col("spans")))
+    return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1_pii_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
