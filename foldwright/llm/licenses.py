@@ -2,7 +2,8 @@
 
 A template and a stretch of a document are aligned on words that are unique in both; of those anchors the longest
 increasing run stays, and the gaps between anchors are aligned the same way. Coverage is the share of the template's
-words that are aligned.
+words that are aligned. Words that tell a license from its relatives must be among them, and words of a relative must
+not stand in between.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,21 +34,20 @@ TEMPLATES = {
         "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
         "shall be included in all copies or substantial portions of the Software.",
     ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+    ],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
         "the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
-    "GPL-3.0-only": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
@@ -62,6 +63,43 @@ TEMPLATES = {
     ],
 }
 
+#: Families whose licenses share their words, with versions and with the terms of Creative Commons.
+GNU = {"GPL": ("General", ("2.0", "3.0")), "LGPL": ("Lesser General", ("2.1", "3.0")), "AGPL": ("Affero General", ("3.0",))}
+TERMS = {"NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+COMMONS = ((), ("NC",), ("SA",), ("ND",), ("NC", "SA"), ("NC", "ND"))
+#: Words that must be aligned where a template of that license has them.
+NEEDED = {
+    "Apache-2.0": ("apache", "2"), "MIT": ("mit",), "MPL-2.0": ("mozilla", "2"), "Unlicense": ("unencumbered",), "BSD-3-Clause": ("neither", "endorse"),
+}
+
+for _kind, (_title, _versions) in GNU.items():
+    for _version in _versions:
+        _number = _version.removesuffix(".0")
+        _notice = f"This work is licensed under the GNU {_title} Public License, version {_number}"
+        _program = (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_title} Public License as "
+            "published by the Free Software Foundation,"
+        )
+        TEMPLATES[f"{_kind}-{_version}-only"] = [f"{_notice}.", f"{_program} version {_number} of the License."]
+        TEMPLATES[f"{_kind}-{_version}-or-later"] = [
+            f"{_notice} or any later version.",
+            f"{_program} either version {_number} of the License, or (at your option) any later version.",
+        ]
+        NEEDED[f"{_kind}-{_version}-only"] = (*_title.lower().split(), _number)
+        NEEDED[f"{_kind}-{_version}-or-later"] = (*_title.lower().split(), _number, "later")
+#: Words that must not stand in the stretch that is aligned.
+BARRED = {name: {"lesser", "library", "affero"} - set(NEEDED[name]) for name in NEEDED if name.split("-")[0] in GNU}
+for _terms in COMMONS:
+    _name = "-".join(("CC-BY", *_terms, "4.0"))
+    TEMPLATES[_name] = [
+        f"Licensed under CC {'-'.join(('BY', *_terms))} 4.0.",
+        f"This work is licensed under a Creative Commons {'-'.join(('Attribution', *(TERMS[t] for t in _terms)))} 4.0 International License.",
+    ]
+    _all = {x.lower() for t in TERMS.items() for x in t}
+    _own = {x.lower() for t in _terms for x in (t, TERMS[t])}
+    NEEDED[_name] = (*sorted(_own), "by", "attribution", "4")
+    BARRED[_name] = _all - _own
+
 #: Coverage from which a template counts as found.
 COVERAGE = 0.8
 
@@ -69,8 +107,8 @@ _WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """Lower-case words with their places: code points, end exclusive."""
-    return [(m.group().lower(), *m.span()) for m in _WORD.finditer(text)]
+    """Lower-case words with their places: code points, end exclusive. A number's last ".0" doesn't count."""
+    return [(m.group().lower().removesuffix(".0"), *m.span()) for m in _WORD.finditer(text)]
 
 
 def _unique(items: list[str], low: int, high: int) -> dict[str, int]:
@@ -122,14 +160,30 @@ def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def prepared() -> list[tuple[str, int, list[str], dict[str, int]]]:
-    """Each template with its name, its number, its words, and how often it has each of them."""
+class Template(NamedTuple):
+    """A template's words, how often it has each, the places that must be aligned, and words barred between them."""
+
+    name: str
+    number: int
+    items: list[str]
+    counts: dict[str, int]
+    needed: frozenset[int]
+    barred: frozenset[str]
+
+
+class Known(NamedTuple):
+    templates: list[Template]
+    vocabulary: frozenset[str]
+
+
+def prepared() -> Known:
     out = []
     for name, texts in TEMPLATES.items():
         for k, text in enumerate(texts):
             items = [w for w, _, _ in words(text)]
-            out.append((name, k, items, {w: items.count(w) for w in items}))
-    return out
+            needed = frozenset(p for p, w in enumerate(items) if w in NEEDED.get(name, ()))
+            out.append(Template(name, k, items, {w: items.count(w) for w in items}, needed, frozenset(BARRED.get(name, ()))))
+    return Known(out, frozenset(w for t in out for w in t.items))
 
 
 def _least(template: list[str], share: float) -> int:
@@ -158,8 +212,20 @@ def _stretches(items: list[str], places: dict[str, list[int]], template: list[st
     return sorted(out)
 
 
-def find(text: str, known, share: float = COVERAGE) -> list[tuple[str, int, float, int, int]]:
-    """``(license, template, coverage, start, stop)`` of what a whole text holds, best coverage first for each template.
+def _apart(hits: list[tuple]) -> list[tuple]:
+    """Of hits that overlap, the one with more aligned words, of equal ones the shorter; in text order."""
+    starts: list[int] = []
+    chosen: list[tuple] = []
+    for hit in sorted(hits, key=lambda h: (-h[0], -h[3], h[5] - h[4], h[4], h[1], h[2])):
+        at = bisect_left(starts, hit[4])  # those chosen lie apart, so only the two neighbours can touch it
+        if (at == 0 or chosen[at - 1][5] <= hit[4]) and (at == len(starts) or hit[5] <= starts[at]):
+            starts.insert(at, hit[4])
+            chosen.insert(at, hit)
+    return chosen
+
+
+def find(text: str, known: Known, share: float = COVERAGE) -> list[tuple[str, int, float, int, int]]:
+    """``(license, template, coverage, start, stop)`` of what a whole text holds, in text order.
 
     Repeated notices are found each. Of templates whose stretches overlap, the one with more aligned words stays,
     of equal ones the shorter stretch.
@@ -167,14 +233,13 @@ def find(text: str, known, share: float = COVERAGE) -> list[tuple[str, int, floa
     read_words = words(text)
     items = [w for w, _, _ in read_words]
     places: dict[str, list[int]] = {}
-    vocabulary = {w for _, _, template, _ in known for w in template}
     for i, w in enumerate(items):
-        if w in vocabulary:
+        if w in known.vocabulary:
             places.setdefault(w, []).append(i)
     hits = []
-    for name, k, template, counts in known:
+    for name, k, template, counts, needed, barred in known.templates:
         least = _least(template, share)
-        if sum(n for w, n in counts.items() if w in places) < least:
+        if sum(n for w, n in counts.items() if w in places) < least or not all(template[p] in places for p in needed):
             continue
         for a, b in _stretches(items, places, template, share):
             pairs = align(items[a:b], template)
@@ -185,14 +250,12 @@ def find(text: str, known, share: float = COVERAGE) -> list[tuple[str, int, floa
                     low += 1
                 best = max(best, (high - low + 1, -low, high))
             n, low, high = best[0], -best[1], best[2]
-            if n >= least:
-                start, stop = read_words[a + pairs[low][0]][1], read_words[a + pairs[high][0]][2]
-                hits.append((n, name, k, n / len(template), start, stop))
-    chosen: list[tuple] = []
-    for hit in sorted(hits, key=lambda h: (-h[0], -h[3], h[5] - h[4], h[4], h[1], h[2])):
-        if all(hit[5] <= c[4] or c[5] <= hit[4] for c in chosen):
-            chosen.append(hit)
-    return [h[1:] for h in sorted(chosen, key=lambda h: h[4])]
+            if n < least or not needed <= {q for _, q in pairs[low : high + 1]}:
+                continue
+            first, last = a + pairs[low][0], a + pairs[high][0]
+            if barred.isdisjoint(items[first : last + 1]):
+                hits.append((n, name, k, n / len(template), read_words[first][1], read_words[last][2]))
+    return [h[1:] for h in _apart(hits)]
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", share: float = COVERAGE) -> DataFrame:
