@@ -19,12 +19,15 @@ from foldwright.llm.common import per_row, read
 #: The text of RAW elements runs to their end tag or the end of the page; tags in it are text.
 RAW = "script style textarea title"
 #: These are left out from a start tag to the end tag that matches it; without one, only the tag itself is.
-DROPPED = frozenset("noscript template svg iframe select button object math canvas".split())
+DROPPED = frozenset("noscript template svg iframe select button object canvas".split())
 #: What "/>" closes at once, and the RAW elements in it too.
-FOREIGN = frozenset("svg math".split())
+FOREIGN = frozenset("svg".split())
 #: Marks of these say what else is on the page.
 ROOTS = frozenset("html body main".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "math mi mn mo mrow ms mspace msqrt mroot mfrac msub msup msubsup munder mover munderover mtext mstyle semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 FRAME = frozenset("nav footer aside form menu dialog header".split())
@@ -34,6 +37,14 @@ AROUND = frozenset(
     "gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo related reply "
     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of an article itself, and of a phrase in a line, only these as a whole name.
+ALONE = frozenset("ad ads advert advertisement comment promo related sponsor sponsored".split())
+#: A name that begins or ends so tells what a page has or how it looks, not what the element is.
+HAVING, STATE = frozenset("has no not with without is hide show".split()), frozenset("open closed enabled disabled on off active count visible".split())
+#: "related" marks a list of such things, or stands alone.
+LISTED = frozenset("related article articles content entries items links news pages post posts products reading stories story topics videos".split())
+#: A thread of comments, unless it is a section of the article.
+THREAD = frozenset("discussion thread".split())
 INSIDE = frozenset("article body content entry main post story text".split())
 
 _TOKEN = re.compile(
@@ -42,16 +53,49 @@ _TOKEN = re.compile(
 )
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>|\Z", re.I) for name in RAW.split()}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.I)
+_STYLED = re.compile(r"""\bstyle\s*=\s*["']?[^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_VALUES = re.compile(r""""[^"]*"|'[^']*'""")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "framed", "marked")
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Of an element: whether it opens an article, frames one, or is marked as something beside it."""
-    words = {w.lower() for m in _NAMES.finditer(attributes) for x in m.groups() if x for w in _WORD.findall(x)} if attributes else set()
-    marked = bool(words & AROUND)
-    return name in ARTICLE or bool(words & INSIDE) and not marked, name in FRAME and not (name == "header" and inside), marked
+def _named(attributes: str) -> list[list[str]]:
+    """The names in an element's class, id and role, each as its lower-case words."""
+    names = (n for m in _NAMES.finditer(attributes) for x in m.groups() if x for n in x.split()) if attributes else ()
+    return [words for n in names if (words := [w.lower() for w in _WORD.findall(n)])]
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(attributes) and bool(_STYLED.search(attributes) or _HIDDEN.search(_VALUES.sub("''", attributes)))
+
+
+def _beside(element: str, words: list[str]) -> bool:
+    """Whether a name marks an element as something beside the article."""
+    if words[0] in HAVING or len(words) > 1 and words[-1] in STATE:
+        return False
+    if element in ARTICLE:
+        return len(words) == 1 and words[0] in ALONE
+    found = AROUND.intersection(words)
+    if "related" in found and not LISTED.issuperset(words):
+        found = found - {"related"}
+    if "header" in found and INSIDE.intersection(words):  # an article's own head
+        found = found - {"header"}
+    return bool(found) or element != "section" and bool(THREAD.intersection(words))
+
+
+def _marks(element: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Of an element: whether it opens an article, frames one, or is marked as something beside it, or hidden."""
+    names = _named(attributes)
+    marked = _hidden(attributes) or any(_beside(element, words) for words in names)
+    opens = element in ARTICLE or not marked and any(INSIDE.intersection(words) for words in names)
+    return opens, element in FRAME and not (element == "header" and inside), marked
+
+
+def _phrase(attributes: str) -> bool:
+    """Whether a phrase in a line is an advert or hidden."""
+    return bool(attributes) and (any(len(w) == 1 and w[0] in ALONE - {"comment", "related"} for w in _named(attributes)) or _hidden(attributes))
 
 
 def _tags(html: str) -> list[tuple[int, int, bool, str, str]]:
@@ -97,8 +141,10 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
     parts: list[str] = []
     linked: list[str] = []
     depth = 0
+    skipped: list[str] = []  # open phrases that are left out, and what of their name is open in them
 
     def flush():
+        skipped.clear()
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1] if stack else ("", False, False, False)
@@ -114,7 +160,7 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
                 return
 
     def add(text):
-        if text:
+        if text and not skipped:
             text = unescape(text)
             parts.append(text)
             if depth:
@@ -126,8 +172,14 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
         at = stop
         if not name:
             continue
+        if name in INLINE and name not in VOID:
+            if skipped and name == skipped[0]:
+                skipped.pop() if closes else skipped.append(name)
+                continue
+            if not closes and not skipped and _phrase(attributes):
+                skipped.append(name)
         if name == "a":
-            depth = 0 if closes else 1
+            depth = 0 if closes or skipped else 1
             continue
         if name == "br":
             parts.append(" ")
@@ -148,7 +200,7 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
             _, inside, framed, marked = stack[-1] if stack else ("", False, False, False)
             opens, frames, marks = _marks(name, attributes, inside)
             # The main element is what a wrapper's marks stand beside.
-            marked = name != "main" and (marked or marks and name not in ROOTS)
+            marked = name != "main" and (marked or marks and name not in ROOTS or _hidden(attributes))
             stack.append((name, inside or opens, framed or frames, marked))
     add(html[at:])
     flush()

@@ -1,21 +1,23 @@
 """Secret scans over an incremental blob ledger.
 
 A blob is a whole text under its SHA-256. The ledger is a Parquet folder that says for which rule versions each blob
-was read already and what they found. A scan reads only blobs that lack the current version of some rule, appends what
-it finds and joins the findings back to all rows that hold a blob.
+was read already and what they found. A scan joins the ledger with the blobs' addresses, reads where they lie only the
+texts that lack the current version of some rule, appends what it finds and joins the findings back to all rows that
+hold a blob: to ids of documents as well as to every path and version of a history.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import chunks, read
-from foldwright.runtime import broadcast_if_small, checkpoint, ensure_checkpoint_dir
+from foldwright.runtime import broadcast_if_small, checkpoint, ensure_checkpoint_dir, written
 
 #: Rule name -> (version, pattern, the group that is measured, its least length). In report order.
 RULES = {
@@ -31,7 +33,7 @@ ORDER = {name: k for k, name in enumerate(RULES)}
 #: A ledger row: a blob, the "rule:version" pairs that one scan read it for, and what they found.
 FOUND = "array<struct<rule: string, start: bigint, stop: bigint>>"
 LEDGER = f"blob string, rules array<string>, found {FOUND}"
-#: Findings that may be broadcast to the rows: about 100 bytes each.
+#: Findings that may be broadcast to the rows, and addresses of unread blobs: about 100 bytes each.
 BROADCAST_FINDINGS = 100_000
 
 
@@ -57,35 +59,52 @@ def _current() -> list[str]:
 
 
 def unseen(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(blob, text, rules)``: each blob once, with the "rule:version" pairs that the ledger lacks; others not at all.
+    """``(blob, rules)``: each blob once, with the "rule:version" pairs that the ledger lacks; others not at all.
 
-    Copies are dropped before the shuffle as well as behind it, so a text that fills a third of the table is moved once
-    a task and read once.
+    Only addresses are moved; a blob that fills a third of the table is one address a task.
     """
     seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
-    blobs = address(docs.select(text_col), text_col).dropDuplicates(["blob"]).join(seen, "blob", "left")
-    current = F.array(*map(F.lit, _current()))
-    lacking = F.array_except(current, F.coalesce("seen", F.array().cast("array<string>")))
-    return blobs.select("blob", F.col(text_col).alias("text"), lacking.alias("rules")).where("size(rules) > 0")
+    blobs = address(docs.select(text_col), text_col).select("blob").distinct().join(seen, "blob", "left")
+    lacking = F.array_except(F.array(*map(F.lit, _current())), F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.select("blob", lacking.alias("rules")).where("size(rules) > 0")
+
+
+def unread(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(blob, text, rules)``: the rows whose blob lacks a rule. Copies of a blob are left to the reader to skip.
+
+    With an empty ledger that is every row as it lies, no address is compared; else rows are kept by their address, and
+    texts move only if more blobs are unread than may be broadcast.
+    """
+    rows = address(docs.select(F.col(text_col).alias("text")), "text")
+    if ledger.isEmpty():
+        return rows.select("blob", "text", F.array(*map(F.lit, _current())).alias("rules"))
+    todo = broadcast_if_small(written(unseen(docs, ledger, text_col)), BROADCAST_FINDINGS)
+    return rows.join(todo, "blob").select("blob", "text", "rules")
 
 
 def scan(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Appends to the ledger at ``path`` what it lacks of ``docs``; returns its current ``(blob, found)``, hits only."""
+    """Appends to the ledger at ``path`` what it lacks of ``docs``; returns its current ``(blob, found)``, hits only.
+
+    A task reads each blob once; what several tasks found in copies of one blob is one entry.
+    """
     spark = docs.sparkSession
     current = dict(RULES)  # goes to the tasks with the function
     kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
+        read_already: set[bytes] = set()  # 32 bytes for each blob of the partition
         for batch, texts in chunks(batches, "text"):
-            rules, found = batch.column("rules").to_pylist(), []
-            for text, names in zip(texts, rules):
-                names = [x.partition(":")[0] for x in names]
-                found.append([{"rule": n, "start": a, "stop": b} for n in names for a, b in find(text, current[n])])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("blob"), batch.column("rules"), pa.array(found, kind)], names=["blob", "rules", "found"]
-            )
-
-    fresh = unseen(docs, _table(spark, path, LEDGER), text_col).mapInArrow(run, LEDGER)
+            blobs, rules, taken, found = batch.column("blob").to_pylist(), batch.column("rules").to_pylist(), [], []
+            for i, (blob, text) in enumerate(zip(blobs, texts)):
+                if (told := bytes.fromhex(blob)) not in read_already:
+                    read_already.add(told)
+                    taken.append(i)
+                    names = [x.partition(":")[0] for x in rules[i]]
+                    found.append([{"rule": n, "start": a, "stop": b} for n in names for a, b in find(text, current[n])])
+            kept = batch.select(["blob", "rules"]).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, kind)], names=["blob", "rules", "found"])
+
+    fresh = unread(docs, _table(spark, path, LEDGER), text_col).mapInArrow(run, LEDGER).dropDuplicates(["blob"])
     fresh.write.mode("append").parquet(path)
     entries = _table(spark, path, LEDGER).where("size(found) > 0").select("blob", F.posexplode("rules").alias("k", "rule"), "found")
     # A finding counts where its scan was made with the rule's current version.
@@ -94,19 +113,20 @@ def scan(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return hits.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).where("size(found) > 0")
 
 
-def secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, blob, found)`` for each row of ``docs``, ``found`` an array of ``(rule, start, stop)`` by start and rule.
+def secrets(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``(*keep, blob, found)`` for each row of ``docs``, ``found`` an array of ``(rule, start, stop)`` by start and rule.
 
-    Null texts are empty; texts without secrets have an empty array; repeated rows give repeated results; an empty
-    table gives none. Further columns are ignored.
+    ``keep`` names a row: an id, or the path and the version of a history. Null texts are empty; texts without secrets
+    have an empty array; null ids are kept; repeated rows give repeated results; an empty table gives none. Further
+    columns are ignored.
     """
     found = broadcast_if_small(checkpoint(scan(docs, path, text_col)), BROADCAST_FINDINGS)
-    rows = address(docs.select(id_col, text_col), text_col).select(id_col, "blob")
+    rows = address(docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text")), "text").select("row", "blob")
     nothing = F.array().cast(FOUND)
     order = F.create_map(*[x for n, k in ORDER.items() for x in (F.lit(n), F.lit(k))])
     key = F.transform("found", lambda x: F.struct(x["start"], order[x["rule"]].alias("k"), x["rule"].alias("rule"), x["stop"]))
     ordered = F.transform(F.array_sort(key), lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return rows.join(found, "blob", "left").withColumn("found", F.coalesce("found", nothing)).select(id_col, "blob", ordered.alias("found"))
+    return rows.join(found, "blob", "left").withColumn("found", F.coalesce("found", nothing)).select("row.*", "blob", ordered.alias("found"))
 
 
 def new_ledger(spark: SparkSession) -> str:

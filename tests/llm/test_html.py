@@ -1,3 +1,6 @@
+import re
+from html import unescape
+
 import numpy as np
 import pytest
 
@@ -54,6 +57,25 @@ def test_marks_of_the_page_are_not_the_articles():
         assert html.main_text(page % f"<article><p>{LONG}</p></article><div class='sidebar'><p>{LONG} 2</p></div>", TREE) == LONG
 
 
+def test_marks_that_tell_what_a_page_has_empty_nothing():
+    for open_ in ("<div class='with-sidebar'>", "<article class='post comments-open'>", "<div class='related-work'>", "<div class='entry-header'>", "<article class='no-sharing has-comments'>"):
+        close = f"</{open_[1:].split()[0]}>"
+        for body in ("single has-sidebar", "no-header", "is-search"):
+            assert html.main_text(f"<body class='{body}'>{open_}<p>{LONG}</p><p>{LONG} 2</p>{close}</body>", TREE) == f"{LONG} {LONG} 2"
+
+
+def test_comments_adverts_and_hidden_text_are_left_out():
+    for name in ("class='related-posts'", "class=related", "id='discussion'", "class='comment-thread'", "style='color:red; display: none'", "hidden", "class='adSlot'"):
+        assert html.main_text(f"<article><p>{LONG}</p></article><div {name}><p>{LONG} 2</p></div>", TREE) == LONG
+    assert html.main_text(f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG} 2</p></article>", TREE) == LONG
+    assert html.main_text(f"<article><p>{LONG}</p><section class='discussion'><p>{LONG} 2</p></section></article>", TREE) == f"{LONG} {LONG} 2"
+    for phrase in ("<span class='ad'>Buy <span>now</span> this</span>", "<span hidden>no</span>", "<b style='visibility:hidden'>no</b>", "<a class=sponsored href=x>no</a>"):
+        assert html.main_text(f"<article><p>{LONG} {phrase} more</p><p>{LONG}</p></article>", TREE) == f"{LONG} more {LONG}"
+    assert html.main_text(f"<article title='the hidden truth' data-x='ad'><p>{LONG}</p></article>", TREE) == LONG
+    assert html.main_text(f"<article><p>{LONG} <span class='ad'>open</p><p>{LONG}</article>", TREE) == f"{LONG} {LONG}"
+    assert html.main_text(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", TREE) == f"{LONG} x=1 holds"
+
+
 def test_blocks_know_their_neighbours():
     got = html.blocks("<p>one two</p><p><a href=x>three four</a> five six</p><p>seven</p>")
     assert [t for t, _ in got] == ["one two", "three four five six", "seven"]
@@ -79,8 +101,11 @@ def test_edges(spark):
 
 
 def test_query_returns_the_articles(spark, data):
-    """The pages of the test tables hold whole documents below a title."""
+    """The pages of the test tables hold whole documents below a title: the title, then the document, and nothing else."""
     docs = {" ".join(r["text"].split()) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     rows = html.op5_html_extraction(spark, data).collect()
-    assert len(rows) == spark.read.parquet(f"{data}/pages.parquet").count()
-    assert all(r["n_chars"] == len(r["text"]) and any(r["text"].endswith(d) for d in docs) for r in rows)
+    assert len(rows) == len(pages)
+    for r in rows:
+        head = " ".join(unescape(re.search(r"<h1>(.*?)</h1>", pages[r["page_id"]], re.S)[1]).split())
+        assert r["n_chars"] == len(r["text"]) and r["text"].startswith(f"{head} ") and r["text"][len(head) + 1 :] in docs

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from foldwright.llm import secrets
 
 from .fixtures import EDGES, edge_table, empty_table
@@ -60,6 +62,33 @@ def test_ledger_reads_only_unseen_pairs(spark, tmp_path, monkeypatch):
     assert secrets.unseen(more, secrets._table(spark, path, secrets.LEDGER)).count() == 0
 
 
+def test_a_scan_moves_no_text(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(i, f"secret=abcdef{i % 7} " + "x" * 50) for i in range(50)], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for _ in range(2):
+            plan = secrets.unread(docs, secrets._table(spark, path, secrets.LEDGER))._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+            assert len(secrets.secrets(docs, path).where("size(found) = 1").collect()) == 50
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert spark.read.parquet(path).count() == 7  # the second scan found nothing to read
+    assert secrets.unread(docs, secrets._table(spark, path, secrets.LEDGER)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_a_history_is_read_version_by_version(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(secrets, "BROADCAST_FINDINGS", limit)
+    path, kind = str(tmp_path / "ledger"), "path string, version int, text string, blob string, row string"
+    first = [("a.env", 1, "token=1234567", "x", "y"), ("a.env", 2, "token removed", "x", "y"), ("b.env", 1, "token=1234567", "x", "y")]
+    later = [*first, ("b.env", 2, None, None, None), ("c.env", 1, "token=7654321", "x", "y"), (None, None, "token removed", "x", "y")]
+    for rows, entries in ((first, 2), (later, 4), (later, 4)):
+        got = secrets.secrets(spark.createDataFrame(rows, kind), path, keep=("path", "version")).collect()
+        assert {(r["path"], r["version"]): len(r["found"]) for r in got} == {r[:2]: int("=" in (r[2] or "")) for r in rows}
+        assert spark.read.parquet(path).count() == entries
+
+
 def test_edges(spark, tmp_path):
     got = secrets.secrets(edge_table(spark), str(tmp_path / "a")).collect()
     assert sorted((r["doc_id"], r["blob"]) for r in got if r["doc_id"] is not None) == sorted(
