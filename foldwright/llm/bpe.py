@@ -2,14 +2,16 @@
 
 Texts are cut into pre-tokens in blocks of some megabytes. A block keeps its documents as positions in the list of its
 own distinct words, so what is exploded and shuffled is each block's distinct words, not every occurrence: packed by a
-hash of the word into as many buckets as there are shuffle partitions. A bucket encodes each word of the whole corpus
-once and sends the ids back to the blocks that asked. There documents are put together by position, and decoded by a
-join with the token-byte table.
+hash of the word into buckets, of which there are as many as the input asks for. A bucket is read pack by pack, merges
+each word of the whole corpus once and sends the ids back to the blocks that asked. There documents are put together by
+position, and decoded by a join with the token-byte table, which is broadcast.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from foldwright.llm.common import chunks, read
 
 #: Characters of text in one block; a longer text is a block of its own.
 BLOCK = 8 << 20
+#: Bytes of text whose distinct words share a bucket, so that no task grows with the corpus.
+BUCKET = 64 << 20
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -137,29 +141,57 @@ def _asked(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "bucket int, block string, words binary")
 
 
-def _coded(asked: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``(of, bucket, ids)`` for each pack of words: their ids packed. A bucket merges each distinct word once."""
-    shared = asked.sparkSession.sparkContext.broadcast(ranks)
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: from single bytes on, the pair of neighbours with the least rank is joined, the first of
+    equals, until none has a rank. A heap holds the pairs; one whose parts were joined otherwise is stale."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by the start of each part
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        middle = after[i]
+        if middle < 0 or middle >= n or after[middle] != end:
+            continue
+        after[i], after[middle] = end, -1
+        if end < n:
+            before[end] = i
+            if (rank := ranks.get(word[i : after[end]])) is not None:
+                heapq.heappush(heap, (rank, i, after[end]))
+        if (k := before[i]) >= 0 and (rank := ranks.get(word[k:end])) is not None:
+            heapq.heappush(heap, (rank, k, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        import tiktoken
 
-        merge = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
-        known: dict[bytes, bytes] = {}
-        packs = []
-        for pack in table.column("words").to_pylist():
-            out = []
-            for word in _unpack(pack):
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = np.array(merge(word), np.uint32).tobytes()
-                out.append(ids)
-            lengths = np.fromiter(map(len, out), np.uint32, len(out)) // 4
-            ids = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T  # like bytes together
-            packs.append(zstandard.compress(np.uint32(len(out)).tobytes() + lengths.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + ids.tobytes(), 3))
-        return pa.table({"of": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(packs, pa.binary())})
+def _coded(asked: DataFrame, ranks: dict[bytes, int], buckets: int) -> DataFrame:
+    """``(of, bucket, ids)`` for each pack of words: their ids packed. Packs stream through the task of their bucket,
+    which keeps the words it has merged: at most those of BUCKET bytes of text or so."""
+    shared = asked.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        table, known = shared.value, {}
+        for batch in batches:
+            for block, bucket, pack in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words"))):
+                out = []
+                for word in _unpack(pack):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(merge(word, table), np.uint32).tobytes()
+                    out.append(ids)
+                lengths = np.fromiter(map(len, out), np.uint32, len(out)) // 4
+                ids = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T  # like bytes together
+                data = np.uint32(len(out)).tobytes() + lengths.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + ids.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([zstandard.compress(data, 3)], pa.binary())], names=["of", "bucket", "ids"]
+                )
 
-    return asked.groupBy("bucket").applyInArrow(run, "of string, bucket int, ids binary")
+    return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "of string, bucket int, ids binary")
 
 
 def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +226,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     ranks = {bytes(r["bytes"]): r["id"] for r in token_table(spark, path).collect()}  # bounded by the vocabulary file
     tokens = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / BUCKET))
     # One exchange serves both sides: the words on their way out and the documents that wait for the ids.
     blocks = _blocks(docs, pattern, n, id_col, text_col).repartition(n, "block")
-    back = _coded(_asked(blocks), ranks)
+    back = _coded(_asked(blocks), ranks, n)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -315,7 +315,10 @@ def average_hash(image: np.ndarray) -> str:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_bytes, media)``: each whole text as UTF-8 in JPEG frames. Null and empty: one padded unit."""
+    """``(id_col, n_bytes, media)``: each whole text as UTF-8 in JPEG frames. Null and empty texts: one padded unit.
+
+    Rows with a null id are kept; repeated rows give repeated results; an empty table gives none; other columns are ignored.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -329,21 +332,48 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
 
 
+#: What the parser and the decoder raise on bytes that aren't a baseline JPEG of one scan.
+_BROKEN = (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, MemoryError, struct.error)
+
+
+def _read(media: list[bytes | None]) -> list[tuple]:
+    """For each image what ``describe`` returns of it: nulls and an error where it can't be read."""
+
+    def one(data, made):
+        pixels = np.concatenate([x[2] for x in made])
+        size = made[0][0], sum(x[1] for x in made)
+        return (len(data), hashlib.sha256(data).hexdigest(), *size, average_hash(pixels), pixels.tobytes(), None)
+
+    if all(media):
+        try:
+            return [one(data, made) for data, made in zip(media, thumbnails(media))]
+        except _BROKEN:
+            pass  # one by one, to tell which it is
+    out = []
+    for data in media:
+        try:
+            out.append(one(data, thumbnails([data])[0]) if data else (None if data is None else 0, *[None] * 5, "no media"))
+        except _BROKEN as e:
+            out.append((len(data), hashlib.sha256(data).hexdigest(), *[None] * 4, f"{type(e).__name__}: {e}"))
+    return out
+
+
 def describe(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads the stored frames back: ``(id_col, n_bytes, media_bytes, media_sha256, width, height, thumbnail_hash,
-    payload)``, the payload being the thumbnails' pixels; height adds up over frames."""
+    payload, error)``, the payload being the thumbnails' pixels; height adds up over frames.
+
+    Null and empty media, and what is no baseline JPEG of one scan, have an ``error`` and nulls for what can't be told;
+    other rows of their task aren't touched. Repeated rows give repeated results, rows with a null id are kept, an empty
+    table gives none; other columns are ignored.
+    """
     kind = stored.schema[id_col].dataType.simpleString()
     ddl = (
         f"`{id_col}` {kind}, n_bytes bigint, media_bytes bigint, media_sha256 string, width bigint, height bigint, "
-        "thumbnail_hash string, payload binary"
+        "thumbnail_hash string, payload binary, error string"
     )
 
-    def one(media, made):
-        pixels = np.concatenate([x[2] for x in made])
-        return (len(media), hashlib.sha256(media).hexdigest(), made[0][0], sum(x[1] for x in made), average_hash(pixels), pixels.tobytes())
-
     def slices(batch):
-        sizes = [len(x) for x in batch.column("media").to_pylist()]
+        sizes = [len(x or b"") for x in batch.column("media").to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             held += n
@@ -352,18 +382,17 @@ def describe(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 start, held = i + 1, 0
 
     def run(batches):
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         for batch in batches:
             for part in slices(batch):
-                media = part.column("media").to_pylist()
-                rows = [one(m, t) for m, t in zip(media, thumbnails(media))]
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                rows = _read(part.column("media").to_pylist())
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), part.column("n_bytes"), *columns],
-                    names=[id_col, "n_bytes", "media_bytes", "media_sha256", "width", "height", "thumbnail_hash", "payload"],
+                    names=[id_col, "n_bytes", "media_bytes", "media_sha256", "width", "height", "thumbnail_hash", "payload", "error"],
                 )
 
-    return stored.mapInArrow(run, ddl)
+    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, ddl)
 
 
 def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

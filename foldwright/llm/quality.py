@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import chunks, per_row, read
-from foldwright.runtime import written
+from foldwright.runtime import broadcast_if_small, written
 
 #: Labelled rows that the model is fitted on, at most in expectation; more are thinned by a hash of the id.
 FIT_ROWS = 20_000
@@ -92,12 +92,16 @@ def features(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndar
     return np.hstack([np.sqrt(2 / WIDTH) * np.cos(z @ directions + shifts), np.ones((len(rows), 1))])
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Calibration by pooling adjacent violators: knots and non-decreasing levels, drawn in a little from 0 and 1."""
+def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Calibration by pooling adjacent violators: knots and non-decreasing levels, drawn in a little from 0 and 1.
+
+    ``y`` has the sum of labels at each ``x``, ``n`` how many there are, one each if not given.
+    """
+    n = np.ones(len(x)) if n is None else n
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # sum of y, of x, count
-    for a, b in zip(y[order], x[order]):
-        pools.append([float(a), float(b), 1.0])
+    for a, b, c in zip(y[order], x[order], n[order]):
+        pools.append([float(a), float(b * c), float(c)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][2] >= pools[-1][0] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last)]
@@ -106,8 +110,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows whose labels are never learnt from."""
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    """Rows whose labels are never learnt from; a null id has no labels and counts as not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def _fold(id_col: str):
@@ -121,7 +125,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, FIT_ROWS / max(1, n))
     kept = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True))
     kept = kept.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").withColumn("fold", _fold("doc_id"))
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(written(kept)), "doc_id").withColumn("fold", _fold("doc_id"))
+    rows = rows.dropDuplicates(["doc_id", "text"])
     return written(per_row(rows, "text", ["fold", "y"], "s array<double>", lambda x: (statistics(x),)))
 
 
@@ -167,8 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
             raw = np.where(fold == 0, x @ crossed[0], x @ crossed[2])
             yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column("y")], names=["raw", "y"])
 
-    raw = rows.mapInArrow(cross, "raw double, y double").toPandas()  # at most FIT_ROWS pairs or so
-    knots, levels = isotonic(raw["raw"].to_numpy(), raw["y"].to_numpy())
+    # Four places from -9 to 9 are 180,001 values at most, whatever the number of rows.
+    place = F.round(F.greatest(F.least("raw", F.lit(9.0)), F.lit(-9.0)), 4).alias("raw")
+    raw = rows.mapInArrow(cross, "raw double, y double").groupBy(place).agg(F.sum("y").alias("y"), F.count("*").alias("n")).toPandas()
+    knots, levels = isotonic(raw["raw"].to_numpy(), raw["y"].to_numpy(), raw["n"].to_numpy())
     return Model(centre, scale, both, knots, levels)
 
 
@@ -198,9 +205,10 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier accepts: score 0.5 or more."""
-    columns = docs.columns
-    return score(docs, fit(docs, labels)).where("score >= 0.5").select(columns)
+    """Documents that the classifier accepts: score 0.5 or more. Rows and columns stay as they are, one named ``score``
+    among them; null and empty texts are judged like any other, repeated rows alike; an empty table gives none."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return score(rows, fit(docs, labels)).where("score >= 0.5").select("row.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

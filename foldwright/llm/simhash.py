@@ -179,17 +179,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents with one row of each near-duplicate group: the least ``doc_id``, null last, and a hash of the text
     among rows that share it. The row is told by both, as ids may be null or repeated; of repeated rows one stays.
+    Null and empty texts are one group. Columns of any name stay as they are; an empty table gives none.
     """
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    known = fingerprints(docs.select("doc_id", "text", key.alias("_key")), keep=("_key",))
-    row = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key")
+    named = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    known = fingerprints(named, keep=("key",))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     distinct = checkpoint(known.groupBy("fp").agg(F.min(row).alias("least")))
     first = linked(distinct).groupBy("part").agg(F.min("least").alias("least")).select("least.*")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_name")
-    kept = checkpoint(first.select("_null", name, "_key"))
-    told = ["_null", "_name", "_key"]
-    rows = docs.select("*", docs["doc_id"].isNull().alias("_null"), name, key.alias("_key"))
-    return rows.join(kept.hint("merge"), told, "left_semi").dropDuplicates(told).select(docs.columns)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("name")
+    kept = checkpoint(first.select("unnamed", name("doc_id"), "key"))
+    told = ["unnamed", "name", "key"]
+    # The rows wait in one column, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").isNull().alias("unnamed"), name("row.doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("key"))
+    return rows.join(kept.hint("merge"), told, "left_semi").dropDuplicates(told).select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

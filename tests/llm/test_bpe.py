@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +10,7 @@ import tiktoken
 
 from foldwright.llm import bpe
 
-from .fixtures import EDGES, edge_table, empty_table
+from .fixtures import EDGES, edge_table, empty_table, prose
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,6 +30,26 @@ def test_positions_and_packs_round_trip():
     assert bpe._unpack(bpe._pack(words)) == words
 
 
+def test_merging(reference):
+    ranks = reference._mergeable_ranks
+    draw = random.Random(7)
+    words = ["a" * 3000, "ab" * 999, "\n" * 200, "漢字かな" * 50, "🇩🇪" * 9, "x", " the", "Donaudampfschifffahrt"]
+    words += ["".join(draw.choices("aehilnost ß漢é0", k=draw.randrange(1, 40))) for _ in range(2000)]
+    for word in words:
+        assert bpe.merge(word.encode(), ranks) == reference._encode_single_piece(word), word
+    start = time.time()
+    assert len(bpe.merge(b"abc" * 100_000, ranks)) > 1000 and time.time() - start < 10
+
+
+@pytest.mark.parametrize("bucket", [64 << 20, 200])
+def test_buckets_follow_the_input(spark, reference, monkeypatch, bucket):
+    monkeypatch.setattr(bpe, "BLOCK", 1000)
+    monkeypatch.setattr(bpe, "BUCKET", bucket)
+    texts = [prose(i, 60, 90) for i in range(40)]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), PATH, public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["ids"] for r in got.collect()} == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_ids_and_bytes(spark, reference, monkeypatch):
     texts = [t for _, t, _ in EDGES] + ["don't we'll  two  spaces\n\n\ttabs 12345 ½ Ⅷ x²", "a" * 3000, "<|endoftext|> é́ 𝔘𝔫𝔦", " ", "\n \n  x"]
     monkeypatch.setattr(bpe, "BLOCK", 2000)  # several blocks

@@ -125,3 +125,27 @@ def test_query(spark, data):
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(payload), zlib.crc32(payload[-32:]))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["media_sha256"] == hashlib.sha256(media.encode(texts[r["doc_id"]])).hexdigest()
+
+
+def test_what_cannot_be_read_has_an_error_and_spares_the_others(spark):
+    good = media.encode(b"some bytes")
+    broken = [None, b"", b"no image", good[:40], good[:-2], good[:2] + b"\xff\xc2" + good[4:], b"\xff\xd8\xff\xd9", good[: len(good) // 2] + b"\xff\xd9"]
+    rows = [(i, 10, m, "x", "y") for i, m in enumerate([good, *broken, good])]
+    got = media.describe(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary, payload string, error string")).orderBy("doc_id").collect()
+    assert len(got) == len(rows)
+    for r in (got[0], got[-1]):
+        assert bytes(r["payload"]) == media.pad(b"some bytes") and r["error"] is None and r["media_sha256"] == hashlib.sha256(good).hexdigest()
+    assert all(r["error"] and r["payload"] is None and r["thumbnail_hash"] is None for r in got[1:-1])
+
+
+def test_average_hash_equals_brute_force():
+    draw = np.random.default_rng(3)
+    for shape in ((24, 24), (1, 24), (8, 9), (3, 3), (100, 24)):
+        image = draw.integers(0, 256, shape).astype(np.uint8)
+        areas = []
+        for axis in shape:
+            starts = [min(k * axis // 8, axis - 1) for k in range(8)]
+            areas.append([range(a, max(b, a + 1)) for a, b in zip(starts, [*starts[1:], axis])])
+        means = np.array([[np.mean([[int(image[y, x]) for x in xs] for y in ys]) for xs in areas[1]] for ys in areas[0]])
+        want = "".join("1" if m > means.mean() else "0" for m in means.ravel())
+        assert media.average_hash(image) == f"{int(want, 2):016x}"

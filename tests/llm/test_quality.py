@@ -66,6 +66,39 @@ def test_missing_classes_give_a_constant(spark):
     assert {r["score"] for r in q.score(docs, 1.0).collect()} == {1.0}
 
 
+def test_columns_of_the_user_stay(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    more = docs.select("*", *(F.lit("kept").alias(c) for c in ("score", "row", "fold", "y", "s")))
+    kept = q.keep_good(more, labels)
+    assert kept.columns == more.columns and {tuple(r)[-5:] for r in kept.collect()} == {("kept",) * 5}
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in q.keep_good(docs, labels).collect()}
+    held = spark.createDataFrame([(None,), (1,)], "doc_id bigint").select(q.held_out().alias("h")).collect()
+    assert all(r["h"] in (True, False) for r in held)
+
+
+def test_repeated_ids_weigh_once(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = q.fit(docs, labels), q.fit(docs.union(docs).union(docs), labels.union(labels))
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.levels, b.levels)
+
+
+def test_isotonic_of_sums_equals_brute_force():
+    draw = np.random.default_rng(4)
+    x = np.round(draw.normal(size=200), 1)
+    y = (draw.random(200) < 1 / (1 + np.exp(-x))).astype(float)
+    at, of = np.unique(x, return_inverse=True)
+    sums, n = np.bincount(of, y), np.bincount(of)
+    knots, levels = q.isotonic(at, sums, n)
+    mean = lambda i, j: sums[i : j + 1].sum() / n[i : j + 1].sum()
+    fit = np.array([max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    want = []
+    for level in np.unique(np.round(fit, 12)):
+        own = np.round(fit, 12) == level
+        want.append(((at * n)[own].sum() / n[own].sum(), (sums[own].sum() + 0.5) / (n[own].sum() + 1)))
+    assert np.allclose(knots, [w[0] for w in want]) and np.allclose(levels, np.maximum.accumulate([w[1] for w in want]))
+
+
 def test_query_on_held_out_labels(spark):
     data = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in q.op6_quality_classifier(spark, data).collect()}

@@ -105,3 +105,18 @@ def test_one_large_group_of_copies(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert got.where("component_id = 0").count() == 500
     assert np.array_equal(sorted(r["component_id"] for r in got.where("doc_id >= 1000").collect()), list(range(1000, 1100)))
+
+
+def test_query_equals_brute_force(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    ids = sorted(texts)
+    fps = [brute_fingerprint(texts[i]) for i in ids]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op10_simhash_near_dedup(spark, data).collect()}
+    assert got == {i: (f"{f:016x}", c) for i, f, c in zip(ids, fps, brute_components(ids, fps))}
+
+
+def test_columns_of_the_user_stay(spark):
+    names = "unnamed name key row fp least part _null _name _key component_id".split()
+    rows = [(1, "one two three four", *["kept"] * len(names)), (2, "one two three four", *["kept"] * len(names)), (None, prose(1, 40), *[None] * len(names))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
