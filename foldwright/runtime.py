@@ -13,10 +13,13 @@ BROADCAST_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; set a local one only where none is named."""
+    """Use the shared folder named by ``spark.checkpoint.dir``. Where none is named, a local master gets a temporary one;
+    on a cluster that would be another folder on each machine, so it is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foldwright-checkpoint-"))
 
 
