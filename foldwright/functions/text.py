@@ -179,7 +179,8 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str = "text", ngram: int
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int, num_perm: int, seed: int) -> DataFrame:
-    """``(id_col, key, bands)``: a digest of each normalized text and its band keys, none for an empty text.
+    """``(id_col, key, size, bands)``: a digest of each normalized text, how many n-grams it has, and its band keys, none
+    for an empty text. Nulls raise.
 
     One pass: neither n-grams nor signatures leave the task.
     """
@@ -193,9 +194,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int,
                 [
                     part.column(id_col),
                     pa.array([_digest(k) for k in keys], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([f if len(s) else [] for f, s in zip(found, sets)], pa.list_(pa.int64())),
                 ],
-                names=[id_col, "key", "bands"],
+                names=[id_col, "key", "size", "bands"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, bands array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, bands array<bigint>")

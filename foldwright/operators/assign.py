@@ -1,8 +1,9 @@
 """Assigning whole groups to splits so that sizes and label shares meet their targets.
 
 Groups alike in size and label counts are one profile. Spark counts profiles; the driver decides how many groups of each
-go to each split; Spark ranks the groups of a profile by a seeded hash and deals them out. The driver's work grows with
-the number of different profiles, not with groups or rows.
+go to each split; Spark ranks the groups of a profile by a seeded hash and deals them out. Where there are more profiles
+than PROFILES, the most frequent keep their own and the others are put together by magnitude and first label, with
+their mean for a profile, so the driver's work is bounded whatever the groups.
 
 The objective adds up, over splits, the squared distance between a split's share of the rows and its ratio, and the same
 for each label, averaged over labels.
@@ -24,6 +25,8 @@ from foldwright.runtime import broadcast_if_small, checkpoint
 EPSILON, SWAP_GROUPS = 1e-12, 200
 #: Ranges of the hash in which the groups of a profile are ranked.
 RANGES = 1024
+#: Profiles of their own that the driver plans for.
+PROFILES = 20_000
 
 
 def check_ratios(ratios: Sequence[float]) -> list[float]:
@@ -74,6 +77,8 @@ class Plan:
         k, left = len(self.ratios), int(self.counts.sum())
         for p in order:
             share = np.floor(self.counts[p] * self.ratios + 1e-9).astype(np.int64)
+            if left - share.sum() < ((self.held == 0) & (share == 0)).sum():
+                share[:] = 0  # too few would be left for the empty ones
             for s in np.flatnonzero(share):
                 self.put(p, int(s), int(share[s]))
             left -= int(share.sum())
@@ -143,16 +148,21 @@ def assign_groups(
     pairs = F.sort_array(F.collect_list(F.when(F.col("_label").isNotNull(), F.struct("_label", "_n"))))
     sizes = base.groupBy("_g").agg(F.count("*").alias("_size"))
     groups = checkpoint(counted.groupBy("_g").agg(pairs.alias("_labels")).join(sizes, "_g"))
-    found = groups.groupBy("_size", "_labels").agg(F.count("*").alias("n")).orderBy("_size", "_labels").collect()
+    groups = _binned(groups)
+    found = groups.groupBy("_bin", "_kind").agg(F.count("*").alias("n"), F.avg("_size").alias("size")).orderBy("_bin", "_kind").collect()
     if not found:
         raise ValueError("there are no rows to assign")
-    names = sorted({x["_label"] for r in found for x in r["_labels"]})
+    each = groups.select("_bin", "_kind", F.explode("_labels").alias("x")).groupBy("_bin", "_kind", "x._label")
+    held = each.agg(F.sum("x._n").alias("n")).orderBy("_bin", "_kind", "_label").collect()
+    names = sorted({r["_label"] for r in held})
     at = {name: i + 1 for i, name in enumerate(names)}
+    row = {(r["_bin"], r["_kind"]): i for i, r in enumerate(found)}
     profiles = np.zeros((len(found), len(names) + 1))
     for i, r in enumerate(found):
-        profiles[i, 0] = r["_size"]
-        for x in r["_labels"]:
-            profiles[i, at[x["_label"]]] = x["_n"]
+        profiles[i, 0] = r["size"]
+    for r in held:
+        i = row[r["_bin"], r["_kind"]]
+        profiles[i, at[r["_label"]]] = r["n"] / found[i]["n"]
     counts = np.array([r["n"] for r in found])
     totals = np.maximum((profiles * counts[:, None]).sum(0), 1)
     rarity = (profiles / totals)[:, 1:].max(1) if names else np.zeros(len(found))
@@ -164,13 +174,28 @@ def assign_groups(
     return _dealt(groups, found, plan.given, seed).withColumnRenamed("_g", group_col)
 
 
+def _binned(groups: DataFrame) -> DataFrame:
+    """``groups`` with ``(_bin, _kind)``, which name a profile: a size and a hash of all labels with their counts, or, for
+    rare profiles where there are too many, a magnitude below zero and a hash of the first label."""
+    kind = F.xxhash64(F.to_json("_labels"))
+    exact = groups.select("*", F.col("_size").alias("_bin"), kind.alias("_kind"))
+    profiles = checkpoint(exact.groupBy("_bin", "_kind").agg(F.count("*").alias("_n")))
+    if profiles.count() <= PROFILES:
+        return exact
+    own = profiles.orderBy(F.desc("_n"), F.desc("_bin"), "_kind").limit(PROFILES).select("_bin", "_kind", F.lit(True).alias("_own"))
+    marked = exact.join(broadcast_if_small(checkpoint(own)), ["_bin", "_kind"], "left")
+    first = F.xxhash64(F.coalesce(F.get(F.col("_labels"), F.lit(0))["_label"], F.lit("")))
+    magnitude = -1 - F.floor(F.log2("_size")).cast("bigint")
+    keep = F.col("_own").isNotNull()
+    return checkpoint(marked.select("_g", "_labels", "_size", F.when(keep, F.col("_bin")).otherwise(magnitude).alias("_bin"), F.when(keep, F.col("_kind")).otherwise(first).alias("_kind")))
+
+
 def _dealt(groups: DataFrame, found: list, given: np.ndarray, seed: int) -> DataFrame:
     """The groups of each profile in the order of a seeded hash, cut at the planned numbers."""
     spark = groups.sparkSession
-    kind = groups.schema["_labels"].dataType.simpleString()
-    rows = [(i, r["_size"], [tuple(x) for x in r["_labels"]], np.cumsum(g).tolist()) for i, (r, g) in enumerate(zip(found, given))]
-    plan = spark.createDataFrame(rows, f"_p int, _size bigint, _labels {kind}, _till array<bigint>")
-    hashed = groups.join(broadcast_if_small(plan), ["_size", "_labels"]).select("_g", "_p", "_till", F.xxhash64("_g", F.lit(seed)).alias("_h"))
+    rows = [(i, r["_bin"], r["_kind"], np.cumsum(g).tolist()) for i, (r, g) in enumerate(zip(found, given))]
+    plan = spark.createDataFrame(rows, "_p int, _bin bigint, _kind bigint, _till array<bigint>")
+    hashed = groups.join(broadcast_if_small(plan), ["_bin", "_kind"]).select("_g", "_p", "_till", F.xxhash64("_g", F.lit(seed)).alias("_h"))
     hashed = checkpoint(hashed.withColumn("_r", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(RANGES)).cast("int")))
     sizes = hashed.groupBy("_p", "_r").agg(F.count("*").alias("_n"))
     begin = (F.sum("_n").over(W.partitionBy("_p").orderBy("_r")) - F.col("_n")).alias("_begin")

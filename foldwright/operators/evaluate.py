@@ -10,23 +10,41 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.operators.assign import assign_groups
 from foldwright.operators.audit import report
 from foldwright.operators.folds import random_split
+from foldwright.operators.groups import near_duplicate_groups
 from foldwright.operators.pairs import find_cross_duplicates
 from foldwright.runtime import checkpoint
 
 
-def random_leakage(df: DataFrame, id_col: str, text_col: str = "text", *, share: float = 0.8, threshold: float = 0.8, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
-    """``(seed, n_train, n_test, threshold, leaked, exact, fraction)`` of a random split for each seed."""
+def _leakage(df: DataFrame, id_col: str, text_col: str, threshold: float, placed: dict[int, DataFrame]) -> DataFrame:
+    """A report for each seed and its ``(id_col, split)``."""
     rows = []
-    for seed in seeds:
-        both = checkpoint(df.select(id_col, text_col).join(random_split(df, id_col, share, seed), id_col))
+    for seed, split in placed.items():
+        both = checkpoint(df.select(id_col, text_col).join(split, id_col))
         train, test = both.where("split = 'train'"), both.where("split = 'test'")
         found = checkpoint(find_cross_duplicates(train, test, id_col, text_col, threshold))
         rows.append(report(found, test, train, threshold).select(F.lit(seed).alias("seed"), "*"))
     return reduce(DataFrame.unionByName, rows)
 
 
+def random_leakage(df: DataFrame, id_col: str, text_col: str = "text", *, share: float = 0.8, threshold: float = 0.8, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """``(seed, n_train, n_test, threshold, leaked, exact, fraction)`` of a random split for each seed."""
+    return _leakage(df, id_col, text_col, threshold, {seed: random_split(df, id_col, share, seed) for seed in seeds})
+
+
+def split_leakage(df: DataFrame, id_col: str, text_col: str = "text", *, share: float = 0.8, threshold: float = 0.8, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """The same of splits that keep near-duplicates together; they are grouped once."""
+    near = checkpoint(near_duplicate_groups(df, id_col, text_col, threshold))
+    placed = {}
+    for seed in seeds:
+        found = assign_groups(near, [share, 1 - share], seed=seed)
+        named = F.when(F.col("split") == 0, "train").otherwise("test").alias("split")
+        placed[seed] = near.join(found, "group_id").select(id_col, named)
+    return _leakage(df, id_col, text_col, threshold, placed)
+
+
 def leakage_range(reports: DataFrame) -> DataFrame:
     """One row ``(mean, least, most, mean_exact)`` of the leaked shares of several reports."""
     exact = F.when(F.col("n_test") > 0, F.col("exact") / F.col("n_test")).otherwise(F.lit(0.0))

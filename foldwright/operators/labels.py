@@ -8,8 +8,10 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StringT
 
 
 def text_of(df: DataFrame, column: str) -> Column:
-    """A value as text: structs and maps as JSON, others cast."""
+    """A value as text: structs, arrays and maps as JSON, a map's entries in the order of their keys; others cast."""
     kind = df.schema[column].dataType
+    if isinstance(kind, MapType):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
     return F.to_json(column) if isinstance(kind, (StructType, MapType, ArrayType)) else F.col(column).cast("string")
 
 

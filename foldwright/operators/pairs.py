@@ -11,6 +11,9 @@ from foldwright.functions.text import check_threshold, jaccard_of, lsh_bands, no
 from foldwright.operators.components import connected_components
 from foldwright.runtime import checkpoint, written
 
+#: Texts of one bucket on either side of one join key; a larger bucket is dealt out as pairs of such tiles.
+TILE = 1024
+
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
     """``(left, right, similarity)`` of the candidate pairs ``(left, right)`` that reach the threshold.
@@ -40,19 +43,41 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, t
 
 
 def unique_sketches(df: DataFrame, id_col: str, text_col: str, threshold: float, ngram: int, num_perm: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(rows, uniques)``: ``(id_col, uid)`` for each row, and ``(uid, bands)`` for each distinct normalized text, ``uid``
-    being its least id. Written once; copies are put together before anything is compared."""
+    """``(rows, uniques)``: ``(id_col, uid)`` for each row, and ``(uid, size, bands)`` for each distinct normalized text,
+    ``uid`` being its least id. Written once; copies are put together before anything is compared."""
     bands, rows = lsh_bands(threshold, num_perm)
     made = written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed))
     firsts = made.groupBy("key").agg(F.min(id_col).alias("uid"))
     uniques = checkpoint(firsts)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = made.join(uniques.repartition(n), "key").select(id_col, "uid", "bands")
-    return named.select(id_col, "uid"), named.where(F.col(id_col) == F.col("uid")).select("uid", "bands").dropDuplicates(["uid"])
+    named = made.join(uniques.repartition(n), "key").select(id_col, "uid", "size", "bands")
+    return named.select(id_col, "uid"), named.where(F.col(id_col) == F.col("uid")).select("uid", "size", "bands").dropDuplicates(["uid"])
 
 
 def _listed(uniques: DataFrame) -> DataFrame:
-    return uniques.select("uid", F.posexplode("bands").alias("band", "key"))
+    return uniques.select("uid", "size", F.posexplode("bands").alias("band", "key"))
+
+
+def met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of rows of both sides that share ``(band, key)`` and whose sets are alike enough in size to reach the
+    threshold; the columns of ``right`` but these get the prefix ``other_``.
+
+    A bucket of more than TILE rows is cut into tiles by a hash, and a tile of the left meets each of the right under a
+    key of its own, so no join key holds more than TILE rows of a side, whatever the bucket holds.
+    """
+    bucket = ["band", "key"]
+    sizes = [df.groupBy(*bucket).agg(F.count("*").alias("n")) for df in (left, right)]
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    both = sizes[0].join(sizes[1].withColumnRenamed("n", "m"), bucket).select(*bucket, tiles("n").alias("a"), tiles("m").alias("b"))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = checkpoint(both).repartition(n)
+    own = lambda c: F.pmod(F.xxhash64("uid"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    more = [c for c in right.columns if c not in bucket]
+    ours = left.join(both, bucket).select(*left.columns, own("a").alias("i"), every("b").alias("j"))
+    theirs = right.join(both, bucket).select(*bucket, *(F.col(c).alias(f"other_{c}") for c in more), every("a").alias("i"), own("b").alias("j"))
+    alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9
+    return ours.join(theirs, [*bucket, "i", "j"]).where(alike)
 
 
 def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5, num_perm: int = 128, seed: int = 0) -> DataFrame:
@@ -62,9 +87,10 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: flo
     """
     threshold = check_threshold(threshold)
     _, uniques = unique_sketches(df, id_col, text_col, threshold, ngram, num_perm, seed)
-    listed = checkpoint(_listed(uniques))
-    other = listed.select(F.col("uid").alias("other"), "band", "key")
-    pairs = listed.join(other, ["band", "key"]).where("uid < other").select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct()
+    listed = _listed(uniques)
+    several = listed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    listed = checkpoint(listed.join(several, ["band", "key"]))
+    pairs = met(listed, listed, threshold).where("uid < other_uid").select(F.col("uid").alias("left"), F.col("other_uid").alias("right")).distinct()
     return verified(pairs, df, df, id_col, text_col, ngram, threshold)
 
 
@@ -82,12 +108,11 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
     parts = checkpoint(connected_components(first))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = shared.join(parts.repartition(n), F.col("uid") == F.col("node"), "left")
-    placed = placed.select("band", "key", "uid", F.coalesce("component", "uid").alias("part"))
+    placed = placed.select("band", "key", "uid", "size", F.coalesce("component", "uid").alias("part"))
     mixed = placed.groupBy("band", "key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("band", "key")
     placed = checkpoint(placed.join(mixed.repartition(n), ["band", "key"]))
-    other = placed.select("band", "key", F.col("uid").alias("other"), F.col("part").alias("other_part"))
-    rest = placed.join(other, ["band", "key"]).where("uid < other and part <> other_part")
-    rest = rest.select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct().join(stars, ["left", "right"], "left_anti")
+    rest = met(placed, placed, threshold).where("uid < other_uid and part <> other_part")
+    rest = rest.select(F.col("uid").alias("left"), F.col("other_uid").alias("right")).distinct().join(stars, ["left", "right"], "left_anti")
     more = checkpoint(verified(rest, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
     return parts if more.isEmpty() else checkpoint(connected_components(first.unionByName(more)))
 
@@ -143,9 +168,9 @@ def find_cross_duplicates(
         if exact:
             pairs = _prefix_cross(train, test, left, right, id_col, text_col, ngram, threshold)
         else:
-            a = left.select("train_id", F.posexplode("bands").alias("band", "k"))
-            b = right.select("test_uid", F.posexplode("bands").alias("band", "k"))
-            pairs = a.join(b, ["band", "k"]).select(F.col("train_id").alias("left"), F.col("test_uid").alias("right")).distinct()
+            a = checkpoint(_listed(left.withColumnRenamed("train_id", "uid")))
+            b = checkpoint(_listed(right.withColumnRenamed("test_uid", "uid")))
+            pairs = met(a, b, threshold).select(F.col("uid").alias("left"), F.col("other_uid").alias("right")).distinct()
         near = verified(pairs, train, test, id_col, text_col, ngram, threshold)
         first = near.groupBy("right").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "left")).alias("b"))
         near = right.join(first, right["test_uid"] == first["right"]).select("key", F.col("b.left").alias("train_id"), (-F.col("b.s")).alias("similarity"))

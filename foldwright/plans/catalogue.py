@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.functions.text import normalize_native, normalize_text, shingle_sets
 from foldwright.operators import assign, audit, evaluate, folds, groups, labels, pairs, summary
-from foldwright.runtime import checkpoint
+from foldwright.runtime import checkpoint, ensure_checkpoint_dir
+from foldwright.sources import io
 
 THRESHOLD, NGRAM = 0.8, 5
 RATIOS = {"train": 0.8, "test": 0.2}
@@ -31,10 +34,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt over the cores: small files arrive as one partition."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    n = spark.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Pieces of SQL. A normalized text is a key; keys have character 5-grams (a shorter key is one), and similar pairs.
@@ -319,17 +319,20 @@ def random_split_leakage(spark, sf_dir):
     return audit.report(found, test, train, THRESHOLD)
 
 
+SEEDS = (0, 1, 2, 3, 4)
+
+
 def _seed_sql(seed: int) -> str:
     cut = RANDOM.replace("'0:'", f"'{seed}:'")
     return f"SELECT n_test, exact, fraction FROM (WITH {cut}, {cross_sql('SELECT id, text FROM cut WHERE t', 'SELECT id, text FROM cut WHERE NOT t', THRESHOLD)} {REPORT.format(t=THRESHOLD)})"
 
 
 @query(
-    f"WITH s AS ({_seed_sql(1)} UNION ALL {_seed_sql(2)}) SELECT round(avg(fraction), 9) AS mean, min(fraction) AS least, max(fraction) AS most, "
+    f"WITH s AS ({' UNION ALL '.join(map(_seed_sql, SEEDS))}) SELECT round(avg(fraction), 9) AS mean, min(fraction) AS least, max(fraction) AS most, "
     "round(avg(exact / n_test), 9) AS mean_exact FROM s"
 )
 def random_leakage_range(spark, sf_dir):
-    found = evaluate.leakage_range(evaluate.random_leakage(table(spark, sf_dir, "documents"), "doc_id", seeds=(1, 2)))
+    found = evaluate.leakage_range(evaluate.random_leakage(table(spark, sf_dir, "documents"), "doc_id", seeds=SEEDS))
     return found.select(F.round("mean", 9).alias("mean"), "least", "most", F.round("mean_exact", 9).alias("mean_exact"))
 
 
@@ -374,3 +377,85 @@ def post_split_leaks(spark, sf_dir):
     both = checkpoint(docs.join(assign_splits(spark, sf_dir), "doc_id"))
     found = pairs.find_cross_duplicates(both.where("split = 'train'"), both.where("split = 'test'"), "doc_id", threshold=THRESHOLD)
     return found.agg(F.count("*").alias("leaked"))
+
+
+@query(f"{NEAR} SELECT group_id, count(*) AS n_rows, 1::BIGINT AS n_splits FROM grouped GROUP BY group_id")
+def assign_groups_kept(spark, sf_dir):
+    """Every group of the corpus with its rows and in how many splits they are."""
+    near = checkpoint(near_duplicate_groups(spark, sf_dir))
+    both = near.join(assign_splits(spark, sf_dir), "doc_id")
+    return both.groupBy("group_id").agg(F.count("*").alias("n_rows"), F.count_distinct("split").alias("n_splits"))
+
+
+@query(f"{NEAR} SELECT doc_id, group_id, 1::BIGINT AS n_test, 4::BIGINT AS n_train, 1::BIGINT AS n_folds_of_group FROM grouped")
+def kfold_roles(spark, sf_dir):
+    """Every document is test in one of five folds and train in the others, and its group is in one fold."""
+    near = checkpoint(near_duplicate_groups(spark, sf_dir))
+    found = checkpoint(kfold_ids(spark, sf_dir))
+    of = near.join(found, "doc_id").groupBy("group_id").agg(F.count_distinct("fold").alias("n_folds_of_group"))
+    roles = folds.fold_membership(found, "doc_id", 5).groupBy("doc_id")
+    roles = roles.agg(F.count_if(F.col("role") == "test").alias("n_test"), F.count_if(F.col("role") == "train").alias("n_train"))
+    return near.join(of, "group_id").join(roles, "doc_id").select("doc_id", "group_id", "n_test", "n_train", "n_folds_of_group")
+
+
+@query(
+    "WITH t AS (SELECT c_mktsegment AS label, count(*) AS total FROM customer GROUP BY ALL) SELECT label, s::INTEGER AS split, total, true AS near FROM t, unnest(range(3)) u(s)"
+)
+def assign_label_shares(spark, sf_dir):
+    """Groups of one row with one label: each split has its share of each label, to less than one row a split."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.array("c_mktsegment").alias("labels"), F.col("c_mktsegment").alias("label"))
+    ratios = F.array(F.lit(0.7), F.lit(0.2), F.lit(0.1))
+    found = rows.join(assign.assign_groups(rows, [0.7, 0.2, 0.1], labels_col="labels"), "group_id").groupBy("label", "split").agg(F.count("*").alias("n"))
+    totals = rows.groupBy("label").agg(F.count("*").alias("total"))
+    near = F.abs(F.col("n") - F.col("total") * F.get(ratios, F.col("split"))) < 3
+    return found.join(totals, "label").select("label", "split", "total", near.alias("near"))
+
+
+@query("SELECT 0.0::DOUBLE AS mean, 0.0::DOUBLE AS most, 5::BIGINT AS n_seeds FROM (SELECT 1)")
+def engine_leakage_range(spark, sf_dir):
+    """The leak of the engine's own splits for the same seeds as ``random_leakage_range``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = evaluate.split_leakage(docs, "doc_id", seeds=SEEDS)
+    return found.agg(F.avg("fraction").alias("mean"), F.max("fraction").alias("most"), F.count("*").alias("n_seeds"))
+
+
+@query(
+    f"WITH {CROSS} SELECT n_train, n_test, leaked, exact, round(fraction, 9) AS fraction, leaked AS n_pairs, "
+    f"(SELECT round(sum(round(similarity, 4)), 6) FROM found) AS similarities FROM ({REPORT.format(t=THRESHOLD)})"
+)
+def report_json(spark, sf_dir):
+    """The JSON report, read back."""
+    train, test = sides(spark, sf_dir)
+    found = checkpoint(pairs.find_cross_duplicates(train, test, "doc_id", threshold=THRESHOLD))
+    text = audit.to_json(audit.report(found, test, train, THRESHOLD), found)
+    kind = "n_train bigint, n_test bigint, threshold double, leaked bigint, exact bigint, fraction double, pairs array<struct<test_id: bigint, train_id: bigint, similarity: double>>"
+    r = text.select(F.from_json("report", kind).alias("r")).select("r.*")
+    total = F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x["similarity"])
+    return r.select("n_train", "n_test", "leaked", "exact", F.round("fraction", 9).alias("fraction"), F.size("pairs").cast("bigint").alias("n_pairs"), F.round(total, 6).alias("similarities"))
+
+
+@query(
+    "WITH d AS (SELECT count(*) AS n_rows, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS n_chars, "
+    "sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS n_lines FROM documents) SELECT kind, d.* FROM d, unnest(['csv', 'tsv', 'jsonl', 'parquet']) u(kind)"
+)
+def file_round_trip(spark, sf_dir):
+    """The documents written in each format and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    found = []
+    for kind in ("csv", "tsv", "jsonl", "parquet"):
+        io.write_rows(docs, f"{folder}/documents.{kind}")
+        rows = io.read_rows(spark, f"{folder}/documents.{kind}")
+        lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+        sums = (F.sum(F.col("doc_id").cast("bigint")).alias("ids"), F.sum(F.length("text")).alias("n_chars"), F.sum(lines).alias("n_lines"))
+        found.append(rows.agg(F.count("*").alias("n_rows"), *sums).select(F.lit(kind).alias("kind"), "n_rows", "ids", "n_chars", "n_lines"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query()
+def cross_validation(spark, sf_dir):
+    """A plain classifier of the labels' quality over folds that keep near-duplicates together."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
+    found = checkpoint(folds.NearDupKFold(3).fold_ids(rows, "doc_id", label_cols=("quality",)))
+    return evaluate.cross_validate(rows, found, "doc_id", "quality")

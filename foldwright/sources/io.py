@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from foldwright.runtime import checkpoint
+
 #: Suffix -> kind of file.
 KINDS = {".csv": "csv", ".tsv": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".parquet": "parquet"}
 
@@ -32,7 +36,7 @@ def _file(spark: SparkSession, path: str):
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows and columns of a file or a folder of files. CSV and TSV fields are strings, an empty one is "".
 
-    A missing path is a FileNotFoundError; broken JSON and lines that are no objects fail when the rows are read.
+    A missing path is a FileNotFoundError; broken JSON is a ValueError, which names the line in JSON Lines.
     """
     kind = kind_of(path)
     name, system = _file(spark, path)
@@ -43,13 +47,43 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
         return df.na.fill("")
     if kind == "parquet":
         return spark.read.parquet(path)
-    return spark.read.options(mode="FAILFAST", multiLine=kind == "json").json(path)
+    try:
+        df = spark.read.options(mode="FAILFAST", multiLine=kind == "json").json(path)
+    except (PySparkException, Py4JJavaError) as error:
+        n = broken_line(spark, path) if kind == "jsonl" else None
+        raise ValueError(f"{path}{'' if n is None else f':{n}'}: no JSON object") from error
+    if kind == "jsonl" and not df.columns and (n := broken_line(spark, path)) is not None:
+        raise ValueError(f"{path}:{n}: no JSON object")
+    return df
+
+
+def broken_line(spark: SparkSession, path: str) -> int | None:
+    """The number, from 1, of the first line that is neither blank nor a JSON object."""
+    lines = with_row_id(spark.read.text(path), "line")
+    bad = (F.trim("value") != "") & (F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{"))
+    first = lines.where(bad).agg(F.min("line").alias("n")).first()["n"]
+    return None if first is None else first + 1
 
 
 def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """``df`` with the place of each row in reading order, from 0. Needs one pass to count partitions; no shuffle."""
-    schema = StructType.fromJson(df.schema.jsonValue()).add(out, "long")
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """``df`` with the place of each row in reading order, from 0.
+
+    Rows are written once with their partition and their place in it; a row for each partition says where it begins.
+    """
+    named = "place"
+    while named in df.columns or named == out:
+        named += "_"
+    placed = checkpoint(df.withColumn(named, F.monotonically_increasing_id()))  # partition * 2 ** 33 + place
+    part = F.shiftright(named, 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
+    begins, total = {}, 0
+    for r in sizes:
+        begins[r["part"]], total = total, total + r["n"]
+    spark = df.sparkSession
+    known = spark.createDataFrame(list(begins.items()), "part bigint, begin bigint")
+    rows = placed.select(F.struct(*df.columns).alias("row"), part.alias("part"), F.col(named).bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    numbered = rows.join(F.broadcast(known), "part")
+    return numbered.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c != out), (F.col("begin") + F.col("at")).alias(out))
 
 
 def from_values(spark: SparkSession, values, text_col: str = "text", out: str = "row_id") -> DataFrame:
@@ -66,7 +100,8 @@ def from_values(spark: SparkSession, values, text_col: str = "text", out: str =
 def write_rows(df: DataFrame, path: str, *, single: bool = False) -> None:
     """Writes ``df`` by the suffix of ``path``: a folder of part files, or one file with ``single``, for small results.
 
-    The rows are written beside the target first, so a file may be written over what it was read from. CSV and TSV have
+    The rows are written beside the target, then take its place, and only then the old ones go: a file may be written
+    over what it was read from, and what was there outlives a write that fails. CSV and TSV have
     nested values as JSON; JSON keeps non-ASCII characters; a ``.json`` file is an array and always a single file.
     """
     kind = kind_of(path)
@@ -96,12 +131,24 @@ def write_rows(df: DataFrame, path: str, *, single: bool = False) -> None:
 
         objects.coalesce(1).mapInArrow(bracketed, "value string").write.text(aside)
     source, system = _file(spark, aside)
-    target, _ = _file(spark, path)
+    made = source
+    if single:
+        made = next(s.getPath() for s in system.listStatus(source) if s.getPath().getName().startswith("part-"))
+    _replace(spark, system, made, path)
     if single:
-        found = [s.getPath() for s in system.listStatus(source) if s.getPath().getName().startswith("part-")]
-        system.delete(target, True)
-        system.rename(found[0], target)
         system.delete(source, True)
-    else:
-        system.delete(target, True)
-        system.rename(source, target)
+
+
+def _replace(spark: SparkSession, system, made, path: str) -> None:
+    """Moves ``made`` to ``path``; what is there steps aside first and comes back if that fails."""
+    target, _ = _file(spark, path)
+    old, _ = _file(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")
+    there = system.exists(target)
+    if there and not system.rename(target, old):
+        raise OSError(f"{path}: cannot be replaced")
+    if not system.rename(made, target):
+        if there:
+            system.rename(old, target)
+        raise OSError(f"{path}: cannot be written")
+    if there:
+        system.delete(old, True)

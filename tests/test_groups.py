@@ -159,3 +159,26 @@ def test_labels(spark):
     rows = df.select(F.lit(1).alias("group_id"), labels.label_sets(df, "many").alias("labels"))
     assert [tuple(r) for r in labels.group_label_counts(rows).collect()] == [(1, "a", 1)]
     assert [tuple(r) for r in labels.group_rarity(rows).collect()] == [(1, 1.0)]
+
+
+@pytest.mark.parametrize("tile", [1, 3, 10_000])
+def test_hot_buckets_are_dealt_out_in_tiles(spark, monkeypatch, tile):
+    """Every pair of a bucket meets once, whatever the size of the tiles, and no key holds more than a tile's rows."""
+    monkeypatch.setattr(pairs, "TILE", tile)
+    draw = random.Random(2)
+    left = [(i, draw.randrange(50, 100), 0, draw.choice([7, 7, 7, 8])) for i in range(60)]
+    right = [(i, draw.randrange(50, 100), 0, draw.choice([7, 7, 9])) for i in range(40)]
+    frames = [spark.createDataFrame(x, "uid bigint, size bigint, band int, key bigint") for x in (left, right)]
+    got = sorted((r["uid"], r["other_uid"]) for r in pairs.met(*frames, 0.8).select("uid", "other_uid").collect())
+    assert got == sorted((a[0], b[0]) for a in left for b in right if a[3] == b[3] and min(a[1], b[1]) >= 0.8 * max(a[1], b[1]))
+
+
+def test_groups_do_not_depend_on_tiles(spark, monkeypatch):
+    df = table(spark, [x for s in range(4) for x in edited(s, 25)] + SPAM)
+    want = ids(groups.near_duplicate_groups(df, "id"))
+    links = sorted(map(tuple, pairs.lsh_pairs(df, "id").collect()))
+    cross = sorted(map(tuple, pairs.find_cross_duplicates(df.where("id % 3 > 0"), df.where("id % 3 = 0"), "id").collect()))
+    monkeypatch.setattr(pairs, "TILE", 4)
+    assert ids(groups.near_duplicate_groups(df, "id")) == want
+    assert sorted(map(tuple, pairs.lsh_pairs(df, "id").collect())) == links
+    assert sorted(map(tuple, pairs.find_cross_duplicates(df.where("id % 3 > 0"), df.where("id % 3 = 0"), "id").collect())) == cross

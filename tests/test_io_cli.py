@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldwright import cli
+from foldwright.operators import labels
 from foldwright.sources import io
 
 ROWS = [
@@ -71,32 +73,65 @@ def test_row_ids_follow_the_file(spark, tmp_path):
     assert [r["text"] for r in io.with_row_id(io.read_rows(spark, path)).orderBy("row_id").collect()] == [r[0] for r in ROWS]
 
 
-def test_split_then_audit(spark, tmp_path, capsys):
-    path, out = write(tmp_path / "a.jsonl", ROWS), str(tmp_path / "out.jsonl")
-    assert cli.main(["split", path, "-o", out, "--label-field", "label", "--group-field", "thread", "--ratios", "train=0.7,test=0.3"], spark) == 0
-    assert "10 rows in 6 groups" in capsys.readouterr().out
-    rows = [json.loads(x) for x in open(out)]
-    assert [r["text"] for r in rows] == [r[0] for r in ROWS] and {r["split"] for r in rows} == {"train", "test"}
-    split = {r["text"]: r["split"] for r in rows}
-    assert split[ROWS[0][0]] == split[ROWS[1][0]] == split[ROWS[2][0]] and split[ROWS[5][0]] == split[ROWS[6][0]]
-    assert cli.main(["audit", out], spark) == 0
-    assert "0 (0.0%)" in capsys.readouterr().out
+def parts(path):
+    return [json.loads(x) for f in sorted(path.glob("part-*.json")) for x in f.read_text().splitlines()]
+
+
+@pytest.mark.parametrize("single", [False, True])
+@pytest.mark.parametrize("more,column,names", [([], "split", {"train", "test"}), (["--folds", "3"], "fold", {0, 1, 2}), (["--ratios", "a=0.5,b=0.5", "--column", "to"], "to", {"a", "b"})])
+def test_a_split_file_has_no_leak(spark, tmp_path, capsys, more, column, names, single):
+    """Whatever the target: rows keep their order and fields, what belongs together stays, and an audit finds nothing."""
+    source, out = write(tmp_path / "rows.jsonl", ROWS), tmp_path / "out.jsonl"
+    args = ["split", source, "-o", str(out), "--label-field", "label", "--group-field", "thread", *more, *["--single"] * single]
+    assert cli.main(args, spark) == 0
+    said = capsys.readouterr().out
+    assert "6 groups" in said and all(f"\n  {n}" in said for n in names)
+    rows = [json.loads(x) for x in out.read_text().splitlines()] if single else parts(out)
+    assert [(r["text"], r["label"], r["thread"]) for r in rows] == ROWS and {r[column] for r in rows} == names
+    place = [r[column] for r in rows]
+    assert place[0] == place[1] == place[2] and place[3] == place[4] and place[5] == place[6]
+    for one in names:
+        rest = ",".join(str(n) for n in names - {one})
+        assert cli.main(["audit", str(out), "--split-field", column, "--train", rest, "--test", str(one)], spark) == 0
+
+
+def test_an_audit_says_what_leaks(spark, tmp_path, capsys):
+    train, test = write(tmp_path / "old.jsonl", ROWS[2:5]), write(tmp_path / "new.jsonl", [ROWS[4], ROWS[7], ROWS[3], ROWS[9], ROWS[0]])
+    codes = [cli.main(["audit", train, test, "--max-leak", str(x)], spark) for x in (0.0, 0.39, 0.4, 1.0)]
+    assert codes == [1, 1, 0, 0]
+    said = capsys.readouterr().out
+    assert "5 test rows against 3 train rows" in said and "leaked: 2 (40.0%)" in said and "Third one" in said
+    assert cli.main(["audit", train, test, "--json", "--max-leak", "1"], spark) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert [p["test"] for p in report["pairs"]] == [0, 2] and report["exact"] == 2 and report["n_train"] == 3
 
 
-def test_audit_of_two_files(spark, tmp_path, capsys):
-    train, test = write(tmp_path / "a.jsonl", ROWS[:6]), write(tmp_path / "b.jsonl", [ROWS[1], ROWS[8]])
-    assert cli.main(["audit", train, test], spark) == 1
-    assert "1 (50.0%)" in capsys.readouterr().out
-    assert cli.main(["audit", train, test, "--max-leak", "0.5", "--json"], spark) == 0
-    report = json.loads(capsys.readouterr().out)
-    assert (report["leaked"], report["fraction"], report["pairs"][0]["test"]) == (1, 0.5, 0)
+def test_a_failed_write_keeps_what_was_there(spark, tmp_path):
+    path = tmp_path / "kept.jsonl"
+    io.write_rows(spark.range(3), str(path))
+    broken = spark.range(3).select(F.raise_error(F.lit("broken on purpose")).alias("x"))
+    with pytest.raises(Exception, match="on purpose"):
+        io.write_rows(broken, str(path))
+    assert io.read_rows(spark, str(path)).count() == 3 and not list(tmp_path.glob("*.old"))
+
+
+def test_row_ids_of_many_partitions(spark):
+    df = spark.range(1000, numPartitions=7).withColumnRenamed("id", "place").withColumn("row_id", F.lit("mine"))
+    got = io.with_row_id(df, "n").collect()
+    assert sorted((r["n"], r["place"]) for r in got) == [(i, i) for i in range(1000)] and got[0]["row_id"] == "mine"
+    assert io.with_row_id(spark.createDataFrame([], "a int")).count() == 0
+
+
+def test_a_broken_line_is_named(spark, tmp_path):
+    for lines, n in ((['{"a": 1}', "", '{"a": ', '{"a": 2}'], 3), (['{"a": 1}', "[1]"], 2), (["nonsense"], 1)):
+        (tmp_path / "b.jsonl").write_text("\n".join(lines) + "\n")
+        with pytest.raises(ValueError, match=f"b.jsonl:{n}"):
+            io.read_rows(spark, str(tmp_path / "b.jsonl")).collect()
 
 
-def test_folds_to_csv(spark, tmp_path, capsys):
-    path, out = write(tmp_path / "a.jsonl", ROWS), str(tmp_path / "out.csv")
-    assert cli.main(["split", path, "-o", out, "--folds", "3", "--label-field", "label"], spark) == 0
-    got = io.read_rows(spark, out)
-    assert {r["fold"] for r in got.collect()} == {"0", "1", "2"} and got.count() == 10
+def test_maps_with_equal_entries_are_equal_keys(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1)")
+    assert df.select(labels.group_key(df, "m").alias("k")).distinct().count() == 1
 
 
 @pytest.mark.parametrize(
