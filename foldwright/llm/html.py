@@ -1,7 +1,7 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a list of blocks with their word counts, link densities, those of the neighbours and a few marks of the
-elements around them. A decision tree, grown from a small labelled table, says which blocks belong to the article.
+elements around them. A decision tree, grown from the blocks of small labelled pages, says which belong to the article.
 """
 
 from __future__ import annotations
@@ -208,54 +208,64 @@ def blocks(html: str) -> list[tuple[str, tuple]]:
     for k, (text, words, links, inside, framed, marked) in enumerate(found):
         before = found[k - 1] if k else ["", 0, 0]
         after = found[k + 1] if k + 1 < len(found) else ["", 0, 0]
-        density = lambda x: x[2] / x[1] if x[1] else 0.0
+        density = lambda x: min(1.0, x[2] / x[1]) if x[1] else 0.0
         out.append((text, (words, density(found[k]), before[1], density(before), after[1], density(after), int(inside), int(framed), int(marked))))
     return out
 
 
-#: The labelled table: FEATURES, then 1 for a block of the article.
-LABELLED = (
-    # paragraphs and headings of articles, long and short
-    (60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 0, 1), (45, 0.0, 60, 0.0, 30, 0.0, 1, 0, 0, 1), (1, 0.0, 50, 0.0, 1, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 1, 0.0, 80, 0.0, 1, 0, 0, 1), (8, 0.0, 12, 0.0, 60, 0.0, 1, 0, 0, 1), (25, 0.1, 30, 0.0, 12, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 14, 0.0, 1, 0, 0, 1), (120, 0.05, 4, 0.0, 9, 0.5, 1, 0, 0, 1), (5, 0.0, 6, 1.0, 33, 0.0, 1, 0, 0, 1),
-    (14, 0.3, 22, 0.0, 18, 0.1, 1, 0, 0, 1), (6, 0.0, 7, 0.0, 8, 0.0, 1, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 1),
-    (4, 1.0, 60, 0.0, 55, 0.0, 1, 0, 0, 1), (9, 0.6, 35, 0.0, 40, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0, 1), (2, 0.0, 3, 1.0, 12, 0.0, 1, 0, 0, 1), (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
-    (8, 0.0, 1, 1.0, 20, 0.0, 1, 0, 0, 1), (10, 0.0, 4, 0.0, 2, 1.0, 1, 0, 0, 1), (6, 0.0, 0, 0.0, 9, 0.0, 1, 0, 0, 1),
-    (9, 0.0, 3, 0.0, 1, 1.0, 1, 0, 0, 1), (20, 0.0, 4, 0.0, 5, 1.0, 1, 0, 0, 1), (12, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 50, 0.0, 2, 1.0, 1, 0, 0, 1), (25, 0.0, 40, 0.0, 4, 1.0, 1, 0, 0, 1), (7, 0.0, 2, 1.0, 1, 0.0, 1, 0, 0, 1),
-    (5, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 35, 0.0, 1, 0, 0, 1), (8, 0.0, 4, 1.0, 5, 0.0, 1, 0, 0, 1),
-    # paragraphs of pages that mark no article
-    (70, 0.0, 9, 0.0, 55, 0.0, 0, 0, 0, 1), (40, 0.0, 70, 0.0, 35, 0.05, 0, 0, 0, 1), (28, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 33, 0.0, 25, 0.0, 0, 0, 0, 1), (35, 0.0, 3, 1.0, 22, 0.0, 0, 0, 0, 1), (6, 0.0, 45, 0.0, 38, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 26, 0.0, 41, 0.0, 0, 0, 0, 1), (9, 0.0, 31, 0.0, 24, 0.0, 0, 0, 0, 1), (90, 0.1, 2, 0.0, 3, 0.0, 0, 0, 0, 1),
-    (40, 0.0, 55, 0.0, 4, 0.0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (14, 0.0, 20, 0.0, 9, 0.0, 0, 0, 0, 1),
-    (21, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 1), (33, 0.05, 70, 0.0, 2, 1.0, 0, 0, 0, 1), (12, 0.0, 44, 0.0, 3, 0.0, 0, 0, 0, 1),
-    (13, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (15, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 1),
-    (17, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 1), (19, 0.1, 0, 0.0, 14, 0.0, 0, 0, 0, 1), (11, 0.0, 9, 0.0, 5, 0.0, 1, 0, 0, 1), (30, 0.0, 40, 0.0, 3, 0.0, 1, 0, 0, 1), (50, 0.0, 24, 0.0, 0, 0.0, 1, 0, 0, 1),
-    # menus, heads, feet and lists of links
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0),
-    (14, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0, 0), (40, 0.1, 30, 0.0, 0, 0.0, 0, 1, 0, 0), (9, 0.2, 60, 0.0, 3, 0.0, 0, 1, 0, 0),
-    (25, 0.0, 12, 0.0, 18, 0.0, 0, 1, 0, 0), (60, 0.0, 45, 0.0, 20, 0.0, 0, 1, 0, 0), (4, 0.0, 1, 1.0, 7, 0.0, 0, 1, 0, 0),
-    (30, 0.0, 40, 0.0, 20, 0.0, 1, 1, 0, 0), (5, 0.4, 40, 0.0, 0, 0.0, 1, 1, 0, 0), (12, 1.0, 33, 0.0, 9, 1.0, 1, 1, 0, 0),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 4, 1.0, 6, 0.0, 0, 0, 0, 0),
-    (6, 0.9, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (8, 0.7, 2, 1.0, 30, 0.0, 0, 0, 0, 0), (20, 0.9, 5, 1.0, 8, 1.0, 0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0),
-    (5, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (7, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
-    # adverts, notices, sidebars, comments
-    (9, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0), (30, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1, 0), (70, 0.0, 20, 0.0, 60, 0.0, 0, 0, 1, 0),
-    (12, 0.1, 55, 0.0, 50, 0.0, 1, 0, 1, 0), (45, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1, 0), (3, 1.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0),
-    (22, 0.0, 3, 0.0, 25, 0.0, 0, 0, 1, 0), (1, 0.0, 20, 0.0, 30, 0.0, 1, 0, 1, 0), (15, 0.3, 0, 0.0, 4, 1.0, 0, 0, 1, 0),
-    (18, 0.0, 35, 0.0, 6, 0.0, 0, 1, 1, 0), (80, 0.0, 70, 0.0, 65, 0.0, 1, 1, 1, 0),
-    (15, 0.0, 20, 0.0, 0, 0.0, 0, 0, 1, 0), (60, 0.0, 30, 0.0, 3, 0.0, 1, 0, 1, 0), (14, 0.0, 12, 0.0, 2, 0.0, 1, 0, 1, 0),
-    (5, 0.0, 14, 0.0, 11, 0.0, 1, 0, 1, 0), (11, 0.0, 5, 0.0, 16, 0.0, 1, 0, 1, 0), (90, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1, 0),
-    (35, 0.0, 22, 0.0, 5, 0.0, 1, 1, 0, 0), (50, 0.0, 42, 0.0, 0, 0.0, 0, 1, 0, 0), (75, 0.0, 5, 0.0, 9, 0.0, 0, 1, 0, 0),
-    (16, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0, 0), (28, 0.0, 4, 1.0, 44, 0.0, 0, 1, 0, 0), (33, 0.1, 18, 0.0, 31, 0.0, 0, 1, 0, 0),
-    (26, 0.0, 48, 0.0, 37, 0.0, 1, 0, 1, 0), (40, 0.0, 29, 0.0, 90, 0.0, 0, 0, 1, 0), (7, 0.0, 64, 0.0, 21, 0.0, 1, 0, 1, 0),
+#: The labelled pages, ``{n}`` standing for n words, and for each of their blocks 1 if it is of the article, else 0.
+LABELLED_PAGES = (
+    # an article in its element, below a menu and above a foot; a headline of one word; short and long paragraphs
+    ("<nav><ul><li><a>{1}</a><li><a>{1}</a><li><a>{2}</a></ul></nav><article><h1>{1}</h1><p>{60}<p>{45}<p>{3}<p>{120}</article><footer>{14}</footer>", "000111110"),
+    ("<header><a>{1}</a><p>{9}</p></header><div class=ad>{9}</div><article><h1>{8}</h1><p>{25} <a>{3}</a><p>{14}<p>{6}<p>{7}</article><aside>{30}</aside>", "0001111100"[:8] + "0"),
+    ("<div id=menu><a>{2}</a><a>{3}</a></div><main><h2>{2}</h2><p>{2}<p>{2}<h2>{1}</h2><p>{30}</main><footer><p>{40} <a>{4}</a><p>{9} <a>{2}</a></footer>", "01111100"),
+    ("<article><h1>{4}</h1><p>{8}<div class=ad>{5}</div><p>{60}<div class=promo>{18}</div><p>{35}</article><div class=comments><p>{22}<p>{70}<p>{1}</div>", "110101000"[:6] + "000"),
+    ("<article><header><h1>{5}</h1><p>{3}</header><p>{33}<ul><li>{4}<li>{6}<li><a>{4}</a></ul><p>{55}<p><a>{6}</a> {3}</article><nav><a>{1}</a></nav>", "111111110"),
+    ("<article><p>{11}<nav><a>{12}</a></nav><p>{9}<form>{5} <input></form><p>{30}<footer>{30}</footer></article><form>{25}</form>", "10101" + "00"),
+    ("<div class=cookie-notice>{15}</div><div class=banner>{3}</div><article><p>{20}<h2>{3}</h2><p>{10}</article><div class=sidebar><p>{45}<p><a>{3}</a></div>", "0011100"),
+    ("<article><p>{50}<div class=related><a>{4}</a> {1}</div><p>{24}<div class=newsletter>{14}</div></article><article class=comment><p>{60}</article>", "10100"),
+    ("<div class=popup><p>{12}</div><article><p>{1}</article><div class=share><a>{1}</a><a>{1}</a></div>", "010"),
+    # pages that mark no article: paragraphs among menus, notes and lists of links
+    ("<div><a>{1}</a> <a>{2}</a> <a>{1}</a></div><h1>{6}</h1><p>{70}<p>{40}<p>{28} <a>{3}</a><p>{18}<div><a>{6}</a> {1}</div>", "0111110"),
+    ("<ul><li><a>{2}</a><li><a>{1}</a><li><a>{3}</a></ul><div>{35}</div><div>{22}</div><div>{90} <a>{8}</a></div><div>{3}</div>", "0001110"),
+    ("<p>{2}<p><a>{1}</a><p>{13}<p>{33}<p>{70}<p>{21}<p>{5}<p><a>{2}</a><p><a>{4}</a>", "001111000"),
+    ("<table><tr><td><a>{1}</a><td><a>{2}</a><tr><td>{2}</table><div>{45}</div><div>{6}</div><div>{38}</div><div>{9}</div><div>{26}</div><div>{2}</div>", "000111110"),
+    ("<div class=header>{4}</div><div class=menu><a>{3}</a></div><p>{17}<p>{40}<p>{12}<p>{55}<div class=footer>{11}</div><div class=login>{80}</div>", "00111100"),
+    ("<p>{15}", "1"),
+    ("<p>{13}", "1"),
+    ("<p>{20}<p>{19} <a>{2}</a><div class=sponsor>{16}</div><p>{30}<dl><dt><a>{8}</a> {2}<dd><a>{20}</a> {2}</dl>", "110100"),
+    # links right before and behind long paragraphs
+    ("<ul><li><a>{1}</a><li><a>{2}</a></ul><p>{80}<p>{60}<p>{33}<ul><li><a>{3}</a><li><a>{1}</a></ul>", "0011100"),
+    ("<nav><a>{2}</a></nav><article><p>{90}<p>{30}</article><nav><a>{3}</a></nav>", "0110"),
+    ("<div><a>{5}</a></div><article><p>{70}<p><a>{5}</a><p>{95}</article><div><a>{2}</a></div><div>{65}</div>", "011101"),
+    ("<div><a>{3}</a></div><div><a>{9}</a></div><p>{50}<div><a>{3}</a></div><p>{48}<p>{18}<div><a>{1}</a></div>", "0010110"),
+    ("<aside><a>{4}</a></aside><article><p>{66}</article><aside><a>{3}</a><p>{52}</aside><p>{22}<div><a>{7}</a></div>", "010010"),
+    ("<div><a>{2}</a></div><p>{130}<div><a>{3}</a></div><div>{160}</div>", "0101"),
+    ("<nav><a>{3}</a></nav><p>{150}<nav><a>{1}</a><br><a>{6}</a></nav><p>{99}", "0101"),
+    ("<article><p>{30}<p><a>{8}</a><p>{25}<p><a>{12}</a><p>{140}<nav><a>{4}</a></nav><p>{110}<p><a>{3}</a></article>", "11111011"),
+    ("<article><p>{30}<p><a>{8}</a> {2}<p>{20}<p><a>{4}</a> {1}<div class=share><a>{4}</a> {1}</div><p>{16}</article>", "111101"),
+    # short blocks in a row, in an article and beside one
+    ("<article><h1>{1}</h1><p>{6}<p>{1}<p>{7}<p>{2}<p>{6}<p>{3}<p>{1}<p>{5}</article>", "111111111"),
+    ("<nav><a>{1}</a></nav><article><h1>{7}</h1><p>{2}<p>{7}<p>{9}</article><footer>{7}</footer>", "011110"),
+    ("<div><a>{1}</a></div><article><p>{6}</article><div>{6}</div><div>{2}</div>", "0100"),
+    ("<div>{7}</div><div><a>{3}</a></div><div>{4}</div><div><a>{2}</a></div><div>{5}</div>", "00000"),
+    ("<div>{3}</div><div>{2}</div><div>{4}</div>", "000"),
+    ("<header>{25}</header><div>{60}</div><div>{14}</div><footer>{28}</footer><footer>{50}</footer>", "01100"),
+    ("<aside><p>{75}<p>{16}</aside><h2>{9}</h2><p>{31}<p>{24}<h2>{3}</h2><p>{41}<dialog>{33}</dialog>", "001111 10".replace(" ", "")),
 )
 
 
+def labelled() -> np.ndarray:
+    """The labelled table: FEATURES of each block of LABELLED_PAGES, then its label."""
+    rows = []
+    for page, labels in LABELLED_PAGES:
+        found = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))
+        if len(found) != len(labels):
+            raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {page}")
+        rows += [(*features, int(label)) for (_, features), label in zip(found, labels)]
+    return np.array(rows, float)
+
+
 def grow(rows: np.ndarray, depth: int = 8):
     """A decision tree by Gini impurity: a share of ones, or ``(feature, threshold, at most, above)``."""
     x, y = rows[:, :-1], rows[:, -1]
@@ -292,7 +302,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     Null and empty pages have an empty text; other columns are ignored; repeated rows give repeated results; an empty
     table gives none.
     """
-    tree = grow(np.array(LABELLED, float))
+    tree = grow(labelled())
     return per_row(pages, html_col, list(keep), "text string", lambda html: (main_text(html, tree),))
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from foldwright.llm import html
 
-TREE = html.grow(np.array(html.LABELLED, float))
+TREE = html.grow(html.labelled())
 LONG = "A paragraph with enough words to be an article's own, which goes on for a while and ends here."
 
 PAGES = {
@@ -83,7 +83,7 @@ def test_blocks_know_their_neighbours():
 
 
 def test_tree_fits_its_table():
-    rows = np.array(html.LABELLED, float)
+    rows = html.labelled()
     assert all(html.decide(TREE, tuple(r[:-1])) == bool(r[-1]) for r in rows)
 
 
