@@ -231,6 +231,7 @@ LABELLED_PAGES = (
     ("<p>{2}<p><a>{1}</a><p>{13}<p>{33}<p>{70}<p>{21}<p>{5}<p><a>{2}</a><p><a>{4}</a>", "001111000"),
     ("<table><tr><td><a>{1}</a><td><a>{2}</a><tr><td>{2}</table><div>{45}</div><div>{6}</div><div>{38}</div><div>{9}</div><div>{26}</div><div>{2}</div>", "000111110"),
     ("<div class=header>{4}</div><div class=menu><a>{3}</a></div><p>{17}<p>{40}<p>{12}<p>{55}<div class=footer>{11}</div><div class=login>{80}</div>", "00111100"),
+    ("<div><a>{2}</a></div><h2>{2}</h2><p>{60}<h2>{3}</h2><p>{45}<h3>{10}</h3><p>{72}<h3>{4}</h3><p>{110}", "011111111"),
     ("<p>{15}", "1"),
     ("<p>{13}", "1"),
     ("<p>{20}<p>{19} <a>{2}</a><div class=sponsor>{16}</div><p>{30}<dl><dt><a>{8}</a> {2}<dd><a>{20}</a> {2}</dl>", "110100"),
@@ -247,6 +248,9 @@ LABELLED_PAGES = (
     # short blocks in a row, in an article and beside one
     ("<article><h1>{1}</h1><p>{6}<p>{1}<p>{7}<p>{2}<p>{6}<p>{3}<p>{1}<p>{5}</article>", "111111111"),
     ("<nav><a>{1}</a></nav><article><h1>{7}</h1><p>{2}<p>{7}<p>{9}</article><footer>{7}</footer>", "011110"),
+    ("<article><p>{7}<p>{19}</article><div>{6}</div>", "110"),
+    ("<article><p>{6}</article>", "1"),
+    ("<main><p>{7}<p>{6}<p>{4}</main><p><a>{2}</a>", "1110"),
     ("<div><a>{1}</a></div><article><p>{6}</article><div>{6}</div><div>{2}</div>", "0100"),
     ("<div>{7}</div><div><a>{3}</a></div><div>{4}</div><div><a>{2}</a></div><div>{5}</div>", "00000"),
     ("<div>{3}</div><div>{2}</div><div>{4}</div>", "000"),
