@@ -97,7 +97,9 @@ def overlaps(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without those that overlap a benchmark item. Null texts and null ids stay unless they overlap."""
+    """Documents without those that overlap a benchmark item. Null and empty texts stay; rows with a null or repeated id
+    are told apart by their texts; repeated rows go or stay together; with an empty table on either side nothing is
+    dropped. Columns of any name stay as they are."""
     found = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
     found = broadcast_if_small(found)
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))

@@ -14,11 +14,16 @@ EDGES = [
     (8, "long " * 20000, "z"),
 ]
 #: Further columns whose names the operators use inside.
-NAMES = "doc_id bigint, text string, score string, id string, kind string, label string, fp string, words string, block string, found string"
+INSIDE = (
+    "score id kind label fp words block found row spans text_key key unnamed name least part places whole at seed first item item_key hit firsts under n "
+    "size error media payload blob rules fold y s base extra pattern instance start stop rank body _id _key _spans _t _n _b _w _s bucket ids decoded "
+    "packs positions target texts context char docs sizes u v node component uid bands"
+).split()
+NAMES = "doc_id bigint, text string, " + ", ".join(f"{name} string" for name in INSIDE)
 
 
 def edge_table(spark):
-    rows = [(i, t, s, "a", "b", "c", "d", "e", "f", "g") for i, t, s in EDGES]
+    rows = [(i, t, s, *(f"{name}'s" for name in INSIDE[1:])) for i, t, s in EDGES]
     return spark.createDataFrame(rows, NAMES)
 
 
