@@ -93,9 +93,11 @@ def normalize_texts(spark, sf_dir):
     return normalize_text(table(spark, sf_dir, "documents")).select("doc_id", "normalized")
 
 
-@query(f"SELECT item_id, {KEY.format(t='text')} AS normalized FROM benchmark")
+@query(f"SELECT doc_id, {KEY.format(t='text')} AS normalized FROM documents UNION ALL SELECT -1 - item_id, {KEY.format(t='text')} FROM benchmark")
 def normalize_builtin(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", normalize_native(F.col("text")).alias("normalized"))
+    """The built-in form over documents, and over benchmark items under negative ids."""
+    both = table(spark, sf_dir, "documents").select("doc_id", "text").union(table(spark, sf_dir, "benchmark").select(-1 - F.col("item_id"), "text"))
+    return both.select("doc_id", normalize_native(F.col("text")).alias("normalized"))
 
 
 @query(
