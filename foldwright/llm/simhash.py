@@ -83,15 +83,22 @@ def _forest(fps: np.ndarray, left: slice, right: slice) -> tuple[list, list]:
 
     us, vs = [], []
     a, b = np.arange(len(fps))[left], np.arange(len(fps))[right]
-    for low in range(0, len(a), 256):
-        rows = a[low : low + 256]
-        close = np.bitwise_count(fps[rows][:, None] ^ fps[b][None, :]) <= MAX_DISTANCE
+    # What earlier rows have joined is left out as a whole, so a dense bucket costs a row's pairs and not all of them.
+    label = np.arange(len(fps))
+    low, step = 0, 16
+    while low < len(a):
+        rows = a[low : low + step]
+        close = (np.bitwise_count(fps[rows][:, None] ^ fps[b][None, :]) <= MAX_DISTANCE) & (label[rows][:, None] != label[b][None, :])
+        before = len(us)
         for i, j in zip(*np.nonzero(close)):
             i, j = int(rows[i]), int(b[j])
-            if i != j and (x := root(i)) != (y := root(j)):
+            if (x := root(i)) != (y := root(j)):
                 parent[max(x, y)] = min(x, y)
                 us.append(i)
                 vs.append(j)
+        low, step = low + step, min(2 * step, 256)
+        if low < len(a) and len(us) > before:
+            label = np.array([root(x) for x in range(len(fps))])
     return us, vs
 
 
