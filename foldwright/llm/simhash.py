@@ -161,7 +161,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def linked(distinct: DataFrame) -> DataFrame:
     """``distinct`` with ``part``, the least fingerprint of those that links reach from ``fp``."""
-    parts = connected_components(links(distinct.select("fp")), "u", "v")
+    # The links are read twice below; written, they are made once.
+    parts = connected_components(checkpoint(links(distinct.select("fp"))), "u", "v")
     joined = distinct.join(parts, distinct["fp"] == parts["node"], "left")
     return checkpoint(joined.select(*distinct.columns, F.coalesce("component", "fp").alias("part")))
 
