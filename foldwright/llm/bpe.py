@@ -88,8 +88,10 @@ def _unpack_positions(data: bytes, n: int) -> np.ndarray:
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each block: its documents' ids and lengths in words, the place of each word in the list of distinct
-    words, each distinct word's bucket, and for each bucket its words packed, in the order of their places."""
+    words, each distinct word's bucket, and for each bucket that has any its words packed, in the order of their places.
+    So a block grows with its own words and not with the number of buckets, which grows with the input."""
     kind = docs.schema[id_col].dataType.simpleString()
+    packed = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
 
     def run(batches):
         split, task, k = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
@@ -105,10 +107,10 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
             words = list(places)
             words = [words[i].encode() for i in order.tolist()]
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
-            packs = []
             members = np.argsort(of, kind="stable")
-            for own in np.split(members, np.searchsorted(of[members], np.arange(1, buckets))):
-                packs.append(_pack([words[i] for i in own.tolist()]) if len(own) else None)
+            full, starts = np.unique(of[members], return_index=True)
+            parts = np.split(members, starts[1:])
+            packs = [{"bucket": b, "words": _pack([words[i] for i in own.tolist()])} for b, own in zip(full.tolist(), parts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{task}-{k}"]),
@@ -116,13 +118,16 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
                     pa.array([[len(r) for r in runs]], pa.list_(pa.int64())),
                     pa.array([_pack_positions(rank[flat])], pa.binary()),
                     pa.array([zstandard.compress(of.tobytes())], pa.binary()),
-                    pa.array([packs], pa.list_(pa.binary())),
+                    pa.array([packs], packed),
                 ],
                 names=["block", "docs", "sizes", "positions", "buckets", "packs"],
             )
             k += 1
 
-    schema = f"block string, docs array<{kind}>, sizes array<bigint>, positions binary, buckets binary, packs array<binary>"
+    schema = (
+        f"block string, docs array<{kind}>, sizes array<bigint>, positions binary, buckets binary, "
+        "packs array<struct<bucket: int, words: binary>>"
+    )
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -132,9 +137,12 @@ def _asked(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, packs in zip(batch.column("block").to_pylist(), batch.column("packs").to_pylist()):
-                full = [(k, x) for k, x in enumerate(packs) if x]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in full], pa.int32()), pa.array([block] * len(full), pa.string()), pa.array([x for _, x in full], pa.binary())],
+                    [
+                        pa.array([x["bucket"] for x in packs], pa.int32()),
+                        pa.array([block] * len(packs), pa.string()),
+                        pa.array([x["words"] for x in packs], pa.binary()),
+                    ],
                     names=["bucket", "block", "words"],
                 )
 
@@ -239,7 +247,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         ids = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
         starts = np.cumsum(lengths) - lengths
-        for row in left.to_pylist():
+        for row in left.drop_columns(["packs"]).to_pylist():
             of = np.frombuffer(zstandard.decompress(row["buckets"]), np.uint32)
             if len(of) != len(lengths):
                 raise ValueError(f"block {row['block']}: {len(lengths)} of {len(of)} words came back")
