@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwright.llm import bpe, decontaminate, html, licenses, lm, media, oracle, pii, quality, secrets, simhash
+from foldwright.llm import bpe, decontaminate, html, licenses, lm, media, oracle, pii, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op1_pii_patterns": pii.op1_pii_patterns,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op12_token_files": tokens.op12_token_files,
 }
 
 ORACLE: dict[str, str] = oracle.ORACLE
