@@ -41,7 +41,7 @@ INDEX, TABLE, MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Distinct pieces of text whose ids a worker remembers, and the longest of them in characters.
 KNOWN, LONGEST = 1_000_000, 64
 #: A space between two characters that nobody takes for white space: words never reach over it.
-CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
+CUT = re.compile(r" (?=[^\s\u180e])(?<=[^\s\u180e] )")
 #: What a worker has loaded and encoded, by vocabulary file.
 _loaded: dict[str, tuple] = {}
 
@@ -79,22 +79,24 @@ class Encoder:
             starts = np.flatnonzero(self.leads[ids])
             if len(starts) == len(plain):
                 raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
-                self.known.update(zip(plain, (raw[a:b] for a, b in zip((4 * starts).tolist(), ends))))
+                self.known.update(zip(plain, [raw[a:b] for a, b in zip((4 * starts).tolist(), ends)]))
         rest = [p for p in pieces if p not in self.known]
         self.known.update(zip(rest, self._each([" " + p for p in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
         parts = [CUT.split(x) for x in texts]
-        self._learn({p for x in parts for p in x[1:]} - self.known.keys())
+        heads = self._each([x.pop(0) for x in parts])
+        pieces = set().union(*parts)
+        if len(self.known) > KNOWN:  # what this text has is likely to come again
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        new = pieces.difference(self.known)
+        self._learn(new)
         get = self.known.__getitem__
-        out = [head + b"".join(map(get, x[1:])) for head, x in zip(self._each([x[0] for x in parts]), parts)]
-        for x in parts:
-            for p in x[1:]:
-                if len(p) > LONGEST:
-                    self.known.pop(p, None)
+        out = [head + b"".join(map(get, x)) for head, x in zip(heads, parts)]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
         return out
 
 
