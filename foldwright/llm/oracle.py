@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from foldwright.llm import decontaminate as d
+from foldwright.llm import divergence as v
+from foldwright.llm import phrases as p
 from foldwright.llm import secrets as s
 
 
@@ -14,10 +16,10 @@ def secret_scans() -> str:
     """A match begins behind all gaps and matches before it; DuckDB splits and extracts with the same pattern."""
     parts = []
     for name, (_, pattern, group, least) in s.RULES.items():
-        p = _quoted(pattern)
+        own = _quoted(pattern)
         parts.append(
-            f"SELECT doc_id, '{name}' AS kind, {s.ORDER[name]} AS rank, {least} AS least, regexp_extract_all(t, {p}) AS m, "
-            f"regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS gaps FROM d"
+            f"SELECT doc_id, '{name}' AS kind, {s.ORDER[name]} AS rank, {least} AS least, regexp_extract_all(t, {own}) AS m, "
+            f"regexp_extract_all(t, {own}, {group}) AS g, string_split_regex(t, {own}) AS gaps FROM d"
         )
     spans = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank)"
     count = ", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name in s.BASE)
@@ -72,7 +74,58 @@ def lm_scoring() -> str:
     )
 
 
+def source_divergence() -> str:
+    """Densely: every source with every kept term of its language."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    share = f"1 + ({v.ONE}::HUGEINT * ({{n}} + {v.SMOOTH})) // ({{total}} + {v.SMOOTH} * terms)"
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, "
+        rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents), "
+        "e AS (SELECT k, lang, source, unnest(t) AS term FROM d), "
+        f"w AS (SELECT lang, term, count(*) AS every FROM e GROUP BY ALL HAVING count(DISTINCT k) >= {v.LEAST}), "
+        "c AS (SELECT lang, source, term, count(*) AS n FROM e SEMI JOIN w USING (lang, term) GROUP BY ALL), "
+        "l AS (SELECT lang, count(*) AS terms, sum(every) AS whole FROM w GROUP BY lang), "
+        "g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL), "
+        f"f AS (SELECT lang, source, term, coalesce(n, 0) AS n, {share.format(n='coalesce(n, 0)', total='total')} AS p, "
+        f"{share.format(n='every', total='whole')} AS q FROM g JOIN l USING (lang) JOIN w USING (lang) LEFT JOIN c USING (lang, source, term)), "
+        "s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL), "
+        "r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang "
+        "AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source "
+        "UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM f WHERE n > 0 AND p > q) "
+        "SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r "
+        f"QUALIFY part = 'pair' OR rank <= {v.TOP}"
+    )
+
+
+def phrase_collocations() -> str:
+    """All runs of one to four words, counted one by one."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    size = p.DEPTH
+    return (
+        rf"WITH q AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), "
+        r"'[.,;:!?\x0A-\x0D]')) AS piece FROM documents), x AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM q), "
+        f"y AS (SELECT lang, w, unnest(range(1, {size + 1})) AS k FROM x), "
+        "z AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM y WHERE len(w) >= k), "
+        "g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM z GROUP BY ALL), "
+        f"c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE a >= {p.LEAST}), "
+        "n AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang), "
+        "i AS (SELECT lang, k, a, w, unnest(range(1, k)) AS m FROM c WHERE k > 2), "
+        "h AS (SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM i) WHERE m > 1), "
+        "o AS (SELECT lang, phrase, max(a) AS longer FROM h GROUP BY ALL), "
+        f"e AS (SELECT c.* FROM c LEFT JOIN o USING (lang, phrase) WHERE k > 1 AND NOT coalesce(100 * longer::HUGEINT >= {p.SHARE} * a::HUGEINT, false)), "
+        "u AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS m FROM e), "
+        "t AS (SELECT u.lang, u.phrase, u.a, u.m, b.a AS l, d.a AS r, "
+        f"(({p.SCALE} * u.a::HUGEINT) // (b.a + d.a))::BIGINT AS score FROM u JOIN c b ON b.lang = u.lang AND b.phrase = array_to_string(u.w[1:m], ' ') "
+        "JOIN c d ON d.lang = u.lang AND d.phrase = array_to_string(u.w[m + 1:], ' ')), "
+        "v AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1) "
+        "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM v JOIN n USING (lang) "
+        f"QUALIFY rank <= {p.TOP}"
+    )
+
+
 ORACLE = {
+    "op11_phrase_collocations": phrase_collocations(),
+    "op13_source_divergence": source_divergence(),
     "op7_lm_scoring": lm_scoring(),
     "op8_secret_scans": secret_scans(),
     "op9_benchmark_decontamination": decontamination(),

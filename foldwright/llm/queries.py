@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwright.llm import bpe, decontaminate, html, licenses, lm, media, oracle, pii, quality, secrets, simhash, tokens
+from foldwright.llm import bpe, decontaminate, divergence, html, licenses, lm, media, oracle, phrases, pii, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op1_pii_patterns": pii.op1_pii_patterns,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op12_token_files": tokens.op12_token_files,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = oracle.ORACLE
