@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -92,6 +94,41 @@ def test_broken_and_long_pages_end():
         assert isinstance(html.main_text(page, TREE), str)
 
 
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+))>|<[/!?a-zA-Z][^<>]*+\Z",
+    re.S,
+)
+
+
+def test_scanner_finds_what_one_pattern_finds():
+    draw, bits = random.Random(2), ["<", ">", "<a", "</p", "<p ", "'", '"', "x='", "=", " ", "/", "<!--", "-->", "<!", "<?", "é", "text", "\n", "<div class=x>"]
+    for _ in range(20_000):
+        page = "".join(draw.choices(bits, k=draw.randrange(25)))
+        scanner, at, got = html._Scanner(page), 0, []
+        while part := scanner.next(at):
+            start, at, m = part
+            got.append((start, at, m and m.groups()))
+        assert got == [(m.start(), m.end(), m.groups() if m[2] else None) for m in TOKEN.finditer(page)], page
+
+
+@pytest.mark.parametrize("bit", ["<div class=x ", "<a ", "<p x='", "<p x='>", '<p x="', "<a", "</a ", "<script></script ", "<div>", "<div></x>", "<b style=", "<p>&#0", "<!a", "<p x=\"'", "</p><p "])
+def test_broken_pages_take_time_in_proportion(bit):
+    for end in ("", ">", "'>", "\"'>", "<p>text"):
+        start = time.time()
+        html.main_text(bit * (400_000 // len(bit)) + end, TREE)
+        assert time.time() - start < 15, end
+
+
+def test_long_numbers_of_characters():
+    assert texts("<p>a&#" + "9" * 6000 + ";b &#" + "0" * 6000 + "65; &#x" + "0" * 5000 + "42; &#233; &#99999999;") == ["a\ufffdb A B é \ufffd"]
+
+
+def test_other_names_of_what_is_beside_the_article():
+    for name in ("id=toc", "role=alert", "id=responses", "class=reviews", "class=paywall", "class=kommentare", "class='table-toc'"):
+        assert html.main_text(f"<article><p>{LONG}</p></article><div {name}><p>{LONG} 2</p></div>", TREE) == LONG, name
+    assert html.main_text(f"<article><p>{LONG}</p><fieldset>Your name <input></fieldset><p>{LONG}</p></article>", TREE) == f"{LONG} {LONG}"
+
+
 def test_edges(spark):
     names = "page_id bigint, url string, html string, text string, n_chars string"
     rows = [(1, "u", f"<p>{LONG}", "a", "b"), (None, None, None, None, None), (1, "u", f"<p>{LONG}", "a", "b")]
