@@ -5,11 +5,11 @@ words back: substrings that end at the same places are one state, whose longest
 too, down to one word more than its suffix link has. States are found by refining end positions backwards, so they come
 with the number of their end positions, and their links are the coarser classes that they came from.
 
-A first round has depth two. Words and pairs are summed over shards; those frequent in all the corpus mark bits of a
-filter of a fixed size, which the second round, of depth four, looks up: it goes no further back than pairs go that may be
-frequent, as a phrase is no more frequent than its pairs. A state that stands for three and four words travels once, to
-where its last three words are summed, and is taken apart there. The filter lets some rare phrases through, which costs
-rows, and none is missed.
+A phrase is no more frequent than what it holds, so there are three rounds. Words are summed over shards first; those
+frequent in all the corpus mark bits of a filter of a fixed size, and a word that it doesn't have ends a piece in the second
+round, of depth two. Frequent pairs mark a filter for the third, of depth four, which goes no further back than such pairs
+go. There a state that stands for three and four words travels once, to where its last three words are summed, and is taken
+apart. The filters let some rare phrases through, which costs rows, and none is missed.
 
 Subsumption needs no longer phrase than by one word: what holds a phrase at the share holds everything between at least
 as often. So each phrase looks at its suffix link, without its first word, and at its mirror image, without its last.
@@ -140,16 +140,20 @@ def pair_bits(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(17)).astype(np.int64) % BITS
 
 
+def _marked(filter_: bytes, bits: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(filter_, np.uint8)[bits >> 3] >> (bits & 7)) & 1 > 0
+
+
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def substrings(docs: DataFrame, depth: int, shortest: int, passing=None, shard: int = SHARD) -> DataFrame:
+def substrings(docs: DataFrame, depth: int, shortest: int, common=None, passing=None, shard: int = SHARD) -> DataFrame:
     """``(lang, low, w0, ..., n)``: the states of every shard's automaton that have ``shortest`` words or more; ``w0`` is the
     last word, ``w1`` the one before it, null beyond the state's longest substring; ``low`` is its shortest's length.
 
-    ``docs`` has ``lang`` and ``text``. ``passing`` is a broadcast filter of pairs.
+    ``docs`` has ``lang`` and ``text``. ``common`` and ``passing`` are broadcast filters of words and of pairs.
     """
     names = ["lang", "low", *(f"w{i}" for i in range(depth)), "n"]
 
@@ -159,14 +163,14 @@ def substrings(docs: DataFrame, depth: int, shortest: int, passing=None, shard:
 
         def sent():
             for lang, own in open_.items():
-                words = own.sequence()
-                passes = None
+                words, passes = own.sequence(), None
+                hashes = None if common is None else _hashes(lang, own.words)
+                if common is not None:
+                    words[~_marked(common.value, pair_bits(hashes, hashes))[words]] = 0
                 if passing is not None:
-                    bits, hashes = np.frombuffer(passing.value, np.uint8), _hashes(lang, own.words)
 
                     def passes(first, last):
-                        bit = pair_bits(hashes[first], hashes[last])
-                        return (bits[bit >> 3] >> (bit & 7)) & 1 > 0
+                        return _marked(passing.value, pair_bits(hashes[first], hashes[last]))
 
                 text = pa.array(own.words, pa.binary()).cast(pa.string())
                 for longest, low, ends, counts in Automaton(words, depth, passes).states(shortest):
@@ -190,29 +194,29 @@ def substrings(docs: DataFrame, depth: int, shortest: int, passing=None, shard:
     return docs.select("lang", "text").mapInArrow(run, ddl)
 
 
-def _summed(states: DataFrame, depth: int, *together: str) -> DataFrame:
-    """``(lang, w0, ..., n)``: states taken apart into their substrings and summed over shards. With ``together``, the last
-    words that all of a state's substrings share, states travel whole and meet there."""
+def _summed(states: DataFrame, depth: int, shortest: int) -> DataFrame:
+    """``(lang, w0, ..., n)``: states summed over shards and taken apart into their substrings. A state travels whole, to
+    where the last ``shortest`` words are, which all of its substrings share."""
     words = [f"w{i}" for i in range(depth)]
-    longest = F.size(F.filter(F.array(*words), lambda x: x.isNotNull()))
-    apart = lambda df: df.select("*", F.explode(F.sequence("low", longest)).alias("size")).select(
-        "lang", *(F.when(F.col("size") > i, F.col(w)).alias(w) for i, w in enumerate(words)), "n"
-    )
-    # A shard's counts are sums already: rows are dealt out before they are summed.
-    dealt = apart(states.repartition("lang", *together)) if together else apart(states).repartition("lang", *words)
+    dealt = states.repartition("lang", *words[:shortest])  # a shard's counts are sums already, so there is nothing to sum before
+    if shortest < depth:
+        longest = F.size(F.filter(F.array(*words), lambda x: x.isNotNull()))
+        dealt = dealt.select("*", F.explode(F.sequence("low", longest)).alias("size"))
+        dealt = dealt.select("lang", *(F.when(F.col("size") > i, F.col(w)).alias(w) for i, w in enumerate(words)), "n")
     return dealt.groupBy("lang", *words).agg(F.sum("n").alias("n"))
 
 
-def pair_filter(pairs: DataFrame) -> bytes:
-    """The filter's bits for the pairs ``(lang, w1, w0)``: BITS bits, whatever the pairs."""
+def filter_of(rows: DataFrame, first: str, last: str) -> bytes:
+    """The filter's bits for the pairs in the columns ``first`` and ``last``, for words both the same: BITS bits, whatever
+    the rows."""
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "w1", "w0")))
-            pair = np.array([[_hashes(lang, [a.encode(), b.encode()])] for lang, a, b in rows], np.uint64).reshape(-1, 2)
+            pairs = zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "last")))
+            pair = np.array([_hashes(lang, [a.encode(), b.encode()]) for lang, a, b in pairs], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pair_bits(pair[:, 0], pair[:, 1]))], names=["bit"])
 
-    bits = pairs.select("lang", "w1", "w0").mapInArrow(run, "bit bigint")
+    bits = rows.select("lang", F.col(first).alias("first"), F.col(last).alias("last")).mapInArrow(run, "bit bigint")
     maps = bits.groupBy(F.floor(F.col("bit") / BITMAP).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BITMAP))).alias("map"))
     out = bytearray(BITS // 8)
     for row in maps.collect():  # BITS / BITMAP rows at most
@@ -223,16 +227,17 @@ def pair_filter(pairs: DataFrame) -> bytes:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``(phrases, langs)``: ``(lang, phrase, size, a)`` of all phrases of one to four words that occur ``least`` times in
     their language's pieces, and ``(lang, n)``, the words of each language. ``docs`` has ``lang`` and ``text``."""
-    first = _summed(substrings(docs, 2, 1, shard=shard), 2)
-    first = written(first.where((F.col("n") >= least) | F.col("w1").isNull()))
-    langs = first.where("w1 is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    kept = first.where(F.col("n") >= least)
-    passing = docs.sparkSession.sparkContext.broadcast(pair_filter(kept.where("w1 is not null")))
-    more = _summed(substrings(docs, DEPTH, 3, passing, shard), DEPTH, "w0", "w1", "w2").where(F.col("n") >= least)
-    words = [f"w{i}" for i in reversed(range(DEPTH))]
-    both = kept.unionByName(more, allowMissingColumns=True)
-    size = F.size(F.filter(F.array(*words), lambda x: x.isNotNull()))
-    return written(both.select("lang", F.concat_ws(" ", *words).alias("phrase"), size.alias("size"), F.col("n").alias("a"))), checkpoint(langs)
+    share = docs.sparkSession.sparkContext.broadcast
+    words = written(_summed(substrings(docs, 1, 1, shard=shard), 1, 1))
+    langs, words = words.groupBy("lang").agg(F.sum("n").alias("n")), words.where(F.col("n") >= least)
+    common = share(filter_of(words, "w0", "w0"))
+    pairs = written(_summed(substrings(docs, 2, 2, common, shard=shard), 2, 2).where(F.col("n") >= least))
+    passing = share(filter_of(pairs, "w1", "w0"))
+    more = _summed(substrings(docs, DEPTH, 3, common, passing, shard), DEPTH, 3).where(F.col("n") >= least)
+    both = words.unionByName(pairs, allowMissingColumns=True).unionByName(more, allowMissingColumns=True)
+    names = [f"w{i}" for i in reversed(range(DEPTH))]
+    size = F.size(F.filter(F.array(*names), lambda x: x.isNotNull()))
+    return written(both.select("lang", F.concat_ws(" ", *names).alias("phrase"), size.alias("size"), F.col("n").alias("a"))), checkpoint(langs)
 
 
 def _ratio(top: str, scale: int, bottom: str) -> str:

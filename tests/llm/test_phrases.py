@@ -110,7 +110,7 @@ def test_counts_over_shards(spark, shard):
 
 def test_filter(spark):
     pairs = [("en", f"a{i}", f"b{i % 7}") for i in range(2000)]
-    bits = np.frombuffer(p.pair_filter(spark.createDataFrame(pairs, "lang string, w1 string, w0 string")), np.uint8)
+    bits = np.frombuffer(p.filter_of(spark.createDataFrame(pairs, "lang string, w1 string, w0 string"), "w1", "w0"), np.uint8)
     where = [p.pair_bits(*(x[:1] for x in np.split(p._hashes(lang, [a.encode(), b.encode()]), 2)))[0] for lang, a, b in pairs]
     assert len(bits) == p.BITS // 8 and set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == set(map(int, where))
 
