@@ -78,24 +78,28 @@ def spans(text: Column, pattern: str) -> Column:
     return F.zip_with(both, matches, lambda g, m: F.struct(g["before"].alias("before"), m.alias("match"), g["after"].alias("after")))
 
 
-def _placed(rows: DataFrame, column: str) -> DataFrame:
-    """Adds ``start`` and ``stop`` to the structs of ``column`` (see ``spans``): code points, end exclusive.
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns ``keep`` and new ones, which come from a generator of one row: the optimizer neither moves a filter below
+    it nor copies what it makes into the expressions above, so each is worked out once a row."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def _placed(rows: DataFrame, keep: list[str], column: str) -> DataFrame:
+    """Adds ``start`` and ``stop`` to the structs of ``column`` (see ``spans``): code points, end exclusive. No other columns
+    but ``keep`` stay.
 
     Lengths are added up in blocks of the square root of their number, which keeps texts with many matches affordable.
     """
     n = F.size(column)
-    rows = rows.withColumn("_n", n).withColumn("_b", F.ceil(F.sqrt("_n")).cast("int"))
-    rows = rows.withColumn("_w", F.transform(column, lambda x: F.length(x["before"]) + F.length(x["match"])))
+    lengths = F.transform(column, lambda x: F.length(x["before"]) + F.length(x["match"]))
+    rows = _once(rows, [*keep, column], _n=n, _b=F.ceil(F.sqrt(n)).cast("int"), _w=lengths)
     total = "aggregate({}, 0L, (a, x) -> a + x)"
-    rows = rows.withColumn(
-        "_s", F.expr(f"transform(sequence(0, (_n - 1) div _b), k -> {total.format('slice(_w, 1, cast(k * _b as int))')})")
-    )
+    blocks = F.expr(f"transform(sequence(0, (_n - 1) div _b), k -> {total.format('slice(_w, 1, cast(k * _b as int))')})")
+    rows = _once(rows, [*keep, column, "_b", "_w"], _s=blocks)
     start = f"_s[cast(i div _b as int)] + {total.format('slice(_w, cast(i - i % _b + 1 as int), cast(i % _b as int))')} + length(x.before)"
-    placed = (
-        f"transform({column}, (x, i) -> named_struct('before', x.before, 'match', x.match, 'after', x.after, 'start', {start}, "
-        f"'stop', {start} + length(x.match)))"
-    )
-    return rows.withColumn(column, F.expr(placed)).drop("_n", "_b", "_w", "_s")
+    begun = F.expr(f"transform({column}, (x, i) -> named_struct('x', x, 'start', {start}))")
+    placed = "transform(_begun, y -> named_struct('before', y.x.before, 'match', y.x.match, 'after', y.x.after, 'start', y.start, 'stop', y.start + length(y.x.match)))"
+    return _once(_once(rows, keep, _begun=begun), keep, **{column: F.expr(placed)})
 
 
 def _contexts(x: Column) -> Column:
@@ -131,7 +135,8 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.struct(F.lit(k).alias("kind"), F.when(needs.get(k, F.lit(True)), spans(F.col("_t"), p)).alias("found"))
         for k, p in (PATTERNS | {"any": CANDIDATE}).items()
     ]
-    each = _placed(rows.select(id_col, "text_key", F.inline(F.array(*kinds))).where("size(found) > 0"), "found")
+    keep = [id_col, "text_key", "kind"]
+    each = _placed(rows.select(id_col, "text_key", F.inline(F.array(*kinds))).where("size(found) > 0"), keep, "found")
     none = F.array().cast("array<string>")
 
     def kept(kind: str) -> Column:
@@ -142,7 +147,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     chosen = F.when(F.col("kind") == "any", kept("any"))
     for kind in KINDS:
         chosen = chosen.when(F.col("kind") == kind, kept(kind))
-    return each.select(id_col, "text_key", "kind", chosen.alias("found")).where("size(found) > 0")
+    return _once(each, keep, found=chosen).where("size(found) > 0")
 
 
 def _seed_kind(match: Column) -> Column:
@@ -233,26 +238,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed:
     return rows.withColumn("extra", F.array_sort(free))
 
 
-def _redacted(text: Column, spans: Column) -> Column:
-    """``text`` with ``<KIND>`` in the place of each span; spans that overlap are covered by the one that begins first.
+def _redacted(rows: DataFrame, keep: list[str], text: Column, spans: str) -> DataFrame:
+    """The columns ``keep`` and ``redacted``: ``text`` with ``<KIND>`` in the place of each span; spans that overlap are
+    covered by the one that begins first. Without spans it is null.
 
-    A span's bytes are cut out by code points; the pieces between spans are joined with their kinds.
+    Cuts, each the text since the last one and a span's kind, are put by in blocks of the square root of their number. A
+    block is cut from the text, and its pieces from the block, so that nothing looks through the whole text for each span.
     """
     # From the left: keep a span if it begins behind all kept before it. "till" is where the text goes on.
-    start = F.lit(0).cast("bigint")
-    state = F.struct(start.alias("till"), F.array().cast("array<struct<low: bigint, high: bigint, kind: string>>").alias("cuts"))
-    folded = F.aggregate(
-        spans,
-        state,
-        lambda acc, x: F.when(
-            x["start"] >= acc["till"],
-            F.struct(x["stop"].alias("till"), F.concat(acc["cuts"], F.array(F.struct(acc["till"].alias("low"), x["start"].alias("high"), x["kind"].alias("kind")))).alias("cuts")),
-        ).otherwise(acc),
+    cut, zero = "array<struct<low: bigint, high: bigint, kind: string>>", "CAST(0 AS bigint)"
+    begin = f"named_struct('till', {zero}, 'full', CAST(array() AS array<{cut}>), 'open', CAST(array() AS {cut}))"
+    whole = "size(acc.open) >= _b"
+    step = (
+        "IF(x.start < acc.till, acc, named_struct('till', x.stop, "
+        f"'full', IF({whole}, array_append(acc.full, acc.open), acc.full), "
+        "'open', array_append(IF(" + whole + f", CAST(array() AS {cut}), acc.open), named_struct('low', acc.till, 'high', x.start, 'kind', x.kind))))"
     )
-    pieces = F.transform(
-        folded["cuts"], lambda c: F.concat(F.substring(text, c["low"].cast("int") + 1, (c["high"] - c["low"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
+    rows = _once(rows, [*keep, spans], _t=text, _b=F.ceil(F.sqrt(F.size(spans))).cast("int"))
+    rows = _once(rows, [*keep, "_t"], _f=F.expr(f"aggregate({spans}, {begin}, (acc, x) -> {step})"))
+    blocks = F.expr(
+        "transform(array_append(_f.full, _f.open), b -> named_struct('cuts', b, 'at', get(b, 0).low, "
+        "'part', substring(_t, CAST(get(b, 0).low AS int) + 1, CAST(get(b, size(b) - 1).high - get(b, 0).low AS int))))"
     )
-    return F.concat(F.array_join(pieces, ""), F.substring(text, folded["till"].cast("int") + 1, F.length(text)))
+    rows = _once(rows, [*keep, "_t", "_f"], _p=blocks)
+    piece = "concat(substring(b.part, CAST(c.low - b.at AS int) + 1, CAST(c.high - c.low AS int)), '<', upper(c.kind), '>')"
+    joined = F.expr(f"array_join(transform(_p, b -> array_join(transform(b.cuts, c -> {piece}), '')), '')")
+    return _once(rows, keep, redacted=F.concat(joined, F.expr("substring(_t, CAST(_f.till AS int) + 1)")))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +279,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"))
     rows = rows.join(_side(written(found)), F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left")
     whole = F.col(f"row.`{text_col}`")
-    text = F.when(F.col("spans").isNull(), whole).otherwise(_redacted(whole, F.col("spans")))
+    none = F.array().cast("array<struct<start: bigint, rank: int, stop: bigint, kind: string>>")
+    rows = _redacted(rows.withColumn("spans", F.coalesce("spans", none)), ["row", "spans"], whole, "spans")
+    text = F.when(F.size("spans") > 0, F.col("redacted")).otherwise(whole)
     return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 

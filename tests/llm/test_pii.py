@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from foldwright.llm import pii
 
@@ -59,6 +60,38 @@ def test_base_spans_equal_brute_force(spark):
     assert spans(got) == [(i, brute(t)) for i, t in rows]
 
 
+def test_many_matches_in_one_text(spark):
+    """Places and redaction of 20,000 addresses in a text, and of numbers of all kinds."""
+    draw = random.Random(3)
+    one = " ".join(f"u{i}@h{i % 97}.org" for i in range(20_000))
+    kinds = ["a{}@b.de", "1.2.{}.4", "+1 555 {} 0100 22", "4111 1111 1111 1111", "é ß {}", "12{}"]
+    other = " x ".join(draw.choice(kinds).format(i % 200) for i in range(12_000))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, "no data")], "doc_id bigint, text string")
+    start = time.time()
+    got = spans(pii.find(docs).collect())
+    found = time.time() - start
+    want = {i: brute(t) for i, t in ((1, one), (2, other), (3, "no data"))}
+    assert got == sorted(want.items()) and len(want[1]) == 20_000
+    start = time.time()
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert found < 90 and time.time() - start < 90
+    for i, text in ((1, one), (2, other)):
+        out, till = [], 0
+        for a, _, b, kind in want[i]:
+            if a >= till:
+                out += [text[till:a], f"<{kind.upper()}>"]
+                till = b
+        assert texts[i] == "".join(out) + text[till:]
+    assert texts[3] == "no data"
+
+
+def test_filters_stay_above_the_places(spark):
+    """The optimizer copies nothing of the work on positions into a filter below it."""
+    plan = pii.matches(spark.createDataFrame([(1, "a@b.de")], "doc_id bigint, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_w#") and not any("Filter" in line and ("aggregate(" in line or "_w#" in line) for line in plan.splitlines())
+    assert plan.count("regexp_extract_all") <= 2 * (len(pii.PATTERNS) + 1) * 2
+
+
 def test_edges(spark):
     got = pii.find(edge_table(spark)).collect()
     assert len(got) == len(EDGES) and all(r["base"] == [] and r["extra"] == [] for r in got)
