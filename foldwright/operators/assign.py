@@ -1,12 +1,18 @@
 """Assigning whole groups to splits so that sizes and label shares meet their targets.
 
-Groups alike in size and label counts are one profile. Spark counts profiles; the driver decides how many groups of each
-go to each split; Spark ranks the groups of a profile by a seeded hash and deals them out. Where there are more profiles
-than PROFILES, the most frequent keep their own and the others are put together by magnitude and first label, with
-their mean for a profile, so the driver's work is bounded whatever the groups.
-
 The objective adds up, over splits, the squared distance between a split's share of the rows and its ratio, and the same
-for each label, averaged over labels.
+for each label, averaged over labels. A group is a sparse vector, its size and its count of each label, scaled so that the
+objective is the squared length of the splits' gaps: what they hold less their targets.
+
+Groups are dealt into ranges of some ten thousand. Groups that share a rare label share a range, where it can be balanced;
+a label of very many groups is spread over several. Each range is a task that places its own groups, large ones first, to
+meet its own share of the targets, and then moves and swaps groups while that helps. What the ranges leave over adds up,
+so rounds follow, in which some ranges at a time see the gaps of the whole. The objective is convex: if each of m ranges
+makes a change that would lower the objective m times over, all changes together don't raise it. So ranges work by
+themselves on changes m times as large, m falls from round to round down to one range that sees its changes as they are,
+and the objective never rises. One range, as for any table of few groups, is the sequential plan itself.
+
+The driver holds a gap for each split and label, and nothing that grows with groups.
 """
 
 from __future__ import annotations
@@ -15,18 +21,17 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwright.runtime import broadcast_if_small, checkpoint
+from foldwright.runtime import checkpoint, written
 
-#: A change counts as better beyond this; problems with at most so many groups also try swaps.
-EPSILON, SWAP_GROUPS = 1e-12, 200
-#: Ranges of the hash in which the groups of a profile are ranked.
-RANGES = 1024
-#: Profiles of their own that the driver plans for.
-PROFILES = 20_000
+#: A change counts as better beyond this; pairs of profiles whose swap is tried in a pass.
+EPSILON, SWAP_PAIRS = 1e-12, 20_000
+#: Groups of a range, about.
+RANGE = 20_000
 
 
 def check_ratios(ratios: Sequence[float]) -> list[float]:
@@ -38,168 +43,312 @@ def check_ratios(ratios: Sequence[float]) -> list[float]:
     return values
 
 
+class Profiles:
+    """Groups alike in size and label counts are one profile: sparse rows of counts, the size first in each, and how many
+    groups have it."""
+
+    def __init__(self, rows: Sequence[Sequence[tuple[int, int]]], counts: Sequence[int]):
+        self.begin = np.cumsum([0, *(len(r) for r in rows)])
+        flat = [x for r in rows for x in r]
+        self.at = np.array([d for d, _ in flat], np.int64)
+        self.by = np.array([n for _, n in flat], np.int64)
+        self.counts = np.array(counts, np.int64)
+        self.sizes = self.by[self.begin[:-1]] if len(self.counts) else self.counts
+
+    def sums(self, given: np.ndarray, dims: int) -> np.ndarray:
+        """Of groups of each profile for each split, ``given``: what every split holds of each dimension."""
+        times = np.repeat(given, np.diff(self.begin), axis=0) * self.by[:, None]
+        out = np.zeros((dims, given.shape[1]), np.int64)
+        np.add.at(out, self.at, times)
+        return out.T
+
+
+def scales(totals: np.ndarray) -> np.ndarray:
+    """What a count of each dimension weighs; ``totals`` begins with the number of rows."""
+    labels = max(1, len(totals) - 1)
+    weight = np.where(np.arange(len(totals)) == 0, 1.0, 1.0 / math.sqrt(labels))
+    return np.where(totals > 0, weight / np.maximum(totals, 1), 0)
+
+
 class Plan:
-    """How many groups of each profile each split gets.
+    """How many groups of each profile each split gets; ``gap`` is where the splits stand without them."""
 
-    A profile is a vector: its size first, then its count of each label. Distances are measured in the same vectors,
-    scaled so that their squares add up to the objective.
-    """
+    def __init__(self, profiles: Profiles, scale: np.ndarray, ratios: Sequence[float], gap: np.ndarray, turn: np.ndarray, times: int = 1):
+        self.p, self.ratios, self.gap, self.turn = profiles, np.array(ratios), gap.astype(float), turn
+        self.value = profiles.by * scale[profiles.at] * times
+        self.square = np.add.reduceat(self.value**2, profiles.begin[:-1]) if len(profiles.counts) else np.zeros(0)
+        self.given = np.zeros((len(profiles.counts), len(ratios)), np.int64)
+        rarity = profiles.by * np.where(profiles.at > 0, scale[profiles.at], 0)
+        rarity = np.maximum.reduceat(rarity, profiles.begin[:-1]) if len(profiles.counts) else rarity
+        self.order = np.lexsort((turn, -rarity, -profiles.sizes))
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.given.sum(0)
+
+    def _row(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.p.begin[p], self.p.begin[p + 1])
+        return self.p.at[own], self.value[own]
 
-    def __init__(self, profiles: np.ndarray, counts: np.ndarray, ratios: list[float]):
-        totals = (profiles * counts[:, None]).sum(0)
-        labels = max(1, profiles.shape[1] - 1)
-        weight = np.where(np.arange(profiles.shape[1]) == 0, 1.0, 1.0 / math.sqrt(labels))
-        self.profiles = profiles * np.where(totals > 0, weight / np.maximum(totals, 1), 0)
-        self.sizes, self.counts = profiles[:, 0], counts
-        self.gap = -np.outer(ratios, self.profiles.T @ counts)  # of each split to its target
-        self.given = np.zeros((len(profiles), len(ratios)), np.int64)
-        self.held = np.zeros(len(ratios), np.int64)
-        self.ratios = np.array(ratios)
-
-    def change(self, profile: int) -> np.ndarray:
-        """What one more group of a profile would do to the objective, for each split."""
-        v = self.profiles[profile]
-        return 2 * (self.gap @ v) + v @ v
-
-    def put(self, profile: int, split: int, n: int) -> None:
-        self.gap[split] += n * self.profiles[profile]
-        self.given[profile, split] += n
-        self.held[split] += n
+    def put(self, p: int, split: int, n: int) -> None:
+        at, value = self._row(p)
+        self.gap[split, at] += n * value
+        self.given[p, split] += n
+
+    def toward(self, p: int) -> np.ndarray:
+        """The gap of each split in the direction of a profile."""
+        at, value = self._row(p)
+        return self.gap[:, at] @ value
+
+    def all_toward(self) -> np.ndarray:
+        """``toward`` of every profile, a row each."""
+        return np.stack([np.add.reduceat(g[self.p.at] * self.value, self.p.begin[:-1]) for g in self.gap], axis=1)
 
     def objective(self) -> float:
         return float((self.gap**2).sum())
 
-    def fill(self, order: list[int], turn: np.ndarray) -> None:
-        """Each profile's groups in proportion first; what is left over goes one by one where it helps most.
-
-        Near the end splits that are still empty come first, so none stays empty if there are groups enough.
-        """
-        k, left = len(self.ratios), int(self.counts.sum())
-        for p in order:
-            share = np.floor(self.counts[p] * self.ratios + 1e-9).astype(np.int64)
-            if left - share.sum() < ((self.held == 0) & (share == 0)).sum():
-                share[:] = 0  # too few would be left for the empty ones
-            for s in np.flatnonzero(share):
-                self.put(p, int(s), int(share[s]))
-            left -= int(share.sum())
-            for j in range(int(self.counts[p] - share.sum())):
-                empty = np.flatnonzero(self.held == 0)
+    def fill(self) -> None:
+        """Each profile's groups in proportion first; what is left over goes one by one where it helps most, large groups
+        first, then such with rare labels. Splits that would stay empty come first when only so many groups are left."""
+        k, counts = len(self.ratios), self.p.counts
+        share = np.floor(counts[:, None] * self.ratios + 1e-9).astype(np.int64)
+        for p in self.order[::-1]:  # too few may be left for the empty ones
+            if (counts.sum() - share.sum()) >= (share.sum(0) == 0).sum():
+                break
+            share[p] = 0
+        for p, split in zip(*np.nonzero(share)):
+            self.put(p, split, int(share[p, split]))
+        rest, held = counts - share.sum(1), self.held
+        left = int(rest.sum())
+        for p in self.order[rest[self.order] > 0]:
+            for j in range(int(rest[p])):
+                empty = np.flatnonzero(held == 0)
                 open_ = empty if len(empty) and left <= len(empty) else np.arange(k)
-                cost = self.change(p)[open_]
+                cost = 2 * self.toward(p)[open_] + self.square[p]
                 near = open_[cost <= cost.min() + EPSILON]
-                self.put(p, int(near[np.argmin((turn[p] + j + near) % k)]), 1)
+                split = int(near[np.argmin((self.turn[p] + j + near) % k)])
+                self.put(p, split, 1)
+                held[split] += 1
                 left -= 1
 
-    def improve(self, order: list[int], passes: int) -> None:
-        """Moves of single groups, and swaps in small problems, while they lower the objective."""
-        k = len(self.ratios)
-        keep = int(self.counts.sum()) >= k
-        swaps = int(self.counts.sum()) <= SWAP_GROUPS
+    def improve(self, passes: int) -> None:
+        """Moves of groups, and swaps of neighbours in order, while they lower the objective. Where there are few profiles
+        all pairs are neighbours."""
         for _ in range(passes):
-            better = False
-            for p in order:
-                v = self.profiles[p]
-                for a in range(k):
-                    while self.given[p, a] and not (keep and self.held[a] <= 1):
-                        leave = v @ v - 2 * (self.gap[a] @ v)
-                        enter = self.change(p)
-                        enter[a] = np.inf
-                        b = int(np.argmin(enter))
-                        if leave + enter[b] >= -EPSILON:
-                            break
-                        self.put(p, a, -1)
-                        self.put(p, b, 1)
-                        better = True
-            if swaps:
-                better |= self._swap(order)
-            if not better:
+            moved = self._moves()
+            if not self._swaps() and not moved:
                 break
 
-    def _swap(self, order: list[int]) -> bool:
-        better = False
+    def _moves(self) -> bool:
+        k, better = len(self.ratios), False
+        if k < 2 or not len(self.p.counts):
+            return False
+        toward = self.all_toward()
+        leave = np.where(self.given > 0, toward, -np.inf).max(1)
+        likely = toward.min(1) + self.square - leave < -EPSILON
+        held, keep = self.held, int(self.p.counts.sum()) >= k
+        for p in self.order[likely[self.order]]:
+            for a in np.flatnonzero(self.given[p]):
+                while self.given[p, a] and not (keep and held[a] <= 1):
+                    toward = self.toward(p)
+                    b = int(np.argmin(np.where(np.arange(k) == a, np.inf, toward)))
+                    # n moves change the objective by 2 n way + 2 n n square.
+                    way = toward[b] - toward[a]
+                    if 2 * (way + self.square[p]) >= -EPSILON:
+                        break
+                    n = min(max(1, int(-way / (2 * self.square[p]))), int(self.given[p, a]), int(held[a]) - keep)
+                    self.put(p, a, -n)
+                    self.put(p, b, n)
+                    held[a] -= n
+                    held[b] += n
+                    better = True
+        return better
+
+    def _swaps(self) -> bool:
+        better, order = False, self.order
+        span = max(1, SWAP_PAIRS // max(1, len(order)))
         for i, p in enumerate(order):
-            for q in order[i + 1 :]:
-                d = self.profiles[q] - self.profiles[p]
-                for a, b in ((a, b) for a in np.flatnonzero(self.given[p]) for b in np.flatnonzero(self.given[q]) if a != b):
+            for q in order[i + 1 : i + 1 + span]:
+                froms, tos = np.flatnonzero(self.given[p]), np.flatnonzero(self.given[q])
+                if len(froms) == 1 == len(tos) and froms[0] == tos[0]:
+                    continue
+                way = self.toward(q) - self.toward(p)
+                if way.max() - way.min() <= EPSILON:
+                    continue
+                apart = self._apart(p, q)
+                for a, b in ((a, b) for a in froms for b in tos if a != b):
                     while self.given[p, a] and self.given[q, b]:
-                        if 2 * ((self.gap[a] - self.gap[b]) @ d) + 2 * (d @ d) >= -EPSILON:
+                        way = self.toward(q) - self.toward(p)
+                        if 2 * (way[a] - way[b]) + 2 * apart >= -EPSILON:
                             break
-                        self.put(p, a, -1)
-                        self.put(p, b, 1)
-                        self.put(q, b, -1)
-                        self.put(q, a, 1)
+                        for profile, source, to in ((p, a, b), (q, b, a)):
+                            self.put(profile, source, -1)
+                            self.put(profile, to, 1)
                         better = True
         return better
 
+    def _apart(self, p: int, q: int) -> float:
+        """The squared distance of two profiles."""
+        (at, value), (other, more) = self._row(p), self._row(q)
+        _, i, j = np.intersect1d(at, other, assume_unique=True, return_indices=True)
+        return float(self.square[p] + self.square[q] - 2 * (value[i] @ more[j]))
+
+
+class Range:
+    """The groups of one range as a table: ``_g``, ``_size``, ``_labels``, ``_h``, a seeded hash, and ``_kind``."""
+
+    def __init__(self, table: pa.Table, dims: dict[str, int], seed: int):
+        self.table = table.sort_by([("_h", "ascending"), ("_g", "ascending")])
+        key = np.rec.fromarrays([self.table.column(c).to_numpy() for c in ("_size", "_kind")])
+        _, first, self.of, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        rows = self.table.select(["_size", "_labels"]).take(pa.array(first)).to_pylist()
+        self.profiles = Profiles([[(0, r["_size"]), *((dims[x["_label"]], x["_n"]) for x in r["_labels"])] for r in rows], counts)
+        number = self.table.column("_range")[0].as_py()
+        self.turn = np.random.default_rng([seed & 0xFFFFFFFF, number]).permutation(len(first))
+
+    def dealt(self, given: np.ndarray) -> np.ndarray:
+        """The split of each group: a profile's groups in the order of their hashes, cut at its numbers."""
+        order = np.argsort(self.of, kind="stable")
+        begin = np.cumsum(self.profiles.counts) - self.profiles.counts
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(begin, self.profiles.counts)
+        return (rank[:, None] >= np.cumsum(given, axis=1)[self.of]).sum(1)
+
+
+STATE = "_range int, given binary, at array<int>, by array<bigint>"
+
+
+def _state(number: int, given: np.ndarray, change: np.ndarray) -> pa.Table:
+    """A range's numbers, and what has changed in what the splits hold."""
+    flat = change.ravel()
+    at = np.flatnonzero(flat)
+    return pa.table(
+        {
+            "_range": pa.array([number], pa.int32()), "given": pa.array([given.astype("<i8").tobytes()], pa.binary()),
+            "at": pa.array([at.astype(np.int32)], pa.list_(pa.int32())), "by": pa.array([flat[at]], pa.list_(pa.int64())),
+        }
+    )
+
+
+def _held(state: DataFrame, splits: int, dims: int) -> np.ndarray:
+    """The changes of a state added up: a number for each split and dimension."""
+    each = state.select(F.explode(F.arrays_zip("at", "by")).alias("x")).groupBy("x.at").agg(F.sum("x.by").alias("n"))
+    out = np.zeros(splits * dims, np.int64)
+    for r in each.collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(splits, dims)
+
 
 def assign_groups(
-    rows: DataFrame, ratios: Sequence[float], *, group_col: str = "group_id", labels_col: str | None = None, seed: int = 0, max_passes: int = 10
-) -> DataFrame:
+    rows: DataFrame, ratios: Sequence[float], *, group_col: str = "group_id", labels_col: str | None = None, seed: int = 0, max_passes: int = 10,
+    range_groups: int = RANGE,
+) -> DataFrame:
     """``(group_col, split)``, one row a group; ``split`` counts from 0 in the order of ``ratios``.
 
     ``rows`` has a row for each row of the data; null groups are an error. ``labels_col`` is an array column. The seed
-    breaks ties and chooses which of like groups go where.
+    breaks ties and chooses which of like groups go where. A range has about ``range_groups`` groups.
     """
     ratios = check_ratios(ratios)
     group = F.when(F.col(group_col).isNull(), F.raise_error(F.lit("a row has no group"))).otherwise(F.col(group_col)).alias("_g")
     labels = F.array_distinct(labels_col) if labels_col else F.array().cast("array<string>")
     base = rows.select(group, F.coalesce(labels, F.array().cast("array<string>")).alias("_l"))
-    counted = base.select("_g", F.explode_outer("_l").alias("_label")).groupBy("_g", "_label").agg(F.count("*").alias("_n"))
-    pairs = F.sort_array(F.collect_list(F.when(F.col("_label").isNotNull(), F.struct("_label", "_n"))))
-    sizes = base.groupBy("_g").agg(F.count("*").alias("_size"))
-    groups = checkpoint(counted.groupBy("_g").agg(pairs.alias("_labels")).join(sizes, "_g"))
-    groups = _binned(groups)
-    found = groups.groupBy("_bin", "_kind").agg(F.count("*").alias("n"), F.avg("_size").alias("size")).orderBy("_bin", "_kind").collect()
-    if not found:
+    counted = base.select("_g", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.filter("_l", lambda x: x.isNotNull()))).alias("_label"))
+    counted = counted.groupBy("_g", "_label").agg(F.count("*").alias("_n"))
+    pair = F.when(F.col("_label").isNotNull(), F.struct("_label", "_n"))
+    groups = counted.groupBy("_g").agg(F.max(F.when(F.col("_label").isNull(), F.col("_n"))).alias("_size"), F.sort_array(F.collect_list(pair)).alias("_labels"))
+    groups = checkpoint(groups)
+
+    each = groups.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("_label"), F.col("_size").alias("_n"))), F.col("_labels"))).alias("x"))
+    totals = {r["_label"]: (r["n"], r["groups"]) for r in each.groupBy("x._label").agg(F.sum("x._n").alias("n"), F.count("*").alias("groups")).collect()}
+    if not totals:
         raise ValueError("there are no rows to assign")
-    each = groups.select("_bin", "_kind", F.explode("_labels").alias("x")).groupBy("_bin", "_kind", "x._label")
-    held = each.agg(F.sum("x._n").alias("n")).orderBy("_bin", "_kind", "_label").collect()
-    names = sorted({r["_label"] for r in held})
-    at = {name: i + 1 for i, name in enumerate(names)}
-    row = {(r["_bin"], r["_kind"]): i for i, r in enumerate(found)}
-    profiles = np.zeros((len(found), len(names) + 1))
-    for i, r in enumerate(found):
-        profiles[i, 0] = r["size"]
-    for r in held:
-        i = row[r["_bin"], r["_kind"]]
-        profiles[i, at[r["_label"]]] = r["n"] / found[i]["n"]
-    counts = np.array([r["n"] for r in found])
-    totals = np.maximum((profiles * counts[:, None]).sum(0), 1)
-    rarity = (profiles / totals)[:, 1:].max(1) if names else np.zeros(len(found))
-    turn = np.random.default_rng(seed).permutation(len(found))
-    order = sorted(range(len(found)), key=lambda p: (-profiles[p, 0], -rarity[p], turn[p]))
-    plan = Plan(profiles, counts, ratios)
-    plan.fill(order, turn)
-    plan.improve(order, max_passes)
-    return _dealt(groups, found, plan.given, seed).withColumnRenamed("_g", group_col)
-
-
-def _binned(groups: DataFrame) -> DataFrame:
-    """``groups`` with ``(_bin, _kind)``, which name a profile: a size and a hash of all labels with their counts, or, for
-    rare profiles where there are too many, a magnitude below zero and a hash of the first label."""
-    kind = F.xxhash64(F.to_json("_labels"))
-    exact = groups.select("*", F.col("_size").alias("_bin"), kind.alias("_kind"))
-    profiles = checkpoint(exact.groupBy("_bin", "_kind").agg(F.count("*").alias("_n")))
-    if profiles.count() <= PROFILES:
-        return exact
-    own = profiles.orderBy(F.desc("_n"), F.desc("_bin"), "_kind").limit(PROFILES).select("_bin", "_kind", F.lit(True).alias("_own"))
-    marked = exact.join(broadcast_if_small(checkpoint(own)), ["_bin", "_kind"], "left")
-    first = F.xxhash64(F.coalesce(F.get(F.col("_labels"), F.lit(0))["_label"], F.lit("")))
-    magnitude = -1 - F.floor(F.log2("_size")).cast("bigint")
-    keep = F.col("_own").isNotNull()
-    return checkpoint(marked.select("_g", "_labels", "_size", F.when(keep, F.col("_bin")).otherwise(magnitude).alias("_bin"), F.when(keep, F.col("_kind")).otherwise(first).alias("_kind")))
-
-
-def _dealt(groups: DataFrame, found: list, given: np.ndarray, seed: int) -> DataFrame:
-    """The groups of each profile in the order of a seeded hash, cut at the planned numbers."""
-    spark = groups.sparkSession
-    rows = [(i, r["_bin"], r["_kind"], np.cumsum(g).tolist()) for i, (r, g) in enumerate(zip(found, given))]
-    plan = spark.createDataFrame(rows, "_p int, _bin bigint, _kind bigint, _till array<bigint>")
-    hashed = groups.join(broadcast_if_small(plan), ["_bin", "_kind"]).select("_g", "_p", "_till", F.xxhash64("_g", F.lit(seed)).alias("_h"))
-    hashed = checkpoint(hashed.withColumn("_r", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(RANGES)).cast("int")))
-    sizes = hashed.groupBy("_p", "_r").agg(F.count("*").alias("_n"))
-    begin = (F.sum("_n").over(W.partitionBy("_p").orderBy("_r")) - F.col("_n")).alias("_begin")
-    place = F.row_number().over(W.partitionBy("_p", "_r").orderBy("_h", "_g"))
-    ranked = hashed.withColumn("_place", place).join(broadcast_if_small(checkpoint(sizes.select("_p", "_r", begin))), ["_p", "_r"])
-    rank = F.col("_begin") + F.col("_place")
-    return ranked.select("_g", F.size(F.filter("_till", lambda t: t < rank)).alias("split"))
+    names = sorted(x for x in totals if x is not None)
+    sums = np.array([totals[None][0], *(totals[x][0] for x in names)])
+    k, dims, parts = len(ratios), len(sums), math.ceil(totals[None][1] / range_groups)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(({x: i + 1 for i, x in enumerate(names)}, {x: totals[x] for x in names}, scales(sums)))
+    ranged = _ranged(groups, shared, parts, range_groups, seed)
+    ranged = written(ranged) if parts > 1 else ranged
+
+    def first(table: pa.Table) -> pa.Table:
+        own = Range(table, shared.value[0], seed)
+        p, scale = own.profiles, shared.value[2]
+        whole = p.sums(p.counts[:, None], dims)[0]
+        plan = Plan(p, scale, ratios, -np.outer(ratios, whole * scale), own.turn)
+        plan.fill()
+        plan.improve(max_passes)
+        return _state(table.column("_range")[0].as_py(), plan.given, p.sums(plan.given, dims))
+
+    state = checkpoint(ranged.groupBy("_range").applyInArrow(first, STATE))
+    if parts > 1:
+        state = _rounds(ranged, state, shared, ratios, sums, parts, seed, max_passes)
+
+    def deal(table: pa.Table, of: pa.Table) -> pa.Table:
+        own = Range(table, shared.value[0], seed)
+        given = np.frombuffer(of.column("given")[0].as_py(), "<i8").reshape(-1, k)
+        return pa.table({"_g": own.table.column("_g"), "split": pa.array(own.dealt(given).astype(np.int32))})
+
+    kind = groups.schema["_g"].dataType.simpleString()
+    both = ranged.groupBy("_range").cogroup(state.groupBy("_range"))
+    return both.applyInArrow(deal, f"_g {kind}, split int").withColumnRenamed("_g", group_col)
+
+
+def _ranged(groups: DataFrame, shared, parts: int, size: int, seed: int) -> DataFrame:
+    """``groups`` with ``_range``, ``_h`` and ``_kind``. A group's rarest label names its range; a label that more than
+    ``size`` groups have names as many as it needs, of which a hash of the group takes one."""
+    keyed = groups.select("*", F.xxhash64("_g", F.lit(seed)).alias("_h"), F.xxhash64(F.to_json("_labels")).alias("_kind"))
+    if parts == 1:
+        return keyed.withColumn("_range", F.lit(0))
+
+    def run(batches):
+        names, totals, _ = shared.value
+        for batch in batches:
+            out = []
+            for own, h in zip(batch.column("_labels").to_pylist(), batch.column("_h").to_pylist()):
+                label = min((x["_label"] for x in own), key=lambda x: (totals[x][0], names[x]), default=None)
+                spread = parts if label is None else -(-totals[label][1] // size)
+                out.append(((0 if label is None else names[label] * 2654435761) + (h % spread) * 40503) % parts)
+            yield batch.append_column("_range", pa.array(out, pa.int32()))
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", _range int"
+    return keyed.mapInArrow(run, ddl)
+
+
+def _again(shared, now, ratios: list[float], active: int, seed: int, passes: int):
+    """What one of ``active`` ranges does in a round: its changes count as many times over against the gaps ``now``."""
+
+    def run(table: pa.Table, of: pa.Table) -> pa.Table:
+        dims, _, scale = shared.value
+        own = Range(table, dims, seed)
+        given = np.frombuffer(of.column("given")[0].as_py(), "<i8").reshape(-1, len(ratios))
+        plan = Plan(own.profiles, scale, ratios, now.value, own.turn, active)
+        plan.given[:] = given
+        plan.improve(passes)
+        return _state(table.column("_range")[0].as_py(), plan.given, own.profiles.sums(plan.given - given, len(scale)))
+
+    return run
+
+
+def _rounds(ranged: DataFrame, state: DataFrame, shared, ratios: list[float], sums: np.ndarray, parts: int, seed: int, passes: int) -> DataFrame:
+    """The state after rounds in which fewer and fewer ranges see the gaps of the whole, down to one."""
+    spark, k, dims = ranged.sparkSession, len(ratios), len(sums)
+    scale, turn = scales(sums), np.random.default_rng(seed & 0xFFFFFFFF).permutation(parts)
+    present = {r["_range"] for r in state.select("_range").collect()}  # a number for each range
+    turn = np.array([t for t in turn.tolist() if t in present])
+    held = _held(state, k, dims)
+    gap = lambda held: (held - np.outer(ratios, sums)) * scale
+    worth, active, at = float((gap(held) ** 2).sum()), len(turn), 0
+    while True:
+        chosen = spark.createDataFrame([(int(turn[(at + i) % len(turn)]),) for i in range(active)], "_range int")
+        base = ranged.join(F.broadcast(chosen), "_range", "left_semi")  # at most a number for each range
+        old = state.join(F.broadcast(chosen), "_range", "left_semi")
+        again = _again(shared, spark.sparkContext.broadcast(gap(held)), ratios, active, seed, passes)
+        new = checkpoint(base.groupBy("_range").cogroup(old.groupBy("_range")).applyInArrow(again, STATE))
+        changed = held + _held(new, k, dims)
+        found = float((gap(changed) ** 2).sum())
+        if found <= worth:
+            held, worth = changed, found
+            state = checkpoint(state.join(F.broadcast(chosen), "_range", "left_anti").unionByName(new))
+        if active == 1:
+            return state
+        at, active = at + active, -(-active // 2)
