@@ -38,6 +38,7 @@ def test_encoding_by_pieces(reference):
     odd = ["a", "ß", "漢", " ", "  ", "\n", "\t", "\r\n", " ", "　", "᠎", "\x1c", "\x85", "'s", "don't", "12", ".", "!?", "<|endoftext|>", "😀", "Ġ", "é́", "x" * 70]
     texts = ["".join(draw.choices(odd, k=draw.randrange(30))) for _ in range(3000)]
     texts += [" ".join(draw.choices(odd, k=draw.randrange(30))) for _ in range(3000)] + [prose(1, 500), "long" * 5000]
+    assert all(tokens._cut(t) == tokens.CUT.split(t) for t in texts)
     encoder = tokens.Encoder(PATH)
     for i in range(0, len(texts), 500):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[i : i + 500])] == [reference(t) for t in texts[i : i + 500]]
