@@ -58,10 +58,12 @@ def shingles(text: str, ngram: int = 5) -> np.ndarray:
 
 
 def jaccard_of(left: np.ndarray, right: np.ndarray) -> float:
-    """Shared over all of two sets of distinct hashes; two empty sets are alike."""
+    """Shared over all of two sorted sets of distinct hashes; two empty sets are alike."""
     if not len(left) and not len(right):
         return 1.0
-    shared = len(np.intersect1d(left, right, assume_unique=True))
+    few, many = sorted((left, right), key=len)
+    at = np.searchsorted(many, few)
+    shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
     return shared / (len(left) + len(right) - shared)
 
 

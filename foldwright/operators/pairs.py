@@ -9,37 +9,67 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.text import check_threshold, jaccard_of, lsh_bands, normalized, shingle_sets, shingles, sketches
 from foldwright.operators.components import connected_components
-from foldwright.runtime import checkpoint, written
+from foldwright.runtime import broadcast_if_small, checkpoint, written
 
 #: Texts of one bucket on either side of one join key; a larger bucket is dealt out as pairs of such tiles.
-TILE = 1024
+TILE = 512
+#: n-gram hashes that a task keeps of the texts it compares, 64 MB.
+KEPT = 8 << 20
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
-    """``(left, right, similarity)`` of the candidate pairs ``(left, right)`` that reach the threshold.
-
-    The texts of both sides are joined in and compared in one pass; only texts that are in some pair are moved.
-    """
-    kind = left.schema[id_col].dataType.simpleString()
-    both = pairs.join(left.select(F.col(id_col).alias("left"), F.col(text_col).alias("left_text")), "left")
-    both = both.join(right.select(F.col(id_col).alias("right"), F.col(text_col).alias("right_text")), "right")
+def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
+    """``(left, right, similarity)``. ``rows`` come tile by tile, in each the texts of the left, of the right, and the pairs."""
 
     def run(batches):
+        tile, texts, kept, size = None, ({}, {}), {}, 0
         for batch in batches:
-            seen: dict[str, object] = {}
+            out = []
+            for t, what, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "a", "b", "text"))):
+                if t != tile:
+                    tile, texts, kept, size = t, ({}, {}), {}, 0
+                if what < 2:
+                    texts[what][a] = text
+                    continue
+                found = []
+                for side, key in ((0, a), (0 if same else 1, b)):
+                    if (side, key) not in kept:
+                        if size > KEPT:
+                            kept, size = {}, 0
+                        kept[side, key] = shingles(normalized(texts[side][key]), ngram)
+                        size += len(kept[side, key])
+                    found.append(kept[side, key])
+                out.append((a, b, jaccard_of(*found)))
+            columns = list(zip(*out)) or [(), (), ()]
+            types = (batch.schema.field("a").type, batch.schema.field("b").type, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=["left", "right", "similarity"])
+
+    return rows.mapInArrow(run, f"left {kind}, right {kind}, similarity double")
 
-            def of(text):
-                if text not in seen:
-                    if len(seen) > 512:
-                        seen.clear()
-                    seen[text] = shingles(normalized(text), ngram)
-                return seen[text]
 
-            values = [jaccard_of(of(a), of(b)) for a, b in zip(batch.column("left_text").to_pylist(), batch.column("right_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right"), pa.array(values, pa.float64())], names=["left", "right", "similarity"])
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
+    """``(left, right, similarity)`` of the candidate pairs ``(left, right, tile)``, each once, that reach the threshold.
 
-    got = both.select("left", "right", "left_text", "right_text").mapInArrow(run, f"left {kind}, right {kind}, similarity double")
-    return got.where(F.col("similarity") >= threshold)
+    A text goes once to each tile in which it is compared, however many pairs it has there, so what is moved grows with
+    texts and tiles and not with pairs. Only texts that are in some pair are moved. ``left`` and ``right`` may be one table.
+    """
+    kind, same = left.schema[id_col].dataType.simpleString(), left is right
+    pairs = pairs.select("tile", "left", "right")
+    nothing = F.lit(None)
+    rows = pairs.select("tile", F.lit(2).alias("what"), F.col("left").alias("a"), F.col("right").alias("b"), nothing.cast("string").alias("text"))
+    ends = [pairs.select("tile", F.col(c).alias("a")) for c in ("left", "right")]
+    for what, (df, need) in enumerate([(left, ends[0].union(ends[1]))] if same else [(left, ends[0]), (right, ends[1])]):
+        texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+        held = need.distinct().join(texts, F.col("a") == F.col("_id"))
+        rows = rows.unionByName(held.select("tile", F.lit(what).alias("what"), "a", nothing.cast(kind).alias("b"), "text"))
+    dealt = rows.repartition("tile").sortWithinPartitions("tile", "what", "a", "b")
+    return _compared(dealt, kind, ngram, same).where(F.col("similarity") >= threshold)
+
+
+def starred(pairs: DataFrame) -> DataFrame:
+    """``(left, right, tile)`` of distinct ``pairs``: those of one left are a tile, or several where it has more than TILE."""
+    counts = pairs.groupBy("left").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    many = pairs.join(broadcast_if_small(checkpoint(counts)), "left", "left")
+    return many.select("left", "right", F.xxhash64("left", F.pmod(F.xxhash64("right"), F.coalesce("tiles", F.lit(1)))).alias("tile"))
 
 
 def unique_sketches(df: DataFrame, id_col: str, text_col: str, threshold: float, ngram: int, num_perm: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -60,24 +90,35 @@ def _listed(uniques: DataFrame) -> DataFrame:
 
 def met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """All pairs of rows of both sides that share ``(band, key)`` and whose sets are alike enough in size to reach the
-    threshold; the columns of ``right`` but these get the prefix ``other_``.
+    threshold, with their ``tile``; the columns of ``right`` but these get the prefix ``other_``.
 
     A bucket of more than TILE rows is cut into tiles by a hash, and a tile of the left meets each of the right under a
-    key of its own, so no join key holds more than TILE rows of a side, whatever the bucket holds.
+    key of its own, so no join key holds more than TILE rows of a side, whatever the bucket holds. Counts find the hot
+    buckets; only they are listed, a row for TILE rows at most, and marked without a join on the bucket.
     """
     bucket = ["band", "key"]
-    sizes = [df.groupBy(*bucket).agg(F.count("*").alias("n")) for df in (left, right)]
-    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    both = sizes[0].join(sizes[1].withColumnRenamed("n", "m"), bucket).select(*bucket, tiles("n").alias("a"), tiles("m").alias("b"))
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = checkpoint(both).repartition(n)
+
+    def hot(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE).cast("int").alias(name)).where(F.col(name) > 1)
+        return broadcast_if_small(checkpoint(counts))
+
+    ones, others = hot(left, "a"), hot(right, "b") if right is not left else None
+    tiled = [df.join(ones, bucket, "left") for df in (left, right)]
+    tiled = [df.withColumn("b", F.col("a")) if others is None else df.join(others, bucket, "left") for df in tiled]
+    tiled = [df.na.fill(1, ["a", "b"]) for df in tiled]
     own = lambda c: F.pmod(F.xxhash64("uid"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     more = [c for c in right.columns if c not in bucket]
-    ours = left.join(both, bucket).select(*left.columns, own("a").alias("i"), every("b").alias("j"))
-    theirs = right.join(both, bucket).select(*bucket, *(F.col(c).alias(f"other_{c}") for c in more), every("a").alias("i"), own("b").alias("j"))
+    ours = tiled[0].select(*left.columns, own("a").alias("i"), every("b").alias("j"))
+    theirs = tiled[1].select(*bucket, *(F.col(c).alias(f"other_{c}") for c in more), every("a").alias("i"), own("b").alias("j"))
     alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9
-    return ours.join(theirs, [*bucket, "i", "j"]).where(alike)
+    return ours.join(theirs, [*bucket, "i", "j"]).where(alike).withColumn("tile", F.xxhash64(*bucket, "i", "j"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair of ``met`` once, in the tile of its first band."""
+    first = F.min(F.struct("band", "tile"))
+    return pairs.groupBy(F.col("uid").alias("left"), F.col("other_uid").alias("right")).agg(first["tile"].alias("tile"))
 
 
 def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5, num_perm: int = 128, seed: int = 0) -> DataFrame:
@@ -90,7 +131,7 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: flo
     listed = _listed(uniques)
     several = listed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     listed = checkpoint(listed.join(several, ["band", "key"]))
-    pairs = met(listed, listed, threshold).where("uid < other_uid").select(F.col("uid").alias("left"), F.col("other_uid").alias("right")).distinct()
+    pairs = checkpoint(_once(met(listed, listed, threshold).where("uid < other_uid")))
     return verified(pairs, df, df, id_col, text_col, ngram, threshold)
 
 
@@ -101,18 +142,18 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
     parts, the texts of different parts with each other. Pairs inside one part are never listed.
     """
     listed = _listed(uniques)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hubs = listed.groupBy("band", "key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
-    shared = checkpoint(listed.join(hubs, ["band", "key"]))
+    shared = checkpoint(listed.join(hubs.repartition(n), ["band", "key"]))
     stars = checkpoint(shared.where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct())
-    first = checkpoint(verified(stars, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
+    first = checkpoint(verified(checkpoint(starred(stars)), df, df, id_col, text_col, ngram, threshold).select("left", "right"))
     parts = checkpoint(connected_components(first))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = shared.join(parts.repartition(n), F.col("uid") == F.col("node"), "left")
     placed = placed.select("band", "key", "uid", "size", F.coalesce("component", "uid").alias("part"))
     mixed = placed.groupBy("band", "key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("band", "key")
     placed = checkpoint(placed.join(mixed.repartition(n), ["band", "key"]))
     rest = met(placed, placed, threshold).where("uid < other_uid and part <> other_part")
-    rest = rest.select(F.col("uid").alias("left"), F.col("other_uid").alias("right")).distinct().join(stars, ["left", "right"], "left_anti")
+    rest = checkpoint(_once(rest).join(stars, ["left", "right"], "left_anti"))
     more = checkpoint(verified(rest, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
     return parts if more.isEmpty() else checkpoint(connected_components(first.unionByName(more)))
 
@@ -166,11 +207,11 @@ def find_cross_duplicates(
         left = train_uid.join(made["train"], "key").where(F.col(id_col) == F.col("train_id")).dropDuplicates(["key"])
         right = pending.join(made["test"], "key").where(F.col(id_col) == F.col("test_uid")).dropDuplicates(["key"])
         if exact:
-            pairs = _prefix_cross(train, test, left, right, id_col, text_col, ngram, threshold)
+            pairs = checkpoint(starred(checkpoint(_prefix_cross(train, test, left, right, id_col, text_col, ngram, threshold))))
         else:
             a = checkpoint(_listed(left.withColumnRenamed("train_id", "uid")))
             b = checkpoint(_listed(right.withColumnRenamed("test_uid", "uid")))
-            pairs = met(a, b, threshold).select(F.col("uid").alias("left"), F.col("other_uid").alias("right")).distinct()
+            pairs = checkpoint(_once(met(a, b, threshold)))
         near = verified(pairs, train, test, id_col, text_col, ngram, threshold)
         first = near.groupBy("right").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "left")).alias("b"))
         near = right.join(first, right["test_uid"] == first["right"]).select("key", F.col("b.left").alias("train_id"), (-F.col("b.s")).alias("similarity"))

@@ -182,3 +182,44 @@ def test_groups_do_not_depend_on_tiles(spark, monkeypatch):
     assert ids(groups.near_duplicate_groups(df, "id")) == want
     assert sorted(map(tuple, pairs.lsh_pairs(df, "id").collect())) == links
     assert sorted(map(tuple, pairs.find_cross_duplicates(df.where("id % 3 > 0"), df.where("id % 3 = 0"), "id").collect())) == cross
+
+
+def test_a_text_goes_once_to_each_tile(spark, monkeypatch):
+    """What is moved to compare texts grows with texts and tiles, not with pairs."""
+    moved, compared = [], pairs._compared
+    monkeypatch.setattr(pairs, "_compared", lambda rows, *more: (moved.append(rows.where("what < 2")), compared(rows, *more))[1])
+    texts = [f"{'the same words in all of them ' * 4} and {i}" for i in range(40)]
+    df = table(spark, texts)
+    both = [(1, i, j) for i in range(40) for j in range(i)] + [(2, 3, 4)]
+    got = pairs.verified(spark.createDataFrame(both, "tile bigint, left bigint, right bigint"), df, df, "id", "text", 5, 0.5).collect()
+    assert len(got) == 781 and moved[0].count() == 42
+    for r in got[:50]:
+        want = jaccard_of(*(shingles(normalized(texts[r[c]])) for c in ("left", "right")))
+        assert r["similarity"] == want
+    # of two tables: equal ids are different texts
+    other = table(spark, texts[::-1])
+    got = pairs.verified(spark.createDataFrame([(1, 5, 34), (1, 5, 5)], "tile bigint, left bigint, right bigint"), df, other, "id", "text", 5, 0.1).collect()
+    assert {(r["left"], r["right"]): r["similarity"] == 1 for r in got} == {(5, 34): True, (5, 5): False} and moved[1].count() == 3
+
+
+def test_what_a_task_keeps_is_bounded(spark, monkeypatch):
+    texts = [f"{'words of a text ' * 9} and {i} {i * i}" for i in range(12)]
+    df = table(spark, texts)
+    both = spark.createDataFrame([(1, i, j) for i in range(12) for j in range(i)], "tile bigint, left bigint, right bigint")
+    want = sorted(map(tuple, pairs.verified(both, df, df, "id", "text", 5, 0.1).collect()))
+    assert want == sorted((i, j, jaccard_of(*(shingles(normalized(texts[k])) for k in (i, j)))) for i in range(12) for j in range(i))
+
+
+def test_stars_with_many_ends_are_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 8)
+    df = spark.createDataFrame([(0, i) for i in range(1, 101)] + [(7, 8)], "left bigint, right bigint")
+    sizes = sorted(r["count"] for r in pairs.starred(df).groupBy("tile").count().collect())
+    assert sum(sizes) == 101 and len(sizes) > 10 and sizes[-1] <= 20
+
+
+def test_a_hot_bucket_is_even_work(spark, monkeypatch):
+    """Two thousand texts in one bucket meet once each, in tiles of like size."""
+    monkeypatch.setattr(pairs, "TILE", 100)
+    rows = spark.range(2000).select(F.col("id").alias("uid"), F.lit(5).alias("size"), F.lit(0).alias("band"), F.lit(7).cast("bigint").alias("key"))
+    sizes = [r["count"] for r in pairs.met(rows, rows, 1.0).groupBy("tile").count().collect()]
+    assert sum(sizes) == 2000 * 2000 and len(sizes) == 400 and max(sizes) < 3 * sorted(sizes)[200]
