@@ -365,6 +365,37 @@ def kfold_ids(spark, sf_dir):
     return folds.NearDupKFold(5).fold_ids(table(spark, sf_dir, "documents"), "doc_id", label_cols=("lang",))
 
 
+SHARES = (
+    f"{NEAR}, own AS (SELECT group_id, lang AS label, count(*) AS n FROM grouped JOIN documents USING (doc_id) GROUP BY ALL "
+    "UNION ALL SELECT group_id, '(rows)', count(*) FROM grouped GROUP BY ALL), t AS (SELECT label, sum(n)::BIGINT AS total, max(n) AS largest FROM own GROUP BY label) "
+    "SELECT label, {split} AS split, total, largest, {ratio} AS ratio, true AS near FROM t, {splits}"
+)
+
+
+def _shares(spark, sf_dir, placed: DataFrame, ratios: dict) -> DataFrame:
+    """For all rows and for each language, and each split: whether the split is nearer to its share than the largest group."""
+    lang = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array("lang", F.lit("(rows)"))).alias("label"))
+    near = checkpoint(near_duplicate_groups(spark, sf_dir))
+    every = checkpoint(lang.join(near, "doc_id").join(placed, "doc_id"))
+    sizes = every.groupBy("label", "group_id").agg(F.count("*").alias("n")).groupBy("label").agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
+    held = every.groupBy("label").pivot("split", list(ratios)).count().na.fill(0)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.lit(r).alias("ratio"), F.col(f"`{s}`").alias("n")) for s, r in ratios.items()])).alias("x")
+    rows = held.select("label", each).select("label", "x.*").join(sizes, "label")
+    near = (F.abs(F.col("n") - F.col("ratio") * F.col("total")) <= F.col("largest")).alias("near")
+    return rows.select("label", "split", "total", "largest", "ratio", near)
+
+
+@query(SHARES.format(split="s", ratio="r", splits="(VALUES ('train', 0.8::DOUBLE), ('test', 0.2::DOUBLE)) u(s, r)"))
+def assign_shares(spark, sf_dir):
+    return _shares(spark, sf_dir, checkpoint(assign_splits(spark, sf_dir)), RATIOS)
+
+
+@query(SHARES.format(split="s::INTEGER", ratio="0.2::DOUBLE", splits="unnest(range(5)) u(s)"))
+def kfold_shares(spark, sf_dir):
+    placed = checkpoint(kfold_ids(spark, sf_dir)).withColumnRenamed("fold", "split")
+    return _shares(spark, sf_dir, placed, dict.fromkeys(range(5), 0.2))
+
+
 @query("SELECT 0::BIGINT AS n_groups_in_two_splits")
 def assign_straddle(spark, sf_dir):
     near = checkpoint(near_duplicate_groups(spark, sf_dir))
@@ -404,7 +435,7 @@ def kfold_roles(spark, sf_dir):
     "WITH t AS (SELECT c_mktsegment AS label, count(*) AS total FROM customer GROUP BY ALL) SELECT label, s::INTEGER AS split, total, true AS near FROM t, unnest(range(3)) u(s)"
 )
 def assign_label_shares(spark, sf_dir):
-    """Groups of one row with one label: each split has its share of each label, to less than one row a split."""
+    """Groups of one row with one label: each split has its share of each label, to less than three rows."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.array("c_mktsegment").alias("labels"), F.col("c_mktsegment").alias("label"))
     ratios = F.array(F.lit(0.7), F.lit(0.2), F.lit(0.1))
     found = rows.join(assign.assign_groups(rows, [0.7, 0.2, 0.1], labels_col="labels"), "group_id").groupBy("label", "split").agg(F.count("*").alias("n"))
