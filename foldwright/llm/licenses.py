@@ -19,7 +19,13 @@ from foldwright.llm.common import per_row, read
 
 #: Openings or whole texts of public licenses and the usual one-line notices, by SPDX name.
 TEMPLATES = {
+    "CC0-1.0": [
+        "Released under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under "
+        "CC0 1.0 Universal.",
+    ],
     "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
@@ -67,9 +73,11 @@ TEMPLATES = {
 GNU = {"GPL": ("General", ("2.0", "3.0")), "LGPL": ("Lesser General", ("2.1", "3.0")), "AGPL": ("Affero General", ("3.0",))}
 TERMS = {"NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
 COMMONS = ((), ("NC",), ("SA",), ("ND",), ("NC", "SA"), ("NC", "ND"))
+#: When versions of these came out, as their full texts begin.
+DATES = {"GPL-2.0": "June 1991", "GPL-3.0": "29 June 2007", "LGPL-2.1": "February 1999", "LGPL-3.0": "29 June 2007", "AGPL-3.0": "19 November 2007"}
 #: Words that must be aligned where a template of that license has them.
 NEEDED = {
-    "Apache-2.0": ("apache", "2"), "MIT": ("mit",), "MPL-2.0": ("mozilla", "2"), "Unlicense": ("unencumbered",), "BSD-3-Clause": ("neither", "endorse"),
+    "CC0-1.0": ("cc0",), "Apache-2.0": ("apache", "2"), "MIT": ("mit",), "MPL-2.0": ("mozilla", "2"), "Unlicense": ("unencumbered",), "BSD-3-Clause": ("neither", "endorse"),
 }
 
 for _kind, (_title, _versions) in GNU.items():
@@ -80,15 +88,24 @@ for _kind, (_title, _versions) in GNU.items():
             f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_title} Public License as "
             "published by the Free Software Foundation,"
         )
-        TEMPLATES[f"{_kind}-{_version}-only"] = [f"{_notice}.", f"{_program} version {_number} of the License."]
+        _whole = (
+            f"GNU {_title} Public License Version {_number}, {DATES[f'{_kind}-{_version}']} Copyright (C) Free Software Foundation, Inc. "
+            "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+        )
+        TEMPLATES[f"{_kind}-{_version}-only"] = [f"{_notice}.", f"{_program} version {_number} of the License.", _whole]
         TEMPLATES[f"{_kind}-{_version}-or-later"] = [
             f"{_notice} or any later version.",
             f"{_program} either version {_number} of the License, or (at your option) any later version.",
         ]
         NEEDED[f"{_kind}-{_version}-only"] = (*_title.lower().split(), _number)
         NEEDED[f"{_kind}-{_version}-or-later"] = (*_title.lower().split(), _number, "later")
-#: Words that must not stand in the stretch that is aligned.
-BARRED = {name: {"lesser", "library", "affero"} - set(NEEDED[name]) for name in NEEDED if name.split("-")[0] in GNU}
+#: Words that must not stand in the stretch that is aligned; the Lesser license calls what it covers a library.
+BARRED = {name: {"lesser", "affero"} - set(NEEDED[name]) for name in NEEDED if name.split("-")[0] in GNU}
+for _name in BARRED:
+    if not _name.startswith("LGPL"):
+        BARRED[_name].add("library")
+#: Words that must not stand among the BEHIND words after the stretch.
+BEHIND, BARRED_BEHIND = 8, {name: {"later"} for name in BARRED if name.endswith("-only")}
 for _terms in COMMONS:
     _name = "-".join(("CC-BY", *_terms, "4.0"))
     TEMPLATES[_name] = [
@@ -100,6 +117,9 @@ for _terms in COMMONS:
     NEEDED[_name] = (*sorted(_own), "by", "attribution", "4")
     BARRED[_name] = _all - _own
 
+#: The machine-readable notice of each license, all of whose words must be there.
+TAGS = {name: f"SPDX-License-Identifier: {name}" for name in TEMPLATES}
+
 #: Coverage from which a template counts as found.
 COVERAGE = 0.8
 
@@ -161,7 +181,7 @@ def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
 
 
 class Template(NamedTuple):
-    """A template's words, how often it has each, the places that must be aligned, and words barred between them."""
+    """A template's words, how often it has each, the places that must be aligned, and words barred between and behind them."""
 
     name: str
     number: int
@@ -169,6 +189,7 @@ class Template(NamedTuple):
     counts: dict[str, int]
     needed: frozenset[int]
     barred: frozenset[str]
+    behind: frozenset[str]
 
 
 class Known(NamedTuple):
@@ -179,10 +200,11 @@ class Known(NamedTuple):
 def prepared() -> Known:
     out = []
     for name, texts in TEMPLATES.items():
-        for k, text in enumerate(texts):
+        for k, text in enumerate([*texts, TAGS[name]]):
             items = [w for w, _, _ in words(text)]
-            needed = frozenset(p for p, w in enumerate(items) if w in NEEDED.get(name, ()))
-            out.append(Template(name, k, items, {w: items.count(w) for w in items}, needed, frozenset(BARRED.get(name, ()))))
+            needed = frozenset(p for p, w in enumerate(items) if k == len(texts) or w in NEEDED.get(name, ()))
+            barred = (frozenset(x.get(name, ())) for x in (BARRED, BARRED_BEHIND))
+            out.append(Template(name, k, items, {w: items.count(w) for w in items}, needed, *barred))
     return Known(out, frozenset(w for t in out for w in t.items))
 
 
@@ -237,7 +259,7 @@ def find(text: str, known: Known, share: float = COVERAGE) -> list[tuple[str, in
         if w in known.vocabulary:
             places.setdefault(w, []).append(i)
     hits = []
-    for name, k, template, counts, needed, barred in known.templates:
+    for name, k, template, counts, needed, barred, behind in known.templates:
         least = _least(template, share)
         if sum(n for w, n in counts.items() if w in places) < least or not all(template[p] in places for p in needed):
             continue
@@ -253,7 +275,7 @@ def find(text: str, known: Known, share: float = COVERAGE) -> list[tuple[str, in
             if n < least or not needed <= {q for _, q in pairs[low : high + 1]}:
                 continue
             first, last = a + pairs[low][0], a + pairs[high][0]
-            if barred.isdisjoint(items[first : last + 1]):
+            if barred.isdisjoint(items[first : last + 1]) and behind.isdisjoint(items[last + 1 : last + 1 + BEHIND]):
                 hits.append((n, name, k, n / len(template), read_words[first][1], read_words[last][2]))
     return [h[1:] for h in _apart(hits)]
 

@@ -70,6 +70,30 @@ def test_every_template_is_found_whole_and_edited(name, k):
             "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
             ["AGPL-3.0-or-later"],
         ),
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+            "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+            ["LGPL-2.1-or-later"],
+        ),
+        ("This work is licensed under the GNU General Public License, version 2, or at your option any later version.", ["GPL-2.0-or-later"]),
+        ("// SPDX-License-Identifier: MIT\n", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: LGPL-2.1-only", ["LGPL-2.1-only"]),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0", ["CC-BY-SA-4.0"]),
+        ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
+        ("SPDX-License-Identifier: Proprietary", []),
+        ("Released under CC0 1.0 Universal.", ["CC0-1.0"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.", ["Apache-2.0"]),
+        (
+            "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+            "Everyone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble\n",
+            ["GPL-3.0-only"],
+        ),
+        (
+            "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nCopyright (C) 1991, 1999 Free Software Foundation, Inc.\n51 Franklin Street\n"
+            "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+            ["LGPL-2.1-only"],
+        ),
     ],
 )
 def test_relatives_get_their_own_name(text, names):
@@ -103,7 +127,7 @@ def brute_names(text):
         for a in range(len(items)) if len(set(t.items) & set(items)) >= least * len(t.counts) / n - 1 else []:
             for b in range(a + least, min(len(items), a + n + 2) + 1):
                 window = items[a:b]
-                if sum(w in t.counts for w in window) >= least and t.barred.isdisjoint(window) and {t.items[p] for p in t.needed} <= set(window):
+                if sum(w in t.counts for w in window) >= least and t.barred.isdisjoint(window) and t.behind.isdisjoint(items[b : b + licenses.BEHIND]) and {t.items[p] for p in t.needed} <= set(window):
                     if common(window, t.items) >= least:
                         out.add(t.name)
     return out
