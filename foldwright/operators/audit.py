@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldwright.functions.text import check_threshold
 from foldwright.operators.pairs import find_cross_duplicates
 from foldwright.runtime import checkpoint
+from foldwright.sources.io import array_lines
 
 
 def report(pairs: DataFrame, test: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
@@ -21,12 +22,19 @@ def report(pairs: DataFrame, test: DataFrame, train: DataFrame, threshold: float
     return rows.select("n_train", "n_test", F.lit(threshold).alias("threshold"), "leaked", "exact", share.alias("fraction"))
 
 
-def to_json(reports: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row ``(report)``: the report as JSON with all pairs, similarities to four places. For reports that a person
-    reads: its length is that of the pairs."""
-    listed = F.sort_array(F.collect_list(F.struct("test_id", "train_id", F.round("similarity", 4).alias("similarity")))).alias("pairs")
-    both = reports.join(pairs.agg(listed), F.lit(True))
-    return both.select(F.to_json(F.struct("*")).alias("report"))
+def in_order(pairs: DataFrame) -> DataFrame:
+    """``pairs`` by test id, over partitions and in each."""
+    return pairs.repartitionByRange("test_id").sortWithinPartitions("test_id")
+
+
+def report_lines(reports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(value)``: lines of text that are a report as JSON, all pairs in the order of test ids, similarities to four places.
+
+    A line for each pair, so reports of any length are written or read by many tasks; the first line has the counts.
+    """
+    head = reports.select(F.to_json(F.struct("*"))).first()[0]  # one row of numbers
+    each = F.struct(F.col("train_id").alias("train"), F.col("test_id").alias("test"), F.round("similarity", 4).alias("similarity"))
+    return array_lines(in_order(pairs).select(F.to_json(each)), f'{head[:-1]},"pairs":[', "]}")
 
 
 @dataclass(frozen=True)
@@ -40,12 +48,23 @@ class LeakageReport:
     exact: int
     pairs: DataFrame
 
+    @property
+    def row(self) -> DataFrame:
+        """One row ``(n_train, n_test, threshold, leaked, exact, fraction)``."""
+        values = (self.n_train, self.n_test, self.threshold, self.leaked, self.exact, self.fraction)
+        return self.pairs.sparkSession.createDataFrame([values], "n_train bigint, n_test bigint, threshold double, leaked bigint, exact bigint, fraction double")
+
+    def lines(self) -> DataFrame:
+        """The report as JSON, line by line, for reports of any length; ``sources.io.write_lines`` makes a file of them."""
+        return report_lines(self.row, self.pairs)
+
     @property
     def fraction(self) -> float:
         return self.leaked / self.n_test if self.n_test else 0.0
 
     def to_dict(self) -> dict:
-        rows = self.pairs.orderBy("test_id").toLocalIterator()
+        """The report with its pairs as a list, for reports that a person reads; ``lines`` has the same for any length."""
+        rows = in_order(self.pairs).toLocalIterator()
         pairs = [{"train": r["train_id"], "test": r["test_id"], "similarity": round(r["similarity"], 4)} for r in rows]
         return {
             "n_train": self.n_train, "n_test": self.n_test, "threshold": self.threshold, "leaked": self.leaked,

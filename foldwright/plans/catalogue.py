@@ -457,14 +457,16 @@ def engine_leakage_range(spark, sf_dir):
     f"(SELECT round(sum(round(similarity, 4)), 6) FROM found) AS similarities FROM ({REPORT.format(t=THRESHOLD)})"
 )
 def report_json(spark, sf_dir):
-    """The JSON report, read back."""
+    """The lines of the JSON report, read back one by one."""
     train, test = sides(spark, sf_dir)
     found = checkpoint(pairs.find_cross_duplicates(train, test, "doc_id", threshold=THRESHOLD))
-    text = audit.to_json(audit.report(found, test, train, THRESHOLD), found)
-    kind = "n_train bigint, n_test bigint, threshold double, leaked bigint, exact bigint, fraction double, pairs array<struct<test_id: bigint, train_id: bigint, similarity: double>>"
-    r = text.select(F.from_json("report", kind).alias("r")).select("r.*")
-    total = F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x["similarity"])
-    return r.select("n_train", "n_test", "leaked", "exact", F.round("fraction", 9).alias("fraction"), F.size("pairs").cast("bigint").alias("n_pairs"), F.round(total, 6).alias("similarities"))
+    lines = checkpoint(audit.report_lines(audit.report(found, test, train, THRESHOLD), found))
+    counts = "n_train bigint, n_test bigint, leaked bigint, exact bigint, fraction double"
+    head = lines.where(F.col("value").startswith('{"n_train"')).select(F.from_json(F.concat("value", F.lit("]}")), counts).alias("r")).select("r.*")
+    pair = F.from_json(F.ltrim(F.lit(","), F.col("value")), "train bigint, test bigint, similarity double")
+    body = lines.where(F.col("value").rlike('^,?[{]"train"')).select(pair.alias("p"))
+    body = body.agg(F.count("p.test").alias("n_pairs"), F.round(F.sum(F.col("p.similarity").cast("decimal(20, 4)")).cast("double"), 6).alias("similarities"))
+    return head.withColumn("fraction", F.round("fraction", 9)).join(body, F.lit(True))  # one row each
 
 
 @query(

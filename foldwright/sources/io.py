@@ -6,7 +6,7 @@ import os
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -97,12 +97,63 @@ def from_values(spark: SparkSession, values, text_col: str = "text", out: str =
     return spark.createDataFrame(list(enumerate(texts)), f"{out} bigint, {text_col} string")
 
 
+def array_lines(values: DataFrame, opening: str = "[", closing: str = "]") -> DataFrame:
+    """``(value)``: lines that are a JSON array of the JSON texts in the first column of ``values``, in the order of its
+    partitions. A line for each text, so any number of tasks can write them."""
+    spark = values.sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string")
+    placed = checkpoint(values.select(F.col(f"`{values.columns[0]}`").alias("value"), F.monotonically_increasing_id().alias("at")))
+    first = placed.agg(F.min("at").alias("at")).first()["at"]
+    body = placed.select(F.when(F.col("at") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    return line(opening).union(body).union(line(closing))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes the one text column of ``lines`` as one file, in the order of its partitions. Tasks write parts, which the
+    file system joins; where it can't, their bytes are copied one after the other."""
+    spark, aside = lines.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    lines.write.text(aside)
+    source, system = _file(spark, aside)
+    _replace(spark, system, _joined(spark, system, source), path)
+    system.delete(source, True)
+
+
+def _joined(spark: SparkSession, system, source):
+    """The part files of a folder as one file in it, in the order of their names."""
+    found = sorted((s for s in system.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    parts = [s.getPath() for s in found if s.getLen() > 0] or [found[0].getPath()]
+    if len(parts) == 1:
+        return parts[0]
+    gateway = spark.sparkContext._gateway
+    rest = gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+    for k, part in enumerate(parts[1:]):
+        rest[k] = part
+    try:
+        system.concat(parts[0], rest)
+        return parts[0]
+    except UnsupportedOperationException:
+        pass
+    whole = spark._jvm.org.apache.hadoop.fs.Path(source, "joined")
+    out = system.create(whole)
+    try:
+        for part in parts:
+            stream = system.open(part)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    return whole
+
+
 def write_rows(df: DataFrame, path: str, *, single: bool = False) -> None:
     """Writes ``df`` by the suffix of ``path``: a folder of part files, or one file with ``single``, for small results.
 
     The rows are written beside the target, then take its place, and only then the old ones go: a file may be written
     over what it was read from, and what was there outlives a write that fails. CSV and TSV have
-    nested values as JSON; JSON keeps non-ASCII characters; a ``.json`` file is an array and always a single file.
+    nested values as JSON; JSON keeps non-ASCII characters; a ``.json`` file is an array and always a single file, whose
+    parts many tasks write.
     """
     kind = kind_of(path)
     spark = df.sparkSession
@@ -116,20 +167,7 @@ def write_rows(df: DataFrame, path: str, *, single: bool = False) -> None:
     elif kind == "jsonl":
         (df.coalesce(1) if single else df).write.option("ignoreNullFields", False).json(aside)
     else:
-        single = True
-        objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-
-        def bracketed(batches):
-            import pyarrow as pa
-
-            first, held = True, "["
-            for batch in batches:
-                for value in batch.column(0).to_pylist():
-                    yield pa.RecordBatch.from_pydict({"value": [held if first else held + ","]})
-                    first, held = False, f" {value}"
-            yield pa.RecordBatch.from_pydict({"value": [held, "]"] if not first else ["[]"]})
-
-        objects.coalesce(1).mapInArrow(bracketed, "value string").write.text(aside)
+        return write_lines(array_lines(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))), path)
     source, system = _file(spark, aside)
     made = source
     if single:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwright import cli
-from foldwright.operators import labels
+from foldwright.operators import audit, labels
 from foldwright.sources import io
 
 ROWS = [
@@ -45,6 +45,27 @@ def test_json_array_is_one_valid_file(spark, tmp_path):
         assert json.loads(path.read_text()) == [{"i": i, "s": None if i else "ü"} for i in range(n)]
 
 
+def test_json_array_from_many_tasks(spark, tmp_path):
+    """Tasks write the parts, in order; no plan brings all rows to one."""
+    for n, parts in ((1000, 7), (3, 8), (0, 3)):
+        df = spark.range(n, numPartitions=parts)
+        io.write_rows(df, str(tmp_path / "x.json"))
+        assert json.loads((tmp_path / "x.json").read_text()) == [{"id": i} for i in range(n)]
+        lines = io.array_lines(df.select(F.to_json(F.struct("*"))))
+        assert lines.rdd.getNumPartitions() >= parts and "SinglePartition" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x.json"]
+
+
+def test_a_report_of_many_pairs_is_written_in_order(spark, tmp_path):
+    pairs = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("test_id"), F.col("id").alias("train_id"), (F.col("id") / 5000).alias("similarity")).repartition(6)
+    report = audit.LeakageReport(10, 5000, 0.8, 5000, 0, pairs)
+    io.write_lines(report.lines(), str(tmp_path / "report.txt"))
+    got = json.loads((tmp_path / "report.txt").read_text())
+    assert [p["test"] for p in got["pairs"]] == list(range(5000)) and got == report.to_dict()
+    plan = report.lines()._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and report.lines().rdd.getNumPartitions() > 2
+
+
 def test_nested_values_and_empty_fields(spark, tmp_path):
     io.write_rows(spark.createDataFrame([(["a", "b"], "")], "l array<string>, s string"), str(tmp_path / "x.csv"), single=True)
     row = io.read_rows(spark, str(tmp_path / "x.csv")).first()
