@@ -6,10 +6,11 @@ too, down to one word more than its suffix link has. States are found by refinin
 with the number of their end positions, and their links are the coarser classes that they came from.
 
 A phrase is no more frequent than what it holds, so there are three rounds. Words are summed over shards first; those
-frequent in all the corpus mark bits of a filter of a fixed size, and a word that it doesn't have ends a piece in the second
-round, of depth two. Frequent pairs mark a filter for the third, of depth four, which goes no further back than such pairs
-go. There a state that stands for three and four words travels once, to where its last three words are summed, and is taken
-apart. The filters let some rare phrases through, which costs rows, and none is missed.
+frequent in all the corpus mark bits of a filter of a fixed size, and a word that it doesn't have ends a piece from then on.
+The second round has depth two: counts of pairs are summed by bits of such a filter, in packed chunks of it, and bits with
+enough mark the pairs that may be frequent. The third, of depth four, goes no further back than such pairs go. A state that
+stands for several lengths travels once, to where its last two words are summed, and is taken apart there. The filters let
+some rare phrases through, which costs rows; none is missed, and what is counted is counted exactly.
 
 Subsumption needs no longer phrase than by one word: what holds a phrase at the share holds everything between at least
 as often. So each phrase looks at its suffix link, without its first word, and at its mirror image, without its last.
@@ -17,10 +18,12 @@ as often. So each phrase looks at its suffix link, without its first word, and a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,8 +36,8 @@ from foldwright.runtime import broadcast_if_small, checkpoint, written
 DEPTH, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words of a shard; bytes of a text that are cut into words at a time.
 SHARD, SLICE = 2_000_000, 4 << 20
-#: Bits of the filter, 16 MB: it grows with nothing. Bits are counted in Spark's bitmaps of BITMAP bits.
-BITS, BITMAP = 1 << 27, 32768
+#: Bits of a filter, 16 MB: it grows with nothing. Tasks sum counts for CHUNK of them at a time.
+BITS, CHUNK = 1 << 27, 1 << 17
 #: What stands between pieces; no byte of UTF-8.
 END = b"\xff"
 #: Bytes as words have them: letters A to Z in lower case, what ends a piece as END, tabs as spaces.
@@ -149,6 +152,31 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
+def _shards(batches, limit: int) -> Iterator[tuple[str, Shard]]:
+    """The texts of a task as shards of a language each, all given out when they hold ``limit`` words together."""
+    open_: dict[str, Shard] = {}
+    size = 0
+    for batch, texts in chunks(batches, "text"):
+        for lang, text in zip(batch.column("lang").to_pylist(), texts):
+            if lang not in open_:
+                open_[lang] = Shard()
+            size += open_[lang].add(text)
+            if size >= limit:
+                yield from open_.items()
+                open_, size = {}, 0
+    yield from open_.items()
+
+
+def _kept(lang: str, shard: Shard, common) -> tuple[np.ndarray, np.ndarray | None]:
+    """A shard's sequence, ended at each word that the broadcast filter ``common`` doesn't have, and its words' hashes."""
+    words = shard.sequence()
+    if common is None:
+        return words, None
+    hashes = _hashes(lang, shard.words)
+    words[~_marked(common.value, pair_bits(hashes, hashes))[words]] = 0
+    return words, hashes
+
+
 def substrings(docs: DataFrame, depth: int, shortest: int, common=None, passing=None, shard: int = SHARD) -> DataFrame:
     """``(lang, low, w0, ..., n)``: the states of every shard's automaton that have ``shortest`` words or more; ``w0`` is the
     last word, ``w1`` the one before it, null beyond the state's longest substring; ``low`` is its shortest's length.
@@ -158,37 +186,17 @@ def substrings(docs: DataFrame, depth: int, shortest: int, common=None, passing=
     names = ["lang", "low", *(f"w{i}" for i in range(depth)), "n"]
 
     def run(batches):
-        open_: dict[str, Shard] = {}
-        size = 0
-
-        def sent():
-            for lang, own in open_.items():
-                words, passes = own.sequence(), None
-                hashes = None if common is None else _hashes(lang, own.words)
-                if common is not None:
-                    words[~_marked(common.value, pair_bits(hashes, hashes))[words]] = 0
-                if passing is not None:
-
-                    def passes(first, last):
-                        return _marked(passing.value, pair_bits(hashes[first], hashes[last]))
-
-                text = pa.array(own.words, pa.binary()).cast(pa.string())
-                for longest, low, ends, counts in Automaton(words, depth, passes).states(shortest):
-                    columns = [text.take(pa.array(words[ends - i])) if i < longest else pa.nulls(len(ends), pa.string()) for i in range(depth)]
-                    columns = [pa.array([lang] * len(ends), pa.string()), pa.array(np.full(len(ends), low, np.int32)), *columns, pa.array(counts, pa.int64())]
-                    for at in range(0, len(ends), 50_000):
-                        yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=names)
-            open_.clear()
-
-        for batch, texts in chunks(batches, "text"):
-            for lang, text in zip(batch.column("lang").to_pylist(), texts):
-                if lang not in open_:
-                    open_[lang] = Shard()
-                size += open_[lang].add(text)
-                if size >= shard:
-                    yield from sent()
-                    size = 0
-        yield from sent()
+        for lang, own in _shards(batches, shard):
+            words, hashes = _kept(lang, own, common)
+            passes = None
+            if passing is not None:
+                passes = lambda first, last, h=hashes: _marked(passing.value, pair_bits(h[first], h[last]))
+            text = pa.array(own.words, pa.binary()).cast(pa.string())
+            for longest, low, ends, counts in Automaton(words, depth, passes).states(shortest):
+                columns = [text.take(pa.array(words[ends - i])) if i < longest else pa.nulls(len(ends), pa.string()) for i in range(depth)]
+                columns = [pa.array([lang] * len(ends), pa.string()), pa.array(np.full(len(ends), low, np.int32)), *columns, pa.array(counts, pa.int64())]
+                for at in range(0, len(ends), 50_000):
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=names)
 
     ddl = "lang string, low int, " + ", ".join(f"w{i} string" for i in range(depth)) + ", n bigint"
     return docs.select("lang", "text").mapInArrow(run, ddl)
@@ -202,39 +210,87 @@ def _summed(states: DataFrame, depth: int, shortest: int) -> DataFrame:
     if shortest < depth:
         longest = F.size(F.filter(F.array(*words), lambda x: x.isNotNull()))
         dealt = dealt.select("*", F.explode(F.sequence("low", longest)).alias("size"))
-        dealt = dealt.select("lang", *(F.when(F.col("size") > i, F.col(w)).alias(w) for i, w in enumerate(words)), "n")
+        # The shared words stay as they are, so that rows needn't be dealt again.
+        cut = (F.when(F.col("size") > i, F.col(words[i])).alias(words[i]) for i in range(shortest, depth))
+        dealt = dealt.select("lang", *words[:shortest], *cut, "n")
     return dealt.groupBy("lang", *words).agg(F.sum("n").alias("n"))
 
 
-def filter_of(rows: DataFrame, first: str, last: str) -> bytes:
-    """The filter's bits for the pairs in the columns ``first`` and ``last``, for words both the same: BITS bits, whatever
-    the rows."""
+def _filter(chunks_: DataFrame, least: int) -> bytes:
+    """The filter of what ``(chunk, counts)`` rows sum to ``least`` or more: packed counts of the bits of a chunk each."""
 
     def run(batches):
+        now, sums = None, None
+
+        def done():
+            bits = np.packbits(sums >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], names=["chunk", "bits"])
+
         for batch in batches:
-            pairs = zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "last")))
-            pair = np.array([_hashes(lang, [a.encode(), b.encode()]) for lang, a, b in pairs], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair_bits(pair[:, 0], pair[:, 1]))], names=["bit"])
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                if chunk != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = chunk, np.zeros(CHUNK, np.int64)
+                at, n = np.frombuffer(zstandard.decompress(data), "<u4").reshape(2, -1)
+                sums[np.cumsum(at)] += n  # a row has each bit once
+        if now is not None:
+            yield done()
 
-    bits = rows.select("lang", F.col(first).alias("first"), F.col(last).alias("last")).mapInArrow(run, "bit bigint")
-    maps = bits.groupBy(F.floor(F.col("bit") / BITMAP).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BITMAP))).alias("map"))
     out = bytearray(BITS // 8)
-    for row in maps.collect():  # BITS / BITMAP rows at most
-        out[row["k"] * BITMAP // 8 : (row["k"] + 1) * BITMAP // 8] = row["map"]
+    for row in chunks_.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, bits binary").collect():
+        out[row["chunk"] * CHUNK // 8 : (row["chunk"] + 1) * CHUNK // 8] = row["bits"]  # BITS bits in all, whatever the rows
     return bytes(out)
 
 
+def _packed(bits: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(chunk, counts)``: the sums of counts by bit, packed by chunk: steps from bit to bit, then the sums."""
+    at, of = np.unique(bits, return_inverse=True)
+    sums = np.bincount(of, counts, len(at)).astype(np.int64)
+    chunk = at // CHUNK
+    found, starts = np.unique(chunk, return_index=True)
+    rows = []
+    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(at)])):
+        steps = np.diff(at[a:b] - found[k] * CHUNK, prepend=0)
+        rows.append(zstandard.compress(np.concatenate([steps, np.minimum(sums[a:b], 0xFFFFFFFF)]).astype("<u4").tobytes(), 3))
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+
+
+def word_filter(words: DataFrame) -> bytes:
+    """The filter that has the words ``(lang, w0)``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column("lang").to_pylist(), batch.column("w0").to_pylist())
+            own = np.array([_hashes(lang, [w.encode()])[0] for lang, w in rows], np.uint64)
+            yield from _packed(pair_bits(own, own), np.ones(len(own)))
+
+    return _filter(words.select("lang", "w0").mapInArrow(run, "chunk int, counts binary"), 1)
+
+
+def pair_filter(docs: DataFrame, common, least: int, shard: int = SHARD) -> bytes:
+    """The filter that has every pair of words of ``common`` that occurs ``least`` times in ``docs``, and some that don't."""
+
+    def run(batches):
+        for lang, own in _shards(batches, shard):
+            words, hashes = _kept(lang, own, common)
+            pairs = Automaton(words, 2)
+            last = pairs.first[1]
+            yield from _packed(pair_bits(hashes[words[last - 1]], hashes[words[last]]), pairs.count[1])
+
+    return _filter(docs.select("lang", "text").mapInArrow(run, "chunk int, counts binary"), least)
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``(phrases, langs)``: ``(lang, phrase, size, a)`` of all phrases of one to four words that occur ``least`` times in
     their language's pieces, and ``(lang, n)``, the words of each language. ``docs`` has ``lang`` and ``text``."""
     share = docs.sparkSession.sparkContext.broadcast
     words = written(_summed(substrings(docs, 1, 1, shard=shard), 1, 1))
     langs, words = words.groupBy("lang").agg(F.sum("n").alias("n")), words.where(F.col("n") >= least)
-    common = share(filter_of(words, "w0", "w0"))
-    pairs = written(_summed(substrings(docs, 2, 2, common, shard=shard), 2, 2).where(F.col("n") >= least))
-    passing = share(filter_of(pairs, "w1", "w0"))
-    more = _summed(substrings(docs, DEPTH, 3, common, passing, shard), DEPTH, 3).where(F.col("n") >= least)
-    both = words.unionByName(pairs, allowMissingColumns=True).unionByName(more, allowMissingColumns=True)
+    common = share(word_filter(words))
+    passing = share(pair_filter(docs, common, least, shard))
+    more = _summed(substrings(docs, DEPTH, 2, common, passing, shard), DEPTH, 2).where(F.col("n") >= least)
+    both = words.unionByName(more, allowMissingColumns=True)
     names = [f"w{i}" for i in reversed(range(DEPTH))]
     size = F.size(F.filter(F.array(*names), lambda x: x.isNotNull()))
     return written(both.select("lang", F.concat_ws(" ", *names).alias("phrase"), size.alias("size"), F.col("n").alias("a"))), checkpoint(langs)

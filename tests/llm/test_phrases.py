@@ -108,11 +108,23 @@ def test_counts_over_shards(spark, shard):
     assert {r["lang"]: r["n"] for r in langs.collect()} == {lang: sum(n for w, n in c.items() if len(w) == 1) for lang, c in _counts(rows).items()}
 
 
-def test_filter(spark):
-    pairs = [("en", f"a{i}", f"b{i % 7}") for i in range(2000)]
-    bits = np.frombuffer(p.filter_of(spark.createDataFrame(pairs, "lang string, w1 string, w0 string"), "w1", "w0"), np.uint8)
-    where = [p.pair_bits(*(x[:1] for x in np.split(p._hashes(lang, [a.encode(), b.encode()]), 2)))[0] for lang, a, b in pairs]
-    assert len(bits) == p.BITS // 8 and set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == set(map(int, where))
+def test_filters(spark):
+    """They have all that is frequent, and of the rest what shares a bit."""
+    words = [("en", f"a{i}") for i in range(3000)] + [("de", "a7")]
+    bits = np.frombuffer(p.word_filter(spark.createDataFrame(words, "lang string, w0 string").repartition(3)), np.uint8)
+    own = [p._hashes(lang, [w.encode()]) for lang, w in words]
+    assert len(bits) == p.BITS // 8 and set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {int(p.pair_bits(h, h)[0]) for h in own}
+    rows = [(lang or "und", text) for lang, text in _rows(9, 120)]
+    common = spark.sparkContext.broadcast(b"\xff" * (p.BITS // 8))
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    bits = np.frombuffer(p.pair_filter(docs, common, 5, 200), np.uint8)
+    sums = Counter()
+    for lang, counts in _counts(rows).items():
+        for w, n in counts.items():
+            if len(w) == 2:
+                first, last = p._hashes(lang, [x.encode() for x in w])
+                sums[int(p.pair_bits(np.array([first]), np.array([last]))[0])] += n
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {b for b, n in sums.items() if n >= 5}
 
 
 @pytest.mark.parametrize("seed,least,top", [(4, 3, 2000), (5, 8, 2000), (6, 2, 15), (7, 500, 2000)])
