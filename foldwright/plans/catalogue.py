@@ -365,11 +365,13 @@ def kfold_ids(spark, sf_dir):
     return folds.NearDupKFold(5).fold_ids(table(spark, sf_dir, "documents"), "doc_id", label_cols=("lang",))
 
 
-SHARES = (
-    f"{NEAR}, own AS (SELECT group_id, lang AS label, count(*) AS n FROM grouped JOIN documents USING (doc_id) GROUP BY ALL "
-    "UNION ALL SELECT group_id, '(rows)', count(*) FROM grouped GROUP BY ALL), t AS (SELECT label, sum(n)::BIGINT AS total, max(n) AS largest FROM own GROUP BY label) "
-    "SELECT label, {split} AS split, total, largest, {ratio} AS ratio, true AS near FROM t, {splits}"
-)
+def _shares_sql(split: str, ratio: str, splits: str) -> str:
+    """For all rows and each language: how many there are and the most in one group, for each split."""
+    return (
+        f"{NEAR}, own AS (SELECT group_id, lang AS label, count(*) AS n FROM grouped JOIN documents USING (doc_id) GROUP BY ALL "
+        "UNION ALL SELECT group_id, '(rows)', count(*) FROM grouped GROUP BY ALL), t AS (SELECT label, sum(n)::BIGINT AS total, max(n) AS largest FROM own GROUP BY label) "
+        f"SELECT label, {split} AS split, total, largest, {ratio} AS ratio, true AS near FROM t, {splits}"
+    )
 
 
 def _shares(spark, sf_dir, placed: DataFrame, ratios: dict) -> DataFrame:
@@ -385,12 +387,12 @@ def _shares(spark, sf_dir, placed: DataFrame, ratios: dict) -> DataFrame:
     return rows.select("label", "split", "total", "largest", "ratio", near)
 
 
-@query(SHARES.format(split="s", ratio="r", splits="(VALUES ('train', 0.8::DOUBLE), ('test', 0.2::DOUBLE)) u(s, r)"))
+@query(_shares_sql(split="s", ratio="r", splits="(VALUES ('train', 0.8::DOUBLE), ('test', 0.2::DOUBLE)) u(s, r)"))
 def assign_shares(spark, sf_dir):
     return _shares(spark, sf_dir, checkpoint(assign_splits(spark, sf_dir)), RATIOS)
 
 
-@query(SHARES.format(split="s::INTEGER", ratio="0.2::DOUBLE", splits="unnest(range(5)) u(s)"))
+@query(_shares_sql(split="s::INTEGER", ratio="0.2::DOUBLE", splits="unnest(range(5)) u(s)"))
 def kfold_shares(spark, sf_dir):
     placed = checkpoint(kfold_ids(spark, sf_dir)).withColumnRenamed("fold", "split")
     return _shares(spark, sf_dir, placed, dict.fromkeys(range(5), 0.2))
@@ -463,7 +465,7 @@ def report_json(spark, sf_dir):
     lines = checkpoint(audit.report_lines(audit.report(found, test, train, THRESHOLD), found))
     counts = "n_train bigint, n_test bigint, leaked bigint, exact bigint, fraction double"
     head = lines.where(F.col("value").startswith('{"n_train"')).select(F.from_json(F.concat("value", F.lit("]}")), counts).alias("r")).select("r.*")
-    pair = F.from_json(F.ltrim(F.lit(","), F.col("value")), "train bigint, test bigint, similarity double")
+    pair = F.from_json(F.ltrim(F.col("value"), F.lit(",")), "train bigint, test bigint, similarity double")
     body = lines.where(F.col("value").rlike('^,?[{]"train"')).select(pair.alias("p"))
     body = body.agg(F.count("p.test").alias("n_pairs"), F.round(F.sum(F.col("p.similarity").cast("decimal(20, 4)")).cast("double"), 6).alias("similarities"))
     return head.withColumn("fraction", F.round("fraction", 9)).join(body, F.lit(True))  # one row each
