@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.text import normalize_native, normalize_text, shingle_sets
 from foldwright.operators import assign, audit, evaluate, folds, groups, labels, pairs, summary
+from foldwright.operators.components import connected_components, updated_components
 from foldwright.runtime import checkpoint, ensure_checkpoint_dir
 from foldwright.sources import io
 
@@ -126,6 +127,17 @@ def lsh_pairs(spark, sf_dir):
     return pairs.lsh_pairs(table(spark, sf_dir, "documents"), "doc_id", threshold=THRESHOLD)
 
 
+@query(f"{NEAR} SELECT uid AS node, root AS component FROM roots WHERE uid IN (SELECT x FROM ends)")
+def components_by_increments(spark, sf_dir):
+    """Components of the similar pairs, a third of which come as new edges to the components of the others, twice."""
+    found = checkpoint(lsh_pairs(spark, sf_dir).select("left", "right"))
+    part = F.pmod(F.xxhash64("left", "right"), F.lit(3))
+    labels_ = connected_components(found.where(part == 0))
+    for k in (1, 2):
+        labels_ = checkpoint(updated_components(labels_, found.where(part == k)))
+    return labels_
+
+
 @query(f"{NEAR} SELECT doc_id, group_id FROM grouped")
 def near_duplicate_groups(spark, sf_dir):
     return groups.near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", threshold=THRESHOLD)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.text import jaccard_of, normalized, shingles
 from foldwright.operators import audit, groups, labels, pairs
-from foldwright.operators.components import connected_components
+from foldwright.operators.components import component_updates, connected_components, updated_components
 
 SPAM = [
     "WINNER!! You have been selected to receive a prize of 900 pounds, call now to claim it today",
@@ -43,6 +43,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "left bigint, right bigint")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_grow_by_new_edges(spark, seed):
+    """As a run over all edges; and only new nodes and changed components are given out."""
+    draw = random.Random(seed)
+    make = lambda n, most: [(draw.randrange(most), draw.randrange(most)) for _ in range(n)]
+    old, new = make(150, 300) + [(1000 + i, 1001 + i) for i in range(50)], make(40, 400) + [(7, 7), (None, 3), (1010, 5), (2000, 2001)]
+    frame = lambda edges: spark.createDataFrame(edges, "left bigint, right bigint")
+    labels_ = connected_components(frame(old)).cache()
+    want = {r["node"]: r["component"] for r in connected_components(frame(old + new)).collect()}
+    assert {r["node"]: r["component"] for r in updated_components(labels_, frame(new)).collect()} == want
+    before = {r["node"]: r["component"] for r in labels_.collect()}
+    updates = component_updates(labels_, frame(new)).collect()
+    assert {r["node"]: r["component"] for r in updates} == {n: c for n, c in want.items() if before.get(n) != c} and len({r["node"] for r in updates}) == len(updates)
+    assert updated_components(labels_, frame([])).count() == len(before)
+
+
 def test_groups_of_variants(spark):
     assert ids(groups.near_duplicate_groups(table(spark, SPAM), "id", threshold=0.7)) == [0, 0, 1, 0, 2, 3, 3]
 
