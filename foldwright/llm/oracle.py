@@ -128,5 +128,7 @@ ORACLE = {
     "op13_source_divergence": source_divergence(),
     "op7_lm_scoring": lm_scoring(),
     "op8_secret_scans": secret_scans(),
+    "secret_ledger_two_scans": "SELECT doc_id, CASE WHEN spans = '' THEN 0 ELSE len(string_split(spans, ',')) END AS n_found, spans "
+    f"FROM ({secret_scans()})",
     "op9_benchmark_decontamination": decontamination(),
 }

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "secret_ledger_two_scans": secrets.secret_ledger_two_scans,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_phrase_collocations": phrases.op11_phrase_collocations,

@@ -146,3 +146,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans(base), 256).alias("base_sha256"),
         spans("found").alias("spans"),
     )
+
+
+def secret_ledger_two_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents after half of them have been scanned into the same ledger: the second scan reads only the other blobs."""
+    docs, path = read(spark, sf_dir, "documents"), new_ledger(spark)
+    scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), path)
+    listed = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["rule"], x["start"], x["stop"])), ",")
+    return secrets(docs, path).select("doc_id", F.size("found").cast("bigint").alias("n_found"), listed.alias("spans"))
