@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"[^\W_]+")
 #: Characters of text that one step inside a task holds at a time.
 STEP = 2 << 20
+#: Buckets in which n-grams are counted, 16 MB; tasks sum CHUNK of them at a time.
+BUCKETS, CHUNK = 1 << 24, 1 << 16
 
 
 def normalized(text: str) -> str:
@@ -57,13 +60,20 @@ def shingles(text: str, ngram: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def shared_of(left: np.ndarray, right: np.ndarray) -> int:
+    """How many hashes two sorted sets of distinct ones share."""
+    few, many = sorted((left, right), key=len)
+    if not len(few):
+        return 0
+    at = np.searchsorted(many, few)
+    return int((many[np.minimum(at, len(many) - 1)] == few).sum())
+
+
 def jaccard_of(left: np.ndarray, right: np.ndarray) -> float:
     """Shared over all of two sorted sets of distinct hashes; two empty sets are alike."""
     if not len(left) and not len(right):
         return 1.0
-    few, many = sorted((left, right), key=len)
-    at = np.searchsorted(many, few)
-    shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+    shared = shared_of(left, right)
     return shared / (len(left) + len(right) - shared)
 
 
@@ -180,6 +190,69 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str = "text", ngram: int
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, shingles array<bigint>" + (", key binary" if digest else ""))
 
 
+def _counted(batches, text_col: str, ngram: int) -> Iterator[pa.RecordBatch]:
+    """``(chunk, counts)``: how often n-grams fall into each bucket, by chunk of BUCKETS, packed as steps and sums."""
+    sums = np.zeros(BUCKETS, np.uint32)
+    for _, keys in _parts(batches, text_col):
+        found = np.concatenate([shingles(k, ngram) for k in keys])
+        at, n = np.unique(found & np.uint64(BUCKETS - 1), return_counts=True)
+        sums[at.astype(np.int64)] += n.astype(np.uint32)
+    for chunk in range(0, BUCKETS, CHUNK):
+        at = np.flatnonzero(sums[chunk : chunk + CHUNK])
+        if len(at):
+            packed = np.concatenate([np.diff(at, prepend=0), sums[chunk + at]]).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([zlib.compress(packed, 1)], pa.binary())], names=["chunk", "counts"])
+
+
+def ngram_counts(df: DataFrame, text_col: str = "text", ngram: int = 5) -> bytes:
+    """How many texts of ``df`` have n-grams in each of BUCKETS buckets of their hashes, 255 for all from there on: BUCKETS
+    bytes, whatever the texts. A bucket with 1 has one n-gram of one text."""
+
+    def summed(batches):
+        now, sums = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.minimum(sums, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "sums"])
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                if chunk != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = chunk, np.zeros(CHUNK, np.int64)
+                at, n = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+                sums[np.cumsum(at)] += n
+        if now is not None:
+            yield done()
+
+    packed = df.select(text_col).mapInArrow(lambda batches: _counted(batches, text_col, ngram), "chunk int, counts binary")
+    out = bytearray(BUCKETS)
+    for r in packed.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, sums binary").collect():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r["sums"]
+    return bytes(out)
+
+
+def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts) -> DataFrame:
+    """``(id_col, key, size, prefix)``: a digest of each normalized text, how many n-grams it has, and its rarest ones, as
+    many as it may lack of a similar text's and one more, as ``(h, at)`` by their place; those that no other text has are
+    left out. ``counts`` is a broadcast result of ``ngram_counts`` over all texts that are compared."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        known = np.frombuffer(counts.value, np.uint8)
+        for part, keys in _parts(batches, text_col):
+            sizes, rows = [], []
+            for key in keys:
+                h = shingles(key, ngram)
+                n = known[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                take = len(h) - int(np.ceil(len(h) * threshold - 1e-9)) + 1 if len(h) else 0
+                order = np.lexsort((h, n))[:take]
+                at = np.flatnonzero(n[order] > 1)
+                sizes.append(len(h))
+                rows.append([{"h": x, "at": i} for x, i in zip(h[order[at]].view(np.int64).tolist(), at.tolist())])
+            columns = [part.column(id_col), pa.array([_digest(k) for k in keys], pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))], names=[id_col, "key", "size", "prefix"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>")
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int, num_perm: int, seed: int) -> DataFrame:
     """``(id_col, key, size, bands)``: a digest of each normalized text, how many n-grams it has, and its band keys, none
     for an empty text. Nulls raise.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import check_threshold, jaccard_of, lsh_bands, normalized, shingle_sets, shingles, sketches
+from foldwright.functions.text import check_threshold, lsh_bands, ngram_counts, normalized, prefixes, shared_of, shingle_sets, shingles, sketches
 from foldwright.operators.components import connected_components
 from foldwright.runtime import broadcast_if_small, checkpoint, written
 
@@ -18,7 +18,7 @@ KEPT = 8 << 20
 
 
 def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
-    """``(left, right, similarity)``. ``rows`` come tile by tile, in each the texts of the left, of the right, and the pairs."""
+    """``(left, right, n_shared, n_union, similarity)``. ``rows`` come tile by tile, in each the texts of the left, of the right, and the pairs."""
 
     def run(batches):
         tile, texts, kept, size = None, ({}, {}), {}, 0
@@ -38,16 +38,19 @@ def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
                         kept[side, key] = shingles(normalized(texts[side][key]), ngram)
                         size += len(kept[side, key])
                     found.append(kept[side, key])
-                out.append((a, b, jaccard_of(*found)))
-            columns = list(zip(*out)) or [(), (), ()]
-            types = (batch.schema.field("a").type, batch.schema.field("b").type, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=["left", "right", "similarity"])
+                shared = shared_of(*found)
+                union = len(found[0]) + len(found[1]) - shared
+                out.append((a, b, shared, union, shared / union if union else 1.0))
+            columns = list(zip(*out)) or [()] * 5
+            types = (batch.schema.field("a").type, batch.schema.field("b").type, pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=["left", "right", "n_shared", "n_union", "similarity"])
 
-    return rows.mapInArrow(run, f"left {kind}, right {kind}, similarity double")
+    return rows.mapInArrow(run, f"left {kind}, right {kind}, n_shared bigint, n_union bigint, similarity double")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
-    """``(left, right, similarity)`` of the candidate pairs ``(left, right, tile)``, each once, that reach the threshold.
+    """``(left, right, n_shared, n_union, similarity)`` of the candidate pairs ``(left, right, tile)``, each once, that reach
+    the threshold.
 
     A text goes once to each tile in which it is compared, however many pairs it has there, so what is moved grows with
     texts and tiles and not with pairs. Only texts that are in some pair are moved. ``left`` and ``right`` may be one table.
@@ -132,7 +135,7 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: flo
     several = listed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     listed = checkpoint(listed.join(several, ["band", "key"]))
     pairs = checkpoint(_once(met(listed, listed, threshold).where("uid < other_uid")))
-    return verified(pairs, df, df, id_col, text_col, ngram, threshold)
+    return verified(pairs, df, df, id_col, text_col, ngram, threshold).select("left", "right", "similarity")
 
 
 def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
@@ -160,28 +163,24 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
 
 def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5) -> DataFrame:
     """``(left, right, n_shared, n_union, similarity)`` of all pairs of distinct normalized texts at the threshold, none
-    missed: similar sets share one of their rarest n-grams, as many as they may lack plus one, so only those are joined.
+    missed: in any order of n-grams, similar sets share one of their first, as many as they may lack plus one.
+
+    The order is by counts in buckets of a fixed number, which every task has, so that first ones are rare and no n-gram
+    but those is moved. The first that two sets share stands at places that leave room for enough others, else the two are no
+    candidates. Texts are told apart by digest, so texts of one line repeated, which have the same set, are a pair.
     """
     threshold = check_threshold(threshold)
-    # Texts are told apart by digest, not by set: texts of one line repeated have the same set and are a pair.
-    sets = shingle_sets(df, id_col, text_col, ngram, digest=True).where("size(shingles) > 0").withColumnRenamed(id_col, "uid")
-    firsts = sets.groupBy("key").agg(F.min("uid").alias("uid"))
-    sets = written(sets.join(firsts, ["key", "uid"], "left_semi").select("uid", "shingles").dropDuplicates(["uid"]))
-    each = sets.select("uid", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    common = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    # What only one text has joins nothing but fills its prefix first.
-    each = each.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    rank = F.row_number().over(W.partitionBy("uid").orderBy("df", "h"))
-    prefix = each.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1")
-    prefix = checkpoint(prefix.select("uid", "n", "h"))
-    other = prefix.select(F.col("uid").alias("other"), F.col("n").alias("m"), "h")
-    pairs = prefix.join(other, "h").where("uid < other").where((F.col("n") >= F.col("m") * threshold - 1e-9) & (F.col("m") >= F.col("n") * threshold - 1e-9))
-    pairs = pairs.select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct()
-    both = pairs.join(sets.select(F.col("uid").alias("left"), F.col("shingles").alias("a")), "left")
-    both = both.join(sets.select(F.col("uid").alias("right"), F.col("shingles").alias("b")), "right")
-    shared = F.size(F.array_intersect("a", "b")).cast("bigint")
-    counted = both.select("left", "right", shared.alias("n_shared"), (F.size("a") + F.size("b") - shared).cast("bigint").alias("n_union"))
-    return counted.withColumn("similarity", F.col("n_shared") / F.col("n_union")).where(F.col("similarity") >= threshold)
+    counts = df.sparkSession.sparkContext.broadcast(ngram_counts(df, text_col, ngram))
+    made = prefixes(df, id_col, text_col, ngram, threshold, counts)
+    first = made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix")).alias("x")).select("x.*")
+    each = written(first.select("uid", "size", F.explode("prefix").alias("p")).select("uid", "size", "p.h", "p.at"))
+    other = each.select(F.col("uid").alias("other"), F.col("size").alias("other_size"), "h", F.col("at").alias("other_at"))
+    alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9
+    room = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))  # it and what comes behind it
+    enough = room >= (F.col("size") + F.col("other_size")) * (threshold / (1 + threshold)) - 1e-6
+    pairs = each.join(other, "h").where("uid < other").where(alike & enough)
+    pairs = checkpoint(pairs.select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct())
+    return verified(checkpoint(starred(pairs)), df, df, id_col, text_col, ngram, threshold)
 
 
 def find_cross_duplicates(

@@ -239,3 +239,19 @@ def test_a_hot_bucket_is_even_work(spark, monkeypatch):
     rows = spark.range(2000).select(F.col("id").alias("uid"), F.lit(5).alias("size"), F.lit(0).alias("band"), F.lit(7).cast("bigint").alias("key"))
     sizes = [r["count"] for r in pairs.met(rows, rows, 1.0).groupBy("tile").count().collect()]
     assert sum(sizes) == 2000 * 2000 and len(sizes) == 400 and max(sizes) < 3 * sorted(sizes)[200]
+
+
+def test_exact_pairs_miss_none_in_any_order_of_ngrams(spark, monkeypatch):
+    """Whatever the counts that order n-grams; and what they say of n-grams that only one text has."""
+    texts = [x for s in range(3) for x in edited(s, 12)] + SPAM + ["ab", "abc", "a b", "zzzzzzzzzz", "zzzzzz"]
+    df = table(spark, texts).repartition(3)
+    found = {}
+    for threshold in (0.3, 0.8, 1.0):
+        found[threshold] = sorted(map(tuple, pairs.exact_pairs(df, "id", threshold=threshold).collect()))
+        keys = [normalized(t) for t in texts]
+        firsts = [i for i, k in enumerate(keys) if k and keys.index(k) == i]
+        sets = {i: set(shingles(keys[i]).tolist()) for i in firsts}
+        want = [(i, j, len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i in firsts for j in firsts if i < j]
+        assert [r[:4] for r in found[threshold]] == sorted(w for w in want if w[2] / w[3] >= threshold)
+    monkeypatch.setattr(pairs, "ngram_counts", lambda *a: bytes(2 + (37 * i) % 250 for i in range(1 << 16)) * 256)
+    assert sorted(map(tuple, pairs.exact_pairs(df, "id", threshold=0.8).collect())) == found[0.8]
