@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.text import check_threshold, lsh_bands, ngram_counts, normalized, prefixes, shared_of, shingle_sets, shingles, sketches
 from foldwright.operators.components import connected_components
-from foldwright.runtime import broadcast_if_small, checkpoint, written
+from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
 
 #: Texts of one bucket on either side of one join key; a larger bucket is dealt out as pairs of such tiles.
 TILE = 512
@@ -57,12 +57,15 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, t
     """
     kind, same = left.schema[id_col].dataType.simpleString(), left is right
     pairs = pairs.select("tile", "left", "right")
+    # Few ids go to where the texts lie; many meet their texts by id.
+    few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
     nothing = F.lit(None)
     rows = pairs.select("tile", F.lit(2).alias("what"), F.col("left").alias("a"), F.col("right").alias("b"), nothing.cast("string").alias("text"))
     ends = [pairs.select("tile", F.col(c).alias("a")) for c in ("left", "right")]
     for what, (df, need) in enumerate([(left, ends[0].union(ends[1]))] if same else [(left, ends[0]), (right, ends[1])]):
         texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-        held = need.distinct().join(texts, F.col("a") == F.col("_id"))
+        need = F.broadcast(need.distinct()) if few else need.distinct()
+        held = texts.join(need, F.col("a") == F.col("_id"))
         rows = rows.unionByName(held.select("tile", F.lit(what).alias("what"), "a", nothing.cast(kind).alias("b"), "text"))
     dealt = rows.repartition("tile").sortWithinPartitions("tile", "what", "a", "b")
     return _compared(dealt, kind, ngram, same).where(F.col("similarity") >= threshold)
