@@ -167,14 +167,18 @@ class Plan:
     def _swaps(self) -> bool:
         better, order = False, self.order
         span = max(1, SWAP_PAIRS // max(1, len(order)))
+        toward, size = self.all_toward() if len(order) else None, self.value[self.p.begin[:-1]]
         for i, p in enumerate(order):
-            for q in order[i + 1 : i + 1 + span]:
+            near = order[i + 1 : i + 1 + span]
+            if not len(near):
+                break
+            ways = toward[near] - toward[p]
+            # A swap helps only if two splits' ways differ by more than the profiles are apart, which their sizes bound.
+            likely = ways.max(1) - ways.min(1) > (size[near] - size[p]) ** 2
+            for q in near[likely]:
                 froms, tos = np.flatnonzero(self.given[p]), np.flatnonzero(self.given[q])
                 if len(froms) == 1 == len(tos) and froms[0] == tos[0]:
                     continue
-                way = self.toward(q) - self.toward(p)
-                if way.max() - way.min() <= EPSILON:
-                    continue
                 apart = self._apart(p, q)
                 for a, b in ((a, b) for a in froms for b in tos if a != b):
                     while self.given[p, a] and self.given[q, b]:
