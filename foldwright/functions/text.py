@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 _WORDS = re.compile(r"[^\W_]+")
 #: Characters of text that one step inside a task holds at a time.
 STEP = 2 << 20
+#: 64-bit numbers that are worked on at a time, so that they stay near the processor.
+BLOCK = 1 << 15
+#: Letters and digits of ASCII texts, all else spaces.
+_ASCII = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + b" " * 128
 #: Buckets in which n-grams are counted, 16 MB; tasks sum CHUNK of them at a time.
 BUCKETS, CHUNK = 1 << 24, 1 << 16
 
@@ -28,6 +32,8 @@ def normalized(text: str) -> str:
     """NFKC, case-folded, words (letters and digits) joined by single spaces."""
     if not isinstance(text, str):
         raise TypeError(f"a text must be a string, not {type(text).__name__}")
+    if text.isascii():
+        return " ".join(text.lower().encode().translate(_ASCII).decode().split())
     return " ".join(_WORDS.findall(unicodedata.normalize("NFKC", text).casefold()))
 
 
@@ -37,10 +43,32 @@ def normalize_native(text: Column) -> Column:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (the finalizer of the public splitmix64 generator)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A bijection of 64-bit numbers that spreads every bit (the finalizer of the public splitmix64 generator), in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _hashes(text: str, width: int) -> np.ndarray:
+    """The hash of the ``width`` characters from each place of ``text`` that has as many behind it."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full(max(len(codes) - width + 1, 0), width, np.uint64)
+    for start in range(0, len(out), BLOCK):
+        h = out[start : start + BLOCK]
+        for i in range(start, start + width):
+            h += codes[i : i + len(h)]
+            h += np.uint64(0x9E3779B97F4A7C15)
+            _mixed(h)
+    return out
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def shingles(text: str, ngram: int = 5) -> np.ndarray:
@@ -50,14 +78,18 @@ def shingles(text: str, ngram: int = 5) -> np.ndarray:
     """
     if ngram < 1:
         raise ValueError("ngram must be at least 1")
-    if not text:
-        return np.zeros(0, np.uint64)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    width = min(ngram, len(codes))
-    h = np.full(len(codes) - width + 1, width, np.uint64)
-    for i in range(width):
-        h = _mixed(h + codes[i : i + len(h)] + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(h)
+    return _distinct(_hashes(text, min(ngram, len(text)))) if text else np.zeros(0, np.uint64)
+
+
+def shingle_lists(texts: list[str], ngram: int = 5) -> list[np.ndarray]:
+    """``shingles`` of each text, hashed together: pieces that reach over the end of a text are left out."""
+    if ngram < 1:
+        raise ValueError("ngram must be at least 1")
+    h, out, at = _hashes("".join(texts), ngram), [], 0
+    for text in texts:
+        out.append(_distinct(h[at : at + len(text) - ngram + 1]) if len(text) >= ngram else shingles(text, ngram))
+        at += len(text)
+    return out
 
 
 def shared_of(left: np.ndarray, right: np.ndarray) -> int:
@@ -120,14 +152,27 @@ class MinHasher:
         """A row of minima for each set; an empty set has all ones."""
         a, b = self.family()
         out = np.full((len(sets), self.num_perm), 0xFFFFFFFF, np.uint32)
-        full = [i for i, s in enumerate(sets) if len(s)]
+        start, held = 0, 0
+        for i, found in enumerate(sets):
+            if held and held + len(found) > BLOCK:
+                self._minima(sets, start, i, a, b, out)
+                start, held = i, 0
+            held += len(found)
+        self._minima(sets, start, len(sets), a, b, out)
+        return out
+
+    def _minima(self, sets: list[np.ndarray], start: int, end: int, a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+        full = [i for i in range(start, end) if len(sets[i])]
         if not full:
-            return out
+            return
         flat = np.concatenate([sets[i] for i in full])
         starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        h, least = np.empty_like(flat), np.empty((self.num_perm, len(full)), np.uint64)
         for k in range(self.num_perm):
-            out[full, k] = np.minimum.reduceat((flat * a[k] + b[k]) >> np.uint64(32), starts)
-        return out
+            np.multiply(flat, a[k], out=h)
+            h += b[k]
+            np.minimum.reduceat(h, starts, out=least[k])
+        out[full] = (least >> np.uint64(32)).T
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -181,7 +226,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str = "text", ngram: int
 
     def run(batches):
         for part, keys in _parts(batches, text_col):
-            sets = [shingles(k, ngram).view(np.int64) for k in keys]
+            sets = [s.view(np.int64) for s in shingle_lists(keys, ngram)]
             columns = [part.column(id_col), pa.array(sets, pa.list_(pa.int64()))]
             if digest:
                 columns.append(pa.array([_digest(k) for k in keys], pa.binary()))
@@ -194,7 +239,7 @@ def _counted(batches, text_col: str, ngram: int) -> Iterator[pa.RecordBatch]:
     """``(chunk, counts)``: how often n-grams fall into each bucket, by chunk of BUCKETS, packed as steps and sums."""
     sums = np.zeros(BUCKETS, np.uint32)
     for _, keys in _parts(batches, text_col):
-        found = np.concatenate([shingles(k, ngram) for k in keys])
+        found = np.concatenate(shingle_lists(keys, ngram))
         at, n = np.unique(found & np.uint64(BUCKETS - 1), return_counts=True)
         sums[at.astype(np.int64)] += n.astype(np.uint32)
     for chunk in range(0, BUCKETS, CHUNK):
@@ -239,8 +284,7 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: f
         known = np.frombuffer(counts.value, np.uint8)
         for part, keys in _parts(batches, text_col):
             sizes, rows = [], []
-            for key in keys:
-                h = shingles(key, ngram)
+            for h in shingle_lists(keys, ngram):
                 n = known[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 take = len(h) - int(np.ceil(len(h) * threshold - 1e-9)) + 1 if len(h) else 0
                 order = np.lexsort((h, n))[:take]
@@ -263,7 +307,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int,
 
     def run(batches):
         for part, keys in _parts(batches, text_col):
-            sets = [shingles(k, ngram) for k in keys]
+            sets = shingle_lists(keys, ngram)
             found = band_keys(hasher.signatures(sets), bands, rows).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
