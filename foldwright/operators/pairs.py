@@ -127,6 +127,29 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("uid").alias("left"), F.col("other_uid").alias("right")).agg(first["tile"].alias("tile"))
 
 
+def _with_hubs(uniques: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(shared, stars)``: ``(band, key, uid, size, hub)`` of the buckets that hold several texts, ``hub`` being the least,
+    and each pair ``(left, right)`` of a hub and another text of its buckets once."""
+    listed = _listed(uniques)
+    n = int(uniques.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hubs = listed.groupBy("band", "key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
+    shared = checkpoint(listed.join(hubs.repartition(n), ["band", "key"]))
+    return shared, checkpoint(shared.where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct())
+
+
+def _once_by_hub(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Each pair of ``met`` within one table once, in a tile of the least hub of the buckets in which it meets.
+
+    Buckets of one group mostly have the same hub, so a text goes to the tiles of few hubs and not to those of every band.
+    A hub with more than TILE texts has a tile for each two parts of them, by a hash.
+    """
+    once = pairs.groupBy(F.col("uid").alias("left"), F.col("other_uid").alias("right")).agg(F.min("hub").alias("hub"))
+    counts = stars.groupBy(F.col("left").alias("hub")).agg(F.ceil((F.count("*") + 1) / TILE).cast("int").alias("k")).where("k > 1")
+    once = once.join(broadcast_if_small(checkpoint(counts)), "hub", "left")
+    i, j = (F.pmod(F.xxhash64(c), F.coalesce("k", F.lit(1))) for c in ("left", "right"))
+    return once.select("left", "right", F.xxhash64("hub", F.least(i, j), F.greatest(i, j)).alias("tile"))
+
+
 def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5, num_perm: int = 128, seed: int = 0) -> DataFrame:
     """``(left, right, similarity)`` of all pairs of distinct normalized texts that share a band and reach the threshold.
 
@@ -134,10 +157,8 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: flo
     """
     threshold = check_threshold(threshold)
     _, uniques = unique_sketches(df, id_col, text_col, threshold, ngram, num_perm, seed)
-    listed = _listed(uniques)
-    several = listed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    listed = checkpoint(listed.join(several, ["band", "key"]))
-    pairs = checkpoint(_once(met(listed, listed, threshold).where("uid < other_uid")))
+    shared, stars = _with_hubs(uniques)
+    pairs = checkpoint(_once_by_hub(met(shared, shared, threshold).where("uid < other_uid"), stars))
     return verified(pairs, df, df, id_col, text_col, ngram, threshold).select("left", "right", "similarity")
 
 
@@ -147,19 +168,16 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
     First every text of a bucket is compared with the bucket's least; then, in buckets that this has left in several
     parts, the texts of different parts with each other. Pairs inside one part are never listed.
     """
-    listed = _listed(uniques)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hubs = listed.groupBy("band", "key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
-    shared = checkpoint(listed.join(hubs.repartition(n), ["band", "key"]))
-    stars = checkpoint(shared.where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct())
+    shared, stars = _with_hubs(uniques)
     first = checkpoint(verified(checkpoint(starred(stars)), df, df, id_col, text_col, ngram, threshold).select("left", "right"))
     parts = checkpoint(connected_components(first))
     placed = shared.join(parts.repartition(n), F.col("uid") == F.col("node"), "left")
-    placed = placed.select("band", "key", "uid", "size", F.coalesce("component", "uid").alias("part"))
+    placed = placed.select("band", "key", "uid", "size", "hub", F.coalesce("component", "uid").alias("part"))
     mixed = placed.groupBy("band", "key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("band", "key")
     placed = checkpoint(placed.join(mixed.repartition(n), ["band", "key"]))
     rest = met(placed, placed, threshold).where("uid < other_uid and part <> other_part")
-    rest = checkpoint(_once(rest).join(stars, ["left", "right"], "left_anti"))
+    rest = checkpoint(_once_by_hub(rest, stars).join(stars, ["left", "right"], "left_anti"))
     more = checkpoint(verified(rest, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
     return parts if more.isEmpty() else checkpoint(connected_components(first.unionByName(more)))
 
