@@ -223,7 +223,8 @@ def test_what_a_task_keeps_is_bounded(spark, monkeypatch):
     df = table(spark, texts)
     both = spark.createDataFrame([(1, i, j) for i in range(12) for j in range(i)], "tile bigint, left bigint, right bigint")
     want = sorted(map(tuple, pairs.verified(both, df, df, "id", "text", 5, 0.1).collect()))
-    assert want == sorted((i, j, jaccard_of(*(shingles(normalized(texts[k])) for k in (i, j)))) for i in range(12) for j in range(i))
+    sets = [set(shingles(normalized(x)).tolist()) for x in texts]
+    assert want == sorted((i, j, len(sets[i] & sets[j]), len(sets[i] | sets[j]), len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(12) for j in range(i))
 
 
 def test_stars_with_many_ends_are_several_tiles(spark, monkeypatch):
@@ -255,3 +256,37 @@ def test_exact_pairs_miss_none_in_any_order_of_ngrams(spark, monkeypatch):
         assert [r[:4] for r in found[threshold]] == sorted(w for w in want if w[2] / w[3] >= threshold)
     monkeypatch.setattr(pairs, "ngram_counts", lambda *a: bytes(2 + (37 * i) % 250 for i in range(1 << 16)) * 256)
     assert sorted(map(tuple, pairs.exact_pairs(df, "id", threshold=0.8).collect())) == found[0.8]
+
+
+def test_texts_of_one_group_are_sent_to_few_tiles(spark, monkeypatch):
+    """Groups are those of all pairs by brute force, and a text of a group isn't sent anew for each band."""
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(1 + draw.randrange(12)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sent, check = [], pairs.verified
+    monkeypatch.setattr(pairs, "TILE", 40)
+
+    def seen(candidates, *args):
+        ends = candidates.select("tile", F.col("left").alias("a")).union(candidates.select("tile", "right"))
+        sent.append((candidates.count(), ends.distinct().count(), ends.select("tile").distinct().count()))
+        return check(candidates, *args)
+
+    monkeypatch.setattr(pairs, "verified", seen)
+    got = pairs.lsh_pairs(table(spark, texts), "id").collect()
+    sets = [shingles(normalized(x)) for x in texts]
+    want = {(i, j) for i in range(150) for j in range(i) if jaccard_of(sets[i], sets[j]) >= 0.8}
+    found = {(r["right"], r["left"]) for r in got}
+    assert len(set(texts)) == 150 and found <= want and len(found) >= 0.97 * len(want)
+    assert sent[0][1] < sent[0][0] / 3
+    ids_ = ids(groups.near_duplicate_groups(table(spark, texts), "id"))
+    label = list(range(150))
+    for i, j in sorted(found):
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if x == old else x for x in label]
+    order = {x: n for n, x in enumerate(dict.fromkeys(label))}
+    assert ids_ == [order[x] for x in label]
