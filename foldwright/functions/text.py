@@ -274,10 +274,11 @@ def ngram_counts(df: DataFrame, text_col: str = "text", ngram: int = 5) -> bytes
     return bytes(out)
 
 
-def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts) -> DataFrame:
+def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts, alone: int = 1) -> DataFrame:
     """``(id_col, key, size, prefix)``: a digest of each normalized text, how many n-grams it has, and its rarest ones, as
-    many as it may lack of a similar text's and one more, as ``(h, at)`` by their place; those that no other text has are
-    left out. ``counts`` is a broadcast result of ``ngram_counts`` over all texts that are compared."""
+    many as it may lack of a similar text's and one more, as ``(h, at)`` by their place; those that no other text has, with
+    counts up to ``alone``, are left out. ``counts`` is a broadcast result of ``ngram_counts`` over all texts that are
+    compared, or, with ``alone`` 0, over those of one of two sides."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -288,7 +289,7 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: f
                 n = known[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 take = len(h) - int(np.ceil(len(h) * threshold - 1e-9)) + 1 if len(h) else 0
                 order = np.lexsort((h, n))[:take]
-                at = np.flatnonzero(n[order] > 1)
+                at = np.flatnonzero(n[order] > alone)
                 sizes.append(len(h))
                 rows.append([{"h": x, "at": i} for x, i in zip(h[order[at]].view(np.int64).tolist(), at.tolist())])
             columns = [part.column(id_col), pa.array([_digest(k) for k in keys], pa.binary()), pa.array(sizes, pa.int64())]
@@ -297,6 +298,47 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: f
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>")
 
 
+def ngram_index(sets: DataFrame) -> tuple[np.ndarray, ...]:
+    """``(ids, sizes, hashes, begin, owner)``, ids as an Arrow array, of a bounded table ``(id, shingles)``: the places in ``ids`` of the texts that
+    have ``hashes[i]`` are ``owner[begin[i] : begin[i + 1]]``."""
+    found = sets.toArrow()
+    lists = found.column(1).combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat = lists.flatten().to_numpy().view(np.uint64)
+    order = np.argsort(flat, kind="stable")
+    hashes, begin = np.unique(flat[order], return_index=True)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    return found.column(0).combine_chunks(), sizes, hashes, np.append(begin, len(flat)), owner
+
+
+def indexed_matches(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, index, kind: str) -> DataFrame:
+    """``(left, right, similarity)`` of all texts of ``df`` and those of a broadcast ``ngram_index`` that reach the threshold,
+    ``kind`` being the type of the latter's ids. What two texts share is counted in the task, so only results leave it."""
+
+    def run(batches):
+        ids, sizes, hashes, begin, owner = index.value
+        most = sizes.max(initial=0)
+        for part, keys in _parts(batches, text_col):
+            at, to, similar = [], [], []
+            for i, h in enumerate(shingle_lists(keys, ngram)):
+                if not len(hashes) or len(h) * threshold > most:
+                    continue
+                place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                place = place[hashes[place] == h]
+                n = begin[place + 1] - begin[place]
+                every = np.repeat(begin[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[every], minlength=len(ids))
+                ratio = shared / np.maximum(len(h) + sizes - shared, 1)
+                good = np.flatnonzero((ratio >= threshold) & (shared > 0))
+                at += [i] * len(good)
+                to += good.tolist()
+                similar += ratio[good].tolist()
+            columns = [part.column(id_col).take(pa.array(at, pa.int64())), ids.take(pa.array(to, pa.int64())), pa.array(similar, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["left", "right", "similarity"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"left {df.schema[id_col].dataType.simpleString()}, right {kind}, similarity double")
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int, num_perm: int, seed: int) -> DataFrame:
     """``(id_col, key, size, bands)``: a digest of each normalized text, how many n-grams it has, and its band keys, none
     for an empty text. Nulls raise.

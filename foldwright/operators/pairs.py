@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import check_threshold, lsh_bands, ngram_counts, normalized, prefixes, shared_of, shingle_sets, shingles, sketches
+from foldwright.functions.text import check_threshold, indexed_matches, lsh_bands, ngram_counts, ngram_index, normalized, prefixes, shared_of, shingle_sets, shingles, sketches
 from foldwright.operators.components import connected_components
 from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
 
@@ -15,6 +14,8 @@ from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, w
 TILE = 512
 #: n-gram hashes that a task keeps of the texts it compares, 64 MB.
 KEPT = 8 << 20
+#: n-grams of one side that every task may have as an index of who has them, 24 MB.
+INDEX = 2 << 20
 
 
 def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
@@ -182,6 +183,15 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
     return parts if more.isEmpty() else checkpoint(connected_components(first.unionByName(more)))
 
 
+def _by_prefix(each: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """``(uid, other)`` of the sets ``(uid, size, h, at)`` that share a first n-gram at places with room for enough others."""
+    other = others.select(F.col("uid").alias("other"), F.col("size").alias("other_size"), "h", F.col("at").alias("other_at"))
+    alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9
+    room = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))  # it and what comes behind it
+    enough = room >= (F.col("size") + F.col("other_size")) * (threshold / (1 + threshold)) - 1e-6
+    return each.join(other, "h").where(alike & enough)
+
+
 def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5) -> DataFrame:
     """``(left, right, n_shared, n_union, similarity)`` of all pairs of distinct normalized texts at the threshold, none
     missed: in any order of n-grams, similar sets share one of their first, as many as they may lack plus one.
@@ -195,11 +205,7 @@ def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: f
     made = prefixes(df, id_col, text_col, ngram, threshold, counts)
     first = made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix")).alias("x")).select("x.*")
     each = written(first.select("uid", "size", F.explode("prefix").alias("p")).select("uid", "size", "p.h", "p.at"))
-    other = each.select(F.col("uid").alias("other"), F.col("size").alias("other_size"), "h", F.col("at").alias("other_at"))
-    alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * threshold - 1e-9
-    room = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))  # it and what comes behind it
-    enough = room >= (F.col("size") + F.col("other_size")) * (threshold / (1 + threshold)) - 1e-6
-    pairs = each.join(other, "h").where("uid < other").where(alike & enough)
+    pairs = _by_prefix(each, each, threshold).where("uid < other")
     pairs = checkpoint(pairs.select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct())
     return verified(checkpoint(starred(pairs)), df, df, id_col, text_col, ngram, threshold)
 
@@ -211,10 +217,11 @@ def find_cross_duplicates(
     """``(train_id, test_id, similarity)``: one row for each test row that has a match in train.
 
     A train text equal after normalization comes first, with similarity 1 and its least id; else the most similar one,
-    the least id among equals. ``exact`` finds candidates by the prefix filter instead of LSH bands and misses none.
+    the least id among equals. ``exact`` compares by all n-grams instead of LSH bands and misses none.
     """
     threshold = check_threshold(threshold)
-    bands, rows = lsh_bands(threshold, num_perm)
+    bands, rows = (0, 0) if exact else lsh_bands(threshold, num_perm)
+    num_perm = 1 if exact else num_perm  # no bands are needed
     made = {}
     for side, df in (("train", train), ("test", test)):
         made[side] = written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed))
@@ -227,12 +234,13 @@ def find_cross_duplicates(
         left = train_uid.join(made["train"], "key").where(F.col(id_col) == F.col("train_id")).dropDuplicates(["key"])
         right = pending.join(made["test"], "key").where(F.col(id_col) == F.col("test_uid")).dropDuplicates(["key"])
         if exact:
-            pairs = checkpoint(starred(checkpoint(_prefix_cross(train, test, left, right, id_col, text_col, ngram, threshold))))
+            ends = (left.select(F.col("train_id").alias(id_col)), right.select(F.col("test_uid").alias(id_col)))
+            near = _exact_cross(train, test, *ends, id_col, text_col, ngram, threshold)
         else:
             a = checkpoint(_listed(left.withColumnRenamed("train_id", "uid")))
             b = checkpoint(_listed(right.withColumnRenamed("test_uid", "uid")))
             pairs = checkpoint(_once(met(a, b, threshold)))
-        near = verified(pairs, train, test, id_col, text_col, ngram, threshold)
+            near = verified(pairs, train, test, id_col, text_col, ngram, threshold)
         first = near.groupBy("right").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "left")).alias("b"))
         near = right.join(first, right["test_uid"] == first["right"]).select("key", F.col("b.left").alias("train_id"), (-F.col("b.s")).alias("similarity"))
         best = same.unionByName(near)
@@ -240,17 +248,27 @@ def find_cross_duplicates(
     return made["test"].join(checkpoint(best).repartition(n), "key").select("train_id", F.col(id_col).alias("test_id"), "similarity")
 
 
-def _prefix_cross(train, test, left, right, id_col, text_col, ngram, threshold) -> DataFrame:
-    """Candidate pairs of two sides by the prefix filter."""
-    sides = []
-    for df, ids in ((train, left.select(F.col("train_id").alias(id_col))), (test, right.select(F.col("test_uid").alias(id_col)))):
-        sets = shingle_sets(df.join(ids, id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, ngram)
-        sides.append(checkpoint(sets.select(F.col(id_col).alias("uid"), F.size("shingles").alias("n"), F.explode("shingles").alias("h"))))
-    df = sides[0].unionByName(sides[1]).groupBy("h").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(W.partitionBy("uid").orderBy("df", "h"))
-    keep = F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    a, b = (s.join(df, "h").withColumn("rank", rank).where(keep).select("uid", "h") for s in sides)
-    return a.join(b.select(F.col("uid").alias("other"), "h"), "h").select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct()
+def _exact_cross(train, test, left, right, id_col, text_col, ngram, threshold) -> DataFrame:
+    """``(left, right, similarity)`` of all similar pairs of two sides. ``left`` and ``right`` name the texts to compare.
+
+    A test side of up to INDEX n-grams is an index that every task has. A larger one meets train by the prefix filter, in
+    the order of how many test texts have an n-gram: one that none has is first and isn't moved.
+    """
+    own = checkpoint(shingle_sets(test.join(right, id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, ngram))
+    broadcast = test.sparkSession.sparkContext.broadcast
+    if (own.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= INDEX:
+        return indexed_matches(train, id_col, text_col, ngram, threshold, broadcast(ngram_index(own)), test.schema[id_col].dataType.simpleString())
+    counts = broadcast(ngram_counts(test, text_col, ngram))
+    a, b = (
+        written(
+            prefixes(df, id_col, text_col, ngram, threshold, counts, 0).join(ids, id_col, "left_semi").dropDuplicates([id_col])
+            .select(F.col(id_col).alias("uid"), "size", F.explode("prefix").alias("p")).select("uid", "size", "p.h", "p.at")
+        )
+        for df, ids in ((train, left), (test, right))
+    )
+    pairs = _by_prefix(a, b, threshold).select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct()
+    pairs = checkpoint(starred(checkpoint(pairs)))
+    return verified(pairs, train, test, id_col, text_col, ngram, threshold).select("left", "right", "similarity")
 
 
 __all__ = ["exact_pairs", "find_cross_duplicates", "linked_parts", "lsh_pairs", "unique_sketches", "verified"]

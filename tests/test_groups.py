@@ -290,3 +290,24 @@ def test_texts_of_one_group_are_sent_to_few_tiles(spark, monkeypatch):
         label = [new if x == old else x for x in label]
     order = {x: n for n, x in enumerate(dict.fromkeys(label))}
     assert ids_ == [order[x] for x in label]
+
+
+@pytest.mark.parametrize("index", [2 << 20, 0])
+def test_exact_cross_duplicates_move_no_texts_for_a_small_side(spark, monkeypatch, index):
+    """By an index of the test side or, where it is larger, by the prefix filter: as brute force, also at a low threshold."""
+    texts = [x for s in range(3) for x in edited(s, 12)] + SPAM + ["ab", "abc", "zzzzzzzzzz", "zzzzzz", ""]
+    df = table(spark, texts)
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    compared, check = [], pairs.verified
+    monkeypatch.setattr(pairs, "INDEX", index)
+    monkeypatch.setattr(pairs, "verified", lambda *args: (compared.append(1), check(*args))[1])
+    got = {r["test_id"]: (r["train_id"], r["similarity"]) for r in pairs.find_cross_duplicates(train, test, "id", threshold=0.3, exact=True).collect()}
+    keys = [normalized(t) for t in texts]
+    sets, want = [shingles(k) for k in keys], {}
+    for j in range(0, len(texts), 3):
+        ways = [(keys[i] != keys[j], -jaccard_of(sets[i], sets[j]), i) for i in range(len(texts)) if i % 3]
+        _, similarity, i = min(w for w in ways)
+        if -similarity >= 0.3:
+            want[j] = (i, -similarity)
+    assert got == want and len(want) > 9
+    assert bool(compared) == (not index)
