@@ -186,6 +186,28 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def tally(h: np.ndarray) -> bytes:
+    """How many n-gram hashes fall into each of some buckets, up to 15, in half a byte each. There are 16 to 65,536 buckets,
+    a power of two above a quarter of the hashes as far as that goes."""
+    buckets = 1 << min(max((len(h) // 4).bit_length(), 4), 16)
+    n = np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 15).astype(np.uint8)
+    return (n[: buckets // 2] | n[buckets // 2 :] << 4).tobytes()
+
+
+def tallied(packed: bytes) -> np.ndarray:
+    half = np.frombuffer(packed, np.uint8)
+    return np.concatenate([half & 15, half >> 4])
+
+
+def most_shared(left: np.ndarray, n_left: int, right: np.ndarray, n_right: int) -> int:
+    """No fewer than two sets of so many hashes share, by what they ``tallied``: in each bucket no more than the lesser count,
+    and beyond 15 no more than the lesser of what is left of each set."""
+    few, many = sorted((left, right), key=len)
+    few, many = few.astype(np.int64), many.reshape(-1, len(few)).sum(0, dtype=np.int64)
+    over = min(n_left - int(left.sum(dtype=np.int64)), n_right - int(right.sum(dtype=np.int64)))
+    return int(np.minimum(few, many).sum()) + over
+
+
 def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of about STEP characters, and their normalized texts. A null is an error that names the column."""
     for batch in batches:
@@ -340,8 +362,8 @@ def indexed_matches(df: DataFrame, id_col: str, text_col: str, ngram: int, thres
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int, num_perm: int, seed: int) -> DataFrame:
-    """``(id_col, key, size, bands)``: a digest of each normalized text, how many n-grams it has, and its band keys, none
-    for an empty text. Nulls raise.
+    """``(id_col, key, size, bands, tally)``: a digest of each normalized text, how many n-grams it has, its band keys, none
+    for an empty text, and its ``tally``. Nulls raise.
 
     One pass: neither n-grams nor signatures leave the task.
     """
@@ -357,8 +379,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, ngram: int, bands: int,
                     pa.array([_digest(k) for k in keys], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([f if len(s) else [] for f, s in zip(found, sets)], pa.list_(pa.int64())),
+                    pa.array([tally(s) for s in sets], pa.binary()),
                 ],
-                names=[id_col, "key", "size", "bands"],
+                names=[id_col, "key", "size", "bands", "tally"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, bands array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, bands array<bigint>, tally binary")

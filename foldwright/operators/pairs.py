@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import check_threshold, indexed_matches, lsh_bands, ngram_counts, ngram_index, normalized, prefixes, shared_of, shingle_sets, shingles, sketches
+from foldwright.functions.text import check_threshold, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, shared_of, shingle_sets, shingles, sketches, tallied
 from foldwright.operators.components import connected_components
 from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
 
@@ -25,11 +27,12 @@ def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
         tile, texts, kept, size = None, ({}, {}), {}, 0
         for batch in batches:
             out = []
-            for t, what, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "a", "b", "text"))):
+            rows_ = zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "a", "b")), batch.column("text"))
+            for t, what, a, b, text in rows_:
                 if t != tile:
                     tile, texts, kept, size = t, ({}, {}), {}, 0
                 if what < 2:
-                    texts[what][a] = text
+                    texts[what][a] = text.as_py()
                     continue
                 found = []
                 for side, key in ((0, a), (0 if same else 1, b)):
@@ -49,27 +52,64 @@ def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
     return rows.mapInArrow(run, f"left {kind}, right {kind}, n_shared bigint, n_union bigint, similarity double")
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(left, right, n_shared, n_union, similarity)`` of the candidate pairs ``(left, right, tile)``, each once, that reach
     the threshold.
 
     A text goes once to each tile in which it is compared, however many pairs it has there, so what is moved grows with
-    texts and tiles and not with pairs. Only texts that are in some pair are moved. ``left`` and ``right`` may be one table.
+    texts and tiles and not with pairs. Only texts that are in some pair are moved; where sizes and tallies of both sides are
+    ``known``, in some ``likely`` one. ``left`` and ``right`` may be one table.
     """
+    pairs = checkpoint(likely(pairs, *known, "uid", threshold)) if known else pairs
     kind, same = left.schema[id_col].dataType.simpleString(), left is right
+    dealt = _dealt(pairs, left, right, id_col, F.col(text_col).alias("text"))
+    return _compared(dealt, kind, ngram, same).where(F.col("similarity") >= threshold)
+
+
+def _dealt(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, *values: Column) -> DataFrame:
+    """``(tile, what, a, b, *values)``, tile by tile: the ``values`` of the left ids of its pairs, of the right ones if they
+    are of another table, and the pairs, ``what`` being 0, 1 and 2."""
+    same = left is right
     pairs = pairs.select("tile", "left", "right")
     # Few ids go to where the texts lie; many meet their texts by id.
     few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
-    nothing = F.lit(None)
-    rows = pairs.select("tile", F.lit(2).alias("what"), F.col("left").alias("a"), F.col("right").alias("b"), nothing.cast("string").alias("text"))
+    held = []
     ends = [pairs.select("tile", F.col(c).alias("a")) for c in ("left", "right")]
     for what, (df, need) in enumerate([(left, ends[0].union(ends[1]))] if same else [(left, ends[0]), (right, ends[1])]):
-        texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+        own = df.select(F.col(id_col).alias("_id"), *values)
         need = F.broadcast(need.distinct()) if few else need.distinct()
-        held = texts.join(need, F.col("a") == F.col("_id"))
-        rows = rows.unionByName(held.select("tile", F.lit(what).alias("what"), "a", nothing.cast(kind).alias("b"), "text"))
-    dealt = rows.repartition("tile").sortWithinPartitions("tile", "what", "a", "b")
-    return _compared(dealt, kind, ngram, same).where(F.col("similarity") >= threshold)
+        own = own.join(need, F.col("a") == F.col("_id")).withColumn("what", F.lit(what)).withColumn("b", F.lit(None).cast(df.schema[id_col].dataType))
+        held.append(own.drop("_id"))
+    rows = pairs.select("tile", F.lit(2).alias("what"), F.col("left").alias("a"), F.col("right").alias("b"))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [rows, *held])
+    return rows.repartition("tile").sortWithinPartitions("tile", "what", "a", "b")
+
+
+def likely(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """The candidate ``pairs`` that may reach the threshold by the sizes and tallies that ``left`` and ``right`` have: what is
+    left out shares too little, whatever its n-grams are. Tallies are a tenth of the texts that they keep from moving."""
+    kind, same = left.schema[id_col].dataType.simpleString(), left is right
+    rows = _dealt(pairs, left, right, id_col, F.col("size"), F.col("tally"))
+
+    def run(batches):
+        tile, sets = None, ({}, {})
+        for batch in batches:
+            good = []
+            rows_ = zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "a", "b", "size", "tally")))
+            for i, (t, what, a, b, size, packed) in enumerate(rows_):
+                if t != tile:
+                    tile, sets = t, ({}, {})
+                if what < 2:
+                    sets[what][a] = packed, size
+                    continue
+                (x, m), (y, n) = sets[0][a], sets[0 if same else 1][b]
+                most = min(most_shared(tallied(x), m, tallied(y), n), m, n)
+                if most >= threshold * (m + n - most) - 1e-6:
+                    good.append(i)
+            found = batch.take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.column(c) for c in ("tile", "a", "b")], names=["tile", "left", "right"])
+
+    return rows.mapInArrow(run, f"tile bigint, left {kind}, right {kind}")
 
 
 def starred(pairs: DataFrame) -> DataFrame:
@@ -80,15 +120,16 @@ def starred(pairs: DataFrame) -> DataFrame:
 
 
 def unique_sketches(df: DataFrame, id_col: str, text_col: str, threshold: float, ngram: int, num_perm: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(rows, uniques)``: ``(id_col, uid)`` for each row, and ``(uid, size, bands)`` for each distinct normalized text,
-    ``uid`` being its least id. Written once; copies are put together before anything is compared."""
+    """``(rows, uniques)``: ``(id_col, uid)`` for each row, and ``(uid, size, bands, tally)`` for each distinct normalized
+    text, ``uid`` being its least id. Written once; copies are put together before anything is compared."""
     bands, rows = lsh_bands(threshold, num_perm)
     made = written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed))
     firsts = made.groupBy("key").agg(F.min(id_col).alias("uid"))
     uniques = checkpoint(firsts)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = made.join(uniques.repartition(n), "key").select(id_col, "uid", "size", "bands")
-    return named.select(id_col, "uid"), named.where(F.col(id_col) == F.col("uid")).select("uid", "size", "bands").dropDuplicates(["uid"])
+    own = made.join(uniques.withColumnRenamed("key", "_key"), (F.col(id_col) == F.col("uid")) & (F.col("key") == F.col("_key")))
+    own = written(own.select("uid", "size", "bands", "tally").dropDuplicates(["uid"]))
+    return made.select(id_col, "key").join(uniques.repartition(n), "key").select(id_col, "uid"), own
 
 
 def _listed(uniques: DataFrame) -> DataFrame:
@@ -128,14 +169,17 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("uid").alias("left"), F.col("other_uid").alias("right")).agg(first["tile"].alias("tile"))
 
 
-def _with_hubs(uniques: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_hubs(uniques: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(shared, stars)``: ``(band, key, uid, size, hub)`` of the buckets that hold several texts, ``hub`` being the least,
-    and each pair ``(left, right)`` of a hub and another text of its buckets once."""
+    and each pair ``(left, right)`` of a hub and another text of its buckets once, if their sizes may be alike enough."""
     listed = _listed(uniques)
     n = int(uniques.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hubs = listed.groupBy("band", "key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
+    hubs = listed.groupBy("band", "key").agg(F.min(F.struct("uid", F.col("size").alias("hub_size"))).alias("h"), F.count("*").alias("n"))
+    hubs = hubs.where("n > 1").select("band", "key", F.col("h.uid").alias("hub"), "h.hub_size")
     shared = checkpoint(listed.join(hubs.repartition(n), ["band", "key"]))
-    return shared, checkpoint(shared.where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct())
+    alike = F.least("size", "hub_size") >= F.greatest("size", "hub_size") * threshold - 1e-9
+    stars = shared.where(alike).where("uid <> hub").select(F.col("hub").alias("left"), F.col("uid").alias("right")).distinct()
+    return shared.drop("hub_size"), checkpoint(stars)
 
 
 def _once_by_hub(pairs: DataFrame, stars: DataFrame) -> DataFrame:
@@ -158,9 +202,9 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: flo
     """
     threshold = check_threshold(threshold)
     _, uniques = unique_sketches(df, id_col, text_col, threshold, ngram, num_perm, seed)
-    shared, stars = _with_hubs(uniques)
+    shared, stars = _with_hubs(uniques, threshold)
     pairs = checkpoint(_once_by_hub(met(shared, shared, threshold).where("uid < other_uid"), stars))
-    return verified(pairs, df, df, id_col, text_col, ngram, threshold).select("left", "right", "similarity")
+    return verified(pairs, df, df, id_col, text_col, ngram, threshold, (uniques, uniques)).select("left", "right", "similarity")
 
 
 def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
@@ -170,8 +214,9 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
     parts, the texts of different parts with each other. Pairs inside one part are never listed.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared, stars = _with_hubs(uniques)
-    first = checkpoint(verified(checkpoint(starred(stars)), df, df, id_col, text_col, ngram, threshold).select("left", "right"))
+    shared, stars = _with_hubs(uniques, threshold)
+    known = uniques, uniques
+    first = checkpoint(verified(checkpoint(starred(stars)), df, df, id_col, text_col, ngram, threshold, known).select("left", "right"))
     parts = checkpoint(connected_components(first))
     placed = shared.join(parts.repartition(n), F.col("uid") == F.col("node"), "left")
     placed = placed.select("band", "key", "uid", "size", "hub", F.coalesce("component", "uid").alias("part"))
@@ -179,7 +224,7 @@ def linked_parts(df: DataFrame, uniques: DataFrame, id_col: str, text_col: str,
     placed = checkpoint(placed.join(mixed.repartition(n), ["band", "key"]))
     rest = met(placed, placed, threshold).where("uid < other_uid and part <> other_part")
     rest = checkpoint(_once_by_hub(rest, stars).join(stars, ["left", "right"], "left_anti"))
-    more = checkpoint(verified(rest, df, df, id_col, text_col, ngram, threshold).select("left", "right"))
+    more = checkpoint(verified(rest, df, df, id_col, text_col, ngram, threshold, known).select("left", "right"))
     return parts if more.isEmpty() else checkpoint(connected_components(first.unionByName(more)))
 
 
@@ -222,25 +267,42 @@ def find_cross_duplicates(
     threshold = check_threshold(threshold)
     bands, rows = (0, 0) if exact else lsh_bands(threshold, num_perm)
     num_perm = 1 if exact else num_perm  # no bands are needed
-    made = {}
-    for side, df in (("train", train), ("test", test)):
-        made[side] = written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed))
+    made = {side: written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed)) for side, df in (("train", train), ("test", test))}
+    return _matches(made, train, test, id_col, text_col, threshold, ngram, exact)
+
+
+def split_duplicates(
+    df: DataFrame, splits: list[DataFrame], id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5, num_perm: int = 128, seed: int = 0
+) -> list[DataFrame]:
+    """What ``find_cross_duplicates`` finds between the rows of ``df`` that are ``train`` and ``test`` in each of ``splits``,
+    tables ``(id_col, split)``. Texts are hashed once for all splits, and only those that may be alike are moved."""
+    threshold = check_threshold(threshold)
+    bands, rows = lsh_bands(threshold, num_perm)
+    every, found = written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed)), []
+    for split in splits:
+        placed = written(every.join(split.select(id_col, "split"), id_col))
+        made = {side: placed.where(F.col("split") == side).drop("split") for side in ("train", "test")}
+        found.append(_matches(made, df, df, id_col, text_col, threshold, ngram, False))
+    return found
+
+
+def _matches(made: dict[str, DataFrame], train, test, id_col: str, text_col: str, threshold: float, ngram: int, exact: bool) -> DataFrame:
+    """``find_cross_duplicates`` of two sides of sketches; ``train`` and ``test`` have their texts, and may be one table."""
     train_uid = checkpoint(made["train"].groupBy("key").agg(F.min(id_col).alias("train_id")))
     test_uid = checkpoint(made["test"].groupBy("key").agg(F.min(id_col).alias("test_uid")))
     same = test_uid.join(train_uid, "key").select("key", "train_id", F.lit(1.0).alias("similarity"))
     best = same
     if threshold < 1:
         pending = test_uid.join(train_uid, "key", "left_anti")
-        left = train_uid.join(made["train"], "key").where(F.col(id_col) == F.col("train_id")).dropDuplicates(["key"])
-        right = pending.join(made["test"], "key").where(F.col(id_col) == F.col("test_uid")).dropDuplicates(["key"])
+        left = written(train_uid.join(made["train"], "key").where(F.col(id_col) == F.col("train_id")).dropDuplicates(["key"]))
+        right = written(pending.join(made["test"], "key").where(F.col(id_col) == F.col("test_uid")).dropDuplicates(["key"]))
         if exact:
             ends = (left.select(F.col("train_id").alias(id_col)), right.select(F.col("test_uid").alias(id_col)))
             near = _exact_cross(train, test, *ends, id_col, text_col, ngram, threshold)
         else:
-            a = checkpoint(_listed(left.withColumnRenamed("train_id", "uid")))
-            b = checkpoint(_listed(right.withColumnRenamed("test_uid", "uid")))
-            pairs = checkpoint(_once(met(a, b, threshold)))
-            near = verified(pairs, train, test, id_col, text_col, ngram, threshold)
+            own = left.withColumnRenamed("train_id", "uid"), right.withColumnRenamed("test_uid", "uid")
+            pairs = checkpoint(_once(met(*(checkpoint(_listed(x)) for x in own), threshold)))
+            near = verified(pairs, train, test, id_col, text_col, ngram, threshold, own)
         first = near.groupBy("right").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "left")).alias("b"))
         near = right.join(first, right["test_uid"] == first["right"]).select("key", F.col("b.left").alias("train_id"), (-F.col("b.s")).alias("similarity"))
         best = same.unionByName(near)
@@ -271,4 +333,4 @@ def _exact_cross(train, test, left, right, id_col, text_col, ngram, threshold) -
     return verified(pairs, train, test, id_col, text_col, ngram, threshold).select("left", "right", "similarity")
 
 
-__all__ = ["exact_pairs", "find_cross_duplicates", "linked_parts", "lsh_pairs", "unique_sketches", "verified"]
+__all__ = ["exact_pairs", "find_cross_duplicates", "linked_parts", "lsh_pairs", "split_duplicates", "unique_sketches", "verified"]

@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import jaccard_of, normalized, shingles
+from foldwright.functions import text
+from foldwright.functions.text import jaccard_of, most_shared, normalized, shared_of, shingles, tallied, tally
 from foldwright.operators import audit, groups, labels, pairs
 from foldwright.operators.components import component_updates, connected_components, updated_components
+from foldwright.plans import catalogue
 
 SPAM = [
     "WINNER!! You have been selected to receive a prize of 900 pounds, call now to claim it today",
@@ -311,3 +314,49 @@ def test_exact_cross_duplicates_move_no_texts_for_a_small_side(spark, monkeypatc
             want[j] = (i, -similarity)
     assert got == want and len(want) > 9
     assert bool(compared) == (not index)
+
+
+def test_tallies_bound_what_sets_share():
+    """Never below what two sets share, whatever their sizes and however full buckets are; near it for sets that differ."""
+    rng = np.random.default_rng(4)
+    for n, m, both, spread in [(0, 0, 0, 1), (3, 3, 2, 1), (900, 1100, 300, 1), (70, 60, 50, 1), (40_000, 33_000, 9_000, 1), (5000, 4100, 2000, 0)]:  # 0: few buckets get all
+        h = rng.integers(0, 1 << 60, n + m - both, dtype=np.uint64) if spread else np.arange(n + m - both, dtype=np.uint64) << np.uint64(8)
+        a, b = np.unique(h[:n]), np.unique(h[n - both :])
+        most = most_shared(tallied(tally(a)), len(a), tallied(tally(b)), len(b))
+        assert shared_of(a, b) <= most and most == most_shared(tallied(tally(b)), len(b), tallied(tally(a)), len(a))
+        if spread and n > 800:
+            assert most < both + 0.8 * (min(n, m) - both)
+
+
+def test_texts_that_share_too_little_are_not_moved(spark, monkeypatch):
+    """One bucket with texts of like size that differ: all meet, and only those that may be similar are sent as texts."""
+    draw = random.Random(6)
+    texts = [" ".join(f"{draw.randrange(10**6)}" for _ in range(80)) for _ in range(40)]
+    texts += [t + " and more" for t in texts[:5]]
+    df = table(spark, texts)
+    monkeypatch.setattr(text, "band_keys", lambda signatures, bands, rows: np.ones((len(signatures), bands), np.int64))
+    sent, compared = [], pairs._compared
+    monkeypatch.setattr(pairs, "_compared", lambda rows, *more: (sent.append(rows.where("what = 2").count()), compared(rows, *more))[1])
+    got = sorted((r["left"], r["right"]) for r in pairs.lsh_pairs(df, "id").collect())
+    assert got == [(i, 40 + i) for i in range(5)] and sent == [5]
+    assert ids(groups.near_duplicate_groups(df, "id")) == [*range(40), *range(5)] and sum(sent[1:]) <= 10
+    cross = pairs.find_cross_duplicates(df.where("id < 40"), df.where("id >= 40"), "id").collect()
+    assert sorted((r["train_id"], r["test_id"]) for r in cross) == got and sent[-1] == 5
+
+
+def test_splits_of_one_table_are_compared_by_its_sketches(spark, monkeypatch):
+    """As sides that are tables of their own; texts are hashed once for all splits."""
+    df = table(spark, [x for s in range(3) for x in edited(s, 20)] + SPAM)
+    splits = [df.select("id", F.when(F.col("id") % k == 0, "test").otherwise("train").alias("split")) for k in (3, 4)]
+    want = [sorted(map(tuple, pairs.find_cross_duplicates(df.where(f"id % {k} > 0"), df.where(f"id % {k} = 0"), "id").collect())) for k in (3, 4)]
+    made, run = [], pairs.sketches
+    monkeypatch.setattr(pairs, "sketches", lambda *args: (made.append(1), run(*args))[1])
+    assert [sorted(map(tuple, x.collect())) for x in pairs.split_duplicates(df, splits, "id")] == want and len(made) == 1
+
+
+@pytest.mark.parametrize("name", ["assign_straddle", "kfold_roles"])
+def test_queries_group_texts_once(spark, data, monkeypatch, name):
+    made, run = [], pairs.sketches
+    monkeypatch.setattr(pairs, "sketches", lambda *args: (made.append(1), run(*args))[1])
+    catalogue.QUERIES[name](spark, data).collect()
+    assert len(made) == 1
