@@ -327,10 +327,9 @@ def random_split(spark, sf_dir):
 @query(f"WITH {RANDOM}, {cross_sql('SELECT id, text FROM cut WHERE t', 'SELECT id, text FROM cut WHERE NOT t', THRESHOLD)} {REPORT.format(t=THRESHOLD)}")
 def random_split_leakage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    both = checkpoint(docs.select("doc_id", "text").join(folds.random_split(docs, "doc_id", 0.8, 0), "doc_id"))
-    train, test = both.where("split = 'train'"), both.where("split = 'test'")
-    found = checkpoint(pairs.find_cross_duplicates(train, test, "doc_id", threshold=THRESHOLD))
-    return audit.report(found, test, train, THRESHOLD)
+    split = checkpoint(folds.random_split(docs, "doc_id", 0.8, 0))
+    (found,) = pairs.split_duplicates(docs, [split], "doc_id", threshold=THRESHOLD)
+    return audit.report(checkpoint(found), split.where("split = 'test'"), split.where("split = 'train'"), THRESHOLD)
 
 
 SEEDS = (0, 1, 2, 3, 4)
@@ -366,10 +365,20 @@ def assign_counts(spark, sf_dir):
     return assign.assign_groups(rows, [0.7, 0.2, 0.1]).groupBy("split").agg(F.count("*").alias("n"))
 
 
+def _split(spark, sf_dir, near: DataFrame | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return folds.assign_splits(docs, "doc_id", label_cols=("lang",), groups_col=None, ratios=RATIOS, near=near).select("doc_id", "split")
+
+
 @query()
 def assign_splits(spark, sf_dir):
-    found = folds.assign_splits(table(spark, sf_dir, "documents"), "doc_id", label_cols=("lang",), groups_col=None, ratios=RATIOS)
-    return found.select("doc_id", "split")
+    return _split(spark, sf_dir)
+
+
+def _folded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The groups and the folds of one ``NearDupKFold``, which groups once."""
+    docs, five = table(spark, sf_dir, "documents"), folds.NearDupKFold(5)
+    return five.near_duplicate_groups(docs, "doc_id"), checkpoint(five.fold_ids(docs, "doc_id", label_cols=("lang",)))
 
 
 @query()
@@ -386,10 +395,9 @@ def _shares_sql(split: str, ratio: str, splits: str) -> str:
     )
 
 
-def _shares(spark, sf_dir, placed: DataFrame, ratios: dict) -> DataFrame:
+def _shares(spark, sf_dir, near: DataFrame, placed: DataFrame, ratios: dict) -> DataFrame:
     """For all rows and for each language, and each split: whether the split is nearer to its share than the largest group."""
     lang = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array("lang", F.lit("(rows)"))).alias("label"))
-    near = checkpoint(near_duplicate_groups(spark, sf_dir))
     every = checkpoint(lang.join(near, "doc_id").join(placed, "doc_id"))
     sizes = every.groupBy("label", "group_id").agg(F.count("*").alias("n")).groupBy("label").agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
     held = every.groupBy("label").pivot("split", list(ratios)).count().na.fill(0)
@@ -401,19 +409,20 @@ def _shares(spark, sf_dir, placed: DataFrame, ratios: dict) -> DataFrame:
 
 @query(_shares_sql(split="s", ratio="r", splits="(VALUES ('train', 0.8::DOUBLE), ('test', 0.2::DOUBLE)) u(s, r)"))
 def assign_shares(spark, sf_dir):
-    return _shares(spark, sf_dir, checkpoint(assign_splits(spark, sf_dir)), RATIOS)
+    near = checkpoint(near_duplicate_groups(spark, sf_dir))
+    return _shares(spark, sf_dir, near, checkpoint(_split(spark, sf_dir, near)), RATIOS)
 
 
 @query(_shares_sql(split="s::INTEGER", ratio="0.2::DOUBLE", splits="unnest(range(5)) u(s)"))
 def kfold_shares(spark, sf_dir):
-    placed = checkpoint(kfold_ids(spark, sf_dir)).withColumnRenamed("fold", "split")
-    return _shares(spark, sf_dir, placed, dict.fromkeys(range(5), 0.2))
+    near, found = _folded(spark, sf_dir)
+    return _shares(spark, sf_dir, near, found.withColumnRenamed("fold", "split"), dict.fromkeys(range(5), 0.2))
 
 
 @query("SELECT 0::BIGINT AS n_groups_in_two_splits")
 def assign_straddle(spark, sf_dir):
     near = checkpoint(near_duplicate_groups(spark, sf_dir))
-    split = assign_splits(spark, sf_dir)
+    split = _split(spark, sf_dir, near)
     apart = near.join(split, "doc_id").groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
     return apart.agg(F.count("*").alias("n_groups_in_two_splits"))
 
@@ -421,8 +430,7 @@ def assign_straddle(spark, sf_dir):
 @query("SELECT 0::BIGINT AS leaked")
 def post_split_leaks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    both = checkpoint(docs.join(assign_splits(spark, sf_dir), "doc_id"))
-    found = pairs.find_cross_duplicates(both.where("split = 'train'"), both.where("split = 'test'"), "doc_id", threshold=THRESHOLD)
+    (found,) = pairs.split_duplicates(docs, [checkpoint(_split(spark, sf_dir))], "doc_id", threshold=THRESHOLD)
     return found.agg(F.count("*").alias("leaked"))
 
 
@@ -430,15 +438,14 @@ def post_split_leaks(spark, sf_dir):
 def assign_groups_kept(spark, sf_dir):
     """Every group of the corpus with its rows and in how many splits they are."""
     near = checkpoint(near_duplicate_groups(spark, sf_dir))
-    both = near.join(assign_splits(spark, sf_dir), "doc_id")
+    both = near.join(_split(spark, sf_dir, near), "doc_id")
     return both.groupBy("group_id").agg(F.count("*").alias("n_rows"), F.count_distinct("split").alias("n_splits"))
 
 
 @query(f"{NEAR} SELECT doc_id, group_id, 1::BIGINT AS n_test, 4::BIGINT AS n_train, 1::BIGINT AS n_folds_of_group FROM grouped")
 def kfold_roles(spark, sf_dir):
     """Every document is test in one of five folds and train in the others, and its group is in one fold."""
-    near = checkpoint(near_duplicate_groups(spark, sf_dir))
-    found = checkpoint(kfold_ids(spark, sf_dir))
+    near, found = _folded(spark, sf_dir)
     of = near.join(found, "doc_id").groupBy("group_id").agg(F.count_distinct("fold").alias("n_folds_of_group"))
     roles = folds.fold_membership(found, "doc_id", 5).groupBy("doc_id")
     roles = roles.agg(F.count_if(F.col("role") == "test").alias("n_test"), F.count_if(F.col("role") == "train").alias("n_train"))
