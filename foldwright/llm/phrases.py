@@ -8,9 +8,10 @@ with the number of their end positions, and their links are the coarser classes
 A phrase is no more frequent than what it holds, so there are three rounds. Words are summed over shards first; those
 frequent in all the corpus mark bits of a filter of a fixed size, and a word that it doesn't have ends a piece from then on.
 The second round has depth two: counts of pairs are summed by bits of such a filter, in packed chunks of it, and bits with
-enough mark the pairs that may be frequent. The third, of depth four, goes no further back than such pairs go. A state that
-stands for several lengths travels once, to where its last two words are summed, and is taken apart there. The filters let
-some rare phrases through, which costs rows; none is missed, and what is counted is counted exactly.
+enough mark the pairs that may be frequent. The third, of depth four, goes no further back than such pairs go. Its states are
+taken apart in the shard, and their substrings travel packed by a hash of all their words, some hundreds to a row, to where
+they are summed and those that are frequent leave. The filters let some rare phrases through, which costs bytes; none is
+missed, and what is counted is counted exactly.
 
 Subsumption needs no longer phrase than by one word: what holds a phrase at the share holds everything between at least
 as often. So each phrase looks at its suffix link, without its first word, and at its mirror image, without its last.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,8 @@ DEPTH, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 SHARD, SLICE = 2_000_000, 4 << 20
 #: Bits of a filter, 16 MB: it grows with nothing. Tasks sum counts for CHUNK of them at a time.
 BITS, CHUNK = 1 << 27, 1 << 17
+#: Buckets in which phrases are summed, at least; words of the corpus for each bucket where there are more.
+BUCKETS, BUCKET_WORDS = 256, 1_000_000
 #: What stands between pieces; no byte of UTF-8.
 END = b"\xff"
 #: Bytes as words have them: letters A to Z in lower case, what ends a piece as END, tabs as spaces.
@@ -167,53 +171,112 @@ def _shards(batches, limit: int) -> Iterator[tuple[str, Shard]]:
     yield from open_.items()
 
 
-def _kept(lang: str, shard: Shard, common) -> tuple[np.ndarray, np.ndarray | None]:
+def _kept(lang: str, shard: Shard, common) -> tuple[np.ndarray, np.ndarray]:
     """A shard's sequence, ended at each word that the broadcast filter ``common`` doesn't have, and its words' hashes."""
     words = shard.sequence()
-    if common is None:
-        return words, None
     hashes = _hashes(lang, shard.words)
     words[~_marked(common.value, pair_bits(hashes, hashes))[words]] = 0
     return words, hashes
 
 
-def substrings(docs: DataFrame, depth: int, shortest: int, common=None, passing=None, shard: int = SHARD) -> DataFrame:
-    """``(lang, low, w0, ..., n)``: the states of every shard's automaton that have ``shortest`` words or more; ``w0`` is the
-    last word, ``w1`` the one before it, null beyond the state's longest substring; ``low`` is its shortest's length.
-
-    ``docs`` has ``lang`` and ``text``. ``common`` and ``passing`` are broadcast filters of words and of pairs.
-    """
-    names = ["lang", "low", *(f"w{i}" for i in range(depth)), "n"]
+def word_counts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``(lang, w0, n)``: how often each word occurs in ``docs``, which has ``lang`` and ``text``."""
 
     def run(batches):
         for lang, own in _shards(batches, shard):
-            words, hashes = _kept(lang, own, common)
-            passes = None
-            if passing is not None:
-                passes = lambda first, last, h=hashes: _marked(passing.value, pair_bits(h[first], h[last]))
-            text = pa.array(own.words, pa.binary()).cast(pa.string())
-            for longest, low, ends, counts in Automaton(words, depth, passes).states(shortest):
-                columns = [text.take(pa.array(words[ends - i])) if i < longest else pa.nulls(len(ends), pa.string()) for i in range(depth)]
-                columns = [pa.array([lang] * len(ends), pa.string()), pa.array(np.full(len(ends), low, np.int32)), *columns, pa.array(counts, pa.int64())]
+            words, text = own.sequence(), pa.array(own.words, pa.binary()).cast(pa.string())
+            for _, _, ends, counts in Automaton(words, 1).states(1):
+                columns = [pa.array([lang] * len(ends), pa.string()), text.take(pa.array(words[ends])), pa.array(counts, pa.int64())]
                 for at in range(0, len(ends), 50_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=names)
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=["lang", "w0", "n"])
+
+    dealt = docs.select("lang", "text").mapInArrow(run, "lang string, w0 string, n bigint").repartition("lang", "w0")
+    return dealt.groupBy("lang", "w0").agg(F.sum("n").alias("n"))  # a shard's counts are sums already
+
+
+def _substrings(shard: Shard, words: np.ndarray, hashes: np.ndarray, passes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``(phrases, counts, hashes)`` of a shard's substrings of two words or more: its automaton's states, taken apart."""
+    text = pa.array(shard.words, pa.binary()).cast(pa.large_string())
+    phrases_, sums, mixed = [pa.array([], pa.large_string())], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for longest, low, ends, counts in Automaton(words, DEPTH, passes).states(2):
+        for size in range(low, longest + 1):
+            own = [words[ends - i] for i in reversed(range(size))]
+            phrases_.append(pc.binary_join_element_wise(*(text.take(pa.array(w)) for w in own), pa.scalar(" ", pa.large_string())))
+            h = np.full(len(ends), size, np.uint64)
+            with np.errstate(over="ignore"):
+                for w in own:
+                    h = (h ^ hashes[w]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+            sums.append(counts)
+            mixed.append(h)
+    return pa.concat_arrays(phrases_), np.concatenate(sums), np.concatenate(mixed)
+
+
+def _wrapped(phrases_: pa.Array, counts: np.ndarray) -> bytes:
+    """Strings and their counts as compressed bytes: how many, their lengths, the counts, the characters."""
+    lengths = pc.binary_length(phrases_).to_numpy(zero_copy_only=False)
+    offsets = np.frombuffer(phrases_.buffers()[1], np.int32)[phrases_.offset : phrases_.offset + len(phrases_) + 1]
+    data = memoryview(phrases_.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    return zstandard.compress(np.concatenate([[len(lengths)], lengths, counts]).astype("<u4").tobytes() + data, 3)
+
+
+def _unwrapped(packed: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    lengths, counts = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, -1)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 8 * n :])), counts.astype(np.int64)
+
+
+def phrase_counts(docs: DataFrame, common, passing, least: int, buckets: int = BUCKETS, shard: int = SHARD) -> DataFrame:
+    """``(lang, phrase, size, n)`` of the phrases of two to DEPTH words that occur ``least`` times. ``common`` and ``passing``
+    are broadcast filters of words and of pairs."""
+
+    def packed(batches):
+        for lang, own in _shards(batches, shard):
+            words, hashes = _kept(lang, own, common)
+            passes = lambda first, last, h=hashes: _marked(passing.value, pair_bits(h[first], h[last]))
+            found, counts, mixed = _substrings(own, words, hashes, passes)
+            bucket = ((mixed >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            found, counts = found.take(pa.array(order)), counts[order]
+            at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            rows = [_wrapped(found.slice(a, b - a).cast(pa.string()), counts[a:b]) for a, b in zip(at, [*at[1:], len(order)])]
+            names = ["bucket", "lang", "counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at], pa.int32()), pa.array([lang] * len(at), pa.string()), pa.array(rows, pa.binary())], names=names)
+
+    def summed(batches):
+        now, parts, held, before = None, [], 0, 0
+
+        def sums():
+            found = pa.table({"phrase": pa.chunked_array([p for p, _ in parts]), "n": pa.chunked_array([pa.array(n) for _, n in parts])})
+            found = found.group_by("phrase").aggregate([("n", "sum")]).combine_chunks()
+            return found.column("phrase"), found.column("n_sum")
 
-    ddl = "lang string, low int, " + ", ".join(f"w{i} string" for i in range(depth)) + ", n bigint"
-    return docs.select("lang", "text").mapInArrow(run, ddl)
+        def done():
+            found, n = (c.combine_chunks() for c in sums())
+            good = pc.greater_equal(n, least)
+            found, n = found.filter(good), n.filter(good)
+            size = pc.add(pc.count_substring(found, " "), 1).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(n), pa.string()), found, size, n], names=["lang", "phrase", "size", "n"])
 
+        for batch in batches:
+            for *key, data in zip(batch.column("bucket").to_pylist(), batch.column("lang").to_pylist(), batch.column("counts").to_pylist()):
+                if key != now:
+                    if now is not None:
+                        yield from done()
+                    now, parts, held, before = key, [], 0, 0
+                parts.append(_unwrapped(data))
+                held += len(parts[-1][1])
+                if held > 2 * before + 1_000_000:  # what shards repeat is put together before more of it is held
+                    found, n = sums()
+                    parts = [(p, c.to_numpy()) for p, c in zip(found.chunks, n.chunks)]
+                    held = before = len(found)
+        if now is not None:
+            yield from done()
 
-def _summed(states: DataFrame, depth: int, shortest: int) -> DataFrame:
-    """``(lang, w0, ..., n)``: states summed over shards and taken apart into their substrings. A state travels whole, to
-    where the last ``shortest`` words are, which all of its substrings share."""
-    words = [f"w{i}" for i in range(depth)]
-    dealt = states.repartition("lang", *words[:shortest])  # a shard's counts are sums already, so there is nothing to sum before
-    if shortest < depth:
-        longest = F.size(F.filter(F.array(*words), lambda x: x.isNotNull()))
-        dealt = dealt.select("*", F.explode(F.sequence("low", longest)).alias("size"))
-        # The shared words stay as they are, so that rows needn't be dealt again.
-        cut = (F.when(F.col("size") > i, F.col(words[i])).alias(words[i]) for i in range(shortest, depth))
-        dealt = dealt.select("lang", *words[:shortest], *cut, "n")
-    return dealt.groupBy("lang", *words).agg(F.sum("n").alias("n"))
+    rows = docs.select("lang", "text").mapInArrow(packed, "bucket int, lang string, counts binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(summed, "lang string, phrase string, size int, n bigint")
 
 
 def _filter(chunks_: DataFrame, least: int) -> bytes:
@@ -285,15 +348,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     """``(phrases, langs)``: ``(lang, phrase, size, a)`` of all phrases of one to four words that occur ``least`` times in
     their language's pieces, and ``(lang, n)``, the words of each language. ``docs`` has ``lang`` and ``text``."""
     share = docs.sparkSession.sparkContext.broadcast
-    words = written(_summed(substrings(docs, 1, 1, shard=shard), 1, 1))
-    langs, words = words.groupBy("lang").agg(F.sum("n").alias("n")), words.where(F.col("n") >= least)
+    words = written(word_counts(docs, shard))
+    langs, words = checkpoint(words.groupBy("lang").agg(F.sum("n").alias("n"))), words.where(F.col("n") >= least)
+    buckets = max(BUCKETS, (langs.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
     common = share(word_filter(words))
     passing = share(pair_filter(docs, common, least, shard))
-    more = _summed(substrings(docs, DEPTH, 2, common, passing, shard), DEPTH, 2).where(F.col("n") >= least)
-    both = words.unionByName(more, allowMissingColumns=True)
-    names = [f"w{i}" for i in reversed(range(DEPTH))]
-    size = F.size(F.filter(F.array(*names), lambda x: x.isNotNull()))
-    return written(both.select("lang", F.concat_ws(" ", *names).alias("phrase"), size.alias("size"), F.col("n").alias("a"))), checkpoint(langs)
+    words = words.select("lang", F.col("w0").alias("phrase"), F.lit(1).alias("size"), "n")
+    both = words.unionByName(phrase_counts(docs, common, passing, least, buckets, shard))
+    return written(both.withColumnRenamed("n", "a")), langs
 
 
 def _ratio(top: str, scale: int, bottom: str) -> str:

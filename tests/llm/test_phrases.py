@@ -159,3 +159,26 @@ def test_edges(spark):
 def test_query(spark, data):
     rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert sorted(map(tuple, p.op11_phrase_collocations(spark, data).collect())) == _by_hand(rows, 30)
+
+
+def test_phrases_travel_packed(spark):
+    """Rows between tasks are as many as shards have buckets, not as phrases occur in them."""
+    rows = [(lang or "und", text) for lang, text in _rows(10, 150)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    every = spark.sparkContext.broadcast(b"\xff" * (p.BITS // 8))
+    for buckets, shard in ((1, 300), (7, 300), (7, p.SHARD)):
+        found = p.phrase_counts(docs, every, every, 4, buckets, shard)
+        assert {(r["lang"], r["phrase"]): (r["size"], r["n"]) for r in found.collect()} == {
+            (lang, " ".join(w)): (len(w), n) for lang, c in _counts(rows).items() for w, n in c.items() if len(w) > 1 and n >= 4
+        }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "counts" in plan
+
+
+def test_packed_counts_come_back():
+    import pyarrow as pa
+
+    words = pa.array(["x", "a b", "", "漢 😀", "c" * 70_000])
+    for part, counts in ((words, [1, 2, 3, 2**32 - 1, 5]), (words.slice(1, 3), [7, 8, 9]), (words.slice(5), [])):
+        found, n = p._unwrapped(p._wrapped(part, np.array(counts, np.int64)))
+        assert found.to_pylist() == part.to_pylist() and n.tolist() == counts
