@@ -320,6 +320,48 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: f
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>")
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bit for each of some buckets, a power of two from 64 on and no fewer than the hashes: whether an odd number of them
+    falls into it. In so many buckets at least two sets differ, halves put on each other included, as their sketches do in bits."""
+    bits = 1 << max((len(h) - 1).bit_length(), 6)
+    n = np.bincount(((h >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches_: np.ndarray, words: int) -> np.ndarray:
+    """Rows of ``parity`` bits as 64-bit words, put on each other until they are so many."""
+    while sketches_.shape[1] > words:
+        half = sketches_.shape[1] // 2
+        sketches_ = sketches_[:, :half] ^ sketches_[:, half:]
+    return sketches_
+
+
+def profiles(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts, most: int) -> DataFrame:
+    """``(id_col, key, size, prefix, sketch)``: what ``prefixes`` gives, but of its n-grams only those with counts up to
+    ``most``. A text whose prefix has others too gets its ``parity`` as ``sketch``, the rest have none."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        known = np.frombuffer(counts.value, np.uint8)
+        for part, keys in _parts(batches, text_col):
+            sizes, rows, bits = [], [], []
+            for h in shingle_lists(keys, ngram):
+                n = known[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                take = len(h) - int(np.ceil(len(h) * threshold - 1e-9)) + 1 if len(h) else 0
+                last = int(np.partition(n, take - 1)[take - 1]) if take else 0
+                few = np.flatnonzero(n <= min(last, most))  # what the prefix has with such counts, and equals of its last
+                order = few[np.lexsort((h[few], n[few]))][:take]
+                at = np.flatnonzero(n[order] > 1)
+                sizes.append(len(h))
+                rows.append([{"h": x, "at": i} for x, i in zip(h[order[at]].view(np.int64).tolist(), at.tolist())])
+                bits.append(parity(h) if last > most else None)
+            columns = [part.column(id_col), pa.array([_digest(k) for k in keys], pa.binary()), pa.array(sizes, pa.int64())]
+            columns += [pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "size", "prefix", "sketch"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>, sketch binary")
+
+
 def ngram_index(sets: DataFrame) -> tuple[np.ndarray, ...]:
     """``(ids, sizes, hashes, begin, owner)``, ids as an Arrow array, of a bounded table ``(id, shingles)``: the places in ``ids`` of the texts that
     have ``hashes[i]`` are ``owner[begin[i] : begin[i + 1]]``."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import check_threshold, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, shared_of, shingle_sets, shingles, sketches, tallied
+from foldwright.functions.text import check_threshold, folded, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, profiles, shared_of, shingle_sets, shingles, sketches, tallied
 from foldwright.operators.components import connected_components
 from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
 
@@ -18,6 +21,10 @@ TILE = 512
 KEPT = 8 << 20
 #: n-grams of one side that every task may have as an index of who has them, 24 MB.
 INDEX = 2 << 20
+#: Texts that an n-gram of a prefix may have to be looked up; texts with others are compared by sketches.
+RARE = 16
+#: Bytes of sketches, and sketches, of one side of a task; bytes that are compared at a time.
+HELD, MANY, STEP = 16 << 20, 1 << 14, 1 << 19
 
 
 def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
@@ -237,21 +244,116 @@ def _by_prefix(each: DataFrame, others: DataFrame, threshold: float) -> DataFram
     return each.join(other, "h").where(alike & enough)
 
 
+def _close(left: list, right: list | None, threshold: float):
+    """Each pair of ``(uid, size, sketch)`` of two tiles, or of one, whose sketches differ in no more bits than similar sets
+    do in n-grams, as arrays of places."""
+    limit = (1 - threshold) / (1 + threshold)
+
+    def by_length(tile):
+        groups = defaultdict(list)
+        for i, (_, size, sketch) in enumerate(tile):
+            groups[len(sketch) // 8].append((size, i))
+        for words, own in sorted(groups.items()):
+            own.sort()
+            bits = np.frombuffer(b"".join(tile[i][2] for _, i in own), np.uint64).reshape(-1, words)
+            yield words, np.array([n for n, _ in own]), np.array([i for _, i in own]), bits
+
+    ours = list(by_length(left))
+    theirs = ours if right is None else list(by_length(right))
+    for words, sizes, places, bits in ours:
+        for other_words, other_sizes, other_places, other_bits in theirs:
+            one = right is None and words == other_words
+            if right is None and words > other_words or sizes[-1] < other_sizes[0] * threshold - 1e-9 or other_sizes[-1] < sizes[0] * threshold - 1e-9:
+                continue
+            n = min(words, other_words)
+            a, b = folded(bits, n), folded(other_bits, n)
+            begin = np.searchsorted(other_sizes, sizes * threshold - 1e-9)
+            end = np.searchsorted(other_sizes, (sizes + 1e-9) / threshold, "right")
+            for i in range(len(a)):
+                for at in range(max(begin[i], i + 1) if one else begin[i], end[i], max(STEP // (8 * n), 1)):
+                    to = min(at + max(STEP // (8 * n), 1), end[i])
+                    differ = np.bitwise_count(b[at:to] ^ a[i]).sum(1, dtype=np.int64)
+                    good = np.flatnonzero(differ <= (other_sizes[at:to] + sizes[i]) * limit + 1e-6)
+                    if len(good):
+                        yield np.full(len(good), places[i]), other_places[at + good]
+
+
+def _by_sketch(each: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` of the sets ``(uid, size, sketch)`` whose sizes and sketches are alike enough to reach the threshold.
+
+    Sets are dealt into classes of sizes and those into tiles of a bounded size; each two tiles of classes near enough are a
+    task's. What is moved is the sketches, as often as there are tiles that they meet. Only counts of classes, of which there
+    are some hundreds at most, reach the driver.
+    """
+    kind = each.schema["uid"].dataType.simpleString()
+    width = max(-math.log(threshold), 0.05) / 2 * (1 + 1e-6)
+    each = each.withColumn("class", F.floor(F.log("size") / width).cast("int"))
+    counts = each.groupBy("class").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("n")).collect()
+    tiles = {r["class"]: max(-(-r["bytes"] // HELD), -(-r["n"] // MANY)) for r in counts}
+    meet = [(c, other, tiles[c], tiles[other]) for c in tiles for other in range(c - 2, c + 3) if other in tiles]
+    meet = each.sparkSession.createDataFrame(meet, "class int, to int, own int, other int")
+    rows = each.join(F.broadcast(meet), "class").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("own")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    ends = [F.struct(F.col(c).alias("class"), F.col(i).alias("i")) for c, i in (("class", "i"), ("to", "j"))]
+    tile = F.to_json(F.array(F.least(*ends), F.greatest(*ends)))
+    rows = rows.select(tile.alias("tile"), (ends[0] > ends[1]).cast("int").alias("what"), (ends[0] == ends[1]).alias("one"), "uid", "size", "sketch")
+
+    def run(batches):
+        tile, one, sides = None, False, ([], [])
+
+        def done():
+            for found in _close(sides[0], None if one else sides[1], threshold) if sides[0] and (one or sides[1]) else ():
+                uids = ([side[k][0] for k in at.tolist()] for side, at in zip((sides[0], sides[0] if one else sides[1]), found))
+                yield from zip(*uids)
+
+        def given(pairs):
+            a, b = list(zip(*pairs)) or ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], names=["a", "b"])
+
+        def every():
+            nonlocal tile, one, sides, type_
+            for batch in batches:
+                type_ = batch.schema.field("uid").type
+                for t, what, same, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "one", "uid", "size", "sketch"))):
+                    if t != tile:
+                        yield from done()
+                        tile, one, sides = t, same, ([], [])
+                    sides[what].append(row)
+            yield from done()
+
+        type_, held = None, []
+        for pair in every():
+            held.append(pair)
+            if len(held) >= 50_000:
+                yield given(held)
+                held = []
+        if held:
+            yield given(held)
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5) -> DataFrame:
     """``(left, right, n_shared, n_union, similarity)`` of all pairs of distinct normalized texts at the threshold, none
     missed: in any order of n-grams, similar sets share one of their first, as many as they may lack plus one.
 
-    The order is by counts in buckets of a fixed number, which every task has, so that first ones are rare and no n-gram
-    but those is moved. The first that two sets share stands at places that leave room for enough others, else the two are no
-    candidates. Texts are told apart by digest, so texts of one line repeated, which have the same set, are a pair.
+    The order is by counts in buckets of a fixed number, which every task has. A text whose first ones are all in RARE texts
+    at most is found by them: what is like it has one of them among its own first, at places that leave room for enough others.
+    The rest, as in prose of few words, are compared with each other by sketches, of which a task holds two tiles of a bounded
+    size; that is quadratic in the texts of a size. Texts are told apart by digest, so texts of one line repeated, which have
+    the same set, are a pair.
     """
     threshold = check_threshold(threshold)
     counts = df.sparkSession.sparkContext.broadcast(ngram_counts(df, text_col, ngram))
-    made = prefixes(df, id_col, text_col, ngram, threshold, counts)
-    first = made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix")).alias("x")).select("x.*")
-    each = written(first.select("uid", "size", F.explode("prefix").alias("p")).select("uid", "size", "p.h", "p.at"))
-    pairs = _by_prefix(each, each, threshold).where("uid < other")
-    pairs = checkpoint(pairs.select(F.col("uid").alias("left"), F.col("other").alias("right")).distinct())
+    made = profiles(df, id_col, text_col, ngram, threshold, counts, RARE)
+    first = written(made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix", "sketch")).alias("x")).select("x.*"))
+    listed = first.select("uid", "size", "sketch", F.explode("prefix").alias("p")).select("uid", "size", "sketch", "p.h", "p.at")
+    rare = listed.where(F.col("sketch").isNull()).drop("sketch")
+    met_ = rare.select("h").distinct()
+    others = listed.drop("sketch").join(broadcast_if_small(checkpoint(met_)), "h", "left_semi")
+    pairs = _by_prefix(rare, others, threshold).where("uid <> other").select(F.col("uid").alias("a"), F.col("other").alias("b"))
+    pairs = pairs.unionByName(_by_sketch(first.where(F.col("sketch").isNotNull()).select("uid", "size", "sketch"), threshold))
+    pairs = checkpoint(pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct())
     return verified(checkpoint(starred(pairs)), df, df, id_col, text_col, ngram, threshold)
 
 

@@ -360,3 +360,42 @@ def test_queries_group_texts_once(spark, data, monkeypatch, name):
     monkeypatch.setattr(pairs, "sketches", lambda *args: (made.append(1), run(*args))[1])
     catalogue.QUERIES[name](spark, data).collect()
     assert len(made) == 1
+
+
+def test_exact_pairs_of_texts_of_few_words(spark, monkeypatch):
+    """Where every n-gram is in many texts, no n-grams meet in a join; tiles of any size find the same pairs."""
+    draw = random.Random(12)
+    words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(25)]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(20, 90))) for _ in range(150)]
+    texts += [" ".join(w if draw.random() > 0.03 else draw.choice(words) for w in t.split()) for t in texts[:60]] + texts[:5] + ["", "ab"]
+    sets = [shingles(normalized(t)) for t in texts]
+    firsts = [i for i, t in enumerate(texts) if t not in texts[:i]]
+    want = {(i, j): s for i in firsts for j in firsts if i < j and (s := jaccard_of(sets[i], sets[j])) >= 0.8}
+    joined, by_prefix = [], pairs._by_prefix
+
+    def counted(each, others, threshold):
+        joined.append(each.join(others.withColumnRenamed("uid", "other"), "h").count())
+        return by_prefix(each, others, threshold)
+
+    monkeypatch.setattr(pairs, "_by_prefix", counted)
+    assert len(want) > 20
+    for held, many in ((1 << 24, 1 << 14), (3000, 7)):
+        monkeypatch.setattr(pairs, "HELD", held, raising=False)
+        monkeypatch.setattr(pairs, "MANY", many, raising=False)
+        assert {(r["left"], r["right"]): r["similarity"] for r in pairs.exact_pairs(table(spark, texts), "id").collect()} == want
+    assert max(joined) <= 16 * len(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_do():
+    from foldwright.functions.text import folded, parity
+
+    draw = np.random.default_rng(5)
+    for size, other, shared in ((0, 0, 0), (1, 1, 0), (64, 65, 60), (900, 1100, 850), (5000, 5000, 0)):
+        every = np.unique(draw.integers(0, 1 << 63, size + other, dtype=np.uint64))
+        a, b = every[:size], every[size - shared :][:other]
+        bits = [np.frombuffer(parity(x), np.uint64)[None] for x in (a, b)]
+        assert all(64 * x.shape[1] >= max(len(y), 64) for x, y in zip(bits, (a, b)))
+        n = min(x.shape[1] for x in bits)
+        while n:
+            assert int(np.bitwise_count(folded(bits[0], n) ^ folded(bits[1], n)).sum()) <= len(np.setxor1d(a, b))
+            n //= 2
