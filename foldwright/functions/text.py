@@ -6,11 +6,13 @@ What Spark has no function for runs in Arrow batches: Unicode NFKC and case fold
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -261,9 +263,8 @@ def _counted(batches, text_col: str, ngram: int) -> Iterator[pa.RecordBatch]:
     """``(chunk, counts)``: how often n-grams fall into each bucket, by chunk of BUCKETS, packed as steps and sums."""
     sums = np.zeros(BUCKETS, np.uint32)
     for _, keys in _parts(batches, text_col):
-        found = np.concatenate(shingle_lists(keys, ngram))
-        at, n = np.unique(found & np.uint64(BUCKETS - 1), return_counts=True)
-        sums[at.astype(np.int64)] += n.astype(np.uint32)
+        for h in shingle_lists(keys, ngram):
+            np.add.at(sums, (h & np.uint64(BUCKETS - 1)).view(np.int64), np.uint32(1))
     for chunk in range(0, BUCKETS, CHUNK):
         at = np.flatnonzero(sums[chunk : chunk + CHUNK])
         if len(at):
@@ -336,17 +337,69 @@ def folded(sketches_: np.ndarray, words: int) -> np.ndarray:
     return sketches_
 
 
+def class_width(threshold: float) -> float:
+    """Sets alike enough in size for the threshold are at most two classes apart, a class being a step of the logarithm of
+    sizes by so much."""
+    return max(-math.log(threshold), 0.05) / 2 * (1 + 1e-6)
+
+
+def size_class(size: int, width: float) -> int:
+    return math.floor(math.log(size) / width)
+
+
+@cache
+def wave(period: int) -> float:
+    """The most that ``1 - cos(2 pi d / period)`` may be taken times, to be no more than ``d`` for any whole number ``d``."""
+    d = np.arange(1, 4 * period + 1)
+    return float(1 / np.max((1 - np.cos(2 * np.pi * d / period)) / d))
+
+
+@cache
+def wave_shape(threshold: float) -> tuple[int, float]:
+    """``(period, share)``: counts are kept modulo ``period``, in ``share`` buckets for each n-gram of a set. Of all periods up
+    to 16 the one whose ``waves`` tell sets apart that have a fifth of their n-grams in common, in the fewest numbers."""
+    need, best = 1.2 * 2 * (1 - threshold) / (1 + threshold), (2, 0.0)
+    for period in range(16, 1, -1):
+        angle, cost = 1 - math.cos(2 * math.pi / period), 1 if period == 2 else 2
+        share = next((x / 100 for x in range(4, 201) if wave(period) * x / 100 * (1 - math.exp(-160 / x * angle)) >= need), None)
+        if share and (not best[1] or share * cost < best[1] * (1 if best[0] == 2 else 2)):
+            best = period, share
+    return best
+
+
+def wave_buckets(threshold: float, of_class: int, share: float) -> int:
+    return int(share * math.exp(of_class * class_width(threshold))) + 24
+
+
+def counted(h: np.ndarray, buckets: int, period: int) -> bytes:
+    """How many hashes fall into each bucket, modulo ``period``, half a byte each."""
+    at = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).view(np.int64)
+    n = (np.bincount(at, minlength=buckets + buckets % 2) % period).astype(np.uint8)
+    return (n[::2] | n[1::2] << 4).tobytes()
+
+
+def waves(packed: np.ndarray, buckets: int, period: int) -> np.ndarray:
+    """Rows of ``counted`` buckets as cosines and sines. Two sets differ in at least ``wave(period)`` times what the product of
+    their rows is less than the number of buckets: a bucket's counts differ by no more than its n-grams do."""
+    n = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
+    n[:, ::2], n[:, 1::2] = packed & 15, packed >> 4
+    turns = 2 * np.pi * np.arange(16) / period
+    parts = [f(turns).astype(np.float32)[n[:, :buckets]] for f in ((np.cos,) if period == 2 else (np.cos, np.sin))]
+    return np.concatenate(parts, axis=1)
+
+
 def profiles(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts, most: int) -> DataFrame:
-    """``(id_col, key, size, prefix, sketch)``: what ``prefixes`` gives, but of its n-grams only those with counts up to
-    ``most``. A text whose prefix has others too gets its ``parity`` as ``sketch``, the rest have none."""
-    kind = df.schema[id_col].dataType.simpleString()
+    """``(id_col, key, size, prefix, class, sketch, counted)``: what ``prefixes`` gives, but of its n-grams only those with
+    counts up to ``most``. A text whose prefix has others too gets its class of sizes, its ``parity`` as ``sketch`` and its
+    n-grams as ``counted`` in the buckets of its class and of the two below it; the rest have none."""
+    kind, width, (period, share) = df.schema[id_col].dataType.simpleString(), class_width(threshold), wave_shape(threshold)
 
     def run(batches):
         known = np.frombuffer(counts.value, np.uint8)
         for part, keys in _parts(batches, text_col):
-            sizes, rows, bits = [], [], []
+            sizes, rows, classes, bits, tiles = [], [], [], [], []
             for h in shingle_lists(keys, ngram):
-                n = known[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                n = known[(h & np.uint64(BUCKETS - 1)).view(np.int64)]
                 take = len(h) - int(np.ceil(len(h) * threshold - 1e-9)) + 1 if len(h) else 0
                 last = int(np.partition(n, take - 1)[take - 1]) if take else 0
                 few = np.flatnonzero(n <= min(last, most))  # what the prefix has with such counts, and equals of its last
@@ -354,12 +407,18 @@ def profiles(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: f
                 at = np.flatnonzero(n[order] > 1)
                 sizes.append(len(h))
                 rows.append([{"h": x, "at": i} for x, i in zip(h[order[at]].view(np.int64).tolist(), at.tolist())])
+                own = size_class(len(h), width) if last > most else None
+                classes.append(own)
                 bits.append(parity(h) if last > most else None)
+                tiles.append([counted(h, wave_buckets(threshold, own - i, share), period) for i in range(3)] if last > most else None)
             columns = [part.column(id_col), pa.array([_digest(k) for k in keys], pa.binary()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "size", "prefix", "sketch"])
+            columns += [pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))), pa.array(classes, pa.int32())]
+            columns += [pa.array(bits, pa.binary()), pa.array(tiles, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "size", "prefix", "class", "sketch", "counted"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>, sketch binary")
+    return df.select(id_col, text_col).mapInArrow(
+        run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>, class int, sketch binary, counted array<binary>"
+    )
 
 
 def ngram_index(sets: DataFrame) -> tuple[np.ndarray, ...]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from functools import reduce
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import check_threshold, folded, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, profiles, shared_of, shingle_sets, shingles, sketches, tallied
+from foldwright.functions.text import check_threshold, folded, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, profiles, shared_of, shingle_lists, shingle_sets, shingles, sketches, tallied, wave, wave_buckets, wave_shape, waves
 from foldwright.operators.components import connected_components
 from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
 
@@ -23,35 +21,89 @@ KEPT = 8 << 20
 INDEX = 2 << 20
 #: Texts that an n-gram of a prefix may have to be looked up; texts with others are compared by sketches.
 RARE = 16
-#: Bytes of sketches, and sketches, of one side of a task; bytes that are compared at a time.
-HELD, MANY, STEP = 16 << 20, 1 << 14, 1 << 19
+#: Bytes of sketches, and sketches, of one side of a task; numbers of each side, and their products, that are worked on at a time.
+HELD, MANY, STEP = 16 << 20, 1 << 14, 1 << 20
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes the sets ``left[i]`` and ``right[j]`` share, for each pair of places; pairs of one left follow each other.
+
+    Hashes become numbers among all of the left; a left set marks its own, and those that the right sets have are added up.
+    """
+    out = np.zeros(len(i), np.int64)
+    every = np.unique(np.concatenate(left)) if left else np.zeros(0, np.uint64)
+    if not len(every) or not len(i):
+        return out
+    found = [np.searchsorted(every, x) for x in right]
+    found = [at[every[np.minimum(at, len(every) - 1)] == x] for at, x in zip(found, right)]
+    mark, starts = np.zeros(len(every), np.uint8), np.flatnonzero(np.diff(i, prepend=-1))
+    for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+        own = np.searchsorted(every, left[i[at]])
+        mark[own] = 1
+        for k in range(at, to):
+            out[k] = np.count_nonzero(mark[found[j[k]]])
+        mark[own] = 0
+    return out
 
 
 def _compared(rows: DataFrame, kind: str, ngram: int, same: bool) -> DataFrame:
     """``(left, right, n_shared, n_union, similarity)``. ``rows`` come tile by tile, in each the texts of the left, of the right, and the pairs."""
 
     def run(batches):
-        tile, texts, kept, size = None, ({}, {}), {}, 0
-        for batch in batches:
+        tile, texts, places, kept, size = None, ({}, {}), None, {}, 0
+
+        def begun(t):
+            nonlocal tile, texts, places, kept, size
+            tile, texts, places, kept, size = t, ({}, {}), None, {}, 0
+
+        def all_shared(pairs):
+            """Of pairs of a tile of bounded size, whose sets are all kept."""
+            nonlocal places
+            if places is None:
+                places = [{key: n for n, key in enumerate(side)} for side in texts]
+                for side, own in enumerate(texts):
+                    keys = [normalized(x.as_py()) for x in own.values()]
+                    kept[side] = shingle_lists(keys, ngram) if keys else []
+            other = 0 if same else 1
+            i, j = np.array([places[0][p[0]] for p in pairs]), np.array([places[other][p[1]] for p in pairs])
+            shared = _shared(kept[0], kept[other], i, j)
+            return shared.tolist(), [len(kept[0][n]) for n in i], [len(kept[other][n]) for n in j]
+
+        def each_shared(pairs):
+            """Of pairs of a larger tile: sets are made anew where too many were kept."""
+            nonlocal kept, size
             out = []
-            rows_ = zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "a", "b")), batch.column("text"))
-            for t, what, a, b, text in rows_:
-                if t != tile:
-                    tile, texts, kept, size = t, ({}, {}), {}, 0
-                if what < 2:
-                    texts[what][a] = text.as_py()
-                    continue
+            for a, b in pairs:
                 found = []
                 for side, key in ((0, a), (0 if same else 1, b)):
                     if (side, key) not in kept:
                         if size > KEPT:
                             kept, size = {}, 0
-                        kept[side, key] = shingles(normalized(texts[side][key]), ngram)
+                        kept[side, key] = shingles(normalized(texts[side][key].as_py()), ngram)
                         size += len(kept[side, key])
                     found.append(kept[side, key])
-                shared = shared_of(*found)
-                union = len(found[0]) + len(found[1]) - shared
-                out.append((a, b, shared, union, shared / union if union else 1.0))
+                out.append((shared_of(*found), len(found[0]), len(found[1])))
+            return zip(*out)
+
+        def compared(pairs):
+            chars = sum(len(x.as_buffer()) if x.is_valid else 0 for side in texts for x in side.values())
+            for shared, m, n, (a, b) in zip(*(all_shared if chars <= KEPT else each_shared)(pairs), pairs):
+                union = m + n - shared
+                yield a, b, shared, union, shared / union if union else 1.0
+
+        for batch in batches:
+            out, pairs = [], []
+            rows_ = zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "a", "b")), batch.column("text"))
+            for t, what, a, b, text in rows_:
+                if t != tile:
+                    out += compared(pairs) if pairs else ()
+                    pairs = []
+                    begun(t)
+                if what < 2:
+                    texts[what][a] = text
+                else:
+                    pairs.append((a, b))
+            out += compared(pairs) if pairs else ()
             columns = list(zip(*out)) or [()] * 5
             types = (batch.schema.field("a").type, batch.schema.field("b").type, pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=["left", "right", "n_shared", "n_union", "similarity"])
@@ -73,6 +125,17 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, t
     return _compared(dealt, kind, ngram, same).where(F.col("similarity") >= threshold)
 
 
+def _of_hubs(pairs: DataFrame) -> DataFrame:
+    """``(left, right, tile)`` of distinct ``pairs``: the least text that is paired with a left one, or itself, is the hub of its
+    pairs. Pairs of one group mostly have the same, so a text isn't sent anew for each left text that it is paired with."""
+    least = pairs.groupBy(F.col("right").alias("left")).agg(F.min("left").alias("least"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = pairs.join(least.repartition(n), "left", "left").select(F.col("left").alias("uid"), F.col("right").alias("other_uid"), F.coalesce("least", "left").alias("hub"))
+    named = checkpoint(named)
+    members = [named.select(F.col("hub").alias("left"), F.col(c).alias("right")) for c in ("uid", "other_uid")]
+    return _once_by_hub(named, members[0].union(members[1]).distinct())
+
+
 def _dealt(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, *values: Column) -> DataFrame:
     """``(tile, what, a, b, *values)``, tile by tile: the ``values`` of the left ids of its pairs, of the right ones if they
     are of another table, and the pairs, ``what`` being 0, 1 and 2."""
@@ -244,93 +307,111 @@ def _by_prefix(each: DataFrame, others: DataFrame, threshold: float) -> DataFram
     return each.join(other, "h").where(alike & enough)
 
 
-def _close(left: list, right: list | None, threshold: float):
-    """Each pair of ``(uid, size, sketch)`` of two tiles, or of one, whose sketches differ in no more bits than similar sets
-    do in n-grams, as arrays of places."""
-    limit = (1 - threshold) / (1 + threshold)
-
-    def by_length(tile):
-        groups = defaultdict(list)
-        for i, (_, size, sketch) in enumerate(tile):
-            groups[len(sketch) // 8].append((size, i))
-        for words, own in sorted(groups.items()):
-            own.sort()
-            bits = np.frombuffer(b"".join(tile[i][2] for _, i in own), np.uint64).reshape(-1, words)
-            yield words, np.array([n for n, _ in own]), np.array([i for _, i in own]), bits
-
-    ours = list(by_length(left))
-    theirs = ours if right is None else list(by_length(right))
-    for words, sizes, places, bits in ours:
-        for other_words, other_sizes, other_places, other_bits in theirs:
-            one = right is None and words == other_words
-            if right is None and words > other_words or sizes[-1] < other_sizes[0] * threshold - 1e-9 or other_sizes[-1] < sizes[0] * threshold - 1e-9:
-                continue
-            n = min(words, other_words)
-            a, b = folded(bits, n), folded(other_bits, n)
-            begin = np.searchsorted(other_sizes, sizes * threshold - 1e-9)
-            end = np.searchsorted(other_sizes, (sizes + 1e-9) / threshold, "right")
-            for i in range(len(a)):
-                for at in range(max(begin[i], i + 1) if one else begin[i], end[i], max(STEP // (8 * n), 1)):
-                    to = min(at + max(STEP // (8 * n), 1), end[i])
-                    differ = np.bitwise_count(b[at:to] ^ a[i]).sum(1, dtype=np.int64)
-                    good = np.flatnonzero(differ <= (other_sizes[at:to] + sizes[i]) * limit + 1e-6)
-                    if len(good):
-                        yield np.full(len(good), places[i]), other_places[at + good]
+class _Side:
+    """Rows ``(uid, size, sketch, counted)`` of one side of a tile: ids, sizes, ``counted`` as a table, sketches by length."""
+
+    def __init__(self, rows: list):
+        self.uids = [r[0] for r in rows]
+        self.sizes = np.array([r[1] for r in rows], np.int64)
+        self.counted = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.words = np.array([len(r[2]) // 8 for r in rows])
+        self.place, self.bits = np.zeros(len(rows), np.int64), {}
+        for words in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == words)
+            self.place[own] = np.arange(len(own))
+            self.bits[words] = np.frombuffer(b"".join(rows[i][2] for i in own), np.uint64).reshape(-1, words)
+
+
+def _differ(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of each pair of places differ."""
+    out = np.zeros(len(i), np.int64)
+    lengths = np.stack([left.words[i], right.words[j]], axis=1)
+    for a, b in np.unique(lengths, axis=0).tolist() if len(i) else ():
+        own, n = np.flatnonzero((lengths == (a, b)).all(1)), min(a, b)
+        step = max(STEP // (8 * max(a, b)), 1)
+        for part in (own[at : at + step] for at in range(0, len(own), step)):
+            x, y = left.bits[a][left.place[i[part]]], right.bits[b][right.place[j[part]]]
+            out[part] = np.bitwise_count(folded(x, n) ^ folded(y, n)).sum(1, dtype=np.int64)
+    return out
+
+
+def _close(left: _Side, right: _Side | None, threshold: float, buckets: int):
+    """Places ``(left, right)`` of each pair of two tiles, or of one, that may be similar by sizes, by ``waves`` and by sketches.
+
+    One product of matrices says of all pairs of two blocks in how many n-grams they differ at least, less how many similar
+    sets may; what that leaves over is compared by sketches.
+    """
+    limit, (period, _) = (1 - threshold) / (1 + threshold), wave_shape(threshold)
+    scale, wide = wave(period), buckets * (1 if period == 2 else 2) + 2
+    step, error = min(max(STEP // wide, 1), 1024), 0.01 + 3 * scale * buckets * wide * 2.0**-23  # of sums of single precision
+
+    def rows(side, at, mine):
+        out = np.empty((min(at + step, len(side.uids)) - at, wide), np.float32)
+        out[:, :-2] = waves(side.counted[at : at + step], buckets, period)
+        own = limit * side.sizes[at : at + step]
+        if mine:
+            out[:, :-2] *= scale
+            out[:, -2], out[:, -1] = own - scale * buckets, 1
+        else:
+            out[:, -2], out[:, -1] = 1, own
+        return out
+
+    one, right = right is None, left if right is None else right
+    for at in range(0, len(left.uids), step):
+        a = rows(left, at, True)
+        for to in range(at if one else 0, len(right.uids), step):
+            room = a @ rows(right, to, False).T
+            i, j = np.divmod(np.flatnonzero(room.ravel() >= -error), room.shape[1])
+            i, j = i + at, j + to
+            m, n = left.sizes[i], right.sizes[j]
+            good = np.minimum(m, n) >= np.maximum(m, n) * threshold - 1e-9
+            i, j = (x[good & (i < j)] if one else x[good] for x in (i, j))
+            good = _differ(left, i, right, j) <= (left.sizes[i] + right.sizes[j]) * limit + 1e-6
+            yield i[good], j[good]
 
 
 def _by_sketch(each: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)`` of the sets ``(uid, size, sketch)`` whose sizes and sketches are alike enough to reach the threshold.
+    """``(a, b)`` of the sets ``(uid, size, class, sketch, counted)`` whose sizes, counts and sketches are alike enough to reach
+    the threshold.
 
-    Sets are dealt into classes of sizes and those into tiles of a bounded size; each two tiles of classes near enough are a
-    task's. What is moved is the sketches, as often as there are tiles that they meet. Only counts of classes, of which there
-    are some hundreds at most, reach the driver.
+    Classes of sizes are dealt into tiles of a bounded size; each two tiles of classes near enough are a task's, compared in
+    the buckets of the lesser class. What is moved is the sketches, as often as there are tiles that they meet. Only counts
+    of classes, of which there are some hundreds at most, reach the driver.
     """
     kind = each.schema["uid"].dataType.simpleString()
-    width = max(-math.log(threshold), 0.05) / 2 * (1 + 1e-6)
-    each = each.withColumn("class", F.floor(F.log("size") / width).cast("int"))
-    counts = each.groupBy("class").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("n")).collect()
+    counts = each.groupBy("class").agg(F.sum(F.octet_length("sketch") + F.octet_length(F.col("counted")[0])).alias("bytes"), F.count("*").alias("n")).collect()
     tiles = {r["class"]: max(-(-r["bytes"] // HELD), -(-r["n"] // MANY)) for r in counts}
-    meet = [(c, other, tiles[c], tiles[other]) for c in tiles for other in range(c - 2, c + 3) if other in tiles]
-    meet = each.sparkSession.createDataFrame(meet, "class int, to int, own int, other int")
+    share = wave_shape(threshold)[1]
+    meet = [(c, other, tiles[c], tiles[other], wave_buckets(threshold, min(c, other), share)) for c in tiles for other in range(c - 2, c + 3) if other in tiles]
+    n = max(int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(m[2] * m[3] for m in meet) // 4, 4000))
+    meet = each.sparkSession.createDataFrame(meet, "class int, to int, own int, other int, buckets int")
     rows = each.join(F.broadcast(meet), "class").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("own")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
     ends = [F.struct(F.col(c).alias("class"), F.col(i).alias("i")) for c, i in (("class", "i"), ("to", "j"))]
     tile = F.to_json(F.array(F.least(*ends), F.greatest(*ends)))
-    rows = rows.select(tile.alias("tile"), (ends[0] > ends[1]).cast("int").alias("what"), (ends[0] == ends[1]).alias("one"), "uid", "size", "sketch")
+    counted = F.col("counted")[F.greatest(F.col("class") - F.col("to"), F.lit(0))].alias("counted")
+    rows = rows.select(tile.alias("tile"), (ends[0] > ends[1]).cast("int").alias("what"), (ends[0] == ends[1]).alias("one"), "buckets", "uid", "size", "sketch", counted)
 
     def run(batches):
-        tile, one, sides = None, False, ([], [])
+        tile, one, buckets, sides, type_ = None, False, 0, ([], []), None
 
         def done():
-            for found in _close(sides[0], None if one else sides[1], threshold) if sides[0] and (one or sides[1]) else ():
-                uids = ([side[k][0] for k in at.tolist()] for side, at in zip((sides[0], sides[0] if one else sides[1]), found))
-                yield from zip(*uids)
-
-        def given(pairs):
-            a, b = list(zip(*pairs)) or ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], names=["a", "b"])
-
-        def every():
-            nonlocal tile, one, sides, type_
-            for batch in batches:
-                type_ = batch.schema.field("uid").type
-                for t, what, same, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "one", "uid", "size", "sketch"))):
-                    if t != tile:
-                        yield from done()
-                        tile, one, sides = t, same, ([], [])
-                    sides[what].append(row)
-            yield from done()
-
-        type_, held = None, []
-        for pair in every():
-            held.append(pair)
-            if len(held) >= 50_000:
-                yield given(held)
-                held = []
-        if held:
-            yield given(held)
-
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, f"a {kind}, b {kind}")
+            if sides[0] and (one or sides[1]):
+                left, right = _Side(sides[0]), None if one else _Side(sides[1])
+                for i, j in _close(left, right, threshold, buckets):
+                    ends = ([side.uids[k] for k in at.tolist()] for side, at in ((left, i), (right or left, j)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type_) for x in ends], names=["a", "b"])
+
+        for batch in batches:
+            type_ = batch.schema.field("uid").type
+            for t, what, same, n, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "one", "buckets", "uid", "size", "sketch", "counted"))):
+                if t != tile:
+                    yield from done()
+                    tile, one, buckets, sides = t, same, n, ([], [])
+                sides[what].append(row)
+        yield from done()
+
+    return rows.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5) -> DataFrame:
@@ -339,22 +420,22 @@ def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: f
 
     The order is by counts in buckets of a fixed number, which every task has. A text whose first ones are all in RARE texts
     at most is found by them: what is like it has one of them among its own first, at places that leave room for enough others.
-    The rest, as in prose of few words, are compared with each other by sketches, of which a task holds two tiles of a bounded
-    size; that is quadratic in the texts of a size. Texts are told apart by digest, so texts of one line repeated, which have
+    The rest, as in prose of few words, are compared with each other by counts in buckets and by sketches, of which a task
+    holds two tiles of a bounded size; that is quadratic in the texts of a size. Texts are told apart by digest, so texts of one line repeated, which have
     the same set, are a pair.
     """
     threshold = check_threshold(threshold)
     counts = df.sparkSession.sparkContext.broadcast(ngram_counts(df, text_col, ngram))
     made = profiles(df, id_col, text_col, ngram, threshold, counts, RARE)
-    first = written(made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix", "sketch")).alias("x")).select("x.*"))
+    first = written(made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix", "class", "sketch", "counted")).alias("x")).select("x.*"))
     listed = first.select("uid", "size", "sketch", F.explode("prefix").alias("p")).select("uid", "size", "sketch", "p.h", "p.at")
     rare = listed.where(F.col("sketch").isNull()).drop("sketch")
     met_ = rare.select("h").distinct()
     others = listed.drop("sketch").join(broadcast_if_small(checkpoint(met_)), "h", "left_semi")
     pairs = _by_prefix(rare, others, threshold).where("uid <> other").select(F.col("uid").alias("a"), F.col("other").alias("b"))
-    pairs = pairs.unionByName(_by_sketch(first.where(F.col("sketch").isNotNull()).select("uid", "size", "sketch"), threshold))
+    pairs = pairs.unionByName(_by_sketch(first.where(F.col("sketch").isNotNull()).select("uid", "size", "class", "sketch", "counted"), threshold))
     pairs = checkpoint(pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct())
-    return verified(checkpoint(starred(pairs)), df, df, id_col, text_col, ngram, threshold)
+    return verified(checkpoint(_of_hubs(pairs)), df, df, id_col, text_col, ngram, threshold)
 
 
 def find_cross_duplicates(

@@ -399,3 +399,65 @@ def test_sketches_differ_in_no_more_bits_than_sets_do():
         while n:
             assert int(np.bitwise_count(folded(bits[0], n) ^ folded(bits[1], n)).sum()) <= len(np.setxor1d(a, b))
             n //= 2
+
+
+def test_waves_differ_no_more_than_sets_do():
+    from foldwright.functions.text import counted, size_class, class_width, wave, wave_buckets, wave_shape, waves
+
+    draw = np.random.default_rng(6)
+    for threshold in (0.3, 0.5, 0.8, 0.95, 1.0):
+        period, share = wave_shape(threshold)
+        for size, other, shared in ((1, 1, 0), (64, 65, 60), (900, 1100, 850), (5000, 5000, 0), (300, 300, 300)):
+            every = np.unique(draw.integers(0, 1 << 63, size + other, dtype=np.uint64) * np.uint64(2))
+            sets = every[:size], every[size - shared :][:other]
+            buckets = wave_buckets(threshold, size_class(size, class_width(threshold)), share)
+            rows = [waves(np.frombuffer(counted(draw.permutation(h), buckets, period), np.uint8)[None], buckets, period)[0].astype(float) for h in sets]
+            assert wave(period) * (buckets - rows[0] @ rows[1]) <= len(np.setxor1d(*sets)) + 1e-3
+    assert all(wave(p) * (1 - np.cos(2 * np.pi * d / p)) <= d + 1e-9 for p in range(2, 17) for d in range(1, 200))
+
+
+def test_sketches_are_read_only_where_counts_leave_room(monkeypatch):
+    """Texts of few words that are not alike are told apart by one product of matrices for all of two blocks."""
+    draw = random.Random(14)
+    words = ["".join(draw.choices("abcdefghijklmn", k=6)) for _ in range(400)]
+    texts = [" ".join(draw.choices(words, k=160)) for _ in range(220)]
+    texts += [" ".join(w if draw.random() > 0.02 else draw.choice(words) for w in t.split()) for t in texts[:40]]
+    sets = [shingles(normalized(t)) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard_of(sets[i], sets[j]) >= 0.8}
+    from foldwright.functions.text import class_width, counted, parity, size_class, wave_buckets, wave_shape
+
+    (period, share), rows = wave_shape(0.8), {}
+    for i, h in enumerate(sets):
+        rows.setdefault(size_class(len(h), class_width(0.8)), []).append((i, h))
+    read, differ = [], pairs._differ
+    monkeypatch.setattr(pairs, "_differ", lambda a, i, b, j: (read.append(len(i)), differ(a, i, b, j))[1])
+    found = set()
+    for of, other in ((c, d) for c in rows for d in (c, c + 1, c + 2) if d in rows):
+        n = wave_buckets(0.8, of, share)
+        left, right = (pairs._Side([(i, len(h), parity(h), counted(h, n, period)) for i, h in rows[c]]) for c in (of, other))
+        for i, j in pairs._close(left, None if of == other else right, 0.8, n):
+            found |= {(max(ends), min(ends)) for ends in zip((left.uids[x] for x in i), (right.uids[y] for y in j))}
+    assert len(want) >= 30 and want <= found and len(found) < 2 * len(want)
+    assert sum(read) < 0.05 * len(texts) ** 2 / 2
+
+
+def test_exact_pairs_send_a_text_of_a_group_to_few_tiles(spark, monkeypatch):
+    """Not to a tile for each text that it is paired with; and tiles too large to keep all sets give the same counts."""
+    draw = random.Random(9)
+    base = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(80)]
+    texts = [" ".join(w if k != i else f"q{i}z" for k, w in enumerate(base)) for i in range(70)]
+    sets = [shingles(t) for t in texts]
+    want = {(i, j): (n := len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j]) - n) for i in range(70) for j in range(i + 1, 70)}
+    sent, dealt = [], pairs._dealt
+
+    def counting(*args):
+        rows = dealt(*args)
+        sent.append(rows.where("what < 2").count())
+        return rows
+
+    monkeypatch.setattr(pairs, "_dealt", counting)
+    for kept in (pairs.KEPT, 500):
+        monkeypatch.setattr(pairs, "KEPT", kept)
+        found = {(r["left"], r["right"]): (r["n_shared"], r["n_union"]) for r in pairs.exact_pairs(table(spark, texts), "id").collect()}
+        assert found == {k: v for k, v in want.items() if v[0] / v[1] >= 0.8} and len(found) > 2000
+    assert max(sent) <= 2 * len(texts)
