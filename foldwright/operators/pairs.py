@@ -458,19 +458,39 @@ def split_duplicates(
     df: DataFrame, splits: list[DataFrame], id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5, num_perm: int = 128, seed: int = 0
 ) -> list[DataFrame]:
     """What ``find_cross_duplicates`` finds between the rows of ``df`` that are ``train`` and ``test`` in each of ``splits``,
-    tables ``(id_col, split)``. Texts are hashed once for all splits, and only those that may be alike are moved."""
+    tables ``(id_col, split)``. Texts are hashed, and a pair of them is compared, once for all splits; pairs that no split
+    asks for are not compared."""
     threshold = check_threshold(threshold)
-    bands, rows = lsh_bands(threshold, num_perm)
-    every, found = written(sketches(df, id_col, text_col, ngram, bands, rows, num_perm, seed)), []
-    for split in splits:
-        placed = written(every.join(split.select(id_col, "split"), id_col))
-        made = {side: placed.where(F.col("split") == side).drop("split") for side in ("train", "test")}
-        found.append(_matches(made, df, df, id_col, text_col, threshold, ngram, False))
-    return found
+    rows, uniques = unique_sketches(df, id_col, text_col, threshold, ngram, num_perm, seed)
+    spread = lambda x: x.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = [split.where(F.col("split").isin("train", "test")).select(id_col, F.lit(n).alias("n"), (F.col("split") == "train").alias("train")) for n, split in enumerate(splits)]
+    placed = written(reduce(DataFrame.unionByName, placed).join(rows, id_col))
+    ends = placed.groupBy("n", "uid").agg(F.min(F.when(F.col("train"), F.col(id_col))).alias("train_id"), F.count_if(~F.col("train")).alias("tests"))
+    ends = written(ends)
+    trains, pending = ends.where("train_id is not null").select("n", "uid", "train_id"), ends.where("train_id is null").select("n", "uid")
+    best = ends.where("train_id is not null and tests > 0").select("n", "uid", "train_id", F.lit(1.0).alias("similarity"))
+    if threshold < 1:
+        shared, stars = _with_hubs(uniques, threshold)
+        once = checkpoint(_once_by_hub(met(shared, shared, threshold).where("uid < other_uid"), stars))
+        # A pair is asked for where one of it is in train and the other is not.
+        sides = ends.groupBy("uid").agg(F.sort_array(F.collect_set(F.when(F.col("train_id").isNotNull(), F.col("n")))).alias("in"), F.sort_array(F.collect_set(F.when(F.col("train_id").isNull(), F.col("n")))).alias("out"))
+        sides = checkpoint(sides)
+        for end, other in (("left", "l"), ("right", "r")):
+            once = once.join(spread(sides.select(F.col("uid").alias(end), F.col("in").alias(f"{other}_in"), F.col("out").alias(f"{other}_out"))), end)
+        asked = checkpoint(once.where(F.arrays_overlap("l_in", "r_out") | F.arrays_overlap("l_out", "r_in")).select("left", "right", "tile"))
+        near = verified(asked, df, df, id_col, text_col, ngram, threshold, (uniques, uniques)).select("left", "right", "similarity")
+        near = checkpoint(near)
+        near = near.select(F.col("left").alias("other"), F.col("right").alias("uid"), "similarity").union(near.select(F.col("right").alias("other"), F.col("left").alias("uid"), "similarity"))
+        found = near.join(spread(pending), "uid").join(spread(trains.withColumnRenamed("uid", "other")), ["n", "other"])
+        first = F.min(F.struct((-F.col("similarity")).alias("s"), "train_id"))
+        best = best.unionByName(found.groupBy("n", "uid").agg(first.alias("b")).select("n", "uid", "b.train_id", (-F.col("b.s")).alias("similarity")))
+    tests = placed.where(~F.col("train")).select("n", "uid", F.col(id_col).alias("test_id"))
+    every = written(tests.join(spread(checkpoint(best)), ["n", "uid"]).select("n", "train_id", "test_id", "similarity"))
+    return [every.where(F.col("n") == n).drop("n") for n in range(len(splits))]
 
 
 def _matches(made: dict[str, DataFrame], train, test, id_col: str, text_col: str, threshold: float, ngram: int, exact: bool) -> DataFrame:
-    """``find_cross_duplicates`` of two sides of sketches; ``train`` and ``test`` have their texts, and may be one table."""
+    """``find_cross_duplicates`` of two sides of sketches; ``train`` and ``test`` have their texts."""
     train_uid = checkpoint(made["train"].groupBy("key").agg(F.min(id_col).alias("train_id")))
     test_uid = checkpoint(made["test"].groupBy("key").agg(F.min(id_col).alias("test_uid")))
     same = test_uid.join(train_uid, "key").select("key", "train_id", F.lit(1.0).alias("similarity"))

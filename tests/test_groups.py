@@ -461,3 +461,26 @@ def test_exact_pairs_send_a_text_of_a_group_to_few_tiles(spark, monkeypatch):
         found = {(r["left"], r["right"]): (r["n_shared"], r["n_union"]) for r in pairs.exact_pairs(table(spark, texts), "id").collect()}
         assert found == {k: v for k, v in want.items() if v[0] / v[1] >= 0.8} and len(found) > 2000
     assert max(sent) <= 2 * len(texts)
+
+
+def test_pairs_are_compared_once_for_all_splits(spark, monkeypatch):
+    """And only those that some split asks for; a text that stands in both sides of one is a match with similarity 1 there."""
+    texts = [x for s in range(3) for x in edited(s, 12)] + SPAM * 3
+    df = table(spark, texts)
+    cuts = [lambda i: i % 3 == 0, lambda i: i % 5 == 1, lambda i: i < 20, lambda i: False]
+    splits = [spark.createDataFrame([(i, "test" if cut(i) else "train") for i in range(len(texts))], "id bigint, split string") for cut in cuts]
+    want = []
+    for cut in cuts:
+        sides = [df.where(F.col("id").isin([i for i in range(len(texts)) if cut(i) == own] or [-1])) for own in (False, True)]
+        want.append(sorted(map(tuple, pairs.find_cross_duplicates(*sides, "id").collect())))
+    asked, check = [], pairs.verified
+    monkeypatch.setattr(pairs, "verified", lambda rows, *args: (asked.append([(r["left"], r["right"]) for r in rows.collect()]), check(rows, *args))[1])
+    assert [sorted(map(tuple, x.collect())) for x in pairs.split_duplicates(df, splits, "id")] == want
+    assert len(asked) == 1 and len(set(asked[0])) == len(asked[0]) and want[3] == [] and all(want[:3])
+    asked.clear()
+    pairs.split_duplicates(df, splits[2:3], "id")
+    firsts = {}
+    for i, t in enumerate(texts):
+        firsts.setdefault(normalized(t), []).append(i)
+    trains = {v[0] for v in firsts.values() if any(i >= 20 for i in v)}
+    assert all((a in trains) != (b in trains) for a, b in asked[0]) and asked[0]
