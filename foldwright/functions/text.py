@@ -28,6 +28,8 @@ BLOCK = 1 << 15
 _ASCII = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + b" " * 128
 #: Buckets in which n-grams are counted, 16 MB; tasks sum CHUNK of them at a time.
 BUCKETS, CHUNK = 1 << 24, 1 << 16
+#: Buckets of n-grams that have a sign in each of some directions.
+SIGNS, DIRECTIONS = 1 << 20, 2
 
 
 def normalized(text: str) -> str:
@@ -343,6 +345,30 @@ def class_width(threshold: float) -> float:
     return max(-math.log(threshold), 0.05) / 2 * (1 + 1e-6)
 
 
+def directions(sets: list[np.ndarray], rounds: int = 12) -> np.ndarray:
+    """A sign, or 0, of each of SIGNS buckets of n-grams in each of DIRECTIONS in which ``sets`` differ most, as texts of several
+    languages do: by power iteration. The sums of two sets' signs are no further apart than the sets differ in n-grams."""
+    out, sets = np.zeros((DIRECTIONS, SIGNS), np.int8), [h for h in sets if len(h)]
+    if len(sets) < 3:
+        return out
+    sizes = np.array([len(h) for h in sets])
+    flat, starts, root = (np.concatenate(sets) & np.uint64(SIGNS - 1)).view(np.int64), np.cumsum(sizes) - sizes, np.sqrt(sizes)
+    known, draw = [root / np.sqrt(sizes.sum())], np.random.default_rng(0)
+
+    def freed(u):
+        for v in known:
+            u = u - v * (u @ v)
+        return u / max(np.sqrt(u @ u), 1e-300)
+
+    for direction in range(DIRECTIONS):
+        u = freed(draw.standard_normal(len(sets)))
+        for _ in range(rounds):
+            u = freed(np.add.reduceat(np.bincount(flat, np.repeat(u / root, sizes), SIGNS)[flat], starts) / root)
+        known.append(u)
+        out[direction] = np.sign(np.bincount(flat, np.repeat(u / root, sizes), SIGNS))
+    return out
+
+
 def size_class(size: int, width: float) -> int:
     return math.floor(math.log(size) / width)
 
@@ -355,30 +381,58 @@ def wave(period: int) -> float:
 
 
 @cache
-def wave_shape(threshold: float) -> tuple[int, float]:
+def wave_shape(threshold: float, apart: float = 1.6) -> tuple[int, float]:
     """``(period, share)``: counts are kept modulo ``period``, in ``share`` buckets for each n-gram of a set. Of all periods up
-    to 16 the one whose ``waves`` tell sets apart that have a fifth of their n-grams in common, in the fewest numbers."""
+    to 16 the one whose ``waves`` tell sets of one size that differ in ``apart`` times so many n-grams from similar ones, in
+    the fewest numbers; ``(2, 0)`` if none does."""
     need, best = 1.2 * 2 * (1 - threshold) / (1 + threshold), (2, 0.0)
     for period in range(16, 1, -1):
         angle, cost = 1 - math.cos(2 * math.pi / period), 1 if period == 2 else 2
-        share = next((x / 100 for x in range(4, 201) if wave(period) * x / 100 * (1 - math.exp(-160 / x * angle)) >= need), None)
+        share = next((x / 100 for x in range(4, 201) if wave(period) * x / 100 * (1 - math.exp(-100 * apart / x * angle)) >= need), None)
         if share and (not best[1] or share * cost < best[1] * (1 if best[0] == 2 else 2)):
             best = period, share
     return best
 
 
-def wave_buckets(threshold: float, of_class: int, share: float) -> int:
-    return int(share * math.exp(of_class * class_width(threshold))) + 24
+def class_shapes(sets: list[np.ndarray], sizes: list[int], threshold: float) -> list[tuple[int, int]]:
+    """``(period, buckets)`` for each class of sizes, the last for all above, by how far unlike sets of such a size are apart.
+
+    ``sets`` are the least hashes of some sets of such ``sizes``, which tell how many all would share. What they say changes
+    how many pairs ``waves`` leave over, and no result.
+    """
+    width, order = class_width(threshold), np.argsort(sizes).tolist()
+    classes, apart = [], []
+    for at, i in enumerate(order):
+        for j in order[at + 1 : at + 5]:
+            if not len(sets[i]) or not len(sets[j]):
+                continue
+            end = min(x[-1] if len(x) < sizes[k] else np.uint64(2**64 - 1) for x, k in ((sets[i], i), (sets[j], j)))
+            a, b = (x[: np.searchsorted(x, end, "right")] for x in (sets[i], sets[j]))
+            differ = 2 - 4 * shared_of(a, b) / max(len(a) + len(b), 1)
+            if differ > 2.4 * (1 - threshold) / (1 + threshold):
+                classes.append(size_class(sizes[j], width))
+                apart.append(differ)
+    classes, apart, out, last = np.array(classes), np.array(apart), [], 1.6
+    for of in range(int(classes.max(initial=0)) + 3):
+        near = apart[np.abs(classes - of) <= 2] if len(apart) else apart
+        last = float(np.quantile(near, 0.1)) if len(near) >= 8 else last
+        period, share = wave_shape(threshold, max(math.floor(10 * last), 1) / 10)
+        out.append((period, int(share * math.exp(of * width)) + 24))
+    return out
+
 
+def shape_of(shapes: list[tuple[int, int]], of_class: int) -> tuple[int, int]:
+    return shapes[min(max(of_class, 0), len(shapes) - 1)]
 
-def counted(h: np.ndarray, buckets: int, period: int) -> bytes:
+
+def counted(h: np.ndarray, period: int, buckets: int) -> bytes:
     """How many hashes fall into each bucket, modulo ``period``, half a byte each."""
     at = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).view(np.int64)
     n = (np.bincount(at, minlength=buckets + buckets % 2) % period).astype(np.uint8)
     return (n[::2] | n[1::2] << 4).tobytes()
 
 
-def waves(packed: np.ndarray, buckets: int, period: int) -> np.ndarray:
+def waves(packed: np.ndarray, period: int, buckets: int) -> np.ndarray:
     """Rows of ``counted`` buckets as cosines and sines. Two sets differ in at least ``wave(period)`` times what the product of
     their rows is less than the number of buckets: a bucket's counts differ by no more than its n-grams do."""
     n = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
@@ -388,16 +442,17 @@ def waves(packed: np.ndarray, buckets: int, period: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def profiles(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts, most: int) -> DataFrame:
-    """``(id_col, key, size, prefix, class, sketch, counted)``: what ``prefixes`` gives, but of its n-grams only those with
+def profiles(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float, counts, most: int, known_by) -> DataFrame:
+    """``(id_col, key, size, prefix, class, sketch, counted, sums)``: what ``prefixes`` gives, but of its n-grams only those with
     counts up to ``most``. A text whose prefix has others too gets its class of sizes, its ``parity`` as ``sketch`` and its
-    n-grams as ``counted`` in the buckets of its class and of the two below it; the rest have none."""
-    kind, width, (period, share) = df.schema[id_col].dataType.simpleString(), class_width(threshold), wave_shape(threshold)
+    n-grams as ``counted`` in the buckets of its class and of the two below it, and its sums of signs; the rest have none.
+    ``known_by`` are ``directions`` and ``class_shapes``, broadcast."""
+    kind, width = df.schema[id_col].dataType.simpleString(), class_width(threshold)
 
     def run(batches):
-        known = np.frombuffer(counts.value, np.uint8)
+        known, (signs, shapes) = np.frombuffer(counts.value, np.uint8), known_by.value
         for part, keys in _parts(batches, text_col):
-            sizes, rows, classes, bits, tiles = [], [], [], [], []
+            sizes, rows, classes, bits, tiles, sums = [], [], [], [], [], []
             for h in shingle_lists(keys, ngram):
                 n = known[(h & np.uint64(BUCKETS - 1)).view(np.int64)]
                 take = len(h) - int(np.ceil(len(h) * threshold - 1e-9)) + 1 if len(h) else 0
@@ -410,14 +465,15 @@ def profiles(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: f
                 own = size_class(len(h), width) if last > most else None
                 classes.append(own)
                 bits.append(parity(h) if last > most else None)
-                tiles.append([counted(h, wave_buckets(threshold, own - i, share), period) for i in range(3)] if last > most else None)
+                tiles.append([counted(h, *shape_of(shapes, own - i)) for i in range(3)] if last > most else None)
+                sums.append(signs[:, (h & np.uint64(SIGNS - 1)).view(np.int64)].sum(1, dtype=np.int64).tolist() if last > most else None)
             columns = [part.column(id_col), pa.array([_digest(k) for k in keys], pa.binary()), pa.array(sizes, pa.int64())]
             columns += [pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))), pa.array(classes, pa.int32())]
-            columns += [pa.array(bits, pa.binary()), pa.array(tiles, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "size", "prefix", "class", "sketch", "counted"])
+            columns += [pa.array(bits, pa.binary()), pa.array(tiles, pa.list_(pa.binary())), pa.array(sums, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "size", "prefix", "class", "sketch", "counted", "sums"])
 
     return df.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>, class int, sketch binary, counted array<binary>"
+        run, f"`{id_col}` {kind}, key binary, size bigint, prefix array<struct<h: bigint, at: int>>, class int, sketch binary, counted array<binary>, sums array<bigint>"
     )
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.text import check_threshold, folded, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, profiles, shared_of, shingle_lists, shingle_sets, shingles, sketches, tallied, wave, wave_buckets, wave_shape, waves
+from foldwright.functions.text import DIRECTIONS, check_threshold, class_shapes, directions, folded, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, profiles, shared_of, shingle_lists, shingle_sets, shingles, sketches, shape_of, tallied, wave, waves
 from foldwright.operators.components import connected_components
 from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
 
@@ -23,6 +23,8 @@ INDEX = 2 << 20
 RARE = 16
 #: Bytes of sketches, and sketches, of one side of a task; numbers of each side, and their products, that are worked on at a time.
 HELD, MANY, STEP = 16 << 20, 1 << 14, 1 << 20
+#: Texts, and n-grams of each, by which directions are found in which texts differ most.
+SEEN, EACH = 1000, 4096
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -308,9 +310,15 @@ def _by_prefix(each: DataFrame, others: DataFrame, threshold: float) -> DataFram
 
 
 class _Side:
-    """Rows ``(uid, size, sketch, counted)`` of one side of a tile: ids, sizes, ``counted`` as a table, sketches by length."""
+    """Rows ``(uid, size, sketch, counted, sums)`` of one side of a tile: ids, sizes, ``counted`` as a table, sketches by length,
+    in the order of cells of ``sums``, a quarter of the greatest set wide, and in them of sizes."""
 
     def __init__(self, rows: list):
+        sums, sizes = np.array([r[4] if len(r) > 4 else [0] * DIRECTIONS for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        cells = sums // max(int(sizes.max()) // 4, 1)
+        order = np.lexsort((sizes, *cells.T))
+        rows, self.sums, cells = [rows[i] for i in order.tolist()], sums[order], cells[order]
+        self.ends = np.flatnonzero((np.diff(cells, axis=0) != 0).any(1)) + 1  # where another cell begins
         self.uids = [r[0] for r in rows]
         self.sizes = np.array([r[1] for r in rows], np.int64)
         self.counted = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
@@ -325,9 +333,8 @@ class _Side:
 def _differ(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarray:
     """In how many bits the sketches of each pair of places differ."""
     out = np.zeros(len(i), np.int64)
-    lengths = np.stack([left.words[i], right.words[j]], axis=1)
-    for a, b in np.unique(lengths, axis=0).tolist() if len(i) else ():
-        own, n = np.flatnonzero((lengths == (a, b)).all(1)), min(a, b)
+    for a, b in ((a, b) for a in left.bits for b in right.bits):
+        own, n = np.flatnonzero((left.words[i] == a) & (right.words[j] == b)), min(a, b)
         step = max(STEP // (8 * max(a, b)), 1)
         for part in (own[at : at + step] for at in range(0, len(own), step)):
             x, y = left.bits[a][left.place[i[part]]], right.bits[b][right.place[j[part]]]
@@ -335,20 +342,29 @@ def _differ(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarr
     return out
 
 
-def _close(left: _Side, right: _Side | None, threshold: float, buckets: int):
-    """Places ``(left, right)`` of each pair of two tiles, or of one, that may be similar by sizes, by ``waves`` and by sketches.
+def _close(left: _Side, right: _Side | None, threshold: float, period: int, buckets: int):
+    """Places ``(left, right)`` of each pair of two tiles, or of one, that may be similar by sizes, by sums, by ``waves`` and by
+    sketches.
 
-    One product of matrices says of all pairs of two blocks in how many n-grams they differ at least, less how many similar
+    Blocks whose sums or sizes are too far apart are passed over, as those of texts in two languages. Else one product of matrices says of all pairs of two blocks in how many n-grams they differ at least, less how many similar
     sets may; what that leaves over is compared by sketches.
     """
-    limit, (period, _) = (1 - threshold) / (1 + threshold), wave_shape(threshold)
+    limit = (1 - threshold) / (1 + threshold)
     scale, wide = wave(period), buckets * (1 if period == 2 else 2) + 2
     step, error = min(max(STEP // wide, 1), 1024), 0.01 + 3 * scale * buckets * wide * 2.0**-23  # of sums of single precision
 
-    def rows(side, at, mine):
-        out = np.empty((min(at + step, len(side.uids)) - at, wide), np.float32)
-        out[:, :-2] = waves(side.counted[at : at + step], buckets, period)
-        own = limit * side.sizes[at : at + step]
+    def blocks(side):
+        """``(begin, end, least, most)`` of runs of one cell, the bounds being of sums and sizes."""
+        values = np.column_stack([side.sums, side.sizes])
+        for low, high in zip([0, *side.ends.tolist()], [*side.ends.tolist(), len(values)]):
+            for at in range(low, high, step):
+                own = values[at : min(at + step, high)]
+                yield at, at + len(own), own.min(0), own.max(0)
+
+    def rows(side, at, to, mine):
+        out = np.empty((to - at, wide), np.float32)
+        out[:, :-2] = waves(side.counted[at:to], period, buckets)
+        own = limit * side.sizes[at:to]
         if mine:
             out[:, :-2] *= scale
             out[:, -2], out[:, -1] = own - scale * buckets, 1
@@ -357,10 +373,16 @@ def _close(left: _Side, right: _Side | None, threshold: float, buckets: int):
         return out
 
     one, right = right is None, left if right is None else right
-    for at in range(0, len(left.uids), step):
-        a = rows(left, at, True)
-        for to in range(at if one else 0, len(right.uids), step):
-            room = a @ rows(right, to, False).T
+    theirs = list(blocks(right))
+    for at, end, least, most in blocks(left):
+        a = rows(left, at, end, True)
+        for to, other_end, other_least, other_most in theirs:
+            apart = np.maximum(least[:-1] - other_most[:-1], other_least[:-1] - most[:-1])
+            if one and to < at or (apart > (most[-1] + other_most[-1]) * limit + 1e-6).any():
+                continue
+            if most[-1] < other_least[-1] * threshold - 1e-9 or other_most[-1] < least[-1] * threshold - 1e-9:
+                continue
+            room = a @ rows(right, to, other_end, False).T
             i, j = np.divmod(np.flatnonzero(room.ravel() >= -error), room.shape[1])
             i, j = i + at, j + to
             m, n = left.sizes[i], right.sizes[j]
@@ -370,8 +392,8 @@ def _close(left: _Side, right: _Side | None, threshold: float, buckets: int):
             yield i[good], j[good]
 
 
-def _by_sketch(each: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)`` of the sets ``(uid, size, class, sketch, counted)`` whose sizes, counts and sketches are alike enough to reach
+def _by_sketch(each: DataFrame, threshold: float, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``(a, b)`` of the sets ``(uid, size, class, sketch, counted, sums)`` whose sizes, counts and sketches are alike enough to reach
     the threshold.
 
     Classes of sizes are dealt into tiles of a bounded size; each two tiles of classes near enough are a task's, compared in
@@ -381,39 +403,51 @@ def _by_sketch(each: DataFrame, threshold: float) -> DataFrame:
     kind = each.schema["uid"].dataType.simpleString()
     counts = each.groupBy("class").agg(F.sum(F.octet_length("sketch") + F.octet_length(F.col("counted")[0])).alias("bytes"), F.count("*").alias("n")).collect()
     tiles = {r["class"]: max(-(-r["bytes"] // HELD), -(-r["n"] // MANY)) for r in counts}
-    share = wave_shape(threshold)[1]
-    meet = [(c, other, tiles[c], tiles[other], wave_buckets(threshold, min(c, other), share)) for c in tiles for other in range(c - 2, c + 3) if other in tiles]
+    meet = [(c, other, tiles[c], tiles[other], *shape_of(shapes, min(c, other))) for c in tiles for other in range(c - 2, c + 3) if other in tiles]
     n = max(int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(m[2] * m[3] for m in meet) // 4, 4000))
-    meet = each.sparkSession.createDataFrame(meet, "class int, to int, own int, other int, buckets int")
+    meet = each.sparkSession.createDataFrame(meet, "class int, to int, own int, other int, period int, buckets int")
     rows = each.join(F.broadcast(meet), "class").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("own")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
     ends = [F.struct(F.col(c).alias("class"), F.col(i).alias("i")) for c, i in (("class", "i"), ("to", "j"))]
     tile = F.to_json(F.array(F.least(*ends), F.greatest(*ends)))
     counted = F.col("counted")[F.greatest(F.col("class") - F.col("to"), F.lit(0))].alias("counted")
-    rows = rows.select(tile.alias("tile"), (ends[0] > ends[1]).cast("int").alias("what"), (ends[0] == ends[1]).alias("one"), "buckets", "uid", "size", "sketch", counted)
+    rows = rows.select(tile.alias("tile"), (ends[0] > ends[1]).cast("int").alias("what"), (ends[0] == ends[1]).alias("one"), "period", "buckets", "uid", "size", "sketch", counted, "sums")
 
     def run(batches):
-        tile, one, buckets, sides, type_ = None, False, 0, ([], []), None
+        tile, one, shape, sides, type_ = None, False, (2, 0), ([], []), None
 
         def done():
             if sides[0] and (one or sides[1]):
                 left, right = _Side(sides[0]), None if one else _Side(sides[1])
-                for i, j in _close(left, right, threshold, buckets):
+                for i, j in _close(left, right, threshold, *shape):
                     ends = ([side.uids[k] for k in at.tolist()] for side, at in ((left, i), (right or left, j)))
                     yield pa.RecordBatch.from_arrays([pa.array(x, type_) for x in ends], names=["a", "b"])
 
         for batch in batches:
             type_ = batch.schema.field("uid").type
-            for t, what, same, n, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "one", "buckets", "uid", "size", "sketch", "counted"))):
+            for t, what, same, period, n, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "what", "one", "period", "buckets", "uid", "size", "sketch", "counted", "sums"))):
                 if t != tile:
                     yield from done()
-                    tile, one, buckets, sides = t, same, n, ([], [])
+                    tile, one, shape, sides = t, same, (period, n), ([], [])
                 sides[what].append(row)
         yield from done()
 
     return rows.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _known_by(df: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> tuple:
+    """``directions`` and ``class_shapes`` by some texts of ``df``. They say how fast texts are told apart, by bounds that hold
+    whatever they are, so they change no result."""
+    some = df.where(F.pmod(F.xxhash64(id_col), F.lit(max(df.count() // SEEN, 1))) == 0).limit(2 * SEEN)
+    found = shingle_sets(some, id_col, text_col, ngram).select(F.slice("shingles", 1, EACH).alias("h"), F.size("shingles").alias("n")).toArrow()
+    sets, sizes = [_unsigned(h.values) for h in found.column("h")], found.column("n").to_pylist()
+    return directions(sets), class_shapes(sets, sizes, threshold)
+
+
+def _unsigned(h) -> np.ndarray:
+    return np.sort(h.to_numpy().view(np.uint64))
+
+
 def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, *, ngram: int = 5) -> DataFrame:
     """``(left, right, n_shared, n_union, similarity)`` of all pairs of distinct normalized texts at the threshold, none
     missed: in any order of n-grams, similar sets share one of their first, as many as they may lack plus one.
@@ -426,14 +460,15 @@ def exact_pairs(df: DataFrame, id_col: str, text_col: str = "text", threshold: f
     """
     threshold = check_threshold(threshold)
     counts = df.sparkSession.sparkContext.broadcast(ngram_counts(df, text_col, ngram))
-    made = profiles(df, id_col, text_col, ngram, threshold, counts, RARE)
-    first = written(made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix", "class", "sketch", "counted")).alias("x")).select("x.*"))
+    known_by = _known_by(df, id_col, text_col, ngram, threshold)
+    made = profiles(df, id_col, text_col, ngram, threshold, counts, RARE, df.sparkSession.sparkContext.broadcast(known_by))
+    first = written(made.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("uid"), "size", "prefix", "class", "sketch", "counted", "sums")).alias("x")).select("x.*"))
     listed = first.select("uid", "size", "sketch", F.explode("prefix").alias("p")).select("uid", "size", "sketch", "p.h", "p.at")
     rare = listed.where(F.col("sketch").isNull()).drop("sketch")
     met_ = rare.select("h").distinct()
     others = listed.drop("sketch").join(broadcast_if_small(checkpoint(met_)), "h", "left_semi")
     pairs = _by_prefix(rare, others, threshold).where("uid <> other").select(F.col("uid").alias("a"), F.col("other").alias("b"))
-    pairs = pairs.unionByName(_by_sketch(first.where(F.col("sketch").isNotNull()).select("uid", "size", "class", "sketch", "counted"), threshold))
+    pairs = pairs.unionByName(_by_sketch(first.where(F.col("sketch").isNotNull()).select("uid", "size", "class", "sketch", "counted", "sums"), threshold, known_by[1]))
     pairs = checkpoint(pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct())
     return verified(checkpoint(_of_hubs(pairs)), df, df, id_col, text_col, ngram, threshold)
 

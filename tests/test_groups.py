@@ -402,43 +402,49 @@ def test_sketches_differ_in_no_more_bits_than_sets_do():
 
 
 def test_waves_differ_no_more_than_sets_do():
-    from foldwright.functions.text import counted, size_class, class_width, wave, wave_buckets, wave_shape, waves
+    from foldwright.functions.text import class_shapes, class_width, counted, shape_of, size_class, wave, waves
 
     draw = np.random.default_rng(6)
+    some = [np.unique(draw.integers(0, 3000, n, dtype=np.uint64)) * np.uint64(2**51 + 1) for n in range(1, 2000, 25)]
     for threshold in (0.3, 0.5, 0.8, 0.95, 1.0):
-        period, share = wave_shape(threshold)
-        for size, other, shared in ((1, 1, 0), (64, 65, 60), (900, 1100, 850), (5000, 5000, 0), (300, 300, 300)):
-            every = np.unique(draw.integers(0, 1 << 63, size + other, dtype=np.uint64) * np.uint64(2))
-            sets = every[:size], every[size - shared :][:other]
-            buckets = wave_buckets(threshold, size_class(size, class_width(threshold)), share)
-            rows = [waves(np.frombuffer(counted(draw.permutation(h), buckets, period), np.uint8)[None], buckets, period)[0].astype(float) for h in sets]
-            assert wave(period) * (buckets - rows[0] @ rows[1]) <= len(np.setxor1d(*sets)) + 1e-3
+        for shapes in (class_shapes([], [], threshold), class_shapes(some, [len(h) for h in some], threshold)):
+            for size, other, shared in ((1, 1, 0), (64, 65, 60), (900, 1100, 850), (5000, 5000, 0), (300, 300, 300)):
+                every = draw.permutation(np.unique(draw.integers(0, 1 << 63, size + other, dtype=np.uint64) * np.uint64(2)))
+                sets = every[:size], every[size - shared :][:other]
+                shape = shape_of(shapes, size_class(size, class_width(threshold)))
+                rows = [waves(np.frombuffer(counted(h, *shape), np.uint8)[None], *shape)[0].astype(float) for h in sets]
+                assert wave(shape[0]) * (shape[1] - rows[0] @ rows[1]) <= len(np.setxor1d(*sets)) + 1e-3
     assert all(wave(p) * (1 - np.cos(2 * np.pi * d / p)) <= d + 1e-9 for p in range(2, 17) for d in range(1, 200))
 
 
-def test_sketches_are_read_only_where_counts_leave_room(monkeypatch):
-    """Texts of few words that are not alike are told apart by one product of matrices for all of two blocks."""
+@pytest.mark.parametrize("n_words", [160, 1500])
+def test_sketches_are_read_only_where_counts_leave_room(monkeypatch, n_words):
+    """Texts of few words that are not alike are told apart by one product of matrices for all of two blocks, long texts, which
+    share more, too; and none is multiplied with those of another language."""
+    from foldwright.functions.text import SIGNS, class_shapes, class_width, counted, directions, parity, shape_of, size_class
+
     draw = random.Random(14)
-    words = ["".join(draw.choices("abcdefghijklmn", k=6)) for _ in range(400)]
-    texts = [" ".join(draw.choices(words, k=160)) for _ in range(220)]
-    texts += [" ".join(w if draw.random() > 0.02 else draw.choice(words) for w in t.split()) for t in texts[:40]]
+    texts, tongues = [], (["".join(draw.choices("abcdefghijklmn", k=6)) for _ in range(1000)], ["".join(draw.choices("opqrstuvwxyz", k=6)) for _ in range(1000)])
+    for words in tongues:
+        texts += [" ".join(draw.choices(words, k=n_words)) for _ in range(100)]
+        texts += [" ".join(w if draw.random() > 0.02 else draw.choice(words) for w in t.split()) for t in texts[-100:-80]]
     sets = [shingles(normalized(t)) for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard_of(sets[i], sets[j]) >= 0.8}
-    from foldwright.functions.text import class_width, counted, parity, size_class, wave_buckets, wave_shape
-
-    (period, share), rows = wave_shape(0.8), {}
+    signs, shapes, classes = directions(sets), class_shapes(sets, [len(h) for h in sets], 0.8), {}
     for i, h in enumerate(sets):
-        rows.setdefault(size_class(len(h), class_width(0.8)), []).append((i, h))
-    read, differ = [], pairs._differ
+        classes.setdefault(size_class(len(h), class_width(0.8)), []).append((i, h, signs[:, (h & np.uint64(SIGNS - 1)).astype(int)].sum(1, dtype=int).tolist()))
+    read, made, found, differ, waves = [], [], set(), pairs._differ, pairs.waves
     monkeypatch.setattr(pairs, "_differ", lambda a, i, b, j: (read.append(len(i)), differ(a, i, b, j))[1])
-    found = set()
-    for of, other in ((c, d) for c in rows for d in (c, c + 1, c + 2) if d in rows):
-        n = wave_buckets(0.8, of, share)
-        left, right = (pairs._Side([(i, len(h), parity(h), counted(h, n, period)) for i, h in rows[c]]) for c in (of, other))
-        for i, j in pairs._close(left, None if of == other else right, 0.8, n):
+    monkeypatch.setattr(pairs, "waves", lambda packed, *shape: (made.append(len(packed)), waves(packed, *shape))[1])
+    for of, other in ((c, d) for c in classes for d in (c, c + 1, c + 2) if d in classes):
+        shape = shape_of(shapes, of)
+        left, right = (pairs._Side([(i, len(h), parity(h), counted(h, *shape), sums) for i, h, sums in classes[c]]) for c in (of, other))
+        made.clear()
+        for i, j in pairs._close(left, None if of == other else right, 0.8, *shape):
             found |= {(max(ends), min(ends)) for ends in zip((left.uids[x] for x in i), (right.uids[y] for y in j))}
+        assert sum(made) <= 3.2 * (len(left.uids) + len(right.uids))
     assert len(want) >= 30 and want <= found and len(found) < 2 * len(want)
-    assert sum(read) < 0.05 * len(texts) ** 2 / 2
+    assert sum(read) < 0.03 * len(texts) ** 2 / 2
 
 
 def test_exact_pairs_send_a_text_of_a_group_to_few_tiles(spark, monkeypatch):
