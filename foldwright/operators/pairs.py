@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.text import DIRECTIONS, check_threshold, class_shapes, directions, folded, indexed_matches, lsh_bands, most_shared, ngram_counts, ngram_index, normalized, prefixes, profiles, shared_of, shingle_lists, shingle_sets, shingles, sketches, shape_of, tallied, wave, waves
 from foldwright.operators.components import connected_components
-from foldwright.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint, written
+from foldwright.runtime import broadcast_if_small, checkpoint, written
 
 #: Texts of one bucket on either side of one join key; a larger bucket is dealt out as pairs of such tiles.
 TILE = 512
@@ -22,7 +22,7 @@ INDEX = 2 << 20
 #: Texts that an n-gram of a prefix may have to be looked up; texts with others are compared by sketches.
 RARE = 16
 #: Bytes of sketches, and sketches, of one side of a task; numbers of each side, and their products, that are worked on at a time.
-HELD, MANY, STEP = 16 << 20, 1 << 14, 1 << 20
+HELD, MANY, STEP = 64 << 20, 1 << 17, 1 << 20
 #: Texts, and n-grams of each, by which directions are found in which texts differ most.
 SEEN, EACH = 1000, 4096
 
@@ -143,13 +143,11 @@ def _dealt(pairs: DataFrame, left: DataFrame, right: DataFrame, id_col: str, *va
     are of another table, and the pairs, ``what`` being 0, 1 and 2."""
     same = left is right
     pairs = pairs.select("tile", "left", "right")
-    # Few ids go to where the texts lie; many meet their texts by id.
-    few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
     held = []
     ends = [pairs.select("tile", F.col(c).alias("a")) for c in ("left", "right")]
     for what, (df, need) in enumerate([(left, ends[0].union(ends[1]))] if same else [(left, ends[0]), (right, ends[1])]):
         own = df.select(F.col(id_col).alias("_id"), *values)
-        need = F.broadcast(need.distinct()) if few else need.distinct()
+        need = broadcast_if_small(checkpoint(need.distinct()))  # few ids go to where the texts lie; many meet their texts by id
         own = own.join(need, F.col("a") == F.col("_id")).withColumn("what", F.lit(what)).withColumn("b", F.lit(None).cast(df.schema[id_col].dataType))
         held.append(own.drop("_id"))
     rows = pairs.select("tile", F.lit(2).alias("what"), F.col("left").alias("a"), F.col("right").alias("b"))

@@ -490,3 +490,16 @@ def test_pairs_are_compared_once_for_all_splits(spark, monkeypatch):
         firsts.setdefault(normalized(t), []).append(i)
     trains = {v[0] for v in firsts.values() if any(i >= 20 for i in v)}
     assert all((a in trains) != (b in trains) for a, b in asked[0]) and asked[0]
+
+
+def test_texts_are_not_shuffled_for_few_of_them_with_many_pairs(spark, monkeypatch):
+    """A table of all texts is dealt out only if many of them are needed, however many pairs those few make."""
+    df = table(spark, [f"text {i}" for i in range(300)])
+    every = spark.createDataFrame([(i, j, 7) for i in range(40) for j in range(i)], "left bigint, right bigint, tile bigint")
+    small, asked = pairs.broadcast_if_small, []
+    monkeypatch.setattr("foldwright.runtime.BROADCAST_ROWS", 100)
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 100, raising=False)
+    monkeypatch.setattr(pairs, "broadcast_if_small", lambda x: (asked.append(x.count()), small(x, 100))[1])
+    dealt = pairs._dealt(every, df, df, "id", F.col("text"))
+    assert dealt.where("what = 0").count() == 40 and dealt.where("what = 2").count() == 780
+    assert asked == [40] and "SortMergeJoin" not in dealt._jdf.queryExecution().toString()
